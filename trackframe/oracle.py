@@ -165,6 +165,188 @@ FROM scoring
 """
 
 
+# ------------------------------------------------------------- family B
+RIGHT = "coalesce(play_direction = 'right', false)"
+UNI_SQL = f"""
+SELECT game_id, play_id, nfl_id, frame_id, player_to_predict, play_direction, absolute_yardline_number,
+  player_height, player_weight, player_position, player_side, player_role, s, a, num_frames_output, week,
+  CASE WHEN {RIGHT} THEN 120.0 - x ELSE x END AS x,
+  CASE WHEN {RIGHT} THEN 53.3 - y ELSE y END AS y,
+  CASE WHEN {RIGHT} THEN {pmod('dir + 180.0')} ELSE dir END AS dir,
+  CASE WHEN {RIGHT} THEN {pmod('o + 180.0')} ELSE o END AS o,
+  CASE WHEN {RIGHT} THEN 120.0 - ball_land_x ELSE ball_land_x END AS ball_land_x,
+  CASE WHEN {RIGHT} THEN 53.3 - ball_land_y ELSE ball_land_y END AS ball_land_y
+FROM inp
+"""
+
+HEIGHT_SQL = """CASE WHEN len(string_split(player_height, '-')) = 2
+  AND TRY_CAST(string_split(player_height, '-')[1] AS INTEGER) IS NOT NULL
+  AND TRY_CAST(string_split(player_height, '-')[2] AS INTEGER) IS NOT NULL
+  THEN TRY_CAST(string_split(player_height, '-')[1] AS INTEGER)
+     + CAST(TRY_CAST(string_split(player_height, '-')[2] AS INTEGER) AS DOUBLE) / 12.0
+  ELSE 6.0 END"""
+
+BASE1_SQL = f"""
+SELECT *, {HEIGHT_SQL} AS player_height_feet,
+  (s + 0.5 * a * 0.1) * sin(radians(coalesce(dir, 0.0))) AS velocity_x,
+  (s + 0.5 * a * 0.1) * cos(radians(coalesce(dir, 0.0))) AS velocity_y,
+  a * sin(radians(coalesce(dir, 0.0))) AS acceleration_x,
+  a * cos(radians(coalesce(dir, 0.0))) AS acceleration_y,
+  {flag("player_side = 'Offense'")} AS is_offense,
+  {flag("player_side = 'Defense'")} AS is_defense,
+  {flag("player_role = 'Targeted Receiver'")} AS is_receiver,
+  {flag("player_role = 'Defensive Coverage'")} AS is_coverage,
+  {flag("player_role = 'Passer'")} AS is_passer,
+  coalesce(player_weight, 200.0) / 2.20462 AS mass_kg,
+  sqrt((ball_land_x - x) ** 2 + (ball_land_y - y) ** 2) AS distance_to_ball,
+  atan2(ball_land_y - y, ball_land_x - x) AS angle_to_ball
+FROM uni
+"""
+
+BASE_SQL = """
+SELECT * EXCLUDE (mass_kg),
+  velocity_x * mass_kg AS momentum_x,
+  velocity_y * mass_kg AS momentum_y,
+  0.5 * mass_kg * s ** 2 AS kinetic_energy,
+  (ball_land_x - x) / (distance_to_ball + 1e-6) AS ball_direction_x,
+  (ball_land_y - y) / (distance_to_ball + 1e-6) AS ball_direction_y,
+  velocity_x * ((ball_land_x - x) / (distance_to_ball + 1e-6))
+    + velocity_y * ((ball_land_y - y) / (distance_to_ball + 1e-6)) AS ball_closing_speed
+FROM base1
+"""
+
+W = "OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id)"
+
+
+def rows_back(n: int) -> str:
+    return (f"OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id "
+            f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)")
+
+
+def dfill(c: str) -> str:
+    return f"coalesce({c} - lag({c}, 1) {W}, 0.0)"
+
+
+B_CTES = [("uni", UNI_SQL), ("base1", BASE1_SQL), ("base", BASE_SQL)]
+FK = "game_id, play_id, nfl_id, frame_id"
+
+
+def _family_b(q: dict[str, str]) -> None:
+    base = BASE_CTES + B_CTES
+    q["direction_unify"] = build(
+        base, f"SELECT {FK}, " + ", ".join(r6(c, c) for c in
+                                            ["x", "y", "dir", "o", "ball_land_x", "ball_land_y"]) + " FROM uni")
+    q["direction_roundtrip"] = build(
+        BASE_CTES + [
+            ("dmap", "SELECT DISTINCT game_id, play_id, play_direction FROM inp"),
+            ("u", f"SELECT o.game_id, o.play_id, o.nfl_id, o.frame_id, d.play_direction, "
+                  f"CASE WHEN coalesce(d.play_direction = 'right', false) THEN 120.0 - o.x ELSE o.x END AS x_u, "
+                  f"CASE WHEN coalesce(d.play_direction = 'right', false) THEN 53.3 - o.y ELSE o.y END AS y_u "
+                  f"FROM outp o LEFT JOIN dmap d USING (game_id, play_id)")],
+        f"SELECT {FK}, play_direction, round(x_u, 6) AS x_u, round(y_u, 6) AS y_u, "
+        f"round(CASE WHEN {RIGHT} THEN 120.0 - x_u ELSE x_u END, 6) AS x, "
+        f"round(CASE WHEN {RIGHT} THEN 53.3 - y_u ELSE y_u END, 6) AS y FROM u")
+    base_cols = ["player_height_feet", "velocity_x", "velocity_y", "acceleration_x", "acceleration_y",
+                 "momentum_x", "momentum_y", "kinetic_energy", "distance_to_ball", "angle_to_ball",
+                 "ball_direction_x", "ball_direction_y", "ball_closing_speed"]
+    q["features_b_base"] = build(
+        base, f"SELECT {FK}, " + ", ".join(r6(c, c) for c in base_cols)
+        + ", is_offense, is_defense, is_receiver, is_coverage, is_passer FROM base")
+    q["height_parse"] = build(
+        BASE_CTES, f"SELECT DISTINCT game_id, play_id, nfl_id, player_height, "
+                   f"round({HEIGHT_SQL}, 6) AS player_height_feet FROM inp")
+    lags = [f"round(lag({c}, {k}) {W}, 6) AS {c}_lag{k}" for k in range(1, 6)
+            for c in ("x", "y", "velocity_x", "velocity_y")]
+    q["lag_features"] = build(base, f"SELECT {FK}, {', '.join(lags)} FROM base")
+
+    # EMA as a recursive CTE over the 0-based frame index, carrying (value, weight)
+    # per series with the null rule: a null keeps the value and decays the weight.
+    def ema_step(c: str, w: str, ow: str) -> str:
+        old = f"(r.{ow} * CAST(0.7 AS DOUBLE))"
+        val = (f"CASE WHEN r.{w} IS NULL THEN s.{c} WHEN s.{c} IS NULL THEN r.{w} "
+               f"WHEN r.{w} = s.{c} THEN r.{w} "
+               f"ELSE ({old} * r.{w} + CAST(0.3 AS DOUBLE) * s.{c}) / ({old} + CAST(0.3 AS DOUBLE)) END")
+        wt = (f"CASE WHEN r.{w} IS NULL THEN CAST(1.0 AS DOUBLE) WHEN s.{c} IS NULL THEN {old} "
+              f"ELSE CAST(1.0 AS DOUBLE) END")
+        return f"{val}, {wt}"
+    series = [("velocity_x", "w1", "o1"), ("velocity_y", "w2", "o2"), ("s", "w3", "o3")]
+    seed = ", ".join(f"{c}, CAST(1.0 AS DOUBLE)" for c, _, _ in series)
+    steps = ", ".join(ema_step(c, w, o) for c, w, o in series)
+    rec = (f"SELECT game_id, play_id, nfl_id, rn, frame_id, {seed} FROM seq WHERE rn = 0 "
+           f"UNION ALL SELECT s.game_id, s.play_id, s.nfl_id, s.rn, s.frame_id, {steps} "
+           "FROM r JOIN seq s ON s.game_id = r.game_id AND s.play_id = r.play_id "
+           "AND s.nfl_id = r.nfl_id AND s.rn = r.rn + 1")
+    q["ema_features"] = build(
+        base + [("seq", f"SELECT *, row_number() {W} - 1 AS rn FROM base")],
+        f", r(game_id, play_id, nfl_id, rn, frame_id, w1, o1, w2, o2, w3, o3) AS ({rec})\n"
+        f"SELECT {FK}, round(w1, 6) AS velocity_x_ema, round(w2, 6) AS velocity_y_ema, "
+        "round(w3, 6) AS speed_ema FROM r").replace("WITH ", "WITH RECURSIVE ", 1)
+    q["rolling_mean"] = build(
+        base, f"SELECT {FK}, round(avg(velocity_x) {rows_back(12)}, 6) AS velocity_x_roll, "
+              f"round(avg(velocity_y) {rows_back(12)}, 6) AS velocity_y_roll FROM base")
+    multi = []
+    for n in (3, 6, 9):
+        for c in ("velocity_x", "velocity_y", "s", "a"):
+            multi.append(f"round(avg({c}) {rows_back(n)}, 6) AS {c}_roll{n}")
+            multi.append(f"round(coalesce(stddev_samp({c}) {rows_back(n)}, 0.0), 6) AS {c}_std{n}")
+    q["rolling_multi"] = build(base, f"SELECT {FK}, {', '.join(multi)} FROM base")
+
+    diff_cte = ("diffs", f"""SELECT *, {dfill('distance_to_ball')} AS distance_to_ball_change,
+        {dfill('velocity_x')} AS velocity_x_change, {dfill('velocity_y')} AS velocity_y_change,
+        {dfill('s')} AS speed_change, {dfill('dir')} AS dir_diff FROM base""")
+    diff2_cte = ("diffs2", f"""SELECT * EXCLUDE (dir_diff), {dfill('distance_to_ball_change')} AS distance_to_ball_accel,
+        CASE WHEN abs(dir_diff) < 180 THEN dir_diff ELSE dir_diff - 360.0 * sign(dir_diff) END AS direction_change
+        FROM diffs""")
+    diffs = ["distance_to_ball_change", "distance_to_ball_accel", "velocity_x_change",
+             "velocity_y_change", "speed_change", "direction_change"]
+    q["diff_features"] = build(base + [diff_cte, diff2_cte],
+                               f"SELECT {FK}, {', '.join(r6(c, c) for c in diffs)} FROM diffs2")
+    adv = f"""SELECT *,
+      {nn_least(nn_greatest('distance_to_ball / (abs(distance_to_ball_change) + 0.1)', '0.0'), '10.0')} AS time_to_intercept,
+      velocity_x * ball_direction_x + velocity_y * ball_direction_y AS velocity_alignment,
+      velocity_x * (-ball_direction_y) + velocity_y * ball_direction_x AS velocity_perpendicular,
+      acceleration_x * ball_direction_x + acceleration_y * ball_direction_y AS accel_alignment,
+      y AS dist_from_left, 53.3 - y AS dist_from_right,
+      {nn_least('y', '53.3 - y')} AS dist_from_sideline,
+      {nn_least('x', '120.0 - x')} AS dist_from_endzone,
+      is_receiver * (velocity_x * ball_direction_x + velocity_y * ball_direction_y) AS receiver_optimality,
+      is_receiver * abs(velocity_x * (-ball_direction_y) + velocity_y * ball_direction_x) AS receiver_deviation,
+      is_coverage * ball_closing_speed AS defender_closing_speed,
+      CAST(row_number() {W} - 1 AS BIGINT) AS frames_elapsed,
+      (row_number() {W} - 1) / count(*) OVER (PARTITION BY game_id, play_id, nfl_id) AS normalized_time,
+      s ** 2 AS speed_squared,
+      sqrt(acceleration_x ** 2 + acceleration_y ** 2) AS accel_magnitude,
+      {nn_least('abs(o - dir)', '360.0 - abs(o - dir)')} AS orientation_diff
+    FROM diffs2"""
+    adv_cols = ["time_to_intercept", "velocity_alignment", "velocity_perpendicular", "accel_alignment",
+                "dist_from_left", "dist_from_right", "dist_from_sideline", "dist_from_endzone",
+                "receiver_optimality", "receiver_deviation", "defender_closing_speed",
+                "normalized_time", "speed_squared", "accel_magnitude", "orientation_diff"]
+    q["advanced_features"] = build(base + [diff_cte, diff2_cte, ("adv", adv)],
+                                   f"SELECT {FK}, {', '.join(r6(c, c) for c in adv_cols)}, frames_elapsed FROM adv")
+    q["jerk"] = build(base, f"SELECT {FK}, round({dfill('a')} * 0.1, 6) AS jerk, "
+                            f"round({dfill('acceleration_x')} * 0.1, 6) AS jerk_x, "
+                            f"round({dfill('acceleration_y')} * 0.1, 6) AS jerk_y FROM base")
+    curv1 = f"""SELECT *,
+      degrees(atan2(sin(atan2(ball_land_y - y, ball_land_x - x) - radians(coalesce(dir, 0.0))),
+                    cos(atan2(ball_land_y - y, ball_land_x - x) - radians(coalesce(dir, 0.0))))) AS bearing_to_land_signed,
+      (ball_land_y - y) * cos(radians(coalesce(dir, 0.0))) - (ball_land_x - x) * sin(radians(coalesce(dir, 0.0))) AS land_lateral_offset,
+      coalesce(radians({pmod(dfill('dir') + ' + 180.0')} - 180.0) / (CASE WHEN s <> 0 THEN s END * 0.1 + 1e-6), 0.0) AS curvature_signed
+    FROM base"""
+    curv2 = f"""SELECT *, abs(curvature_signed) AS curvature_abs FROM curv1"""
+    curv_final = (f"SELECT {FK}, round(bearing_to_land_signed, 6) AS bearing_to_land_signed, "
+                  "round(land_lateral_offset, 6) AS land_lateral_offset, "
+                  "round(curvature_signed, 6) AS curvature_signed, round(curvature_abs, 6) AS curvature_abs, "
+                  + ", ".join(f"round(avg(curvature_{k}) {rows_back(n)}, 6) AS curv_{k}_roll{n}"
+                              for n in (3, 5) for k in ("signed", "abs"))
+                  + " FROM curv2")
+    q["curvature"] = build(base + [("curv1", curv1), ("curv2", curv2)], curv_final)
+    q["elapsed_time"] = build(
+        BASE_CTES, f"SELECT {FK}, CAST(row_number() {W} - 1 AS BIGINT) AS frames_elapsed, "
+                   f"round((row_number() {W} - 1) / count(*) OVER (PARTITION BY game_id, play_id, nfl_id), 6) "
+                   "AS normalized_time FROM inp")
+
+
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     base = BASE_CTES
@@ -195,4 +377,5 @@ def oracle_queries() -> dict[str, str]:
         "round(sqrt(avg((x_true - x_pred) ** 2)), 6) AS rmse_x, "
         "round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse_y, "
         "count(*) AS n_pairs FROM pairs")
+    _family_b(q)
     return q

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.operators import features_a, metrics, predict, state
+from trackframe.operators import direction, features_a, features_b, metrics, predict, state, temporal
 from trackframe.sources import tracking as trk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,18 @@ def register(name: str):
     return deco
 
 
+def round6(c) -> F.Column:
+    """Round half away from zero on the double itself: round(x * 1e6) / 1e6.
+
+    The oracle engine rounds this way; ``F.round`` rounds the shortest decimal
+    text instead, and the two disagree on exact decimal ties.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
+
+
 def r6(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+    return df.withColumns({c: round6(c) for c in cols})
 
 
 def _tables(spark: SparkSession, sf_dir: str):
@@ -91,3 +101,126 @@ def q_rmse_score(spark, sf_dir):
     pred = predict.physics_baseline(_scoring(spark, sf_dir))
     rep = metrics.rmse_report(_truth(spark, sf_dir), pred)
     return r6(rep, ["rmse", "rmse_x", "rmse_y"])
+
+
+# ------------------------------------------------------ family B, windows
+def _input(spark, sf_dir):
+    return _tables(spark, sf_dir)[0]
+
+
+def _base(spark, sf_dir):
+    """Direction-unified input frames with the base features of family B."""
+    return features_b.base_features(direction.unify_left(_input(spark, sf_dir)))
+
+
+FRAME_KEY = ["game_id", "play_id", "nfl_id", "frame_id"]
+
+
+def _keyed(df, cols):
+    return r6(df.select(*FRAME_KEY, *cols), cols)
+
+
+@register("direction_unify")
+def q_direction_unify(spark, sf_dir):
+    u = direction.unify_left(_input(spark, sf_dir))
+    return _keyed(u, ["x", "y", "dir", "o", "ball_land_x", "ball_land_y"])
+
+
+@register("direction_roundtrip")
+def q_direction_roundtrip(spark, sf_dir):
+    inp, out = _tables(spark, sf_dir)
+    dmap = direction.direction_map(inp)
+    u = direction.apply_direction(out.drop("week"), dmap)
+    u = u.withColumns({"x_u": F.col("x"), "y_u": F.col("y")})
+    back = direction.invert_to_original(u)
+    return r6(back.select(*FRAME_KEY, "play_direction", "x_u", "y_u", "x", "y"), ["x_u", "y_u", "x", "y"])
+
+
+BASE_B = ["player_height_feet", "velocity_x", "velocity_y", "acceleration_x", "acceleration_y",
+          "momentum_x", "momentum_y", "kinetic_energy", "distance_to_ball", "angle_to_ball",
+          "ball_direction_x", "ball_direction_y", "ball_closing_speed"]
+FLAGS_B = ["is_offense", "is_defense", "is_receiver", "is_coverage", "is_passer"]
+
+
+@register("features_b_base")
+def q_features_b_base(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    return r6(b.select(*FRAME_KEY, *BASE_B, *FLAGS_B), BASE_B)
+
+
+@register("height_parse")
+def q_height_parse(spark, sf_dir):
+    inp = _input(spark, sf_dir)
+    return (inp.select(*trk.PLAYER, "player_height",
+                       features_b.height_feet().alias("player_height_feet"))
+            .distinct().transform(lambda d: r6(d, ["player_height_feet"])))
+
+
+LAGS = [f"{c}_lag{k}" for k in range(1, 6) for c in ("x", "y", "velocity_x", "velocity_y")]
+
+
+@register("lag_features")
+def q_lag_features(spark, sf_dir):
+    return _keyed(temporal.lag_features(_base(spark, sf_dir)), LAGS)
+
+
+@register("ema_features")
+def q_ema_features(spark, sf_dir):
+    return _keyed(temporal.ema_features(_base(spark, sf_dir)),
+                  ["velocity_x_ema", "velocity_y_ema", "speed_ema"])
+
+
+@register("rolling_mean")
+def q_rolling_mean(spark, sf_dir):
+    return _keyed(temporal.rolling_mean(_base(spark, sf_dir), window_size=12),
+                  ["velocity_x_roll", "velocity_y_roll"])
+
+
+MULTI = [f"{c}_{k}{n}" for n in (3, 6, 9) for c in ("velocity_x", "velocity_y", "s", "a")
+         for k in ("roll", "std")]
+
+
+@register("rolling_multi")
+def q_rolling_multi(spark, sf_dir):
+    return _keyed(temporal.rolling_multi(_base(spark, sf_dir)), MULTI)
+
+
+DIFFS = ["distance_to_ball_change", "distance_to_ball_accel", "velocity_x_change",
+         "velocity_y_change", "speed_change", "direction_change"]
+
+
+@register("diff_features")
+def q_diff_features(spark, sf_dir):
+    return _keyed(temporal.diff_features(_base(spark, sf_dir)), DIFFS)
+
+
+ADVANCED = ["time_to_intercept", "velocity_alignment", "velocity_perpendicular", "accel_alignment",
+            "dist_from_left", "dist_from_right", "dist_from_sideline", "dist_from_endzone",
+            "receiver_optimality", "receiver_deviation", "defender_closing_speed",
+            "normalized_time", "speed_squared", "accel_magnitude", "orientation_diff"]
+
+
+@register("advanced_features")
+def q_advanced_features(spark, sf_dir):
+    adv = features_b.advanced_features(_base(spark, sf_dir))
+    return r6(adv.select(*FRAME_KEY, *ADVANCED, "frames_elapsed"), ADVANCED)
+
+
+@register("jerk")
+def q_jerk(spark, sf_dir):
+    return _keyed(temporal.jerk(_base(spark, sf_dir)), ["jerk", "jerk_x", "jerk_y"])
+
+
+CURV = ["bearing_to_land_signed", "land_lateral_offset", "curvature_signed", "curvature_abs",
+        "curv_signed_roll3", "curv_abs_roll3", "curv_signed_roll5", "curv_abs_roll5"]
+
+
+@register("curvature")
+def q_curvature(spark, sf_dir):
+    return _keyed(temporal.curvature(_base(spark, sf_dir)), CURV)
+
+
+@register("elapsed_time")
+def q_elapsed_time(spark, sf_dir):
+    e = temporal.elapsed(_input(spark, sf_dir))
+    return r6(e.select(*FRAME_KEY, "frames_elapsed", "normalized_time"), ["normalized_time"])
