@@ -347,6 +347,86 @@ def _family_b(q: dict[str, str]) -> None:
                    "AS normalized_time FROM inp")
 
 
+# ------------------------------------------------------------ interactions
+def _interactions(q: dict[str, str]) -> None:
+    base = BASE_CTES + B_CTES
+    ls = ("ls", "SELECT game_id, play_id, nfl_id, arg_max(x, frame_id) AS x, arg_max(y, frame_id) AS y, "
+                "arg_max(s, frame_id) AS s, arg_max(dir, frame_id) AS dir, "
+                "arg_max(player_side, frame_id) AS player_side, arg_max(player_role, frame_id) AS player_role "
+                "FROM base GROUP BY game_id, play_id, nfl_id")
+    lsn = ("lsn", "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY game_id, play_id) AS n FROM ls) WHERE n >= 2")
+    pairs = ("opp_pairs", """SELECT a.game_id, a.play_id, a.nfl_id, b.nfl_id AS oid,
+        sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist, a.x - b.x AS tx, a.y - b.y AS ty,
+        a.s * sin(radians(a.dir)) - b.s * sin(radians(b.dir)) AS rvx,
+        a.s * cos(radians(a.dir)) - b.s * cos(radians(b.dir)) AS rvy
+      FROM lsn a JOIN lsn b ON a.game_id = b.game_id AND a.play_id = b.play_id
+        AND a.player_side IS DISTINCT FROM b.player_side
+      WHERE a.x IS NOT NULL AND a.y IS NOT NULL AND b.x IS NOT NULL AND b.y IS NOT NULL""")
+    nearest = ("opp_near", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, play_id, nfl_id
+        ORDER BY dist, oid) AS rk FROM opp_pairs) WHERE rk = 1""")
+    counts = ("opp_cnt", """SELECT game_id, play_id, nfl_id, count(*) FILTER (WHERE dist < 3.0) AS c3,
+        count(*) FILTER (WHERE dist < 5.0) AS c5 FROM opp_pairs GROUP BY game_id, play_id, nfl_id""")
+    mpairs = ("mir_pairs", """SELECT a.game_id, a.play_id, a.nfl_id, b.nfl_id AS rid,
+        sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS dist, a.x - b.x AS ox, a.y - b.y AS oy,
+        b.s * sin(radians(b.dir)) AS rvx, b.s * cos(radians(b.dir)) AS rvy
+      FROM lsn a JOIN lsn b ON a.game_id = b.game_id AND a.play_id = b.play_id
+      WHERE a.player_role = 'Defensive Coverage' AND b.player_role IN ('Targeted Receiver', 'Other Route Runner')
+        AND a.x IS NOT NULL AND a.y IS NOT NULL AND b.x IS NOT NULL AND b.y IS NOT NULL""")
+    mnear = ("mir_near", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, play_id, nfl_id
+        ORDER BY dist, rid) AS rk FROM mir_pairs) WHERE rk = 1""")
+    opp = ("opp", """SELECT l.game_id, l.play_id, l.nfl_id,
+        CASE WHEN n.dist IS NULL THEN 50.0 ELSE n.dist END AS nearest_opp_dist,
+        CASE WHEN n.dist IS NULL THEN 0.0 ELSE -(n.rvx * (n.tx / (sqrt(n.tx ** 2 + n.ty ** 2) + 0.1))
+             + n.rvy * (n.ty / (sqrt(n.tx ** 2 + n.ty ** 2) + 0.1))) END AS opp_closing_speed,
+        CAST(coalesce(c.c3, 0) AS BIGINT) AS num_nearby_opp_3, CAST(coalesce(c.c5, 0) AS BIGINT) AS num_nearby_opp_5,
+        CASE WHEN n.dist IS NOT NULL AND m.dist IS NOT NULL THEN m.rvx ELSE 0.0 END AS mirror_wr_vx,
+        CASE WHEN n.dist IS NOT NULL AND m.dist IS NOT NULL THEN m.rvy ELSE 0.0 END AS mirror_wr_vy,
+        CASE WHEN n.dist IS NOT NULL AND m.dist IS NOT NULL THEN m.ox ELSE 0.0 END AS mirror_offset_x,
+        CASE WHEN n.dist IS NOT NULL AND m.dist IS NOT NULL THEN m.oy ELSE 0.0 END AS mirror_offset_y,
+        CASE WHEN n.dist IS NOT NULL AND m.dist IS NOT NULL THEN m.dist ELSE 50.0 END AS mirror_wr_dist
+      FROM lsn l LEFT JOIN opp_near n USING (game_id, play_id, nfl_id)
+        LEFT JOIN opp_cnt c USING (game_id, play_id, nfl_id)
+        LEFT JOIN mir_near m USING (game_id, play_id, nfl_id)""")
+    octes = base + [ls, lsn, pairs, nearest, counts, mpairs, mnear, opp]
+    q["nearest_opponent"] = build(octes, "SELECT game_id, play_id, nfl_id, round(nearest_opp_dist, 6) AS nearest_opp_dist, "
+                                         "round(opp_closing_speed, 6) AS opp_closing_speed, num_nearby_opp_3, num_nearby_opp_5 FROM opp")
+    q["mirror_receiver"] = build(octes, "SELECT game_id, play_id, nfl_id, " + ", ".join(
+        r6(c, c) for c in ["mirror_wr_vx", "mirror_wr_vy", "mirror_offset_x", "mirror_offset_y", "mirror_wr_dist"])
+        + " FROM opp")
+    qb = ("qbp", """SELECT game_id, play_id, frame_id, arg_min(x, nfl_id) AS qx, arg_min(y, nfl_id) AS qy
+        FROM base WHERE player_role = 'Passer' GROUP BY game_id, play_id, frame_id""")
+    qb2 = ("qb2", """SELECT b.*, sqrt((b.x - p.qx) * (b.x - p.qx) + (b.y - p.qy) * (b.y - p.qy)) + 1e-6 AS qd,
+        b.x - p.qx AS dx, b.y - p.qy AS dy FROM base b LEFT JOIN qbp p USING (game_id, play_id, frame_id)""")
+    qb3 = ("qb3", """SELECT *, velocity_x * (dx / qd) + velocity_y * (dy / qd) AS al,
+        velocity_x * (-(dy / qd)) + velocity_y * (dx / qd) AS pe,
+        degrees(atan2(sin(atan2(-dy, -dx) - radians(coalesce(dir, 0.0))), cos(atan2(-dy, -dx) - radians(coalesce(dir, 0.0))))) AS br
+        FROM qb2""")
+    q["qb_relative"] = build(base + [qb, qb2, qb3], f"""SELECT {FK}, round(qd, 6) AS qb_distance,
+        round(al, 6) AS vel_to_qb_alignment, round(pe, 6) AS vel_to_qb_perp, round(br, 6) AS bearing_to_qb_signed,
+        round(sin(radians(br)), 6) AS bearing_to_qb_sin, round(cos(radians(br)), 6) AS bearing_to_qb_cos FROM qb3""")
+    st = BASE_CTES + STATE_CTES
+    edges = ("edges", """SELECT a.game_id, a.play_id, a.frame_id, a.nfl_id AS src, b.nfl_id AS dst,
+        sqrt((a.x_input - b.x_input) ** 2 + (a.y_input - b.y_input) ** 2) AS dist
+      FROM samples a JOIN samples b ON a.game_id = b.game_id AND a.play_id = b.play_id AND a.frame_id = b.frame_id
+      WHERE sqrt((a.x_input - b.x_input) ** 2 + (a.y_input - b.y_input) ** 2) < 15.0""")
+    wedges = ("wedges", """SELECT *, 1.0 / (count(*) OVER (PARTITION BY game_id, play_id, frame_id, src) + 1e-8) AS weight
+        FROM edges""")
+    q["radius_graph"] = build(st + [edges, wedges], "SELECT game_id, play_id, frame_id, src, dst, "
+                                                     "round(dist, 6) AS dist, round(weight, 6) AS weight FROM wedges")
+    feats = ["x_input", "y_input", "s_input", "vx", "vy"]
+    nodes = ("nodes", "SELECT game_id, play_id, frame_id, nfl_id, x_input, y_input, s_input, "
+                      "s_input * cos(radians(dir_input)) AS vx, s_input * sin(radians(dir_input)) AS vy FROM samples")
+    msg = ("msg", "SELECT e.game_id, e.play_id, e.frame_id, e.src AS nfl_id, "
+                  + ", ".join(f"sum(e.weight * n.{f}) AS nbr_{f}" for f in feats)
+                  + " FROM wedges e JOIN nodes n ON n.game_id = e.game_id AND n.play_id = e.play_id "
+                    "AND n.frame_id = e.frame_id AND n.nfl_id = e.dst GROUP BY e.game_id, e.play_id, e.frame_id, e.src")
+    q["neighbour_mean"] = build(
+        st + [edges, wedges, nodes, msg],
+        "SELECT n.game_id, n.play_id, n.frame_id, n.nfl_id, "
+        + ", ".join(f"round(coalesce(m.nbr_{f}, 0.0), 6) AS nbr_{f}" for f in feats)
+        + " FROM nodes n LEFT JOIN msg m USING (game_id, play_id, frame_id, nfl_id)")
+
+
 def oracle_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     base = BASE_CTES
@@ -378,4 +458,5 @@ def oracle_queries() -> dict[str, str]:
         "round(sqrt(avg((y_true - y_pred) ** 2)), 6) AS rmse_y, "
         "count(*) AS n_pairs FROM pairs")
     _family_b(q)
+    _interactions(q)
     return q

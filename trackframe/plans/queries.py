@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackframe.operators import direction, features_a, features_b, metrics, predict, state, temporal
+from trackframe.operators import (direction, features_a, features_b, interactions, metrics, predict,
+                                  state, temporal)
 from trackframe.sources import tracking as trk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -224,3 +225,44 @@ def q_curvature(spark, sf_dir):
 def q_elapsed_time(spark, sf_dir):
     e = temporal.elapsed(_input(spark, sf_dir))
     return r6(e.select(*FRAME_KEY, "frames_elapsed", "normalized_time"), ["normalized_time"])
+
+
+# ------------------------------------------------------------ interactions
+OPP = ["nearest_opp_dist", "opp_closing_speed"]
+MIRROR = ["mirror_wr_vx", "mirror_wr_vy", "mirror_offset_x", "mirror_offset_y", "mirror_wr_dist"]
+QB = ["qb_distance", "vel_to_qb_alignment", "vel_to_qb_perp", "bearing_to_qb_signed",
+      "bearing_to_qb_sin", "bearing_to_qb_cos"]
+
+
+@register("nearest_opponent")
+def q_nearest_opponent(spark, sf_dir):
+    opp = interactions.opponent_features(_base(spark, sf_dir))
+    return r6(opp.select(*trk.PLAYER, *OPP, "num_nearby_opp_3", "num_nearby_opp_5"), OPP)
+
+
+@register("mirror_receiver")
+def q_mirror_receiver(spark, sf_dir):
+    opp = interactions.opponent_features(_base(spark, sf_dir))
+    return r6(opp.select(*trk.PLAYER, *MIRROR), MIRROR)
+
+
+@register("qb_relative")
+def q_qb_relative(spark, sf_dir):
+    return _keyed(interactions.qb_relative(_base(spark, sf_dir)), QB)
+
+
+@register("radius_graph")
+def q_radius_graph(spark, sf_dir):
+    g = interactions.radius_graph(_samples(spark, sf_dir))
+    return r6(g, ["dist", "weight"])
+
+
+NBR_FEATURES = ["x_input", "y_input", "s_input", "vx", "vy"]
+
+
+@register("neighbour_mean")
+def q_neighbour_mean(spark, sf_dir):
+    nodes = features_a.velocity(_samples(spark, sf_dir))
+    nm = interactions.neighbour_mean(nodes, NBR_FEATURES)
+    cols = [f"nbr_{f}" for f in NBR_FEATURES]
+    return r6(nm.select(*trk.FRAME, "nfl_id", *cols), cols)

@@ -76,3 +76,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def cut_lineage(df, partition_by: list[str] | None = None):
+    """Materialise ``df`` as a reliable checkpoint in the session's checkpoint
+    folder (shared storage on a cluster) and return the re-read frame.
+
+    Used where one intermediate feeds many branches of a plan, so it is
+    computed once and survives the loss of the executors that made it.  The
+    re-read frame has no known partitioning; ``partition_by`` hashes it once
+    more so every later join and aggregate on those keys stays local.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not partition_by:
+        return df.checkpoint(eager=True)
+    # The checkpoint records the hash partitioning of its plan only when that
+    # plan is not adaptive (an adaptive plan reports an unknown partitioning),
+    # so this one action runs with AQE off; readers then join and aggregate
+    # on the keys without another shuffle.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, *partition_by).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
