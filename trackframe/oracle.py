@@ -119,7 +119,8 @@ def r6(expr: str, name: str) -> str:
 
 def build(ctes: list[tuple[str, str]], final: str) -> str:
     body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes)
-    return f"WITH {body}\n{final}"
+    rec = "RECURSIVE " if any(" UNION ALL " in s and n.startswith("r(") for n, s in ctes) else ""
+    return f"WITH {rec}{body}\n{final}"
 
 
 # ---------------------------------------------------------------- family A
@@ -227,6 +228,30 @@ def dfill(c: str) -> str:
     return f"coalesce({c} - lag({c}, 1) {W}, 0.0)"
 
 
+def _ema_ctes() -> list[tuple[str, str]]:
+    """EMA as a recursive CTE over the 0-based frame index, carrying (value,
+    weight) per series with the null rule: a null keeps the value and decays
+    the weight."""
+    def step(c: str, w: str, ow: str) -> str:
+        old = f"(r.{ow} * CAST(0.7 AS DOUBLE))"
+        val = (f"CASE WHEN r.{w} IS NULL THEN s.{c} WHEN s.{c} IS NULL THEN r.{w} "
+               f"WHEN r.{w} = s.{c} THEN r.{w} "
+               f"ELSE ({old} * r.{w} + CAST(0.3 AS DOUBLE) * s.{c}) / ({old} + CAST(0.3 AS DOUBLE)) END")
+        wt = (f"CASE WHEN r.{w} IS NULL THEN CAST(1.0 AS DOUBLE) WHEN s.{c} IS NULL THEN {old} "
+              f"ELSE CAST(1.0 AS DOUBLE) END")
+        return f"{val}, {wt}"
+    series = [("velocity_x", "w1", "o1"), ("velocity_y", "w2", "o2"), ("s", "w3", "o3")]
+    seed = ", ".join(f"{c}, CAST(1.0 AS DOUBLE)" for c, _, _ in series)
+    steps = ", ".join(step(c, w, o) for c, w, o in series)
+    rec = (f"SELECT game_id, play_id, nfl_id, rn, frame_id, {seed} FROM seq WHERE rn = 0 "
+           f"UNION ALL SELECT s.game_id, s.play_id, s.nfl_id, s.rn, s.frame_id, {steps} "
+           "FROM r JOIN seq s ON s.game_id = r.game_id AND s.play_id = r.play_id "
+           "AND s.nfl_id = r.nfl_id AND s.rn = r.rn + 1")
+    return [("seq", f"SELECT *, row_number() {W} - 1 AS rn FROM base"),
+            ("r(game_id, play_id, nfl_id, rn, frame_id, w1, o1, w2, o2, w3, o3)", rec)]
+
+
+EMA_CTES = _ema_ctes()
 B_CTES = [("uni", UNI_SQL), ("base1", BASE1_SQL), ("base", BASE_SQL)]
 FK = "game_id, play_id, nfl_id, frame_id"
 
@@ -259,28 +284,8 @@ def _family_b(q: dict[str, str]) -> None:
             for c in ("x", "y", "velocity_x", "velocity_y")]
     q["lag_features"] = build(base, f"SELECT {FK}, {', '.join(lags)} FROM base")
 
-    # EMA as a recursive CTE over the 0-based frame index, carrying (value, weight)
-    # per series with the null rule: a null keeps the value and decays the weight.
-    def ema_step(c: str, w: str, ow: str) -> str:
-        old = f"(r.{ow} * CAST(0.7 AS DOUBLE))"
-        val = (f"CASE WHEN r.{w} IS NULL THEN s.{c} WHEN s.{c} IS NULL THEN r.{w} "
-               f"WHEN r.{w} = s.{c} THEN r.{w} "
-               f"ELSE ({old} * r.{w} + CAST(0.3 AS DOUBLE) * s.{c}) / ({old} + CAST(0.3 AS DOUBLE)) END")
-        wt = (f"CASE WHEN r.{w} IS NULL THEN CAST(1.0 AS DOUBLE) WHEN s.{c} IS NULL THEN {old} "
-              f"ELSE CAST(1.0 AS DOUBLE) END")
-        return f"{val}, {wt}"
-    series = [("velocity_x", "w1", "o1"), ("velocity_y", "w2", "o2"), ("s", "w3", "o3")]
-    seed = ", ".join(f"{c}, CAST(1.0 AS DOUBLE)" for c, _, _ in series)
-    steps = ", ".join(ema_step(c, w, o) for c, w, o in series)
-    rec = (f"SELECT game_id, play_id, nfl_id, rn, frame_id, {seed} FROM seq WHERE rn = 0 "
-           f"UNION ALL SELECT s.game_id, s.play_id, s.nfl_id, s.rn, s.frame_id, {steps} "
-           "FROM r JOIN seq s ON s.game_id = r.game_id AND s.play_id = r.play_id "
-           "AND s.nfl_id = r.nfl_id AND s.rn = r.rn + 1")
-    q["ema_features"] = build(
-        base + [("seq", f"SELECT *, row_number() {W} - 1 AS rn FROM base")],
-        f", r(game_id, play_id, nfl_id, rn, frame_id, w1, o1, w2, o2, w3, o3) AS ({rec})\n"
-        f"SELECT {FK}, round(w1, 6) AS velocity_x_ema, round(w2, 6) AS velocity_y_ema, "
-        "round(w3, 6) AS speed_ema FROM r").replace("WITH ", "WITH RECURSIVE ", 1)
+    q["ema_features"] = build(base + EMA_CTES, f"SELECT {FK}, round(w1, 6) AS velocity_x_ema, "
+                              "round(w2, 6) AS velocity_y_ema, round(w3, 6) AS speed_ema FROM r")
     q["rolling_mean"] = build(
         base, f"SELECT {FK}, round(avg(velocity_x) {rows_back(12)}, 6) AS velocity_x_roll, "
               f"round(avg(velocity_y) {rows_back(12)}, 6) AS velocity_y_roll FROM base")
@@ -348,8 +353,8 @@ def _family_b(q: dict[str, str]) -> None:
 
 
 # ------------------------------------------------------------ interactions
-def _interactions(q: dict[str, str]) -> None:
-    base = BASE_CTES + B_CTES
+def _opp_ctes() -> list[tuple[str, str]]:
+    """Opponent and mirror features per player, over the base CTE (all pairs: oracle only)."""
     ls = ("ls", "SELECT game_id, play_id, nfl_id, arg_max(x, frame_id) AS x, arg_max(y, frame_id) AS y, "
                 "arg_max(s, frame_id) AS s, arg_max(dir, frame_id) AS dir, "
                 "arg_max(player_side, frame_id) AS player_side, arg_max(player_role, frame_id) AS player_role "
@@ -387,7 +392,12 @@ def _interactions(q: dict[str, str]) -> None:
       FROM lsn l LEFT JOIN opp_near n USING (game_id, play_id, nfl_id)
         LEFT JOIN opp_cnt c USING (game_id, play_id, nfl_id)
         LEFT JOIN mir_near m USING (game_id, play_id, nfl_id)""")
-    octes = base + [ls, lsn, pairs, nearest, counts, mpairs, mnear, opp]
+    return [ls, lsn, pairs, nearest, counts, mpairs, mnear, opp]
+
+
+def _interactions(q: dict[str, str]) -> None:
+    base = BASE_CTES + B_CTES
+    octes = base + _opp_ctes()
     q["nearest_opponent"] = build(octes, "SELECT game_id, play_id, nfl_id, round(nearest_opp_dist, 6) AS nearest_opp_dist, "
                                          "round(opp_closing_speed, 6) AS opp_closing_speed, num_nearby_opp_3, num_nearby_opp_5 FROM opp")
     q["mirror_receiver"] = build(octes, "SELECT game_id, play_id, nfl_id, " + ", ".join(
@@ -459,4 +469,156 @@ def oracle_queries() -> dict[str, str]:
         "count(*) AS n_pairs FROM pairs")
     _family_b(q)
     _interactions(q)
+    _sequences(q)
     return q
+
+
+# ------------------------------------------------------------ sequences
+def _feature_list_b() -> list[str]:
+    from trackframe.operators.features_b import FEATURES_B
+    out = []
+    for c in FEATURES_B:
+        if c not in ("velocity_x_delta", "velocity_y_delta") and c not in out:
+            out.append(c)
+    return out
+
+
+def _feat_b_ctes() -> list[tuple[str, str]]:
+    """The whole family-B feature table (q1) as CTEs ending in ``fb``."""
+    lags = [f"lag({c}, {k}) {W} AS {c}_lag{k}" for k in range(1, 6) for c in ("x", "y", "velocity_x", "velocity_y")]
+    lr = ("lr", f"SELECT {FK}, {', '.join(lags)}, avg(velocity_x) {rows_back(12)} AS velocity_x_roll, "
+                f"avg(velocity_y) {rows_back(12)} AS velocity_y_roll FROM base")
+    diff_cte = ("diffs", f"""SELECT *, {dfill('distance_to_ball')} AS distance_to_ball_change,
+        {dfill('velocity_x')} AS velocity_x_change, {dfill('velocity_y')} AS velocity_y_change,
+        {dfill('s')} AS speed_change, {dfill('dir')} AS dir_diff FROM base""")
+    diff2_cte = ("diffs2", f"""SELECT * EXCLUDE (dir_diff), {dfill('distance_to_ball_change')} AS distance_to_ball_accel,
+        CASE WHEN abs(dir_diff) < 180 THEN dir_diff ELSE dir_diff - 360.0 * sign(dir_diff) END AS direction_change
+        FROM diffs""")
+    adv = ("adv", f"""SELECT *,
+      {nn_least(nn_greatest('distance_to_ball / (abs(distance_to_ball_change) + 0.1)', '0.0'), '10.0')} AS time_to_intercept,
+      velocity_x * ball_direction_x + velocity_y * ball_direction_y AS velocity_alignment,
+      velocity_x * (-ball_direction_y) + velocity_y * ball_direction_x AS velocity_perpendicular,
+      acceleration_x * ball_direction_x + acceleration_y * ball_direction_y AS accel_alignment,
+      {nn_least('y', '53.3 - y')} AS dist_from_sideline,
+      {nn_least('x', '120.0 - x')} AS dist_from_endzone,
+      is_receiver * (velocity_x * ball_direction_x + velocity_y * ball_direction_y) AS receiver_optimality,
+      is_receiver * abs(velocity_x * (-ball_direction_y) + velocity_y * ball_direction_x) AS receiver_deviation,
+      is_coverage * ball_closing_speed AS defender_closing_speed,
+      CAST(row_number() {W} - 1 AS BIGINT) AS frames_elapsed,
+      (row_number() {W} - 1) / count(*) OVER (PARTITION BY game_id, play_id, nfl_id) AS normalized_time
+    FROM diffs2""")
+    fb = ("fb", f"""SELECT a.*, lr.* EXCLUDE (game_id, play_id, nfl_id, frame_id),
+        r.w1 AS velocity_x_ema, r.w2 AS velocity_y_ema, r.w3 AS speed_ema,
+        o.* EXCLUDE (game_id, play_id, nfl_id),
+        1.0 / {nn_greatest('o.nearest_opp_dist', '0.5')} AS pressure,
+        {flag('o.nearest_opp_dist < 3')} AS under_pressure,
+        (1.0 / {nn_greatest('o.nearest_opp_dist', '0.5')}) * a.s AS pressure_x_speed,
+        (a.velocity_x * o.mirror_wr_vx + a.velocity_y * o.mirror_wr_vy) / {nn_greatest('a.s', '0.1')} AS mirror_similarity,
+        sqrt(o.mirror_offset_x ** 2 + o.mirror_offset_y ** 2) AS mirror_offset_dist,
+        ((a.velocity_x * o.mirror_wr_vx + a.velocity_y * o.mirror_wr_vy) / {nn_greatest('a.s', '0.1')}) * a.is_coverage
+          AS mirror_alignment
+      FROM adv a JOIN lr USING (game_id, play_id, nfl_id, frame_id)
+        JOIN r USING (game_id, play_id, nfl_id, frame_id)
+        LEFT JOIN opp o USING (game_id, play_id, nfl_id)""")
+    return B_CTES + [lr] + EMA_CTES + _opp_ctes() + [diff_cte, diff2_cte, adv, fb]
+
+
+def _window_ctes(keys_cte: str, prefix: str) -> list[tuple[str, str]]:
+    cols = _feature_list_b()
+    means = ", ".join(f"avg(CAST({c} AS DOUBLE)) OVER (PARTITION BY game_id, play_id, nfl_id) AS m_{c}" for c in cols)
+    return [
+        (f"{prefix}ff", f"SELECT fb.* FROM fb JOIN {keys_cte} USING (game_id, play_id, nfl_id)"),
+        (f"{prefix}fm", f"SELECT *, {means}, row_number() OVER (PARTITION BY game_id, play_id, nfl_id "
+                        f"ORDER BY frame_id DESC) AS rd, count(*) OVER (PARTITION BY game_id, play_id, nfl_id) AS gr "
+                        f"FROM {prefix}ff"),
+    ]
+
+
+def _sequences(q: dict[str, str]) -> None:
+    cols = _feature_list_b()
+    base = BASE_CTES + _feat_b_ctes()
+    q["tail_window"] = build(
+        BASE_CTES + [("tw", "SELECT *, row_number() OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id DESC) AS rd, "
+                            "count(*) OVER (PARTITION BY game_id, play_id, nfl_id) AS gr FROM inp")],
+        "SELECT game_id, play_id, nfl_id, CAST(least(gr, 12) - rd AS INTEGER) AS step, frame_id, gr AS group_rows "
+        "FROM tw WHERE rd <= 12")
+    train = [("tgt", "SELECT DISTINCT game_id, play_id, nfl_id FROM outp")] + _window_ctes("tgt", "t_") + [
+        ("t_w", "SELECT game_id, play_id, nfl_id, CAST(least(gr, 12) - rd AS INTEGER) AS step, play_direction, "
+                + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}) AS {c}" for c in cols)
+                + " FROM t_fm WHERE rd <= 12 AND gr >= 12"),
+        ("t_bad", "SELECT DISTINCT game_id, play_id, nfl_id FROM t_w WHERE "
+                  + " OR ".join(f"{c} IS NULL" for c in cols)),
+        ("t_ok", "SELECT * FROM t_w WHERE NOT EXISTS (SELECT 1 FROM t_bad b WHERE b.game_id = t_w.game_id "
+                 "AND b.play_id = t_w.play_id AND b.nfl_id = t_w.nfl_id)"),
+    ]
+    sel = "game_id, play_id, nfl_id, step, play_direction, " + ", ".join(r6(c, c) for c in cols)
+    q["sequence_train"] = build(base + train, f"SELECT {sel} FROM t_ok")
+    score = [("req", "SELECT DISTINCT game_id, play_id, nfl_id FROM test_rows")] + _window_ctes("req", "s_") + [
+        ("s_w", "SELECT game_id, play_id, nfl_id, CAST(12 - rd AS INTEGER) AS step, play_direction, "
+                + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}, 0.0) AS {c}" for c in cols)
+                + " FROM s_fm WHERE rd <= 12 UNION ALL "
+                "SELECT game_id, play_id, nfl_id, CAST(unnest(range(0, 12 - gr)) AS INTEGER) AS step, "
+                "CAST(NULL AS VARCHAR) AS play_direction, "
+                + ", ".join(f"coalesce(m_{c}, 0.0) AS {c}" for c in cols)
+                + " FROM s_fm WHERE rd = 1 AND gr < 12"),
+    ]
+    q["sequence_score"] = build(base + score, f"SELECT {sel} FROM s_w")
+    q["target_deltas"] = build(base + train + [
+        ("dmap", "SELECT DISTINCT game_id, play_id, play_direction FROM inp"),
+        ("ou", f"SELECT o.game_id, o.play_id, o.nfl_id, o.frame_id, d.play_direction, "
+               f"CASE WHEN coalesce(d.play_direction = 'right', false) THEN 120.0 - o.x ELSE o.x END AS x, "
+               f"CASE WHEN coalesce(d.play_direction = 'right', false) THEN 53.3 - o.y ELSE o.y END AS y "
+               f"FROM outp o LEFT JOIN dmap d USING (game_id, play_id)")],
+        "SELECT ou.game_id, ou.play_id, ou.nfl_id, ou.frame_id, ou.play_direction, "
+        "round(ou.x - t.x, 6) AS dx, round(ou.y - t.y, 6) AS dy FROM ou "
+        "JOIN (SELECT game_id, play_id, nfl_id, x, y FROM t_ok WHERE step = 11) t USING (game_id, play_id, nfl_id)")
+
+    hf = ["x_input", "y_input", "s_input", "a_input", "dir_input", "o_input", "vx", "vy",
+          "dist_from_los", "frame_progress"]
+    prog = nn_greatest("CAST(num_frames_output AS DOUBLE)", "1.0")
+    hist = [
+        ("hist", f"SELECT game_id, play_id, nfl_id, frame_id, x AS x_input, y AS y_input, s AS s_input, a AS a_input, "
+                 f"dir AS dir_input, o AS o_input, s * cos(radians(dir)) AS vx, s * sin(radians(dir)) AS vy, "
+                 f"x - absolute_yardline_number AS dist_from_los, frame_id / {prog} AS frame_progress FROM inp"),
+        ("hr", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, play_id, nfl_id "
+               "ORDER BY frame_id DESC) AS rd FROM hist) WHERE rd <= 99"),
+        ("hl", "SELECT game_id, play_id, nfl_id, count(*) AS hist_len FROM hr GROUP BY game_id, play_id, nfl_id"),
+        ("smp", f"SELECT id, game_id, play_id, nfl_id, x_input, y_input, s_input, a_input, dir_input, o_input, "
+                f"s_input * cos(radians(dir_input)) AS vx, s_input * sin(radians(dir_input)) AS vy, "
+                f"x_input - absolute_yardline_number AS dist_from_los, frame_id / {prog} AS frame_progress, "
+                f"coalesce(hl.hist_len, 0) AS hist_len FROM samples LEFT JOIN hl USING (game_id, play_id, nfl_id)"),
+        ("hs", f"SELECT id, game_id, play_id, nfl_id, CAST(99 AS INTEGER) AS pos, {', '.join(hf)} FROM smp "
+               f"UNION ALL SELECT s.id, s.game_id, s.play_id, s.nfl_id, CAST(99 - h.rd AS INTEGER) AS pos, "
+               + ", ".join(f"h.{c}" for c in hf)
+               + " FROM smp s JOIN hr h USING (game_id, play_id, nfl_id) "
+               "UNION ALL SELECT id, game_id, play_id, nfl_id, CAST(unnest(range(0, 99 - least(hist_len, 99))) AS INTEGER) AS pos, "
+               + ", ".join(f"0.0 AS {c}" for c in hf) + " FROM smp WHERE 98 - least(hist_len, 99) >= 0"),
+    ]
+    q["history_sequence"] = build(BASE_CTES + STATE_CTES + hist,
+                                  "SELECT id, game_id, play_id, nfl_id, pos, " + ", ".join(r6(c, c) for c in hf) + " FROM hs")
+    q["trajectory_cumsum"] = build(BASE_CTES + STATE_CTES + [
+        ("st", "SELECT o.game_id, o.play_id, o.nfl_id, o.frame_id, o.x, o.y, s.x_input, s.y_input "
+               "FROM outp o LEFT JOIN state_in s USING (game_id, play_id, nfl_id)"),
+        ("stp", f"SELECT {FK}, x - coalesce(lag(x) {W}, x_input) AS ddx, y - coalesce(lag(y) {W}, y_input) AS ddy FROM st")],
+        f"SELECT {FK}, round(sum(ddx) OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_ddx, "
+        "round(sum(ddy) OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY frame_id "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_ddy FROM stp")
+    right = "coalesce(a.play_direction = 'right', false)"
+    xu = nn_least(nn_greatest("a.last_x + st.dx", "0.0"), "120.0")
+    yu = nn_least(nn_greatest("a.last_y + st.dy", "0.0"), "53.3")
+    q["horizon_hold"] = build(BASE_CTES + B_CTES + [
+        ("anc", "SELECT game_id, play_id, nfl_id, arg_max(play_direction, frame_id) AS play_direction, "
+                "arg_max(x, frame_id) AS last_x, arg_max(y, frame_id) AS last_y, "
+                "arg_max(velocity_x, frame_id) AS vx, arg_max(velocity_y, frame_id) AS vy "
+                "FROM base WHERE (game_id, play_id, nfl_id) IN (SELECT game_id, play_id, nfl_id FROM test_rows) "
+                "GROUP BY game_id, play_id, nfl_id"),
+        ("st0", "SELECT game_id, play_id, nfl_id, CAST(unnest(range(0, 94)) AS INTEGER) AS step, vx * 0.1 AS sdx, vy * 0.1 AS sdy FROM anc"),
+        ("st", "SELECT game_id, play_id, nfl_id, step, sum(sdx) OVER (PARTITION BY game_id, play_id, nfl_id ORDER BY step "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dx, sum(sdy) OVER (PARTITION BY game_id, play_id, nfl_id "
+               "ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dy FROM st0"),
+        ("rq", f"SELECT *, CAST(least(row_number() {W} - 1, 93) AS INTEGER) AS step FROM test_rows")],
+        f"SELECT rq.id, rq.game_id, rq.play_id, rq.nfl_id, rq.frame_id, rq.step, "
+        f"round({nn_least(nn_greatest(f'CASE WHEN {right} THEN 120.0 - ({xu}) ELSE {xu} END', '0.0'), '120.0')}, 6) AS x, "
+        f"round({nn_least(nn_greatest(f'CASE WHEN {right} THEN 53.3 - ({yu}) ELSE {yu} END', '0.0'), '53.3')}, 6) AS y "
+        "FROM rq LEFT JOIN st USING (game_id, play_id, nfl_id, step) LEFT JOIN anc a USING (game_id, play_id, nfl_id)")

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackframe.operators import (direction, features_a, features_b, interactions, metrics, predict,
-                                  state, temporal)
+                                  sequences, state, temporal)
 from trackframe.sources import tracking as trk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,3 +266,88 @@ def q_neighbour_mean(spark, sf_dir):
     nm = interactions.neighbour_mean(nodes, NBR_FEATURES)
     cols = [f"nbr_{f}" for f in NBR_FEATURES]
     return r6(nm.select(*trk.FRAME, "nfl_id", *cols), cols)
+
+
+# ------------------------------------------------------------ sequences
+def _feat_b(spark, sf_dir):
+    return sequences.feature_pipeline_b(_input(spark, sf_dir))
+
+
+@register("tail_window")
+def q_tail_window(spark, sf_dir):
+    t = sequences.tail_window(_input(spark, sf_dir))
+    return t.select(*trk.PLAYER, "step", "frame_id", "group_rows")
+
+
+@register("sequence_train")
+def q_sequence_train(spark, sf_dir):
+    inp, out = _tables(spark, sf_dir)
+    feat = sequences.feature_pipeline_b(inp)
+    cols = sequences.feature_columns_b(feat)
+    w = sequences.training_windows(feat, out, cols)
+    return r6(w, cols)
+
+
+@register("sequence_score")
+def q_sequence_score(spark, sf_dir):
+    inp, out = _tables(spark, sf_dir)
+    feat = sequences.feature_pipeline_b(inp)
+    cols = sequences.feature_columns_b(feat)
+    w = sequences.scoring_windows(feat, out, cols)
+    return r6(w, cols)
+
+
+@register("target_deltas")
+def q_target_deltas(spark, sf_dir):
+    inp, out = _tables(spark, sf_dir)
+    feat = sequences.feature_pipeline_b(inp)
+    cols = sequences.feature_columns_b(feat)
+    w = sequences.training_windows(feat, out, cols)
+    return r6(sequences.target_deltas(out, inp, w), ["dx", "dy"])
+
+
+HIST_FEATURES = ["x_input", "y_input", "s_input", "a_input", "dir_input", "o_input", "vx", "vy",
+                 "dist_from_los", "frame_progress"]
+
+
+@register("history_sequence")
+def q_history_sequence(spark, sf_dir):
+    inp, _ = _tables(spark, sf_dir)
+    samples = features_a.engineer(_samples(spark, sf_dir), is_training=False)
+    hist = features_a.engineer(inp, is_training=False).withColumnsRenamed(
+        {c: f"{c}_input" for c in ("x", "y", "s", "a", "dir", "o")})
+    seq = sequences.history_sequences(hist, samples, HIST_FEATURES)
+    return r6(seq, HIST_FEATURES)
+
+
+@register("trajectory_cumsum")
+def q_trajectory_cumsum(spark, sf_dir):
+    """Per-step displacements of the post-pass path, summed back into offsets
+    from the last input position."""
+    s = state.attach_input_state(trk.tracking_from_events(spark, sf_dir))
+    w = Window.partitionBy(*trk.PLAYER).orderBy("frame_id")
+    steps = s.select(*trk.PLAYER, "frame_id",
+                     (F.col("x") - F.coalesce(F.lag("x").over(w), F.col("x_input"))).alias("ddx"),
+                     (F.col("y") - F.coalesce(F.lag("y").over(w), F.col("y_input"))).alias("ddy"))
+    c = sequences.cumulative(steps, ["ddx", "ddy"], order="frame_id")
+    return r6(c.select(*trk.PLAYER, "frame_id", "cum_ddx", "cum_ddy"), ["cum_ddx", "cum_ddy"])
+
+
+@register("horizon_hold")
+def q_horizon_hold(spark, sf_dir):
+    """Constant-velocity sequence model end to end: scoring windows give the
+    anchor and velocity, per-step deltas over the horizon are summed, each
+    requested frame takes its held step, and positions are mapped back."""
+    inp, out = _tables(spark, sf_dir)
+    base = features_b.base_features(direction.unify_left(inp))
+    cols = ["x", "y", "velocity_x", "velocity_y"]
+    requests = out.select(*trk.PLAYER, "frame_id", trk.row_id().alias("id"))
+    w = sequences.scoring_windows(base, requests, cols)
+    last = w.where(F.col("step") == sequences.WINDOW_SIZE - 1)
+    anchors = last.select(*trk.PLAYER, "play_direction", F.col("x").alias("last_x"), F.col("y").alias("last_y"))
+    per_step = last.select(*trk.PLAYER, F.explode(F.sequence(F.lit(0), F.lit(sequences.MAX_HORIZON - 1))).alias("step"),
+                           (F.col("velocity_x") * 0.1).alias("sdx"), (F.col("velocity_y") * 0.1).alias("sdy"))
+    steps = sequences.cumulative(per_step, ["sdx", "sdy"]).select(
+        *trk.PLAYER, "step", F.col("cum_sdx").alias("dx"), F.col("cum_sdy").alias("dy"))
+    rec = sequences.reconstruct(requests, steps, anchors)
+    return r6(rec.select("id", *trk.PLAY, "nfl_id", "frame_id", "step", "x", "y"), ["x", "y"])
