@@ -88,18 +88,20 @@ def scoring_windows(feat: DataFrame, requests: DataFrame, cols: list[str],
     f = f.withColumns({f"_m_{c}": m for c, m in means.items()})
     t = tail_window(f, n)
     fk = _frame_key(cols)
-    real = t.select(*PLAYER, "step", *fk, "play_direction", "group_rows",
-                    *[F.col(c).cast("double").alias(c) for c in cols], *[f"_m_{c}" for c in cols])
-    pads = (t.where((F.col("step") == 0) & (F.col("group_rows") < n))
-            .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n) - F.col("group_rows") - 1)))
-            .select(*PLAYER, "step", *[F.lit(None).cast("bigint").alias(k) for k in fk],
-                    F.lit(None).cast("string").alias("play_direction"),
-                    "group_rows", *[F.lit(None).cast("double").alias(c) for c in cols],
-                    *[f"_m_{c}" for c in cols]))
-    shifted = real.withColumn("step", F.col("step") + F.greatest(F.lit(n) - F.col("group_rows"), F.lit(0)))
-    allrows = shifted.unionByName(pads)
-    return allrows.select(*PLAYER, "step", *fk, "play_direction",
-                          *[F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in cols])
+    # One pass, no union: the oldest real row of a short group also emits the
+    # pad rows before it (k < n - group_rows), every other row emits itself.
+    short = F.col("group_rows") < n
+    k = F.explode(F.when((F.col("step") == 0) & short, F.sequence(F.lit(0), F.lit(n) - F.col("group_rows")))
+                  .otherwise(F.array(F.lit(-1))))
+    t = t.withColumn("_k", k)
+    pad = (F.col("_k") >= 0) & (F.col("_k") < F.lit(n) - F.col("group_rows"))
+    shift = F.greatest(F.lit(n) - F.col("group_rows"), F.lit(0))
+    return t.select(
+        *PLAYER,
+        F.when(pad, F.col("_k")).otherwise(F.col("step") + shift).cast("int").alias("step"),
+        *[F.when(~pad, F.col(c)).alias(c) for c in fk],
+        F.when(~pad, F.col("play_direction")).alias("play_direction"),
+        *[F.coalesce(F.when(~pad, F.col(c).cast("double")), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in cols])
 
 
 def last_step(windows: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:

@@ -470,6 +470,7 @@ def oracle_queries() -> dict[str, str]:
     _family_b(q)
     _interactions(q)
     _sequences(q)
+    _quality(q)
     return q
 
 
@@ -622,3 +623,87 @@ def _sequences(q: dict[str, str]) -> None:
         f"round({nn_least(nn_greatest(f'CASE WHEN {right} THEN 120.0 - ({xu}) ELSE {xu} END', '0.0'), '120.0')}, 6) AS x, "
         f"round({nn_least(nn_greatest(f'CASE WHEN {right} THEN 53.3 - ({yu}) ELSE {yu} END', '0.0'), '53.3')}, 6) AS y "
         "FROM rq LEFT JOIN st USING (game_id, play_id, nfl_id, step) LEFT JOIN anc a USING (game_id, play_id, nfl_id)")
+
+
+# ------------------------------------------- quality, profile, scaling, models
+FEATA_ALL = ["x_input", "y_input", "s_input", "a_input", "dir_input", "o_input", "vx", "vy",
+             "dist_to_ball_landing", "dist_from_los", "dist_to_near_sideline", "dist_from_center",
+             "angle_to_ball", "pursuit_angle", "facing_ball", "body_alignment",
+             "is_offense", "is_defense", "is_receiver", "is_db", "is_lb", "play_dir_right", "frame_progress",
+             "ball_land_x", "ball_land_y", "frame_id", "num_frames_output"]
+
+
+def _finite(c: str) -> str:
+    return (f"CASE WHEN CAST({c} AS DOUBLE) IS NULL OR isnan(CAST({c} AS DOUBLE)) "
+            f"OR abs(CAST({c} AS DOUBLE)) = 'inf'::DOUBLE THEN 0.0 ELSE CAST({c} AS DOUBLE) END")
+
+
+def _quality(q: dict[str, str]) -> None:
+    st = BASE_CTES + STATE_CTES
+    q["numeric_coerce"] = build(BASE_CTES, f"SELECT {FK}, " + ", ".join(
+        f"coalesce(TRY_CAST({c} AS DOUBLE), 0.0) AS {c}" for c in ["player_height", "player_weight", "dir", "o"])
+        + " FROM inp")
+    fa = ("fa", FEATA_SQL.replace("SELECT *,", f"SELECT *, {flag('abs(' + pmod('dir_input - degrees(atan2(ball_land_y - y_input, ball_land_x - x_input)) + 180') + ' - 180) < 45')} AS facing_ball,", 1))
+    fin = ("fin", "SELECT id, " + ", ".join(f"{_finite(c)} AS {c}" for c in FEATA_ALL) + " FROM fa")
+    stats = ("stats", "SELECT " + ", ".join(
+        f"avg({c}) AS mean_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS scale_{c}"
+        for c in FEATA_ALL) + " FROM fin")
+    q["standard_scale"] = build(st + [fa, fin, stats], "SELECT id, " + ", ".join(
+        f"round(({c} - mean_{c}) / scale_{c}, 6) AS {c}" for c in FEATA_ALL) + " FROM fin, stats")
+    q["play_split"] = build(st, "SELECT DISTINCT game_id, play_id, "
+                                "CAST(('0x' || substr(md5(concat_ws('_', game_id, play_id, '42')), 1, 8)) AS BIGINT) "
+                                f"< {int(0.2 * 2 ** 32)} AS is_val FROM samples")
+    phys_x = nn_least(nn_greatest("x_input + s_input * cos(radians(dir_input)) * (0.1 * frame_id)", "0.0"), "120.0")
+    phys_y = nn_least(nn_greatest("y_input + s_input * sin(radians(dir_input)) * (0.1 * frame_id)", "0.0"), "53.3")
+    members = ("members", f"SELECT id, 0.3 AS w, {phys_x} AS x, {phys_y} AS y FROM scoring "
+                          "UNION ALL SELECT id, 0.4 AS w, x_input AS x, y_input AS y FROM scoring "
+                          "UNION ALL SELECT id, 0.3 AS w, 50.0 AS x, 26.65 AS y FROM scoring")
+    q["blend"] = build(st + [members], "SELECT id, round(sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END), 6) AS x, "
+                                       "round(sum(w * y) / sum(CASE WHEN y IS NOT NULL THEN w END), 6) AS y "
+                                       "FROM members GROUP BY id")
+    fold = "CAST(('0x' || substr(md5(concat_ws('_', game_id, play_id, '42', 'fold')), 1, 8)) AS BIGINT) % 5"
+    q["fold_mean"] = build(st + [
+        ("tf", f"SELECT {fold} AS fold, frame_id, x - x_input AS dx, y - y_input AS dy FROM samples"),
+        ("mem", "SELECT m.member, frame_id, avg(dx) AS mdx, avg(dy) AS mdy FROM tf "
+                "JOIN (SELECT unnest(range(0, 5)) AS member) m ON m.member <> tf.fold GROUP BY m.member, frame_id"),
+        ("rq", "SELECT s.*, m.member FROM scoring s JOIN (SELECT unnest(range(0, 5)) AS member) m ON true")],
+        "SELECT rq.id, rq.game_id, rq.play_id, round(avg(rq.x_input + mem.mdx), 6) AS x, "
+        "round(avg(rq.y_input + mem.mdy), 6) AS y, count(mem.mdx) AS members "
+        "FROM rq LEFT JOIN mem USING (member, frame_id) GROUP BY rq.id, rq.game_id, rq.play_id")
+    q["validate_predictions"] = build(st + [("phys", PHYS_SQL)], """
+        SELECT 'null_values' AS "check", count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS violations FROM phys
+        UNION ALL SELECT 'non_finite_values', count(*) FILTER (WHERE isnan(x) OR isnan(y) OR abs(x) = 'inf'::DOUBLE OR abs(y) = 'inf'::DOUBLE) FROM phys
+        UNION ALL SELECT 'missing_ids', 0 UNION ALL SELECT 'extra_ids', 0 UNION ALL SELECT 'duplicate_ids', 0
+        UNION ALL SELECT 'plays_with_wrong_row_count', 0
+        UNION ALL SELECT 'empty_request', CAST(count(*) = 0 AS BIGINT) FROM scoring""")
+    q["profile_counts"] = build(BASE_CTES, "SELECT count(DISTINCT game_id) AS games, "
+                                           "count(DISTINCT (game_id, play_id)) AS plays, count(DISTINCT nfl_id) AS players, "
+                                           "count(*) AS rows FROM inp")
+    q["profile_per_play"] = build(BASE_CTES + [
+        ("fl", "SELECT game_id, play_id, sum(CAST(player_to_predict AS INTEGER)) AS v FROM inp GROUP BY game_id, play_id"),
+        ("fr", "SELECT game_id, play_id, nfl_id, count(*) AS v FROM outp GROUP BY game_id, play_id, nfl_id")],
+        "SELECT 'flagged_rows_per_play' AS stat, round(avg(v), 6) AS mean, CAST(min(v) AS BIGINT) AS min, "
+        "CAST(max(v) AS BIGINT) AS max, count(*) AS groups FROM fl UNION ALL "
+        "SELECT 'frames_per_player_play', round(avg(v), 6), CAST(min(v) AS BIGINT), CAST(max(v) AS BIGINT), count(*) FROM fr")
+
+    def vc(col: str, k: int | None) -> str:
+        lim = f" WHERE rank <= {k}" if k else ""
+        return (f"SELECT * FROM (SELECT '{col}' AS \"column\", CAST({col} AS VARCHAR) AS value, count(*) AS n, "
+                f"CAST(row_number() OVER (ORDER BY count(*) DESC, {col} ASC NULLS LAST) AS INTEGER) AS rank "
+                f"FROM inp GROUP BY {col}){lim}")
+    q["value_counts_topk"] = build(BASE_CTES, " UNION ALL ".join(
+        [vc("player_position", 10), vc("player_side", None), vc("player_role", None)]))
+    err = [("phys", PHYS_SQL),
+           ("err", "SELECT p.x - o.x AS error_x, p.y - o.y AS error_y, "
+                   "sqrt((p.x - o.x) ** 2 + (p.y - o.y) ** 2) AS error_dist FROM phys p "
+                   "JOIN (SELECT concat_ws('_', game_id, play_id, nfl_id, frame_id) AS id, x, y FROM outp) o USING (id)")]
+    q["error_stats"] = build(st + err, " UNION ALL ".join(
+        f"SELECT '{c}' AS error, round(avg({c}), 6) AS mean, round(stddev_pop({c}), 6) AS std, count({c}) AS n FROM err"
+        for c in ("error_x", "error_y", "error_dist")))
+    q["error_histogram"] = build(st + err + [
+        ("rng", "SELECT CASE WHEN min(error_dist) = max(error_dist) THEN min(error_dist) - 0.5 ELSE min(error_dist) END AS lo, "
+                "CASE WHEN min(error_dist) = max(error_dist) THEN max(error_dist) + 0.5 ELSE max(error_dist) END AS hi FROM err"),
+        ("b", "SELECT CAST(least(CAST(floor((error_dist - lo) / ((hi - lo) / 50)) AS INTEGER) + 1, 50) AS INTEGER) AS bin, lo, hi "
+              "FROM err, rng WHERE error_dist IS NOT NULL")],
+        "SELECT bin, round(lo + (bin - 1) * ((hi - lo) / 50), 6) AS bin_lo, round(lo + bin * ((hi - lo) / 50), 6) AS bin_hi, "
+        "count(*) AS n FROM b GROUP BY bin, lo, hi")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackframe.operators import (direction, features_a, features_b, interactions, metrics, predict,
-                                  sequences, state, temporal)
+                                  modeling, profile, quality, scaling, sequences, state, temporal)
 from trackframe.sources import tracking as trk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,3 +351,119 @@ def q_horizon_hold(spark, sf_dir):
         *trk.PLAYER, "step", F.col("cum_sdx").alias("dx"), F.col("cum_sdy").alias("dy"))
     rec = sequences.reconstruct(requests, steps, anchors)
     return r6(rec.select("id", *trk.PLAY, "nfl_id", "frame_id", "step", "x", "y"), ["x", "y"])
+
+
+# ------------------------------------------ quality, profile, scaling, models
+@register("numeric_coerce")
+def q_numeric_coerce(spark, sf_dir):
+    inp = _input(spark, sf_dir)
+    cols = ["player_height", "player_weight", "dir", "o"]
+    return scaling.coerce_numeric(inp.select(*FRAME_KEY, *cols), cols)
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    df = features_a.engineer(_samples(spark, sf_dir), is_training=False)
+    cols = features_a.present(df, features_a.FEATURES_A)
+    df = scaling.finite_features(df.select("id", *cols), cols)
+    scaled = scaling.apply_scaler(df, scaling.fit_scaler(df, cols), cols)
+    return r6(scaled, cols)
+
+
+@register("play_split")
+def q_play_split(spark, sf_dir):
+    plays = profile.distinct_plays(_samples(spark, sf_dir))
+    return modeling.split_by_play(plays)
+
+
+def _members(spark, sf_dir):
+    s = _scoring(spark, sf_dir)
+    rad = F.radians(F.col("dir_input"))
+    dt = 0.1 * F.col("frame_id")
+    phys = s.select("id", *trk.PLAY, (F.col("x_input") + F.col("s_input") * F.cos(rad) * dt).alias("x"),
+                    (F.col("y_input") + F.col("s_input") * F.sin(rad) * dt).alias("y"))
+    still = s.select("id", *trk.PLAY, F.col("x_input").alias("x"), F.col("y_input").alias("y"))
+    centre = s.select("id", *trk.PLAY, F.lit(predict.CENTRE_X).alias("x"), F.lit(predict.CENTRE_Y).alias("y"))
+    return {"physics": predict.clip_to_field(phys), "stationary": still, "centre": centre}
+
+
+BLEND_WEIGHTS = {"physics": 0.3, "stationary": 0.4, "centre": 0.3}
+
+
+@register("blend")
+def q_blend(spark, sf_dir):
+    return r6(predict.blend(_members(spark, sf_dir), BLEND_WEIGHTS), ["x", "y"])
+
+
+@register("fold_mean")
+def q_fold_mean(spark, sf_dir):
+    fm = modeling.fold_mean_model(_samples(spark, sf_dir), _scoring(spark, sf_dir))
+    return r6(fm, ["x", "y"])
+
+
+@register("validate_predictions")
+def q_validate_predictions(spark, sf_dir):
+    s = _scoring(spark, sf_dir)
+    pred = predict.physics_baseline(s)
+    requested = s.select("id", *trk.PLAY)
+    return quality.validate(pred, requested)
+
+
+@register("profile_counts")
+def q_profile_counts(spark, sf_dir):
+    return profile.counts(_input(spark, sf_dir))
+
+
+@register("profile_per_play")
+def q_profile_per_play(spark, sf_dir):
+    inp, out = _tables(spark, sf_dir)
+    return r6(profile.per_play_stats(inp, out), ["mean"])
+
+
+@register("value_counts_topk")
+def q_value_counts_topk(spark, sf_dir):
+    inp = _input(spark, sf_dir)
+    return (profile.value_counts(inp, "player_position", 10)
+            .unionByName(profile.value_counts(inp, "player_side"))
+            .unionByName(profile.value_counts(inp, "player_role")))
+
+
+def _errors(spark, sf_dir):
+    return metrics.errors(predict.physics_baseline(_scoring(spark, sf_dir)), _truth(spark, sf_dir))
+
+
+@register("error_stats")
+def q_error_stats(spark, sf_dir):
+    return r6(metrics.error_stats(_errors(spark, sf_dir)), ["mean", "std"])
+
+
+@register("error_histogram")
+def q_error_histogram(spark, sf_dir):
+    return r6(metrics.error_histogram(_errors(spark, sf_dir), "error_dist", 50), ["bin_lo", "bin_hi"])
+
+
+# Few rounds and shallow trees: the registered fit is a smoke-sized run of the
+# same pipeline (the library defaults follow the reference configuration).
+GBT_SMOKE = {"max_iter": 5, "max_depth": 4}
+
+
+def _gbt(spark, sf_dir):
+    df = features_a.engineer(_samples(spark, sf_dir), is_training=False)
+    feats = features_a.present(df, features_a.FEATURES_A)
+    df = modeling.split_by_play(df)
+    train, val = df.where(~F.col("is_val")), df.where(F.col("is_val"))
+    models = modeling.train_xy(train, feats, val, **GBT_SMOKE)
+    return models, feats, val
+
+
+@register("gbt_predict")
+def q_gbt_predict(spark, sf_dir):
+    models, feats, val = _gbt(spark, sf_dir)
+    pred = modeling.predict_xy(models, val, feats)
+    return pred.select("id", *trk.PLAY, "x", "y", "pred_x", "pred_y")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    models, feats, _ = _gbt(spark, sf_dir)
+    return modeling.feature_importance(models, feats, spark).limit(10)
