@@ -471,6 +471,8 @@ def oracle_queries() -> dict[str, str]:
     _interactions(q)
     _sequences(q)
     _quality(q)
+    q["stream_last_state"] = q["last_state"]
+    q["stream_score"] = q["physics_baseline"]
     return q
 
 

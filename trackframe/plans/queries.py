@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trackframe.operators import (direction, features_a, features_b, interactions, metrics, predict,
                                   modeling, profile, quality, scaling, sequences, state, temporal)
 from trackframe.sources import tracking as trk
+from trackframe.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -467,3 +468,16 @@ def q_gbt_predict(spark, sf_dir):
 def q_feature_importance(spark, sf_dir):
     models, feats, _ = _gbt(spark, sf_dir)
     return modeling.feature_importance(models, feats, spark).limit(10)
+
+
+# ------------------------------------------------------------ streaming
+@register("stream_last_state")
+def q_stream_last_state(spark, sf_dir):
+    return scoring.stream_last_state(spark, _input(spark, sf_dir))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    inp, out = _tables(spark, sf_dir)
+    pred = scoring.stream_score(spark, out.select(*trk.PLAYER, "frame_id"), inp)
+    return r6(pred.select("id", "game_id", "play_id", "x", "y", "fallback"), ["x", "y"])
