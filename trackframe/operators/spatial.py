@@ -14,9 +14,10 @@ and a last level puts the whole group in one cell):
    each probe takes the finest level ``L*`` whose 3x3 block around it holds
    one.  The nearest candidate is then closer than ``2*sqrt(2)`` cells.
 2. the 3x3 block at ``L*`` gives the distance ``d`` of the nearest candidate
-   in it; if ``d <= cell`` nothing outside the block can be closer: done.
-3. otherwise the block of ``k = ceil(d / cell) <= 3`` rings holds every
-   candidate within ``d``: the minimum there is exact.
+   in it, an upper bound of the true one;
+3. the block of ``k = max(1, ceil(d / cell)) <= 3`` rings holds every
+   candidate within ``d``: the minimum there is exact.  The plan is a chain
+   (no branches to recompute, no union).
 
 Ties are broken by the smaller candidate id; probes or candidates without a
 position are left out.
@@ -107,28 +108,27 @@ def nearest_partner(probes: DataFrame, cands: DataFrame, group: list[str], *,
         })
 
     dist = F.sqrt((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2)
-    best = F.min_by(F.struct(*[F.col(c) for c in ["qx", "qy", *[f"c_{c}" for c in carry]]]),
-                    F.struct(F.col("dist"), F.col("cid")))
-    probe_key = [*group, "pid"]
+    probe_cols = [*group, "pid", "px", "py", "pcls", "lvl", "size", "cx", "cy"]
 
     def nearest(block: DataFrame) -> DataFrame:
+        """Per probe, the smallest (dist, cid) among eligible candidates in its block."""
         pairs = block.join(C_lv, cell_key).where(eligible()).withColumn("dist", dist)
-        return pairs.groupBy(*probe_key, "size").agg(
-            F.min(F.struct("dist", "cid")).alias("m"), best.alias("b"))
-
-    # 2. the 3x3 block at that level
-    first = nearest(_neighbour_cells(at_level(lstar), 1))
-    done = first.where(F.col("size").isNull() | (F.col("m.dist") <= F.col("size")))
-    # 3. the probes whose nearest lies beyond their own cell: k rings
-    todo = (first.where(F.col("size").isNotNull() & (F.col("m.dist") > F.col("size")))
-            .select(*probe_key, F.ceil(F.col("m.dist") / F.col("size")).cast("int").alias("k"))
-            .join(at_level(lstar), probe_key))
-    second = nearest(_neighbour_cells(todo, F.col("k")))
-    res = done.unionByName(second)
+        best = F.min(F.struct("dist", "cid", "qx", "qy", *[f"c_{c}" for c in carry]))
+        return pairs.groupBy(*probe_cols).agg(best.alias("m"))
+
+    # 2. the 3x3 block at that level: its minimum bounds the true distance
+    home = at_level(lstar).withColumns({"cx": F.col("gx"), "cy": F.col("gy")})
+    first = nearest(_neighbour_cells(home, 1))
+    # 3. every candidate within that bound lies within k rings, k = 1 when
+    #    the bound is inside the probe's own cell: one more exact pass
+    k = F.when(F.col("size").isNull() | (F.col("m.dist") <= F.col("size")), F.lit(1)).otherwise(
+        F.ceil(F.col("m.dist") / F.col("size")).cast("int"))
+    block = first.select(*probe_cols, k.alias("k")).withColumns({"gx": F.col("cx"), "gy": F.col("cy")})
+    res = nearest(_neighbour_cells(block, F.col("k")))
     return res.select(
         *group, F.col("pid").alias(id_col), F.col("m.dist").alias("near_dist"),
-        F.col("m.cid").alias("near_id"), F.col("b.qx").alias("near_x"), F.col("b.qy").alias("near_y"),
-        *[F.col(f"b.c_{c}").alias(f"near_{c}") for c in carry])
+        F.col("m.cid").alias("near_id"), F.col("m.qx").alias("near_x"), F.col("m.qy").alias("near_y"),
+        *[F.col(f"m.c_{c}").alias(f"near_{c}") for c in carry])
 
 
 def count_within(probes: DataFrame, cands: DataFrame, group: list[str], radii: tuple[float, ...], *,
