@@ -451,10 +451,9 @@ GBT_SMOKE = {"max_iter": 5, "max_depth": 4}
 def _gbt(spark, sf_dir):
     df = features_a.engineer(_samples(spark, sf_dir), is_training=False)
     feats = features_a.present(df, features_a.FEATURES_A)
-    df = modeling.split_by_play(df)
-    train, val = df.where(~F.col("is_val")), df.where(F.col("is_val"))
+    train, val = modeling.split_frames(df)
     models = modeling.train_xy(train, feats, val, **GBT_SMOKE)
-    return models, feats, val
+    return models, feats, (val if val is not None else train)
 
 
 @register("gbt_predict")
