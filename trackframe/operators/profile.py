@@ -53,3 +53,14 @@ def per_play_stats(inp: DataFrame, out: DataFrame) -> DataFrame:
                       F.count(F.lit(1)).alias("groups"))
 
     return stats(flagged, "flagged_rows_per_play").unionByName(stats(frames, "frames_per_player_play"))
+
+
+def plays_in_order(df: DataFrame, order_col: str) -> DataFrame:
+    """Distinct plays in order of first appearance (s3): the first ``order_col``
+    value per play, sorted by it (a distributed range sort, no global window)."""
+    return df.groupBy(*PLAY).agg(F.min(order_col).alias("first_seen")).orderBy("first_seen")
+
+
+def restrict_to_plays(df: DataFrame, plays: DataFrame) -> DataFrame:
+    """Rows of the listed plays only (j6): a semi join on the play key."""
+    return df.join(plays.select(*PLAY), PLAY, "left_semi")

@@ -471,6 +471,8 @@ def oracle_queries() -> dict[str, str]:
     _interactions(q)
     _sequences(q)
     _quality(q)
+    q["play_order"] = build(BASE_CTES, "SELECT game_id, play_id, min(event_id) AS first_seen FROM trk "
+                                       "GROUP BY game_id, play_id")
     q["stream_last_state"] = q["last_state"]
     q["stream_score"] = q["physics_baseline"]
     return q

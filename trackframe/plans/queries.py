@@ -480,3 +480,8 @@ def q_stream_score(spark, sf_dir):
     inp, out = _tables(spark, sf_dir)
     pred = scoring.stream_score(spark, out.select(*trk.PLAYER, "frame_id"), inp)
     return r6(pred.select("id", "game_id", "play_id", "x", "y", "fallback"), ["x", "y"])
+
+
+@register("play_order")
+def q_play_order(spark, sf_dir):
+    return profile.plays_in_order(trk.tracking_from_events(spark, sf_dir), "event_id")
