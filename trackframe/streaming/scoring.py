@@ -1,7 +1,7 @@
 """Structured Streaming versions of last-state and scoring (st1-st5).
 
-Requests arrive as files, one folder per play (st1).  A stream over them is
-processed by ``trigger(availableNow=True)`` with ``maxFilesPerTrigger`` so a
+Requests arrive as files, each holding whole plays (st1).  A stream over them
+is processed by ``trigger(availableNow=True)`` with ``maxFilesPerTrigger`` so a
 micro-batch holds some whole plays; the result does not depend on where the
 batches are cut, which the tests check against the batch operators.
 
@@ -36,27 +36,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_per_play(df: DataFrame, path: str) -> str:
-    """One folder per play (st1): ``game_id=G/play_id=P/part-*.parquet``."""
-    df.repartition(*PLAY).write.mode("overwrite").partitionBy(*PLAY).parquet(path)
+def write_play_files(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Request files for the stream (st1): every play lies whole in exactly one
+    file (hash of the play key), and the number of files is bounded by
+    ``files`` (default: the shuffle partition count), not by the number of
+    plays, so the layout stays sane at any scale."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *PLAY).sortWithinPartitions(*PLAY).write.mode("overwrite").parquet(path)
     return path
 
 
 def read_play_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Stream the per-play files, ``files_per_trigger`` files per micro-batch."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("basePath", path).parquet(path))
+    """Stream the request files, ``files_per_trigger`` files per micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def _stream_schema(df: DataFrame):
-    """Schema for the streamed files: data columns first, partition columns last."""
-    from pyspark.sql.types import StructType
-    fields = [f for f in df.schema.fields if f.name not in PLAY]
-    keys = [f for f in df.schema.fields if f.name in PLAY]
-    return StructType(fields + keys)
+    return df.schema
 
 
-def stream_last_state(spark: SparkSession, inp: DataFrame, files_per_trigger: int = 32,
+def stream_last_state(spark: SparkSession, inp: DataFrame, files_per_trigger: int = 2,
                       watermark: str | None = None, event_time: str | None = None) -> DataFrame:
     """Last non-null state per player, maintained by a streaming aggregate (st3).
 
@@ -65,7 +64,7 @@ def stream_last_state(spark: SparkSession, inp: DataFrame, files_per_trigger: in
     play-long event-time window as well, so Spark can drop the state of plays
     that ended (st5).
     """
-    src = write_per_play(inp, scratch(spark, "stream-src"))
+    src = write_play_files(inp, scratch(spark, "stream-src"))
     stream = read_play_stream(spark, src, _stream_schema(inp), files_per_trigger)
     keys = list(PLAYER)
     if watermark and event_time:
@@ -108,22 +107,28 @@ def score_batch(test_batch: DataFrame, inputs: DataFrame) -> tuple[DataFrame, Da
     return pred, report
 
 
-def stream_score(spark: SparkSession, test: DataFrame, inp: DataFrame, files_per_trigger: int = 32) -> DataFrame:
+def stream_score(spark: SparkSession, test: DataFrame, inp: DataFrame, files_per_trigger: int = 2) -> DataFrame:
     """Score requests play batch by play batch with ``foreachBatch`` (st1, st2, st4)
     and return every batch's predictions read back from the sink."""
     root = scratch(spark, "stream-score")
-    inputs_path = write_per_play(inp, f"{root}/inputs")
+    inputs_path = write_play_files(inp, f"{root}/inputs")
     requests = test.select(*PLAYER, "frame_id", row_id().alias("id")) if "id" not in test.columns else test
-    src = write_per_play(requests, f"{root}/requests")
+    src = write_play_files(requests, f"{root}/requests")
     inputs = spark.read.parquet(inputs_path)
     stream = read_play_stream(spark, src, _stream_schema(requests), files_per_trigger)
     out = f"{root}/predictions"
     rep = f"{root}/reports"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        pred, report = score_batch(batch, inputs)
-        pred.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        report.write.mode("overwrite").parquet(f"{rep}/batch_id={batch_id}")
+        # predictions feed both the sink and the report: compute them once
+        pred, _ = score_batch(batch, inputs)
+        pred = pred.persist()
+        try:
+            pred.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            report = quality.validate(pred, batch.select("id", *PLAY))
+            report.write.mode("overwrite").parquet(f"{rep}/batch_id={batch_id}")
+        finally:
+            pred.unpersist()
 
     q = (stream.writeStream.option("checkpointLocation", f"{root}/ckpt")
          .foreachBatch(sink).trigger(availableNow=True).start())
