@@ -29,7 +29,9 @@ def feature_pipeline_b(inp: DataFrame, window_size: int = WINDOW_SIZE) -> DataFr
     u = direction.unify_left(inp)
     b = features_b.base_features(u)
     lagged = temporal.lag_block(b, window_size)
-    with_opp = interactions.with_opponent_features(lagged)
+    # opponents need only positions, speed, direction and roles: take them
+    # from the base frame, so the lag/EMA windows are not part of that plan
+    with_opp = lagged.join(interactions.opponent_features(b), PLAYER, "left")
     return features_b.advanced_features(with_opp)
 
 
@@ -41,9 +43,11 @@ def feature_columns_b(df: DataFrame) -> list[str]:
 def tail_window(df: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:
     """Last ``n`` frames per player with ``step`` 0..n-1 (oldest first) and the
     group's row count ``group_rows`` (w12)."""
-    desc = Window.partitionBy(*PLAYER).orderBy(F.col("frame_id").desc())
+    # rank from the end via the ascending order the lag windows already sort by
+    asc = Window.partitionBy(*PLAYER).orderBy("frame_id")
     whole = Window.partitionBy(*PLAYER)
-    t = df.withColumns({"_rd": F.row_number().over(desc), "group_rows": F.count(F.lit(1)).over(whole)})
+    t = df.withColumns({"_rn": F.row_number().over(asc), "group_rows": F.count(F.lit(1)).over(whole)})
+    t = t.withColumn("_rd", F.col("group_rows") - F.col("_rn") + 1).drop("_rn")
     t = t.where(F.col("_rd") <= n)
     return t.withColumn("step", (F.least(F.col("group_rows"), F.lit(n)) - F.col("_rd")).cast("int")).drop("_rd")
 
@@ -69,12 +73,12 @@ def training_windows(feat: DataFrame, targets: DataFrame, cols: list[str],
     f = feat.join(keys, PLAYER, "left_semi")
     means = _group_means(f, cols)
     f = f.withColumns({f"_m_{c}": m for c, m in means.items()})
-    t = tail_window(f, n).where(F.col("group_rows") >= n)
-    filled = t.select(*PLAYER, "step", *_frame_key(cols), "play_direction",
-                      *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in cols])
-    any_null = F.max(F.when(F.greatest(*[F.col(c).isNull() for c in cols]), 1).otherwise(0)).over(
-        Window.partitionBy(*PLAYER))
-    return filled.withColumn("_bad", any_null).where(F.col("_bad") == 0).drop("_bad")
+    # a value is still null after the fill only if its column is null in the
+    # whole group (its mean is null), so the drop rule reads the means
+    bad = F.greatest(*[F.col(f"_m_{c}").isNull() for c in cols])
+    t = tail_window(f, n).where((F.col("group_rows") >= n) & ~bad)
+    return t.select(*PLAYER, "step", *_frame_key(cols), "play_direction",
+                    *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in cols])
 
 
 def scoring_windows(feat: DataFrame, requests: DataFrame, cols: list[str],

@@ -38,12 +38,12 @@ def _sizes(base: float, levels: int) -> list[float | None]:
 
 
 def _by_level(df: DataFrame, x: str, y: str, sizes: list[float | None]) -> DataFrame:
-    """One row per (row, level) with the row's cell at that level."""
+    """One row per (row, level) with the row's cell at that level (one select)."""
     per_level = F.array(*[
         F.struct(F.lit(i).alias("lvl"), _cell(F.col(x), s).alias("gx"), _cell(F.col(y), s).alias("gy"))
         for i, s in enumerate(sizes)
     ])
-    return df.withColumn("_lv", F.explode(per_level)).select("*", "_lv.*").drop("_lv")
+    return df.select("*", F.inline(per_level))
 
 
 def _size_col(sizes: list[float | None]) -> Column:
@@ -56,12 +56,15 @@ def _size_col(sizes: list[float | None]) -> Column:
 
 
 def _neighbour_cells(df: DataFrame, rings: Column | int) -> DataFrame:
-    """Replace (gx, gy) by every cell within ``rings`` (Chebyshev) of it."""
-    k = F.lit(rings) if isinstance(rings, int) else rings
-    offs = F.sequence(-k, k)
+    """Replace (gx, gy) by every cell within ``rings`` (Chebyshev) of it (one select)."""
+    keep = [c for c in df.columns if c not in ("gx", "gy")]
+    if isinstance(rings, int):
+        cells = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy"))
+                          for dx in range(-rings, rings + 1) for dy in range(-rings, rings + 1)])
+        return df.select(*keep, F.inline(cells))
+    offs = F.sequence(-rings, rings)
     return (df.withColumn("_dx", F.explode(offs)).withColumn("_dy", F.explode(offs))
-            .withColumns({"gx": F.col("gx") + F.col("_dx"), "gy": F.col("gy") + F.col("_dy")})
-            .drop("_dx", "_dy"))
+            .select(*keep, (F.col("gx") + F.col("_dx")).alias("gx"), (F.col("gy") + F.col("_dy")).alias("gy")))
 
 
 def nearest_partner(probes: DataFrame, cands: DataFrame, group: list[str], *,
