@@ -76,14 +76,16 @@ def blend(members: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame
     id, so a member that has no row (or a null) for an id does not pull that
     prediction toward zero.
     """
+    # the id determines the play; grouping on both keeps the play partitioning
+    keys = ["id"] + [k for k in PLAY if all(k in df.columns for df in members.values())]
     stacked = None
     for name, df in members.items():
         w = float(weights.get(name, 0.0))
-        part = df.select("id", F.lit(w).alias("w"), "x", "y")
+        part = df.select(*keys, F.lit(w).alias("w"), "x", "y")
         stacked = part if stacked is None else stacked.unionByName(part)
     wx = F.when(F.col("x").isNotNull(), F.col("w"))
     wy = F.when(F.col("y").isNotNull(), F.col("w"))
-    return stacked.groupBy("id").agg(
+    return stacked.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum(wx)).alias("x"),
         F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum(wy)).alias("y"),
     )

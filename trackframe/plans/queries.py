@@ -393,7 +393,7 @@ BLEND_WEIGHTS = {"physics": 0.3, "stationary": 0.4, "centre": 0.3}
 
 @register("blend")
 def q_blend(spark, sf_dir):
-    return r6(predict.blend(_members(spark, sf_dir), BLEND_WEIGHTS), ["x", "y"])
+    return r6(predict.blend(_members(spark, sf_dir), BLEND_WEIGHTS).select("id", "x", "y"), ["x", "y"])
 
 
 @register("fold_mean")

@@ -46,8 +46,10 @@ def predict(test: DataFrame, test_input: DataFrame, models=None, features: list[
         w = dict(weights or BLEND_WEIGHTS)
         allm = {"gbdt": base, **{k: fn(samples) for k, fn in members.items()}}
         base = pred_ops.blend(allm, w)
+        if not all(k in base.columns for k in PLAY):
+            base = base.join(test.select("id", *PLAY), "id")
     keys = test.select("id", *PLAY)
-    out = keys.join(base.select("id", "x", "y"), "id", "left")
+    out = keys.join(base.select("id", *PLAY, "x", "y"), ["id", *PLAY], "left")
     out = out.withColumns({
         "fallback": F.col("x").isNull() | F.col("y").isNull(),
         "x": F.coalesce(F.col("x"), F.lit(pred_ops.CENTRE_X)),
