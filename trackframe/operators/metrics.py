@@ -68,37 +68,37 @@ def errors(pred: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def error_stats(err: DataFrame) -> DataFrame:
-    """Mean and population std of each error column (a11), one row per error kind."""
-    parts = [
-        err.agg(F.lit(name).alias("error"), F.avg(name).alias("mean"),
-                F.stddev_pop(name).alias("std"), F.count(name).alias("n"))
-        for name in ("error_x", "error_y", "error_dist")
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Mean and population std of each error column (a11), one row per error
+    kind: one aggregate pass, then the single result row is unpivoted."""
+    names = ("error_x", "error_y", "error_dist")
+    aggs = []
+    for n in names:
+        aggs += [F.avg(n).alias(f"{n}_mean"), F.stddev_pop(n).alias(f"{n}_std"), F.count(n).alias(f"{n}_n")]
+    row = err.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(n).alias("error"), F.col(f"{n}_mean").alias("mean"),
+                              F.col(f"{n}_std").alias("std"), F.col(f"{n}_n").alias("n")) for n in names])
+    return row.select(F.inline(rows))
 
 
 def error_histogram(err: DataFrame, column: str = "error_dist", bins: int = 50) -> DataFrame:
     """Counts over ``bins`` equal-width bins between min and max, top edge closed (a12).
 
-    The range is one global aggregate: exactly one row, so it is broadcast and
-    equi-joined on a constant key, and the bucketing stays a map-side
-    projection followed by a partial aggregate.  A zero-width range widens to
-    +-0.5 around the value, as a histogram routine would.
+    The range is one global aggregate (exactly one row); its two numbers
+    are read and used as literal bin edges, as a bucketizer would, so the
+    binning is a map-side projection followed by a partial aggregate, no join.  A zero-width
+    range widens to +-0.5 around the value, as a histogram routine would.
     """
     rng = err.agg(F.min(column).alias("lo0"), F.max(column).alias("hi0")).select(
-        F.lit(1).alias("_one"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
     )
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.least(F.floor((F.col(column) - F.col("lo")) / width).cast("int") + 1, F.lit(bins))
-    vals = err.where(F.col(column).isNotNull()).select(F.lit(1).alias("_one"), column)
-    binned = vals.join(F.broadcast(rng), "_one").select(
-        b.alias("bin"),
-        (F.col("lo") + (b - 1) * width).alias("bin_lo"),
-        (F.col("lo") + b * width).alias("bin_hi"),
-    )
-    return binned.groupBy("bin", "bin_lo", "bin_hi").agg(F.count(F.lit(1)).alias("n"))
+    r = rng.first()
+    if r["lo"] is None:  # no values: no bins
+        return err.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n bigint")
+    lo, hi = F.lit(float(r["lo"])), F.lit(float(r["hi"]))
+    binned = err.where(F.col(column).isNotNull()).select(
+        F.least(F.floor((F.col(column) - lo) / ((hi - lo) / bins)).cast("int") + 1, F.lit(bins)).alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    width = (hi - lo) / bins
+    return counts.select("bin", (lo + (F.col("bin") - 1) * width).alias("bin_lo"),
+                         (lo + F.col("bin") * width).alias("bin_hi"), "n")

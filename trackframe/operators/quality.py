@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -53,34 +53,38 @@ def validate(pred: DataFrame, requested: DataFrame, id_col: str = "id") -> DataF
     if problems:
         return spark.createDataFrame([(p, 1) for p in problems], "check string, violations bigint")
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    value_checks = pred.agg(
-        F.count_if(x.isNull() | y.isNull()).alias("null_values"),
-        F.count_if(F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")) | (F.abs(y) == float("inf")))
-        .alias("non_finite_values"),
-    )
     keys = [k for k in PLAY if k in pred.columns and k in requested.columns]
-    p_ids = pred.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("np"))
+    # per (play, id): predicted rows, with null and non-finite counts; requested rows
+    p_ids = pred.groupBy(*keys, id_col).agg(
+        F.count(F.lit(1)).alias("np"),
+        F.count_if(x.isNull() | y.isNull()).alias("nnull"),
+        F.count_if(F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")) | (F.abs(y) == float("inf")))
+        .alias("nbad"))
     r_ids = requested.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("nr"))
     ids = p_ids.join(r_ids, [*keys, id_col], "full_outer")
-    id_checks = ids.agg(
+    np_, nr_ = F.coalesce(F.col("np"), F.lit(0)), F.coalesce(F.col("nr"), F.lit(0))
+    if keys:
+        # per-play totals by a window on the play key (the join output is
+        # already partitioned by it), flagged once per play
+        play = Window.partitionBy(*keys)
+        first = F.row_number().over(play.orderBy(id_col)) == 1
+        wrong_play = first & (F.sum(np_).over(play) != F.sum(nr_).over(play))
+    else:
+        wrong_play = F.lit(False)
+    checks = ids.select("*", wrong_play.alias("_wrong")).agg(
+        F.coalesce(F.sum("nnull"), F.lit(0)).alias("null_values"),
+        F.coalesce(F.sum("nbad"), F.lit(0)).alias("non_finite_values"),
         F.count_if(F.col("np").isNull()).alias("missing_ids"),
         F.count_if(F.col("nr").isNull()).alias("extra_ids"),
         F.count_if(F.col("np") > 1).alias("duplicate_ids"),
+        F.count_if(F.col("_wrong")).alias("plays_with_wrong_row_count"),
+        (F.coalesce(F.sum("nr"), F.lit(0)) == 0).cast("bigint").alias("empty_request"),
     )
-    if keys:
-        per_play = (p_ids.groupBy(*keys).agg(F.sum("np").alias("np"))
-                    .join(r_ids.groupBy(*keys).agg(F.sum("nr").alias("nr")), keys, "full_outer"))
-        play_check = per_play.agg(F.count_if(~F.coalesce(F.col("np"), F.lit(0)).eqNullSafe(
-            F.coalesce(F.col("nr"), F.lit(0)))).alias("plays_with_wrong_row_count"))
-    else:
-        play_check = pred.agg(F.lit(0).cast("bigint").alias("plays_with_wrong_row_count"))
-    empty = requested.agg((F.count(F.lit(1)) == 0).cast("bigint").alias("empty_request"))
-    parts = [value_checks, id_checks, play_check, empty]
-    # each one-row aggregate becomes (check, violations) rows in one pass
-    rows = [p.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("violations")) for c in p.columns
-    ])).alias("r")).select("r.*") for p in parts]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    names = ["null_values", "non_finite_values", "missing_ids", "extra_ids", "duplicate_ids",
+             "plays_with_wrong_row_count", "empty_request"]
+    # one pass; the single result row becomes (check, violations) rows
+    return checks.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("violations")) for c in names])))
 
 
 def assert_valid(report: DataFrame) -> None:

@@ -1,8 +1,9 @@
 """Feature coercion and standard scaling (pr8, pr9, a13, a14).
 
-The scaler's statistics are one global aggregate: exactly one row whatever
-the data size, so it is broadcast and joined on a constant key; the scaling
-itself stays a projection inside the scan's codegen stage.
+The scaler's statistics are one global aggregate: exactly one row (two
+numbers per feature) whatever the data size.  As in a Spark ML scaler, the
+fit returns that row and the transform applies it as literals: no join, and
+the scaling stays a projection inside the scan's codegen stage.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str]) -> DataFrame:
-    """``(c - mean) / scale`` with the one-row statistics broadcast (a14)."""
-    one = stats.withColumn("_one", F.lit(1))
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
-    scaled = {c: (F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}") for c in cols}
-    return j.withColumns(scaled).drop("_one", *[f"mean_{c}" for c in cols], *[f"scale_{c}" for c in cols])
+    """``(c - mean) / scale`` with the fitted one-row statistics (a14); the
+    row is read once (2 numbers per feature) and applied as literals."""
+    st = stats.first().asDict()
+    scaled = {c: (F.col(c) - F.lit(st[f"mean_{c}"])) / F.lit(st[f"scale_{c}"]) for c in cols}
+    return df.withColumns(scaled)
