@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackframe.sources.tracking import PLAY
 
+# The target columns (pr7).
 TARGET = ["x", "y"]
 
 

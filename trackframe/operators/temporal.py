@@ -2,7 +2,8 @@
 (w1-w11).
 
 Every frame here is bounded (lags, rolling rows, the EMA fold), so work per
-row is constant whatever the length of a player's series.  Spark groups all
+row is constant whatever the length of a player's series.  There is no global
+sort (s1): order exists only inside each player's window.  Spark groups all
 window expressions with the same specification into one Window operator over
 one sort; on input partitioned by the play key there is no exchange.
 """
