@@ -58,10 +58,21 @@ def _frame_key(cols: list[str]) -> list[str]:
     return [] if "frame_id" in cols else ["frame_id"]
 
 
-def _group_means(df: DataFrame, cols: list[str]) -> dict[str, F.Column]:
-    """Whole-group mean of each column over the player's frames (a4); booleans count as 0/1 (n8)."""
+def _windowed(feat: DataFrame, requests: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """The requested players' rows, narrowed to the keys and features, with the
+    whole-group means (a4; booleans count as 0/1, n8), the group size and the
+    rank from the end, in one projection (one Window operator over the player
+    sort)."""
+    fk = _frame_key(cols)
+    keys = requests.select(*PLAYER).distinct()
+    f = feat.join(keys, PLAYER, "left_semi")
+    asc = Window.partitionBy(*PLAYER).orderBy("frame_id")
     whole = Window.partitionBy(*PLAYER)
-    return {c: F.avg(F.col(c).cast("double")).over(whole) for c in cols}
+    size = F.count(F.lit(1)).over(whole)
+    t = f.select(*PLAYER, *fk, "play_direction", *[F.col(c).cast("double").alias(c) for c in cols],
+                 *[F.avg(F.col(c).cast("double")).over(whole).alias(f"_m_{c}") for c in cols],
+                 size.alias("group_rows"), (size - F.row_number().over(asc) + 1).alias("_rd"))
+    return t.where(F.col("_rd") <= n)
 
 
 def training_windows(feat: DataFrame, targets: DataFrame, cols: list[str],
@@ -69,16 +80,12 @@ def training_windows(feat: DataFrame, targets: DataFrame, cols: list[str],
     """Training sequences in long form (q2): players with output rows and at
     least ``n`` input frames; the last ``n`` frames, nulls filled with the
     whole-group mean; a player with any null left is dropped."""
-    keys = targets.select(*PLAYER).distinct()
-    f = feat.join(keys, PLAYER, "left_semi")
-    means = _group_means(f, cols)
-    f = f.withColumns({f"_m_{c}": m for c, m in means.items()})
     # a value is still null after the fill only if its column is null in the
     # whole group (its mean is null), so the drop rule reads the means
     bad = F.greatest(*[F.col(f"_m_{c}").isNull() for c in cols])
-    t = tail_window(f, n).where((F.col("group_rows") >= n) & ~bad)
-    return t.select(*PLAYER, "step", *_frame_key(cols), "play_direction",
-                    *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in cols])
+    t = _windowed(feat, targets, cols, n).where((F.col("group_rows") >= n) & ~bad)
+    return t.select(*PLAYER, (F.lit(n) - F.col("_rd")).cast("int").alias("step"), *_frame_key(cols),
+                    "play_direction", *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in cols])
 
 
 def scoring_windows(feat: DataFrame, requests: DataFrame, cols: list[str],
@@ -86,26 +93,22 @@ def scoring_windows(feat: DataFrame, requests: DataFrame, cols: list[str],
     """Scoring sequences in long form (q3): every requested player with input
     frames gets exactly ``n`` steps; missing leading steps are pad rows equal
     to the group mean; what is still null becomes 0."""
-    keys = requests.select(*PLAYER).distinct()
-    f = feat.join(keys, PLAYER, "left_semi")
-    means = _group_means(f, cols)
-    f = f.withColumns({f"_m_{c}": m for c, m in means.items()})
-    t = tail_window(f, n)
     fk = _frame_key(cols)
-    # One pass, no union: the oldest real row of a short group also emits the
+    t = _windowed(feat, requests, cols, n)
+    # One pass, no union: the oldest kept row of a short group also emits the
     # pad rows before it (k < n - group_rows), every other row emits itself.
     short = F.col("group_rows") < n
-    k = F.explode(F.when((F.col("step") == 0) & short, F.sequence(F.lit(0), F.lit(n) - F.col("group_rows")))
+    oldest = F.col("_rd") == F.col("group_rows")
+    k = F.explode(F.when(oldest & short, F.sequence(F.lit(0), F.lit(n) - F.col("group_rows")))
                   .otherwise(F.array(F.lit(-1))))
     t = t.withColumn("_k", k)
     pad = (F.col("_k") >= 0) & (F.col("_k") < F.lit(n) - F.col("group_rows"))
-    shift = F.greatest(F.lit(n) - F.col("group_rows"), F.lit(0))
     return t.select(
         *PLAYER,
-        F.when(pad, F.col("_k")).otherwise(F.col("step") + shift).cast("int").alias("step"),
+        F.when(pad, F.col("_k")).otherwise(F.lit(n) - F.col("_rd")).cast("int").alias("step"),
         *[F.when(~pad, F.col(c)).alias(c) for c in fk],
         F.when(~pad, F.col("play_direction")).alias("play_direction"),
-        *[F.coalesce(F.when(~pad, F.col(c).cast("double")), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in cols])
+        *[F.coalesce(F.when(~pad, F.col(c)), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in cols])
 
 
 def last_step(windows: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:
