@@ -16,9 +16,15 @@ def con():
     return duck(SF_SMALL)
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
+    df = QUERIES[name](spark, SF_SMALL)
+    types = {f.name: SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert types == {r[0]: r[1] for r in con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()}
+    got = df.toPandas()
     want = con.execute(ORACLE[name]).df()
     gc, gr = rows_of(got)
     wc, wr = rows_of(want)

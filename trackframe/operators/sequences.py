@@ -156,7 +156,7 @@ def history_sequences(history: DataFrame, samples: DataFrame, cols: list[str],
     zero_rows = (smp.where(upper >= 0)
                  .select("id", *PLAYER, F.explode(F.sequence(F.lit(0), upper)).alias("pos"),
                          *[F.lit(0.0).alias(c) for c in cols]))
-    return query.unionByName(hist).unionByName(zero_rows)
+    return query.unionByName(hist).unionByName(zero_rows).withColumn("pos", F.col("pos").cast("int"))
 
 
 def graph_nodes(samples: DataFrame, cols: list[str]) -> DataFrame:
