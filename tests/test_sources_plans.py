@@ -99,3 +99,22 @@ def test_stream_equals_batch_for_any_batch_size(spark):
     for n in (1, 3):
         got = rows_of(stream.stream_last_state(spark, inp, files_per_trigger=n).toPandas())
         assert got == batch
+
+
+def test_stream_state_expiry_with_watermark(spark):
+    """st5: with an event-time column and a watermark, a play's state is
+    emitted (and dropped) once the watermark passes it; every emitted player
+    equals its batch last state."""
+    inp, _ = trk.tracking_tables(spark, SF_MID)
+    # plays start 60 s apart; frames are 0.1 s
+    clock = F.timestamp_seconds((F.col("game_id") * 10 + F.col("play_id")) * 60 + F.col("frame_id") * 0.1)
+    timed = inp.select("game_id", "play_id", "nfl_id", "frame_id", "x", "y", clock.alias("event_time"))
+    got = stream.stream_last_state(spark, timed, files_per_trigger=1, watermark="1 minute",
+                                   event_time="event_time").select(*trk.PLAYER, "frame_id", "x", "y")
+    want = REGISTRY["last_state"](spark, SF_MID).select(*trk.PLAYER, "frame_id", "x", "y")
+    n_got = got.count()
+    assert n_got > 0
+    assert got.join(want, [*trk.PLAYER, "frame_id", "x", "y"], "left_anti").count() == 0
+    plays_total = want.select(*trk.PLAY).distinct().count()
+    plays_out = got.select(*trk.PLAY).distinct().count()
+    assert plays_out >= plays_total - 2  # only the newest plays may still be open
