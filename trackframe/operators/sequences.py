@@ -64,8 +64,7 @@ def _windowed(feat: DataFrame, requests: DataFrame, cols: list[str], n: int) ->
     rank from the end, in one projection (one Window operator over the player
     sort)."""
     fk = _frame_key(cols)
-    keys = requests.select(*PLAYER).distinct()
-    f = feat.join(keys, PLAYER, "left_semi")
+    f = feat if requests is None else feat.join(requests.select(*PLAYER).distinct(), PLAYER, "left_semi")
     asc = Window.partitionBy(*PLAYER).orderBy("frame_id")
     whole = Window.partitionBy(*PLAYER)
     size = F.count(F.lit(1)).over(whole)
@@ -88,11 +87,12 @@ def training_windows(feat: DataFrame, targets: DataFrame, cols: list[str],
                     "play_direction", *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in cols])
 
 
-def scoring_windows(feat: DataFrame, requests: DataFrame, cols: list[str],
+def scoring_windows(feat: DataFrame, requests: DataFrame | None, cols: list[str],
                     n: int = WINDOW_SIZE) -> DataFrame:
     """Scoring sequences in long form (q3): every requested player with input
     frames gets exactly ``n`` steps; missing leading steps are pad rows equal
-    to the group mean; what is still null becomes 0."""
+    to the group mean; what is still null becomes 0.  ``requests=None`` makes
+    windows for every player with input (a later keyed join selects)."""
     fk = _frame_key(cols)
     t = _windowed(feat, requests, cols, n)
     # One pass, no union: the oldest kept row of a short group also emits the
@@ -185,15 +185,18 @@ def cumulative(df: DataFrame, cols: list[str], order: str = "step") -> DataFrame
     return df.withColumns({f"cum_{c}": F.sum(c).over(w) for c in cols})
 
 
-def reconstruct(requests: DataFrame, steps: DataFrame, anchors: DataFrame,
+def reconstruct(requests: DataFrame, steps: DataFrame, anchors: DataFrame | None = None,
                 horizon: int = MAX_HORIZON) -> DataFrame:
     """Predicted positions keyed by request id (m7): the request's held step is
     joined to the model's cumulative offset at that step, added to the last
     unified position, clipped, mapped back to the play direction and clipped
     again.  ``steps``: (player, step, dx, dy) cumulative offsets; ``anchors``:
-    (player, play_direction, last_x, last_y)."""
+    (player, play_direction, last_x, last_y), or None when the step rows
+    already carry those columns (one join instead of two)."""
     r = horizon_steps(requests, horizon)
-    j = r.join(steps, [*PLAYER, "step"], "left").join(anchors, PLAYER, "left")
+    j = r.join(steps, [*PLAYER, "step"], "left")
+    if anchors is not None:
+        j = j.join(anchors, PLAYER, "left")
     xu = clip(F.col("last_x") + F.col("dx"), 0.0, FIELD_LENGTH)
     yu = clip(F.col("last_y") + F.col("dy"), 0.0, FIELD_WIDTH)
     right = direction.is_right()

@@ -343,14 +343,17 @@ def q_horizon_hold(spark, sf_dir):
     base = features_b.base_features(direction.unify_left(inp))
     cols = ["x", "y", "velocity_x", "velocity_y"]
     requests = out.select(*trk.PLAYER, "frame_id", trk.row_id().alias("id"))
-    w = sequences.scoring_windows(base, requests, cols)
+    # windows for every player with input; the keyed join to the requests
+    # selects; each step row carries its anchor, so the windows are read once
+    w = sequences.scoring_windows(base, None, cols)
     last = w.where(F.col("step") == sequences.WINDOW_SIZE - 1)
-    anchors = last.select(*trk.PLAYER, "play_direction", F.col("x").alias("last_x"), F.col("y").alias("last_y"))
-    per_step = last.select(*trk.PLAYER, F.explode(F.sequence(F.lit(0), F.lit(sequences.MAX_HORIZON - 1))).alias("step"),
+    per_step = last.select(*trk.PLAYER, "play_direction", F.col("x").alias("last_x"), F.col("y").alias("last_y"),
+                           F.explode(F.sequence(F.lit(0), F.lit(sequences.MAX_HORIZON - 1))).alias("step"),
                            (F.col("velocity_x") * 0.1).alias("sdx"), (F.col("velocity_y") * 0.1).alias("sdy"))
     steps = sequences.cumulative(per_step, ["sdx", "sdy"]).select(
-        *trk.PLAYER, "step", F.col("cum_sdx").alias("dx"), F.col("cum_sdy").alias("dy"))
-    rec = sequences.reconstruct(requests, steps, anchors)
+        *trk.PLAYER, "step", "play_direction", "last_x", "last_y",
+        F.col("cum_sdx").alias("dx"), F.col("cum_sdy").alias("dy"))
+    rec = sequences.reconstruct(requests, steps)
     return r6(rec.select("id", *trk.PLAY, "nfl_id", "frame_id", "step", "x", "y"), ["x", "y"])
 
 
