@@ -74,11 +74,13 @@ def _windowed(feat: DataFrame, requests: DataFrame, cols: list[str], n: int) ->
     return t.where(F.col("_rd") <= n)
 
 
-def training_windows(feat: DataFrame, targets: DataFrame, cols: list[str],
+def training_windows(feat: DataFrame, targets: DataFrame | None, cols: list[str],
                      n: int = WINDOW_SIZE) -> DataFrame:
     """Training sequences in long form (q2): players with output rows and at
     least ``n`` input frames; the last ``n`` frames, nulls filled with the
-    whole-group mean; a player with any null left is dropped."""
+    whole-group mean; a player with any null left is dropped.  With
+    ``targets=None`` every player with input gets a window (a later keyed
+    join to the targets selects)."""
     # a value is still null after the fill only if its column is null in the
     # whole group (its mean is null), so the drop rule reads the means
     bad = F.greatest(*[F.col(f"_m_{c}").isNull() for c in cols])
@@ -117,12 +119,13 @@ def last_step(windows: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:
         *PLAYER, "frame_id", "play_direction", F.col("x").alias("last_x"), F.col("y").alias("last_y"))
 
 
-def target_deltas(out: DataFrame, inp: DataFrame, windows: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:
+def target_deltas(out: DataFrame, windows: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:
     """Target offsets from the last input position, in unified coordinates (q4):
-    one row per output frame of every player with a training window."""
-    out_u = direction.apply_direction(out.drop("play_direction"), direction.direction_map(inp))
-    last = last_step(windows, n).drop("frame_id", "play_direction")
-    t = out_u.join(last, PLAYER, "inner")
+    one row per output frame of every player with a training window.  The
+    play direction comes with the window's last step (one per play), so the
+    output rows need no separate direction-map join."""
+    last = last_step(windows, n).drop("frame_id")
+    t = direction.unify_left(out.drop("play_direction").join(last, PLAYER, "inner"))
     return t.select(*PLAYER, "frame_id", "play_direction",
                     (F.col("x") - F.col("last_x")).alias("dx"), (F.col("y") - F.col("last_y")).alias("dy"))
 

@@ -303,8 +303,10 @@ def q_target_deltas(spark, sf_dir):
     inp, out = _tables(spark, sf_dir)
     feat = sequences.feature_pipeline_b(inp)
     cols = sequences.feature_columns_b(feat)
-    w = sequences.training_windows(feat, out, cols)
-    return r6(sequences.target_deltas(out, inp, w), ["dx", "dy"])
+    # windows for every player with input: the inner join to the output rows
+    # selects the targets, so the output table is read once
+    w = sequences.training_windows(feat, None, cols)
+    return r6(sequences.target_deltas(out, w), ["dx", "dy"])
 
 
 HIST_FEATURES = ["x_input", "y_input", "s_input", "a_input", "dir_input", "o_input", "vx", "vy",
