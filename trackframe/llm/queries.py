@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trackframe.llm import exact_dedup
+from trackframe.llm import exact_dedup, simhash
 
 QUERIES = {
+    "op6_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
