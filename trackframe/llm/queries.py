@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from trackframe.llm import exact_dedup, simhash
+from trackframe.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_sharding": sharding.query,
     "op6_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
 }
