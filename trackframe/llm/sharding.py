@@ -4,7 +4,7 @@ A group is all rows of one text.  A group over ``1 / HEAVY`` of a shard's share
 its own, and one over a whole share is split into items of at most a quarter of it, dealt by a hash of its row's id.
 The other groups are dealt by the hash of their text into ``BUNDLES`` items per shard.  Largest items first, each goes
 to the shard where the dot product of its vector with the residual capacity (all in shares of the total) is highest,
-among the shards that have room in each dimension, else among all.  The items are bounded by the number of shards,
+among the shards that have room in each dimension; an item that fits nowhere goes where the most bytes are left.  The items are bounded by the number of shards,
 whatever the rows, so the driver packs them; rows meet only as sums by text and by bundle.
 
 Law ``bytes``: the shards' sizes come out near equal (measured in the README).
@@ -31,9 +31,8 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     left = np.full((shards, items.shape[1]), 1 / shards)
     out = np.zeros(len(items), np.int64)
     for i in np.argsort(-items.max(axis=1), kind="stable"):
-        dot = left @ items[i]
         room = (left >= items[i]).all(axis=1)
-        out[i] = np.argmax(np.where(room, dot, -np.inf)) if room.any() else np.argmax(dot)
+        out[i] = np.argmax(np.where(room, left @ items[i], -np.inf)) if room.any() else np.argmax(left[:, 0])
         left[out[i]] -= items[i]
     return out
 
