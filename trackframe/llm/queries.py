@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trackframe.llm import exact_dedup, mixing, sharding, simhash
+from trackframe.llm import exact_dedup, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
+    "op3_language_id": langid.query,
     "op6_simhash": simhash.query,
     "op8_exact_dedup": exact_dedup.query,
 }
