@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackframe.llm import exact_dedup
+from trackframe.llm import exact_dedup, langid, mixing, pieces, simhash
 from trackframe.llm.common import written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or unlike every learned language go."""
+    return langid.identified(docs)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest doc_id stays."""
     return exact_dedup.deduplicated(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays (4-word shingles, at most 4 bits)."""
+    return simhash.deduplicated(docs, width=4, radius=4)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; they are written in the order of the mix, which the last stage keeps."""
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces."""
+    return pieces.encode(docs)
+
+
+STAGES = [("language ID", identify_language), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies),
+          ("mixing to target weights", mix_sources), ("SentencePiece", encode_pieces)]
 ORACLE_SQL = None  # learned models and hash-ordered choices: tested against brute force in tests/llm
 
 

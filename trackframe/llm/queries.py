@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from trackframe.llm import exact_dedup, langid, mixing, sharding, simhash
+from trackframe.llm import exact_dedup, langid, mixing, pieces, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
     "op3_language_id": langid.query,
     "op6_simhash": simhash.query,
+    "op9_sentencepiece": pieces.query,
     "op8_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
