@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from trackframe.llm import exact_dedup, langid, lm_scoring, mixing, order_minhash, pieces, sharding, simhash
+from trackframe.llm import exact_dedup, html_text, langid, lm_scoring, mixing, order_minhash, pieces, pii, sharding, simhash
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
     "op3_language_id": langid.query,
     "op4_order_minhash": order_minhash.query,
+    "op5_pii": pii.query,
+    "op7_html_text": html_text.query,
     "op6_simhash": simhash.query,
     "op10_lm_scoring": lm_scoring.query,
     "op9_sentencepiece": pieces.query,
