@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trackframe.llm import exact_dedup, langid, mixing, pieces, simhash
-from trackframe.llm.common import written
+from trackframe.llm.common import shipped, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.encode(docs)
 
 
-STAGES = [("language ID", identify_language), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies),
-          ("mixing to target weights", mix_sources), ("SentencePiece", encode_pieces)]
+STAGES = [(name, shipped(stage)) for name, stage in (
+    ("language ID", identify_language), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies),
+    ("mixing to target weights", mix_sources), ("SentencePiece", encode_pieces))]
 ORACLE_SQL = None  # learned models and hash-ordered choices: tested against brute force in tests/llm
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import pathlib
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +16,29 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once a Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_shipped", False):
+        return
+    top = pathlib.Path(__file__).parents[2]
+    bundle = f"{tempfile.mkdtemp(prefix='llm-code-')}/trackframe_code.zip"
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(pathlib.Path(__file__).parents[1].rglob("*.py")):
+            z.write(f, f.relative_to(top))
+    sc.addPyFile(bundle)
+    sc._llm_shipped = True
+
+
+def shipped(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``fn`` (spark, ...) behind ``ship``."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
+        return fn(spark, *args)
+    return run
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

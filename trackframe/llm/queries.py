@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from trackframe.llm import exact_dedup, html_text, langid, lm_scoring, mixing, order_minhash, pieces, pii, sharding, simhash
+from trackframe.llm.common import shipped
 
-QUERIES = {
+QUERIES = {name: shipped(fn) for name, fn in {
     "op1_mixing": mixing.query,
     "op2_sharding": sharding.query,
     "op3_language_id": langid.query,
@@ -15,7 +16,7 @@ QUERIES = {
     "op10_lm_scoring": lm_scoring.query,
     "op9_sentencepiece": pieces.query,
     "op8_exact_dedup": exact_dedup.query,
-}
+}.items()}
 ORACLE = {
     "op8_exact_dedup": exact_dedup.SQL,
 }
