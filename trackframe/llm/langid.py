@@ -8,7 +8,8 @@ hashes in sorted arrays, found by binary search.  The language with the lowest c
 Fitting reads a bounded sample of the labelled rows: rows whose id hash falls below a share that brings each language
 to ``SAMPLE_CHARS`` / languages characters, so the model (broadcast) is bounded.  Rejection is calibrated on other
 labelled rows (``CALIBRATE_CHARS``): a text's excess over its language's mean cross-entropy, in units of the deviation
-expected at its length, must not pass ``SLACK`` times what 99.9 percent of these rows show.
+expected at its length (``LEAST_SPREAD`` between texts at least), must not pass ``SLACK`` times what 99.9 percent of
+these rows show, and ``LEAST_LIMIT`` at least.
 
 Defined cases: an empty table gives an empty result; null text or one without a letter is ``und`` with score 0 and is
 rejected; without any labelled row every text is ``und``; only id, text and label are read, whatever the other columns'
@@ -34,6 +35,8 @@ SAMPLE_CHARS = 2_000_000
 CALIBRATE_CHARS = 1_000_000
 CHUNK = 1 << 20
 SLACK = 2.0
+LEAST_SPREAD = 0.15  # nats: texts that mix languages or repeat a word differ by as much and are no reason to reject
+LEAST_LIMIT = 10.0
 P = np.uint64(0x9E3779B97F4A7C15)
 LETTER: list[np.ndarray] = []
 
@@ -209,10 +212,9 @@ def fit(labelled: DataFrame) -> Model | None:
             continue
         model.mean[j] = np.average(t["entropy"], weights=t["n"])
         model.noise[j] = np.average(t["variance"], weights=t["n"])
-        off = (t["entropy"] - model.mean[j]) ** 2
-        model.spread[j] = max(1e-4, np.average(off, weights=t["n"]))
+        model.spread[j] = max(LEAST_SPREAD ** 2, ((t["entropy"] - model.mean[j]) ** 2 - model.noise[j] / t["n"]).mean())
         worst.append(np.quantile((t["entropy"] - model.mean[j]) / np.sqrt(model.spread[j] + model.noise[j] / t["n"]), 0.999))
-    model.limit = SLACK * max(worst) if len(worst) > 1 else math.inf
+    model.limit = max(LEAST_LIMIT, SLACK * max(worst)) if len(worst) > 1 else math.inf
     return model
 
 
