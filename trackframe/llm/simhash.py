@@ -223,7 +223,7 @@ def links(fps: DataFrame, n: int, radius: int, bucket: int = BUCKET, refine: int
         used = sorted({m for m in level})
         finer = {m: [m | s for s in masks([b for b in range(64) if not m >> b & 1], radius + 2, 2)] for m in used}
         table = fps.sparkSession.createDataFrame([(signed(m), signed(x)) for m, xs in finer.items() for x in xs], "mask long, finer long")
-        crowd = crowd.join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND("finer").alias("value"))
+        crowd = crowd.join(F.broadcast(table), "mask").select("fp", F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"))
         rows, level = written(crowd.distinct(), f"dealt{step}"), sorted({x for xs in finer.values() for x in xs})
     return written(found.distinct(), "links")
 
