@@ -63,7 +63,7 @@ def test_rolling_std_one_row_is_zero(spark):
 def test_ema_matches_pandas(spark, values):
     rows = [(1, 1, 1, i + 1, v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "game_id long, play_id long, nfl_id long, frame_id long, v double")
-    got = [r["e"] for r in df.select("frame_id", temporal.ema("v").alias("e")).orderBy("frame_id").collect()]
+    got = [r["e"] for r in temporal.ema(df, {"e": "v"}).select("frame_id", "e").orderBy("frame_id").collect()]
     want = pd.Series(values, dtype=float).ewm(alpha=0.3, adjust=False).mean().tolist()
     for g, w in zip(got, want):
         if math.isnan(w):
@@ -76,7 +76,7 @@ def test_ema_long_series_bounded_frame(spark):
     values = list(np.sin(np.arange(400) / 7.0))
     rows = [(1, 1, 1, i + 1, float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "game_id long, play_id long, nfl_id long, frame_id long, v double")
-    got = [r["e"] for r in df.select("frame_id", temporal.ema("v").alias("e")).orderBy("frame_id").collect()]
+    got = [r["e"] for r in temporal.ema(df, {"e": "v"}).select("frame_id", "e").orderBy("frame_id").collect()]
     want = pd.Series(values).ewm(alpha=0.3, adjust=False).mean().tolist()
     assert np.allclose(got, want, atol=1e-12)
 
@@ -103,3 +103,16 @@ def test_physics_fallback_to_centre(spark):
     r = {x["id"]: x for x in predict.physics_baseline(df).collect()}
     assert (r["a"]["x"], r["a"]["y"], r["a"]["fallback"]) == (50.0, 26.65, True)
     assert r["b"]["x"] == pytest.approx(10.5) and r["b"]["y"] == pytest.approx(20.0) and not r["b"]["fallback"]
+
+
+@pytest.mark.parametrize("gaps", [[1], [3], [109], [110], [111], [500], [3] * 60, [7, 120, 2, 300]])
+def test_ema_over_any_gap(spark, gaps):
+    import pandas as pd
+    values = [None, None]
+    for i, g in enumerate(gaps):
+        values += [float(i * 7 % 11), float(i % 5)] + [None] * g
+    values += [4.0, None]
+    df = spark.createDataFrame([(1, 1, 1, k, v) for k, v in enumerate(values)], "game_id long, play_id long, nfl_id long, frame_id long, v double")
+    got = [r["e"] for r in temporal.ema(df, {"e": "v"}).orderBy("frame_id").collect()]
+    want = pd.Series(values, dtype=float).ewm(alpha=0.3, adjust=False).mean().tolist()
+    assert all((a is None and b != b) or abs(a - b) < 1e-9 for a, b in zip(got, want))

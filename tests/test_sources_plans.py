@@ -81,7 +81,7 @@ def test_sequence_predict_with_numpy_model(spark):
 
 
 def test_train_job_and_bundle_roundtrip(spark, tmp_dir):
-    inp, out = trk.tracking_tables(spark, SF_SMALL)
+    inp, out = trk.tracking_tables(spark, SF_MID)
     res = training.train_gbdt(inp, out, bundle_path=f"{tmp_dir}/bundle", max_iter=2, max_depth=3)
     rep = res.report.first()
     assert rep["n"] > 0 and rep["rmse"] >= 0
@@ -93,28 +93,77 @@ def test_train_job_and_bundle_roundtrip(spark, tmp_dir):
     assert p.where(F.col("x").isNull()).count() == 0
 
 
-def test_stream_equals_batch_for_any_batch_size(spark):
+def test_an_empty_training_side_is_an_error(spark):
+    from trackframe.operators import modeling
+    one = spark.createDataFrame([(2024090100, 1)], "game_id long, play_id long")
+    side = modeling.split_by_play(one).first()["is_val"]
+    if side:
+        with pytest.raises(modeling.EmptyTrainingSplit):
+            modeling.split_frames(one)
+    else:
+        train, val, some = modeling.split_frames(one)
+        assert train.count() == 1 and val.count() == 0 and not some
+    with pytest.raises(modeling.EmptyTrainingSplit):
+        modeling.split_frames(one, val_ratio=1.0)
+
+
+@pytest.mark.parametrize("files,per_trigger", [(1, 1), (7, 1), (7, 3)])
+def test_stream_equals_batch_for_any_batch_size(spark, files, per_trigger):
+    """st3, st5: every player, for any number of files and batches."""
+    inp, out = trk.tracking_tables(spark, SF_MID)
+    want = REGISTRY["last_state"](spark, SF_MID)
+    done: list[int] = []
+    got = stream.stream_last_state(spark, inp, per_trigger, files, done)
+    buckets = stream.with_bucket(inp.select(*trk.PLAY), files).select(stream.BUCKET).distinct().count()
+    assert len(done) == -(-buckets // per_trigger) and (files == 1 or len(done) > 1)
+    assert rows_of(got.toPandas()) == rows_of(want.toPandas())
+
+
+def test_partial_states_merge_whatever_the_cut(spark):
+    """Halves of plays in any order, nulls in between: the merged state is the whole one."""
+    inp, _ = trk.tracking_tables(spark, SF_SMALL)
+    holes = inp.withColumn("s", F.when(F.col("frame_id") % 3 != 0, F.col("s")))
+    cols = [c for c in inp.columns if c not in trk.PLAYER and c != "frame_id"]
+    late = stream.partial(holes.where("frame_id % 2 = 0"), cols).unionByName(stream.partial(holes.where("frame_id % 2 = 1"), cols))
+    assert rows_of(stream.merged(late, inp.columns, cols).toPandas()) == rows_of(stream.partial(holes, cols).select(*inp.columns).toPandas())
+
+
+def test_stream_score_reads_only_its_buckets(spark):
     inp, out = trk.tracking_tables(spark, SF_SMALL)
-    batch = rows_of(REGISTRY["last_state"](spark, SF_SMALL).toPandas())
-    for n in (1, 3):
-        got = rows_of(stream.stream_last_state(spark, inp, files_per_trigger=n).toPandas())
-        assert got == batch
-
-
-def test_stream_state_expiry_with_watermark(spark):
-    """st5: with an event-time column and a watermark, a play's state is
-    emitted (and dropped) once the watermark passes it; every emitted player
-    equals its batch last state."""
-    inp, _ = trk.tracking_tables(spark, SF_MID)
-    # plays start 60 s apart; frames are 0.1 s
-    clock = F.timestamp_seconds((F.col("game_id") * 10 + F.col("play_id")) * 60 + F.col("frame_id") * 0.1)
-    timed = inp.select("game_id", "play_id", "nfl_id", "frame_id", "x", "y", clock.alias("event_time"))
-    got = stream.stream_last_state(spark, timed, files_per_trigger=1, watermark="1 minute",
-                                   event_time="event_time").select(*trk.PLAYER, "frame_id", "x", "y")
-    want = REGISTRY["last_state"](spark, SF_MID).select(*trk.PLAYER, "frame_id", "x", "y")
-    n_got = got.count()
-    assert n_got > 0
-    assert got.join(want, [*trk.PLAYER, "frame_id", "x", "y"], "left_anti").count() == 0
-    plays_total = want.select(*trk.PLAY).distinct().count()
-    plays_out = got.select(*trk.PLAY).distinct().count()
-    assert plays_out >= plays_total - 2  # only the newest plays may still be open
+    want = scoring.predict(out.select(*trk.PLAYER, "frame_id"), inp)
+    got = stream.stream_score(spark, out.select(*trk.PLAYER, "frame_id"), inp, 1, 5)
+    assert rows_of(got.select("id", "x", "y").toPandas()) == rows_of(want.select("id", "x", "y").toPandas())
+
+
+def test_csv_columns_bind_by_name(spark, tmp_dir):
+    import os
+    os.makedirs(f"{tmp_dir}/csv")
+    with open(f"{tmp_dir}/csv/test.csv", "w") as f:
+        f.write("game_id,play_id,nfl_id,frame_id,id\n7,8,9,10,a\n")
+    with open(f"{tmp_dir}/csv/test_input.csv", "w") as f:
+        f.write("x,game_id,play_id,nfl_id,frame_id,other\n1.5,7,8,9,10,z\n")
+    test, inputs = files.load_test_data(spark, f"{tmp_dir}/csv")
+    assert test.first().asDict() == {"id": "a", "game_id": 7, "play_id": 8, "nfl_id": 9, "frame_id": 10}
+    assert inputs.columns == files.INPUT_SCHEMA.names
+    assert inputs.first()["x"] == 1.5 and inputs.first()["game_id"] == 7 and inputs.first()["y"] is None
+
+
+def test_missing_output_files_twice(spark, tmp_dir):
+    import os
+    os.makedirs(f"{tmp_dir}/weeks")
+    with open(f"{tmp_dir}/weeks/input_2023_w01.csv", "w") as f:
+        f.write("game_id,play_id\n1,2\n")
+    for _ in range(2):
+        _, out = files.load_training_data(spark, f"{tmp_dir}/weeks")
+        assert out.columns == ["game_id", "play_id", "nfl_id", "frame_id", "x", "y", "week"]
+        assert dict(out.dtypes)["week"] == "int"
+    assert files.OUTPUT_SCHEMA.names == ["game_id", "play_id", "nfl_id", "frame_id", "x", "y"]
+
+
+def test_two_directions_fail_and_never_multiply(spark):
+    from trackframe.operators import direction
+    rows = spark.createDataFrame([(1, 1, 5.0, 6.0), (1, 2, 5.0, 6.0)], "game_id long, play_id long, x double, y double")
+    both = spark.createDataFrame([(1, 1, "left"), (1, 1, "right"), (1, 2, "right")], "game_id long, play_id long, play_direction string")
+    assert direction.apply_direction(rows, both.where("play_id = 2")).count() == 2
+    with pytest.raises(Exception, match="two directions in play 1/1"):
+        direction.apply_direction(rows, both).collect()

@@ -61,9 +61,13 @@ def direction_map(df: DataFrame) -> DataFrame:
 
 
 def apply_direction(df: DataFrame, dir_map: DataFrame) -> DataFrame:
-    """Attach the play direction when missing, then unify (j4)."""
+    """Attach the play direction when missing, then unify (j4).  Rows never multiply: a play with two directions
+    fails the query (``direction_violations`` counts such plays beforehand)."""
     if "play_direction" not in df.columns:
-        df = df.join(dir_map, PLAY, "left")
+        several = F.raise_error(F.concat(F.lit("two directions in play "), F.concat_ws("/", *PLAY)))
+        one = dir_map.groupBy(*PLAY).agg(F.min("play_direction").alias("lo"), F.max("play_direction").alias("hi"))
+        one = one.select(*PLAY, F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), several.cast("string")).alias("play_direction"))
+        df = df.join(one, PLAY, "left")
     return unify_left(df)
 
 

@@ -22,23 +22,26 @@ class MetricInputError(ValueError):
 
 
 def _check(solution: DataFrame, submission: DataFrame, id_col: str) -> None:
-    if id_col not in solution.columns:
-        raise MetricInputError(f"Solution file missing required column: '{id_col}'")
-    if id_col not in submission.columns:
-        raise MetricInputError(f"Submission file missing required column: '{id_col}'")
-    for name, df in (("Solution", solution), ("Submission", submission)):
-        missing = set(TARGET) - set(df.columns)
-        if missing:
-            raise MetricInputError(f"{name} file missing required columns: {sorted(missing)}")
+    wanted = {id_col, *TARGET}
+    lacking = {side: sorted(wanted - set(df.columns)) for side, df in (("truth", solution), ("prediction", submission))}
+    if any(lacking.values()):
+        raise MetricInputError("; ".join(f"{side} lacks {', '.join(cols)}" for side, cols in lacking.items() if cols))
 
 
 def paired(solution: DataFrame, submission: DataFrame, id_col: str = "id") -> DataFrame:
-    """Inner join on the id with ``_true`` / ``_pred`` suffixes (j7)."""
+    """Inner join on the id alone with ``_true`` / ``_pred`` suffixes (j7), whatever other columns the sides carry."""
     _check(solution, submission, id_col)
-    keys = [id_col] + [k for k in PLAY if k in solution.columns and k in submission.columns]
-    sol = solution.select(*keys, *[F.col(c).alias(f"{c}_true") for c in TARGET])
-    sub = submission.select(*keys, *[F.col(c).alias(f"{c}_pred") for c in TARGET])
-    return sol.join(sub, keys, "inner")
+    sol = solution.select(id_col, *[F.col(c).alias(f"{c}_true") for c in TARGET])
+    sub = submission.select(id_col, *[F.col(c).alias(f"{c}_pred") for c in TARGET])
+    return sol.join(sub, id_col, "inner")
+
+
+def key_disagreements(solution: DataFrame, submission: DataFrame, keys: list[str] = PLAY, id_col: str = "id") -> DataFrame:
+    """One row: pairs of one id whose other ``keys`` differ (null equals null)."""
+    sub = submission.select(id_col, *[F.col(k).alias(f"_{k}") for k in keys])
+    pairs = solution.select(id_col, *keys).join(sub, id_col)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return pairs.agg(F.count_if(~F.greatest(F.lit(False), F.array_min(F.array(*same)))).alias("disagreeing"))
 
 
 def rmse_report(solution: DataFrame, submission: DataFrame, id_col: str = "id") -> DataFrame:

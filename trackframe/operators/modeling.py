@@ -39,15 +39,18 @@ def split_by_play(df: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> Data
     return df.withColumn("is_val", play_hash(seed) < F.lit(int(val_ratio * 2 ** 32)))
 
 
-def split_frames(df: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
-    """(train, validation) by play.  One small aggregate counts both sides; if
-    either is empty (very few plays) everything trains and there is no
-    validation set, rather than fitting on nothing."""
+class EmptyTrainingSplit(ValueError):
+    """No play fell to the training side of the split."""
+
+
+def split_frames(df: DataFrame, val_ratio: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame, bool]:
+    """(train, validation, whether validation has rows) by play.  Validation rows are never training rows: with few
+    plays the validation frame may be empty, and reports over it have n = 0; an empty training side is an error."""
     flagged = split_by_play(df, val_ratio, seed)
     n = flagged.agg(F.count_if(F.col("is_val")).alias("v"), F.count_if(~F.col("is_val")).alias("t")).first()
-    if n["v"] == 0 or n["t"] == 0:
-        return flagged, None
-    return flagged.where(~F.col("is_val")), flagged.where(F.col("is_val"))
+    if n["t"] == 0:
+        raise EmptyTrainingSplit(f"no training play at val_ratio={val_ratio}, seed={seed}")
+    return flagged.where(~F.col("is_val")), flagged.where(F.col("is_val")), n["v"] > 0
 
 
 def fold_of_play(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

@@ -52,12 +52,11 @@ def physics_columns(df: DataFrame) -> tuple[F.Column, F.Column]:
 def physics_baseline(samples: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keyed physics predictions (id, x, y, fallback) clipped to the field (f28, f29).
 
-    ``fallback`` marks rows that got the field centre because their player
-    had no input state at all.
+    ``fallback`` marks rows that got a coordinate of the field centre because their player's input state lacks it.
     """
     px, py = physics_columns(samples)
     has_pos = "x_input" in samples.columns
-    fallback = F.col("x_input").isNull() if has_pos else F.lit(True)
+    fallback = (F.col("x_input").isNull() | F.col("y_input").isNull()) if has_pos else F.lit(True)
     keys = [c for c in PLAY if c in samples.columns]
     out = samples.select("id", *keys, *keep, px.alias("x"), py.alias("y"), fallback.alias("fallback"))
     return clip_to_field(out)

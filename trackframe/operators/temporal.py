@@ -37,38 +37,41 @@ def lag_features(df: DataFrame, lags=(1, 2, 3, 4, 5),
 
 
 def ema_horizon(alpha: float, eps: float = 1e-17) -> int:
-    """Rows after which older terms weigh less than ``eps`` relative to the newest."""
+    """Observations after which older ones weigh less than ``eps`` relative to the newest."""
     return int(math.ceil(math.log(eps) / math.log(1.0 - alpha)))
 
 
-def ema(c: str, alpha: float = 0.3, order: str = "frame_id") -> F.Column:
-    """Non-adjusted exponential moving average with the tabular null rule (w2, n7).
+def ema(df: DataFrame, spec: dict[str, str], alpha: float = 0.3, order: str = "frame_id") -> DataFrame:
+    """Non-adjusted exponential moving averages ``{out: column}`` with the tabular null rule (w2, n7).
 
-    A fold over the last ``ema_horizon(alpha)`` rows carrying (value, weight):
-    a null row keeps the value and decays the weight, so the next observation
-    gets ``alpha / (w_old*(1-alpha) + alpha)``; rows before the first
-    observation are null.  Elements are collected as structs so nulls keep
-    their place.
+    A null row keeps the value and decays its weight, so an observation ``g`` rows after the last one gets
+    ``alpha / ((1-alpha)**g + alpha)``; rows before the first observation are null.  The non-null values of a player
+    are numbered, a null row having the number of the value it carries on, and the fold runs over the last
+    ``ema_horizon(alpha)`` observations.  An observation weighs at most ``1-alpha`` of the next one whatever the gap,
+    so older ones are below double precision, and a gap of any length loses nothing.
     """
-    keep = 1.0 - alpha
-    frame = rows_back(ema_horizon(alpha), order)
-    seq = F.collect_list(F.struct(F.col(c).cast("double").alias("v"))).over(frame)
-    init = F.struct(F.lit(None).cast("double").alias("w"), F.lit(1.0).alias("ow"))
+    keep, back = 1.0 - alpha, ema_horizon(alpha)
+    w = player_window(order)
+    seen = {f"_obs_{o}": F.count(F.col(c)).over(w) for o, c in spec.items()}
+    df = df.withColumns(seen | {"_row": F.row_number().over(w)})
 
-    def step(acc, e):
-        old = acc["ow"] * keep
-        mixed = F.when(acc["w"] == e["v"], acc["w"]).otherwise(
-            (old * acc["w"] + alpha * e["v"]) / (old + alpha))
-        return (F.when(acc["w"].isNull(), F.struct(e["v"].alias("w"), F.lit(1.0).alias("ow")))
-                .when(e["v"].isNull(), F.struct(acc["w"].alias("w"), old.alias("ow")))
-                .otherwise(F.struct(mixed.alias("w"), F.lit(1.0).alias("ow"))))
+    def fold(o: str, c: str) -> F.Column:
+        frame = player_window(f"_obs_{o}").rangeBetween(-back, 0)
+        value = F.struct(F.col(c).cast("double").alias("v"), F.col("_row").alias("at"))
+        seq = F.collect_list(F.when(F.col(c).isNotNull(), value)).over(frame)
 
-    return F.aggregate(seq, init, step, lambda acc: acc["w"])
+        def step(acc, e):
+            old = F.pow(F.lit(keep), e["at"] - acc["at"])
+            mixed = F.when(acc["v"] == e["v"], acc["v"]).otherwise((old * acc["v"] + alpha * e["v"]) / (old + alpha))
+            return F.struct(F.when(acc["v"].isNull(), e["v"]).otherwise(mixed).alias("v"), e["at"].alias("at"))
+        init = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("at"))
+        return F.aggregate(seq, init, step, lambda acc: acc["v"])
+    return df.withColumns({o: fold(o, c) for o, c in spec.items()}).drop("_row", *seen)
 
 
 def ema_features(df: DataFrame, alpha: float = 0.3) -> DataFrame:
     spec = {"velocity_x_ema": "velocity_x", "velocity_y_ema": "velocity_y", "speed_ema": "s"}
-    return df.withColumns({k: ema(v, alpha) for k, v in spec.items() if v in df.columns})
+    return ema(df, {k: v for k, v in spec.items() if v in df.columns}, alpha)
 
 
 def rolling_mean(df: DataFrame, window_size: int = 8,

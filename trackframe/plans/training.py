@@ -35,9 +35,9 @@ def train_gbdt(inp: DataFrame, out: DataFrame, val_ratio: float = 0.2, seed: int
     """Train, evaluate and report (m8); save the bundle when a path is given (io10)."""
     df = training_frame(inp, out)
     feats = features_a.present(df, features_a.FEATURES_A)
-    train, val = modeling.split_frames(df, val_ratio, seed)
-    models = modeling.train_xy(train, feats, val, seed=seed, **gbt_params)
-    scored = modeling.predict_xy(models, val if val is not None else train, feats)
+    train, val, some = modeling.split_frames(df, val_ratio, seed)
+    models = modeling.train_xy(train, feats, val if some else None, seed=seed, **gbt_params)
+    scored = modeling.predict_xy(models, val, feats)
     report = modeling.validation_report(scored)
     importance = modeling.feature_importance(models, feats, df.sparkSession)
     if bundle_path:

@@ -37,16 +37,13 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in CLUSTER_CONF.items():
         if key in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # static conf already fixed by the cluster
-            pass
-    ensure_checkpoint_dir(spark)
+        spark.conf.set(key, value)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a scratch one only if unset."""
+    """The session's checkpoint folder.  Where none is named, a local session (one machine) gets a scratch one, and a
+    cluster's is put into its warehouse, which driver and executors share."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -54,7 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    scratch = tempfile.mkdtemp(prefix="trackframe-ckpt-")
+    if spark.sparkContext.master.startswith("local"):
+        scratch = tempfile.mkdtemp(prefix="trackframe-ckpt-")
+    else:
+        scratch = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_trackframe_checkpoints"
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DoubleType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType)
 
 from trackframe.sources.tracking import PLAY, PLAYER
 
@@ -47,6 +47,20 @@ class NoTrackingFiles(FileNotFoundError):
     """No file matched the pattern (io3)."""
 
 
+def read_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV columns bound by the header's names, in any order (io1, io4, io6).
+
+    A file whose header differs from the first one's, and a line that does not parse, fail the read; a declared column
+    that the header lacks is null, and an undeclared one is left out.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    declared = {f.name: f for f in schema.fields}
+    in_file = StructType([declared.get(c, StructField(c, StringType())) for c in header])
+    df = spark.read.schema(in_file).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
+    cols = [F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return df.select(*cols, F.col("_metadata.file_name").alias("_file"))
+
+
 def _glob_exists(spark: SparkSession, pattern: str) -> bool:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -61,8 +75,8 @@ def read_weekly(spark: SparkSession, folder: str, pattern: str, schema: StructTy
     glob = f"{folder.rstrip('/')}/{pattern}"
     if not _glob_exists(spark, glob):
         raise NoTrackingFiles(glob)
-    df = spark.read.schema(schema).option("header", True).csv(glob)
-    df = df.withColumn("week", F.regexp_extract(F.col("_metadata.file_name"), WEEK_FROM_NAME, 1).cast("int"))
+    df = read_by_name(spark, glob, schema)
+    df = df.withColumn("week", F.regexp_extract("_file", WEEK_FROM_NAME, 1).cast("int")).drop("_file")
     if weeks:
         df = df.where(F.col("week").isin(list(weeks)))
     return df
@@ -76,18 +90,17 @@ def load_training_data(spark: SparkSession, folder: str, weeks: list[int] | None
     try:
         out = read_weekly(spark, folder, OUTPUT_PATTERN, OUTPUT_SCHEMA, weeks)
     except NoTrackingFiles:
-        out = spark.createDataFrame([], OUTPUT_SCHEMA.add(StructField("week", LongType())))
+        out = spark.createDataFrame([], StructType([*OUTPUT_SCHEMA.fields, StructField("week", IntegerType())]))
     return inp, out
 
 
 def load_test_data(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(test rows, test inputs) (io4, io6); the request rows must carry ``id``."""
-    test = spark.read.option("header", True).schema(TEST_SCHEMA).csv(f"{folder.rstrip('/')}/test.csv")
-    header = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/test.csv").columns
-    if "id" not in header:
-        raise ValueError("Row ID column 'id' not found in test files.")
-    test_input = spark.read.option("header", True).schema(INPUT_SCHEMA).csv(f"{folder.rstrip('/')}/test_input.csv")
-    return test, test_input
+    folder = folder.rstrip("/")
+    if "id" not in spark.read.option("header", True).csv(f"{folder}/test.csv").columns:
+        raise ValueError(f"{folder}/test.csv carries no request ids (column id)")
+    return (read_by_name(spark, f"{folder}/test.csv", TEST_SCHEMA).drop("_file"),
+            read_by_name(spark, f"{folder}/test_input.csv", INPUT_SCHEMA).drop("_file"))
 
 
 def write_tracking_parquet(df: DataFrame, path: str) -> None:

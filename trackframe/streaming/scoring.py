@@ -6,8 +6,8 @@ micro-batch holds some whole plays; the result does not depend on where the
 batches are cut, which the tests check against the batch operators.
 
 * ``stream_last_state`` keeps the last non-null value of every column per
-  player in the state store (st3): a streaming ``groupBy`` with ``max_by`` in
-  update mode, each batch writing only the keys it changed.
+  player (st3) as partial states, one table per micro-batch, merged by frame
+  when read; nothing has to expire (st5), and no row can come too late.
 * ``stream_score`` scores each micro-batch with ``foreachBatch`` (st2, st4):
   last state of the batch's plays, physics baseline, validation report, both
   written under ``batch_id=N`` with overwrite, so a replayed batch replaces
@@ -23,6 +23,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from trackframe.functions.nulls import last_non_null
 from trackframe.operators import predict, quality, state
@@ -30,71 +31,72 @@ from trackframe.session import ensure_checkpoint_dir
 from trackframe.sources.tracking import PLAY, PLAYER, row_id
 
 
+BUCKET = "play_bucket"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def with_bucket(df: DataFrame, files: int) -> DataFrame:
+    """``bucket``: the request file of the row's play, by a hash of the play key."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*PLAY), F.lit(files)).cast("int"))
+
+
 def write_play_files(df: DataFrame, path: str, files: int | None = None) -> str:
-    """Request files for the stream (st1): every play lies whole in exactly one
-    file (hash of the play key), and the number of files is bounded by
-    ``files`` (default: the shuffle partition count), not by the number of
-    plays, so the layout stays sane at any scale."""
+    """Request files for the stream (st1): every play lies whole in the folder of its bucket.  The number of buckets is
+    ``files`` (default: the shuffle partition count), not the number of plays, and holds whatever partitions are
+    coalesced, as the bucket is a partition column."""
     n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *PLAY).sortWithinPartitions(*PLAY).write.mode("overwrite").parquet(path)
+    with_bucket(df, n).repartition(n, BUCKET).sortWithinPartitions(BUCKET, *PLAY).write.mode("overwrite") \
+        .partitionBy(BUCKET).parquet(path)
     return path
 
 
 def read_play_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Stream the request files, ``files_per_trigger`` files per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
-
-def _stream_schema(df: DataFrame):
-    return df.schema
+    """Stream the request files, ``files_per_trigger`` files per micro-batch, with their bucket."""
+    full = StructType([*schema.fields, StructField(BUCKET, IntegerType())])
+    return spark.readStream.schema(full).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def stream_last_state(spark: SparkSession, inp: DataFrame, files_per_trigger: int = 2,
-                      watermark: str | None = None, event_time: str | None = None) -> DataFrame:
-    """Last non-null state per player, maintained by a streaming aggregate (st3).
+                      files: int | None = None, batches: list[int] | None = None) -> DataFrame:
+    """Last non-null state per player over a stream of play files (st3, st5).
 
-    Runs the stream over all available files and returns the final state
-    table.  With ``watermark`` and ``event_time`` the aggregate is grouped by a
-    play-long event-time window as well, so Spark can drop the state of plays
-    that ended (st5).
+    Each micro-batch reduces its rows to one partial state per player (the last non-null value of every column with its
+    frame) and writes it under its batch number; reading merges the partial states by frame.  Nothing is held between
+    batches, so no state grows with the plays and no row can be late: any file order, any cut of a play into files and
+    a replayed batch give the batch result.  ``batches``, if given, collects the batch numbers.
     """
-    src = write_play_files(inp, scratch(spark, "stream-src"))
-    stream = read_play_stream(spark, src, _stream_schema(inp), files_per_trigger)
-    keys = list(PLAYER)
-    if watermark and event_time:
-        stream = stream.withWatermark(event_time, watermark)
-        keys.append(F.window(event_time, watermark))
-    value_cols = [c for c in inp.columns if c not in PLAYER]
-    aggs = [(F.max("frame_id") if c == "frame_id" else last_non_null(c)).alias(c)
-            for c in value_cols if c != event_time]
-    agg = stream.groupBy(*keys).agg(*aggs)
+    src = write_play_files(inp, scratch(spark, "stream-src"), files)
+    stream = read_play_stream(spark, src, inp.schema, files_per_trigger).drop(BUCKET)
+    cols = [c for c in inp.columns if c not in PLAYER and c != "frame_id"]
     out = scratch(spark, "stream-last-state")
-    ckpt = scratch(spark, "stream-ckpt")
+    done = batches if batches is not None else []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # update mode hands over only the keys this batch changed; a replayed
-        # batch overwrites its own folder
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        partial(batch, cols).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        done.append(batch_id)
 
-    mode = "append" if watermark and event_time else "update"
-    q = (agg.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.option("checkpointLocation", scratch(spark, "stream-ckpt"))
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_per_key(spark.read.parquet(out), PLAYER)
+    return merged(spark.read.parquet(out), inp.columns, cols)
+
+
+def partial(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Per player: the last frame, and of each column the last non-null value with its frame."""
+    keyed = rows.where(" AND ".join(f"{k} IS NOT NULL" for k in PLAYER))
+    at = [F.max(F.when(F.col(c).isNotNull(), F.col("frame_id"))).alias(f"_at_{c}") for c in cols]
+    return keyed.groupBy(*PLAYER).agg(F.max("frame_id").alias("frame_id"), *[last_non_null(c).alias(c) for c in cols], *at)
 
 
-def latest_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest version of each key across the batch folders (the state
-    table as of the last batch); a partial aggregate on the keys."""
-    cols = [c for c in changes.columns if c not in keys and c != "batch_id"]
-    newest = F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v")
-    return changes.groupBy(*keys).agg(newest).select(*keys, "_v.*")
+def merged(parts: DataFrame, order: list[str], cols: list[str]) -> DataFrame:
+    """Partial states merged by frame; one partial aggregate on the player."""
+    values = [F.max_by(c, f"_at_{c}").alias(c) for c in cols]
+    return parts.groupBy(*PLAYER).agg(F.max("frame_id").alias("frame_id"), *values).select(*order)
 
 
 def score_batch(test_batch: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,21 +109,26 @@ def score_batch(test_batch: DataFrame, inputs: DataFrame) -> tuple[DataFrame, Da
     return pred, report
 
 
-def stream_score(spark: SparkSession, test: DataFrame, inp: DataFrame, files_per_trigger: int = 2) -> DataFrame:
+def stream_score(spark: SparkSession, test: DataFrame, inp: DataFrame, files_per_trigger: int = 2,
+                 files: int | None = None) -> DataFrame:
     """Score requests play batch by play batch with ``foreachBatch`` (st1, st2, st4)
     and return every batch's predictions read back from the sink."""
     root = scratch(spark, "stream-score")
-    inputs_path = write_play_files(inp, f"{root}/inputs")
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inputs_path = write_play_files(inp, f"{root}/inputs", n)
     requests = test.select(*PLAYER, "frame_id", row_id().alias("id")) if "id" not in test.columns else test
-    src = write_play_files(requests, f"{root}/requests")
+    src = write_play_files(requests, f"{root}/requests", n)
     inputs = spark.read.parquet(inputs_path)
-    stream = read_play_stream(spark, src, _stream_schema(requests), files_per_trigger)
+    stream = read_play_stream(spark, src, requests.schema, files_per_trigger)
     out = f"{root}/predictions"
     rep = f"{root}/reports"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        # the batch's buckets (as many as it has files) are the only input folders that are read
+        own = [r[BUCKET] for r in batch.select(BUCKET).distinct().collect()]
+        batch = batch.drop(BUCKET)
         # predictions feed both the sink and the report: compute them once
-        pred, _ = score_batch(batch, inputs)
+        pred, _ = score_batch(batch, inputs.where(F.col(BUCKET).isin(own)).drop(BUCKET))
         pred = pred.persist()
         try:
             pred.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
