@@ -674,11 +674,20 @@ def _quality(q: dict[str, str]) -> None:
         "SELECT rq.id, rq.game_id, rq.play_id, round(avg(rq.x_input + mem.mdx), 6) AS x, "
         "round(avg(rq.y_input + mem.mdy), 6) AS y, count(mem.mdx) AS members "
         "FROM rq LEFT JOIN mem USING (member, frame_id) GROUP BY rq.id, rq.game_id, rq.play_id")
-    q["validate_predictions"] = build(st + [("phys", PHYS_SQL)], """
-        SELECT 'null_values' AS "check", count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS violations FROM phys
-        UNION ALL SELECT 'non_finite_values', count(*) FILTER (WHERE isnan(x) OR isnan(y) OR abs(x) = 'inf'::DOUBLE OR abs(y) = 'inf'::DOUBLE) FROM phys
-        UNION ALL SELECT 'missing_ids', 0 UNION ALL SELECT 'extra_ids', 0 UNION ALL SELECT 'duplicate_ids', 0
-        UNION ALL SELECT 'plays_with_wrong_row_count', 0
+    ruled = "SELECT *, CAST('0x' || substr(md5(id), 1, 4) AS INTEGER) % 40 AS k FROM phys"
+    planted = """SELECT CASE WHEN k = 5 AND n = 2 THEN id || '_x' ELSE id END AS id, game_id, play_id,
+        CASE WHEN k = 3 THEN 'inf'::DOUBLE WHEN k <> 2 THEN x END AS x, CASE WHEN k = 4 THEN 'nan'::DOUBLE ELSE y END AS y
+        FROM ruled, (VALUES (1), (2)) AS t(n) WHERE k <> 0 AND (n = 1 OR k IN (1, 5))"""
+    q["validate_predictions"] = build(st + [("phys", PHYS_SQL), ("ruled", ruled), ("planted", planted)], """
+        SELECT 'null_values' AS "check", count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS violations FROM planted
+        UNION ALL SELECT 'non_finite_values', count(*) FILTER (WHERE NOT isfinite(x) OR NOT isfinite(y)) FROM planted
+        UNION ALL SELECT 'missing_ids', count(*) FROM phys WHERE id NOT IN (SELECT id FROM planted)
+        UNION ALL SELECT 'extra_ids', count(DISTINCT id) FROM planted WHERE id NOT IN (SELECT id FROM phys)
+        UNION ALL SELECT 'duplicate_ids', count(*) FROM (SELECT id FROM planted GROUP BY id HAVING count(*) > 1)
+        UNION ALL SELECT 'plays_with_wrong_row_count', count(*) FROM
+            (SELECT game_id, play_id, count(*) AS n FROM phys GROUP BY 1, 2) a FULL JOIN
+            (SELECT game_id, play_id, count(*) AS n FROM planted GROUP BY 1, 2) b USING (game_id, play_id)
+            WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)
         UNION ALL SELECT 'empty_request', CAST(count(*) = 0 AS BIGINT) FROM scoring""")
     q["profile_counts"] = build(BASE_CTES, "SELECT count(DISTINCT game_id) AS games, "
                                            "count(DISTINCT (game_id, play_id)) AS plays, count(DISTINCT nfl_id) AS players, "

@@ -409,10 +409,16 @@ def q_fold_mean(spark, sf_dir):
 
 @register("validate_predictions")
 def q_validate_predictions(spark, sf_dir):
+    """The report over predictions with planted faults: by a rule on the id, rows are dropped, doubled, given a null, an
+    infinite or a not-a-number coordinate, or accompanied by a foreign id."""
     s = _scoring(spark, sf_dir)
-    pred = predict.physics_baseline(s)
-    requested = s.select("id", *trk.PLAY)
-    return quality.validate(pred, requested)
+    rule = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 4), 16, 10).cast("int") % 40
+    pred = predict.physics_baseline(s).withColumn("k", rule).where("k != 0")
+    pred = pred.withColumns({"x": F.when(F.col("k") == 3, F.lit(float("inf"))).when(F.col("k") != 2, F.col("x")),
+                             "y": F.when(F.col("k") == 4, F.lit(float("nan"))).otherwise(F.col("y"))})
+    copies = F.when(F.col("k") == 1, F.array("id", "id")).when(F.col("k") == 5, F.array("id", F.concat("id", F.lit("_x"))))
+    pred = pred.withColumn("id", F.explode(F.coalesce(copies, F.array("id"))))
+    return quality.validate(pred.select("id", *trk.PLAY, "x", "y"), s.select("id", *trk.PLAY))
 
 
 @register("profile_counts")
