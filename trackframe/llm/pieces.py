@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import heapq
 import math
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 CACHE = 400_000
+OTHER = re.compile(r"[\W\d_]")
 NO_PREFIX = (-1, -math.inf)
 CHUNK = 1 << 20
 SPACE = "▁"
@@ -76,6 +78,7 @@ class Pieces:
         self.words: dict[str, tuple] = {}  # by word, or by the unit that begins one
         self.later: dict[str, tuple] = {}  # by further unit
         self.mixed: dict[str, tuple] = {}  # by word of several units
+        self.lists: dict[tuple[str, int], list] = {}  # n-best by word
 
     def arcs(self, unit: str) -> list[tuple[int, int, tuple[int, ...], float]]:
         """(start, end, ids, score) in order of start.  The unit's first U+2581 is a space, any other is text."""
@@ -158,14 +161,19 @@ class Pieces:
         return out
 
     def units(self, word: str) -> list[str]:
-        """``word`` behind a space, cut between characters that no piece joins (within letters a cut seldom helps)."""
+        """``word`` behind a space, cut beside its other characters than letters where no piece joins the two (within
+        letters a cut seldom helps)."""
         text, out, begin = SPACE + word, [], 0
         if word.isalpha():
             return [text]
-        for i in range(1, len(text)):
-            if text[i - 1:i + 1] not in self.glue or text[i] == SPACE:
-                out.append(text[begin:i])
-                begin = i
+        glue, last = self.glue, 0
+        for m in OTHER.finditer(text, 1):
+            i = m.start()
+            for at in (i, i + 1) if i > last else (i + 1,):
+                if at < len(text) and (text[at - 1:at + 1] not in glue or text[at] == SPACE):
+                    out.append(text[begin:at])
+                    begin = at
+            last = i + 1
         out.append(text[begin:])
         return out
 
@@ -174,9 +182,11 @@ class Pieces:
         units = self.units(word)
         out = self.kept(self.words, word, SPACE + word) if len(units) == 1 else None
         if out is None:
-            got = [self.kept(self.words, units[0][1:], units[0])]
-            got += [self.text_mark(u) if u[0] == SPACE else self.kept(self.later, u, u) for u in units[1:]]
-            out = (tuple(chain.from_iterable([h[0] for h in got])), math.fsum([h[1] for h in got]), min([h[2] for h in got]))
+            ids, score, gap = self.kept(self.words, units[0][1:], units[0])
+            for u in units[1:]:
+                hit = self.later.get(u) or (self.text_mark(u) if u[0] == SPACE else self.kept(self.later, u, u))
+                ids, score, gap = ids + hit[0], score + hit[1], hit[2] if hit[2] < gap else gap
+            out = (ids, score, gap)
             if len(word) <= 200:
                 if len(self.mixed) >= CACHE // 4:
                     self.mixed.clear()
@@ -223,7 +233,11 @@ class Pieces:
         least = np.argsort(gaps, kind="stable")[:n - 1] if len(gaps) <= 4 * n else np.sort(np.argpartition(gaps, n - 1)[:n - 1])
         paths = [(score, [])]
         for at in sorted(least.tolist()):
-            own = self.word_n_best(words[at], n)
+            own = self.lists.get((words[at], n))
+            if own is None:
+                if len(self.lists) >= CACHE // 10:
+                    self.lists.clear()
+                own = self.lists[words[at], n] = self.word_n_best(words[at], n)
             paths = sorted(((s + t - own[0][0], c + ([{"word": at, "ids": list(w)}] if k else [])) for s, c in paths for k, (t, w) in enumerate(own)), key=lambda x: -x[0])[:n]
         return ids, score, [{"score": s, "changes": c} for s, c in paths]
 
