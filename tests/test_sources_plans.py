@@ -167,3 +167,47 @@ def test_two_directions_fail_and_never_multiply(spark):
     assert direction.apply_direction(rows, both.where("play_id = 2")).count() == 2
     with pytest.raises(Exception, match="two directions in play 1/1"):
         direction.apply_direction(rows, both).collect()
+
+
+def test_weekly_folders_and_files_read_alike(spark, tmp_dir):
+    inp, _ = trk.tracking_tables(spark, SF_SMALL)
+    files.write_weekly_csv(inp, f"{tmp_dir}/a", files.INPUT_PATTERN)
+    back, out = files.load_training_data(spark, f"{tmp_dir}/a")
+    assert rows_of(back.select(*trk.INPUT_COLUMNS).toPandas()) == rows_of(inp.toPandas()) and out.count() == 0
+    with pytest.raises(files.NoTrackingFiles):
+        files.read_weekly(spark, f"{tmp_dir}/a", files.OUTPUT_PATTERN, files.OUTPUT_SCHEMA)
+
+
+def test_blend_of_columns_is_blend_of_frames(spark):
+    from trackframe.operators import predict
+    rows = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 5.0), ("b", None, 2.0, 3.0, None), ("c", None, None, None, None)],
+                                 "id string, px double, py double, qx double, qy double")
+    weights = {"p": 0.25, "q": 0.5}
+    x, y = predict.blend_columns({"p": (F.col("px"), F.col("py")), "q": (F.col("qx"), F.col("qy"))}, weights)
+    frames = {m: rows.select("id", F.col(f"{m}x").alias("x"), F.col(f"{m}y").alias("y")) for m in "pq"}
+    assert rows_of(rows.select("id", x.alias("x"), y.alias("y")).toPandas()) == rows_of(predict.blend(frames, weights).toPandas())
+
+
+def test_value_counts_ties_nulls_and_bound(spark):
+    from trackframe.operators import profile
+    rows = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), ("b", 3), (None, 3), ("c", 3)], "s string, n int")
+    got = [tuple(r) for r in profile.value_counts(rows, ["s", "n"], 3).orderBy("column", "rank").collect()]
+    assert got == [("n", "3", 3, 1), ("n", "1", 2, 2), ("n", "2", 1, 3), ("s", "a", 2, 1), ("s", "b", 2, 2), ("s", "c", 1, 3)]
+
+
+def test_model_comparison_leaves_rows_without_a_prediction_out(spark):
+    from trackframe.operators import metrics
+    rows = spark.createDataFrame([(3.0, 4.0, 3.0), (0.0, 0.0, None)], "x double, y double, p double")
+    got = {r["model"]: r for r in metrics.compare_models(rows, {"zero": (F.lit(0.0), F.lit(0.0)), "p": (F.col("p"), F.col("p"))}).collect()}
+    assert got["zero"]["n"] == 2 and got["zero"]["rmse_x"] == pytest.approx(4.5 ** 0.5) and got["zero"]["rmse_y"] == pytest.approx(8 ** 0.5)
+    assert got["p"]["n"] == 1 and got["p"]["rmse_x"] == 0 and got["p"]["rmse_y"] == 1
+
+
+def test_fold_offsets_of_a_frame_without_training_rows(spark):
+    from trackframe.operators import modeling
+    train = spark.createDataFrame([(1, p, 1, 1.0 + p, 2.0, 0.0, 0.0) for p in range(20)],
+                                  "game_id long, play_id long, frame_id long, x double, y double, x_input double, y_input double")
+    requests = spark.createDataFrame([("a", 1, 10.0, 20.0), ("b", 2, 10.0, 20.0), ("c", 1, None, 20.0)], "id string, frame_id long, x_input double, y_input double")
+    got = {r["id"]: r for r in modeling.fold_mean_model(train, requests).collect()}
+    assert got["a"]["members"] == 5 and got["a"]["y"] == 22.0 and 11 < got["a"]["x"] < 30
+    assert got["b"]["members"] == 0 and got["b"]["x"] is None and got["c"]["x"] is None and got["c"]["y"] == 22.0

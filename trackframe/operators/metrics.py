@@ -57,6 +57,19 @@ def rmse_report(solution: DataFrame, submission: DataFrame, id_col: str = "id")
     )
 
 
+def compare_models(rows: DataFrame, models: dict[str, tuple[F.Column, F.Column]], x: str = "x", y: str = "y") -> DataFrame:
+    """One row per model: RMSE, per-axis RMSE and predicted rows, of predictions that are columns of the truth's rows.
+
+    One aggregate over ``rows`` for all models; a row without a prediction is left out of that model's means.
+    """
+    sums = []
+    for name, (px, py) in models.items():
+        sums += [F.avg((F.col(x) - px) ** 2).alias(f"{name}_x"), F.avg((F.col(y) - py) ** 2).alias(f"{name}_y"), F.count(px).alias(f"{name}_n")]
+    per = [F.struct(F.lit(name).alias("model"), F.sqrt(0.5 * (F.col(f"{name}_x") + F.col(f"{name}_y"))).alias("rmse"),
+                    F.sqrt(f"{name}_x").alias("rmse_x"), F.sqrt(f"{name}_y").alias("rmse_y"), F.col(f"{name}_n").alias("n")) for name in models]
+    return rows.agg(*sums).select(F.inline(F.array(*per)))
+
+
 def score(solution: DataFrame, submission: DataFrame, row_id_column_name: str = "id") -> float:
     """The metric as a float (the one driver-side action of this module)."""
     return float(rmse_report(solution, submission, row_id_column_name).first()["rmse"])

@@ -7,7 +7,7 @@
   one model per target, trained distributed; early stopping uses the
   validation indicator column.
 * The fold ensemble fits one small model per fold on the other folds' plays
-  and averages the members per request id with a grouped aggregate.
+  and averages the members per frame.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackframe.operators.scaling import finite_features
+from trackframe.session import cut_lineage
 from trackframe.sources.tracking import PLAY
 
+MEMBER_ROWS = 100_000  # rows of (frame, offsets) that may be broadcast, about 4 MB
+
 
 def play_hash(seed: int | str, salt: str = "") -> F.Column:
     """An integer in [0, 2**32) from md5(game_play_seed[salt])."""
@@ -122,23 +125,27 @@ def fold_mean_model(train: DataFrame, requests: DataFrame, k: int = 5, seed: int
     """Five-fold ensemble of a per-frame mean-displacement model (m5).
 
     Fold f's member is fitted on the plays outside fold f: the mean offset
-    (target minus last input position) per output frame.  Every request gets
-    each member's prediction and the members are averaged per id.  Training
-    rows are replicated once per fold they train (k-1 times), a constant
-    factor; the member tables have one row per (fold, frame).
+    (target minus last input position) per output frame.  Training rows are
+    reduced to sums by (frame, fold), a member adds up the other folds' sums,
+    and the members' mean is one offset per frame.  Requests neither multiply
+    nor regroup: that table is joined to them by frame, broadcast while its
+    counted rows are at most ``MEMBER_ROWS``.  One row per request row.
     """
     t = fold_of_play(train, k, seed).select(
         "fold", "frame_id", (F.col("x") - F.col("x_input")).alias("dx"), (F.col("y") - F.col("y_input")).alias("dy"))
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
-    members = (t.withColumn("member", F.explode(others))
-               .groupBy("member", "frame_id").agg(F.avg("dx").alias("mdx"), F.avg("dy").alias("mdy")))
-    req = requests.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    j = req.join(members, ["member", "frame_id"], "left")
+    sums = t.groupBy("frame_id", "fold").agg(F.sum("dx").alias("sx"), F.count("dx").alias("nx"),
+                                             F.sum("dy").alias("sy"), F.count("dy").alias("ny"))
+    members = (sums.withColumn("member", F.explode(others)).groupBy("member", "frame_id")
+               .agg(F.try_divide(F.sum("sx"), F.sum("nx")).alias("mdx"), F.try_divide(F.sum("sy"), F.sum("ny")).alias("mdy")))
+    offsets = cut_lineage(members.groupBy("frame_id").agg(F.avg("mdx").alias("ox"), F.avg("mdy").alias("oy"),
+                                                          F.count("mdx").alias("members")))
+    if offsets.count() <= MEMBER_ROWS:
+        offsets = F.broadcast(offsets)
+    j = requests.join(offsets, "frame_id", "left")
     keys = [c for c in ("id", *PLAY) if c in requests.columns]
-    return j.groupBy(*keys).agg(
-        F.avg(F.col("x_input") + F.col("mdx")).alias("x"),
-        F.avg(F.col("y_input") + F.col("mdy")).alias("y"),
-        F.count("mdx").alias("members"))
+    return j.select(*keys, (F.col("x_input") + F.col("ox")).alias("x"), (F.col("y_input") + F.col("oy")).alias("y"),
+                    F.coalesce("members", F.lit(0).cast("bigint")).alias("members"))
 
 
 def save_bundle(models: tuple[PipelineModel, PipelineModel], scaler: DataFrame | None, path: str) -> None:

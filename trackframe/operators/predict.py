@@ -6,6 +6,9 @@ All are projections over keyed rows: a prediction always carries its ``id``
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,15 @@ def zero_baseline(rows: DataFrame) -> DataFrame:
     return rows.select("id", *keys, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
 
+def blend_columns(members: dict[str, tuple[F.Column, F.Column]], weights: dict[str, float]) -> tuple[F.Column, F.Column]:
+    """The mean of ``blend`` for members that are columns of one row: a projection, no shuffle (m6)."""
+    def mean(axis: int) -> F.Column:
+        parts = [(float(weights.get(name, 0.0)), xy[axis]) for name, xy in members.items()]
+        total = reduce(add, [F.when(c.isNotNull(), w).otherwise(0.0) for w, c in parts])
+        return F.try_divide(reduce(add, [F.coalesce(w * c, F.lit(0.0)) for w, c in parts]), total)
+    return mean(0), mean(1)
+
+
 def blend(members: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
     """Weighted mean of member predictions per id, normalised over present members (m6).
 

@@ -27,17 +27,17 @@ def distinct_plays(df: DataFrame) -> DataFrame:
     return df.select(*PLAY).distinct()
 
 
-def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
-    """Value counts of one column, most frequent first, ties by value; top ``k``
-    when given (a6, s2).  The ranking window runs over the (small) count table."""
-    order = [F.col("n").desc(), F.col(column).asc_nulls_last()]
-    c = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    if k is not None:
-        # per-partition top k, then one merge of k rows per partition
-        c = c.orderBy(*order).limit(k)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return c.select(F.lit(column).alias("column"), F.col(column).cast("string").alias("value"), "n",
-                    rank.cast("int").alias("rank"))
+def value_counts(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
+    """The ``k`` most frequent values of each column, ties by the value's text (a6, s2).
+
+    All columns are counted in one pass.  The bound on the rank is applied per partition before the shuffle by column,
+    so a task gets at most ``k`` rows of a column from each partition, however many values there are.
+    """
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(pair.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.select("column", "value", "n", F.col("rank").cast("int").alias("rank"))
 
 
 def per_play_stats(inp: DataFrame, out: DataFrame) -> DataFrame:

@@ -430,6 +430,9 @@ def _interactions(q: dict[str, str]) -> None:
                   + ", ".join(f"sum(e.weight * n.{f}) AS nbr_{f}" for f in feats)
                   + " FROM wedges e JOIN nodes n ON n.game_id = e.game_id AND n.play_id = e.play_id "
                     "AND n.frame_id = e.frame_id AND n.nfl_id = e.dst GROUP BY e.game_id, e.play_id, e.frame_id, e.src")
+    vel = {"x_input": "x_input", "y_input": "y_input", "s_input": "s_input", "vx": "s_input * cos(radians(dir_input))", "vy": "s_input * sin(radians(dir_input))"}
+    q["graph_nodes"] = build(st, "SELECT game_id, play_id, frame_id, nfl_id, 5 AS width, " + ", ".join(r6(e, f"f_{c}") for c, e in vel.items()) + ", x, y FROM samples")
+    q["single_step"] = build(st, "SELECT id, 1 AS steps, " + ", ".join(r6(f"coalesce({e}, 0.0)", f"f_{c}") for c, e in vel.items()) + " FROM samples")
     q["neighbour_mean"] = build(
         st + [edges, wedges, nodes, msg],
         "SELECT n.game_id, n.play_id, n.frame_id, n.nfl_id, "
@@ -665,6 +668,22 @@ def _quality(q: dict[str, str]) -> None:
     q["blend"] = build(st + [members], "SELECT id, round(sum(w * x) / sum(CASE WHEN x IS NOT NULL THEN w END), 6) AS x, "
                                        "round(sum(w * y) / sum(CASE WHEN y IS NOT NULL THEN w END), 6) AS y "
                                        "FROM members GROUP BY id")
+    model_rows = ("held", f"""SELECT s.*, t.x AS tx, t.y AS ty, {phys_x} AS mx, {phys_y} AS my, p.x AS px, p.y AS py FROM scoring s
+        JOIN outp t USING (game_id, play_id, nfl_id, frame_id) JOIN phys p ON p.id = s.id
+        WHERE CAST(('0x' || substr(md5(concat_ws('_', s.game_id, s.play_id, '42')), 1, 8)) AS BIGINT) < {int(0.2 * 2 ** 32)}""")
+    axis = {a: (f"(coalesce(0.3 * m{a}, 0) + coalesce(0.4 * {a}_input, 0) + 0.3 * {c}) / "
+                f"(CASE WHEN m{a} IS NULL THEN 0 ELSE 0.3 END + CASE WHEN {a}_input IS NULL THEN 0 ELSE 0.4 END + 0.3)")
+            for a, c in (("x", 50.0), ("y", 26.65))}
+    compared = [("zero", "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)"), ("stationary", "x_input", "y_input"), ("physics", "px", "py"), ("blend", axis["x"], axis["y"])]
+    q["model_comparison"] = build(st + [("phys", PHYS_SQL), model_rows], " UNION ALL ".join(
+        f"SELECT '{m}' AS model, round(sqrt(0.5 * (avg((tx - {a}) ** 2) + avg((ty - {b}) ** 2))), 6) AS rmse, "
+        f"round(sqrt(avg((tx - {a}) ** 2)), 6) AS rmse_x, round(sqrt(avg((ty - {b}) ** 2)), 6) AS rmse_y, count({a}) AS n FROM held" for m, a, b in compared))
+    q["weekly_input_files"] = build(BASE_CTES, "SELECT * FROM inp")
+    q["weekly_output_files"] = build(BASE_CTES, "SELECT * FROM outp WHERE week % 2 = 1")
+    q["request_files"] = build(BASE_CTES + [
+        ("per", "SELECT game_id, play_id, nfl_id, count(*) AS input_rows, max(frame_id) AS last_frame, max(x) AS max_x FROM inp GROUP BY ALL")],
+        "SELECT id, t.game_id, t.play_id, t.nfl_id, t.frame_id, input_rows, last_frame, max_x FROM test_rows t LEFT JOIN per USING (game_id, play_id, nfl_id)")
+    q["submission_files"] = build(st + [("phys", PHYS_SQL)], "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(x, 6) AS csv_x, round(y, 6) AS csv_y FROM phys")
     fold = "CAST(('0x' || substr(md5(concat_ws('_', game_id, play_id, '42', 'fold')), 1, 8)) AS BIGINT) % 5"
     q["fold_mean"] = build(st + [
         ("tf", f"SELECT {fold} AS fold, frame_id, x - x_input AS dx, y - y_input AS dy FROM samples"),

@@ -8,13 +8,17 @@ SQL oracle in ``trackframe.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackframe.functions.nulls import clip
 from trackframe.operators import (direction, features_a, features_b, interactions, metrics, predict,
                                   modeling, profile, quality, scaling, sequences, state, temporal)
+from trackframe.session import ensure_checkpoint_dir
+from trackframe.sources import files
 from trackframe.sources import tracking as trk
 from trackframe.streaming import scoring
 
@@ -269,6 +273,22 @@ def q_neighbour_mean(spark, sf_dir):
     return r6(nm.select(*trk.FRAME, "nfl_id", *cols), cols)
 
 
+@register("graph_nodes")
+def q_graph_nodes(spark, sf_dir):
+    """The node table of each frame (q6), its feature array spread over columns."""
+    nodes = sequences.graph_nodes(features_a.velocity(_samples(spark, sf_dir)), NBR_FEATURES)
+    parts = [F.col("features")[i].alias(f"f_{c}") for i, c in enumerate(NBR_FEATURES)]
+    return r6(nodes.select(*trk.FRAME, "nfl_id", F.size("features").alias("width"), *parts, "x", "y"), [f"f_{c}" for c in NBR_FEATURES])
+
+
+@register("single_step")
+def q_single_step(spark, sf_dir):
+    """Samples as sequences of one step (q7), nulls as zeros, spread over columns."""
+    one = sequences.single_step(features_a.velocity(_samples(spark, sf_dir)), NBR_FEATURES)
+    parts = [F.col("sequence")[0]["features"][i].alias(f"f_{c}") for i, c in enumerate(NBR_FEATURES)]
+    return r6(one.select("id", F.size("sequence").alias("steps"), *parts), [f"f_{c}" for c in NBR_FEATURES])
+
+
 # ------------------------------------------------------------ sequences
 def _feat_b(spark, sf_dir):
     return sequences.feature_pipeline_b(_input(spark, sf_dir))
@@ -382,15 +402,13 @@ def q_play_split(spark, sf_dir):
     return modeling.split_by_play(plays)
 
 
-def _members(spark, sf_dir):
-    s = _scoring(spark, sf_dir)
-    rad = F.radians(F.col("dir_input"))
-    dt = 0.1 * F.col("frame_id")
-    phys = s.select("id", *trk.PLAY, (F.col("x_input") + F.col("s_input") * F.cos(rad) * dt).alias("x"),
-                    (F.col("y_input") + F.col("s_input") * F.sin(rad) * dt).alias("y"))
-    still = s.select("id", *trk.PLAY, F.col("x_input").alias("x"), F.col("y_input").alias("y"))
-    centre = s.select("id", *trk.PLAY, F.lit(predict.CENTRE_X).alias("x"), F.lit(predict.CENTRE_Y).alias("y"))
-    return {"physics": predict.clip_to_field(phys), "stationary": still, "centre": centre}
+def _members():
+    """Members of the blend as columns of the scoring rows; the physics one is null where a state value is missing."""
+    rad, dt = F.radians(F.col("dir_input")), predict.FRAME_SECONDS * F.col("frame_id")
+    phys = (clip(F.col("x_input") + F.col("s_input") * F.cos(rad) * dt, 0.0, predict.FIELD_LENGTH),
+            clip(F.col("y_input") + F.col("s_input") * F.sin(rad) * dt, 0.0, predict.FIELD_WIDTH))
+    return {"physics": phys, "stationary": (F.col("x_input"), F.col("y_input")),
+            "centre": (F.lit(predict.CENTRE_X), F.lit(predict.CENTRE_Y))}
 
 
 BLEND_WEIGHTS = {"physics": 0.3, "stationary": 0.4, "centre": 0.3}
@@ -398,7 +416,21 @@ BLEND_WEIGHTS = {"physics": 0.3, "stationary": 0.4, "centre": 0.3}
 
 @register("blend")
 def q_blend(spark, sf_dir):
-    return r6(predict.blend(_members(spark, sf_dir), BLEND_WEIGHTS).select("id", "x", "y"), ["x", "y"])
+    x, y = predict.blend_columns(_members(), BLEND_WEIGHTS)
+    return r6(_scoring(spark, sf_dir).select("id", x.alias("x"), y.alias("y")), ["x", "y"])
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf_dir):
+    """RMSE of the closed-form predictors and their blend on the held-out plays (f28-f30, m6, a10), in one aggregate."""
+    rows = state.attach_input_state(trk.tracking_from_events(spark, sf_dir))
+    held = modeling.split_by_play(rows).where("is_val")
+    members = _members()
+    px, py = predict.physics_columns(held)
+    models = {"zero": (F.lit(0.0), F.lit(0.0)), "stationary": members["stationary"],
+              "physics": (clip(px, 0.0, predict.FIELD_LENGTH), clip(py, 0.0, predict.FIELD_WIDTH)),
+              "blend": predict.blend_columns(members, BLEND_WEIGHTS)}
+    return r6(metrics.compare_models(held, models), ["rmse", "rmse_x", "rmse_y"])
 
 
 @register("fold_mean")
@@ -421,23 +453,25 @@ def q_validate_predictions(spark, sf_dir):
     return quality.validate(pred.select("id", *trk.PLAY, "x", "y"), s.select("id", *trk.PLAY))
 
 
+def _plain(spark, sf_dir):
+    """(input, output) rows without frame numbers: no exchange."""
+    t = trk.plain_frames(spark, sf_dir)
+    return t.where("is_out = 0"), t.where("is_out = 1")
+
+
 @register("profile_counts")
 def q_profile_counts(spark, sf_dir):
-    return profile.counts(_input(spark, sf_dir))
+    return profile.counts(_plain(spark, sf_dir)[0])
 
 
 @register("profile_per_play")
 def q_profile_per_play(spark, sf_dir):
-    inp, out = _tables(spark, sf_dir)
-    return r6(profile.per_play_stats(inp, out), ["mean"])
+    return r6(profile.per_play_stats(*_plain(spark, sf_dir)), ["mean"])
 
 
 @register("value_counts_topk")
 def q_value_counts_topk(spark, sf_dir):
-    inp = _input(spark, sf_dir)
-    return (profile.value_counts(inp, "player_position", 10)
-            .unionByName(profile.value_counts(inp, "player_side"))
-            .unionByName(profile.value_counts(inp, "player_role")))
+    return profile.value_counts(_plain(spark, sf_dir)[0], ["player_position", "player_side", "player_role"], 10)
 
 
 def _errors(spark, sf_dir):
@@ -484,6 +518,55 @@ def q_feature_importance(spark, sf_dir):
     return modeling.feature_importance(models, feats, spark).limit(10)
 
 
+# ------------------------------------------------------------ files
+def _folder(spark, name):
+    """A new folder below the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("weekly_input_files")
+def q_weekly_input_files(spark, sf_dir):
+    """The input frames written as weekly CSV and read back with the week from the name (io1, io3, u1)."""
+    inp, _ = _tables(spark, sf_dir)
+    folder = _folder(spark, "weeks")
+    files.write_weekly_csv(inp, folder, files.INPUT_PATTERN)
+    return files.load_training_data(spark, folder)[0].select(*trk.INPUT_COLUMNS)
+
+
+@register("weekly_output_files")
+def q_weekly_output_files(spark, sf_dir):
+    """The output frames of odd weeks, selected when the weekly CSVs are read (io2, u1)."""
+    _, out = _tables(spark, sf_dir)
+    folder = _folder(spark, "weeks")
+    files.write_weekly_csv(out, folder, files.OUTPUT_PATTERN)
+    return files.read_weekly(spark, folder, files.OUTPUT_PATTERN, files.OUTPUT_SCHEMA, list(range(1, trk.WEEKS + 1, 2)))
+
+
+@register("request_files")
+def q_request_files(spark, sf_dir):
+    """The test pair written as CSV and read back: each request with its player's input rows (io4, io6)."""
+    inp, out = _tables(spark, sf_dir)
+    folder = _folder(spark, "requests")
+    # id first: columns are bound by the header's names, whatever their order
+    files.write_request_csv(out.select(trk.row_id().alias("id"), "frame_id", *trk.PLAYER), inp.drop("week"), folder)
+    test, inputs = files.load_test_data(spark, folder)
+    per = inputs.groupBy(*trk.PLAYER).agg(F.count(F.lit(1)).alias("input_rows"), F.max("frame_id").alias("last_frame"),
+                                          F.max("x").alias("max_x"))
+    return test.join(per, trk.PLAYER, "left").select("id", *trk.PLAYER, "frame_id", "input_rows", "last_frame", "max_x")
+
+
+@register("submission_files")
+def q_submission_files(spark, sf_dir):
+    """Predictions as CSV and as a keyed submission, both read back (io7, io8, j16)."""
+    s = _scoring(spark, sf_dir)
+    pred = r6(predict.physics_baseline(s).select("id", "x", "y"), ["x", "y"])
+    folder = _folder(spark, "submission")
+    files.write_predictions_csv(pred, f"{folder}/csv")
+    files.write_submission(pred, s.select("id"), f"{folder}/parquet")
+    text = spark.read.schema("id string, csv_x double, csv_y double").option("header", True).csv(f"{folder}/csv")
+    return spark.read.parquet(f"{folder}/parquet").join(text, "id")
+
+
 # ------------------------------------------------------------ streaming
 @register("stream_last_state")
 def q_stream_last_state(spark, sf_dir):
@@ -499,4 +582,4 @@ def q_stream_score(spark, sf_dir):
 
 @register("play_order")
 def q_play_order(spark, sf_dir):
-    return profile.plays_in_order(trk.tracking_from_events(spark, sf_dir), "event_id")
+    return profile.plays_in_order(trk.plain_frames(spark, sf_dir), "event_id")

@@ -40,7 +40,10 @@ TEST_SCHEMA = StructType([
 ])
 INPUT_PATTERN = "input_2023_w*.csv"
 OUTPUT_PATTERN = "output_2023_w*.csv"
-WEEK_FROM_NAME = r"_w(\d+)\.csv$"
+WEEK_FROM_NAME = r"_w(\d+)\.csv(?:/[^/]*)?$"
+
+
+WEEK_DIR = "file"
 
 
 class NoTrackingFiles(FileNotFoundError):
@@ -58,7 +61,7 @@ def read_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFram
     in_file = StructType([declared.get(c, StructField(c, StringType())) for c in header])
     df = spark.read.schema(in_file).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
     cols = [F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    return df.select(*cols, F.col("_metadata.file_name").alias("_file"))
+    return df.select(*cols, F.col("_metadata.file_path").alias("_file"))
 
 
 def _glob_exists(spark: SparkSession, pattern: str) -> bool:
@@ -71,8 +74,11 @@ def _glob_exists(spark: SparkSession, pattern: str) -> bool:
 
 def read_weekly(spark: SparkSession, folder: str, pattern: str, schema: StructType,
                 weeks: list[int] | None = None) -> DataFrame:
-    """All weekly CSVs under ``folder`` in one scan, tagged with ``week`` (io1, u1)."""
-    glob = f"{folder.rstrip('/')}/{pattern}"
+    """All weekly CSVs under ``folder`` in one scan, tagged with ``week`` (io1, u1).
+
+    A week is a file or, as ``write_weekly_csv`` leaves it, a folder of parts that bears the file's name.
+    """
+    glob = f"{folder.rstrip('/')}/{{,{WEEK_DIR}=}}{pattern}"
     if not _glob_exists(spark, glob):
         raise NoTrackingFiles(glob)
     df = read_by_name(spark, glob, schema)
@@ -103,6 +109,18 @@ def load_test_data(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
             read_by_name(spark, f"{folder}/test_input.csv", INPUT_SCHEMA).drop("_file"))
 
 
+def write_weekly_csv(df: DataFrame, folder: str, pattern: str) -> None:
+    """Every week of ``df`` in one job: for each a folder of CSV parts, which ``read_weekly`` takes like a file."""
+    name = F.format_string(pattern.replace("*", "%02d"), F.col("week"))
+    df.withColumn(WEEK_DIR, name).drop("week").write.mode("overwrite").partitionBy(WEEK_DIR).option("header", True).csv(folder)
+
+
+def write_request_csv(requests: DataFrame, inputs: DataFrame, folder: str) -> None:
+    """The test pair ``test.csv`` and ``test_input.csv`` that ``load_test_data`` reads (io4, io6)."""
+    for df, name in ((requests, "test.csv"), (inputs, "test_input.csv")):
+        df.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
+
+
 def write_tracking_parquet(df: DataFrame, path: str) -> None:
     """Tracking rows as Parquet partitioned by week (partition pruning for
     week filters) and clustered by play inside each file set."""

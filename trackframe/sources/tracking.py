@@ -47,8 +47,8 @@ def cluster_by_play(df: DataFrame) -> DataFrame:
     return df.repartition(*PLAY)
 
 
-def tracking_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full fixture table: input and output frames, ``is_out`` tells them apart."""
+def plain_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input and output rows without frame numbers: a projection of the scan, no exchange (profiles need no more)."""
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     e = ev.select(
         "event_id", "user_id",
@@ -61,7 +61,7 @@ def tracking_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def scaled(expr, mod, div=100.0):
         return (expr % mod).cast("double") / div
 
-    q = e.select(
+    return e.select(
         "event_id",
         F.floor(p / PLAYS_PER_GAME).cast("bigint").alias("game_id"),
         (p % PLAYS_PER_GAME).alias("play_id"),
@@ -91,7 +91,11 @@ def tracking_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         scaled(p * 3701, 12000).alias("ball_land_x"),
         scaled(p * 1709, 5330).alias("ball_land_y"),
     )
-    q = cluster_by_play(q)
+
+
+def tracking_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full fixture table: input and output frames, ``is_out`` tells them apart."""
+    q = cluster_by_play(plain_frames(spark, sf_dir))
     by_side = Window.partitionBy(*PLAYER, "is_out").orderBy("event_id")
     by_player = Window.partitionBy(*PLAYER)
     return q.select(
@@ -103,7 +107,7 @@ def tracking_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_tracking(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(F1 input, F2 output) from one tracking frame; both branches share its exchange."""
+    """(F1 input, F2 output) from one tracking frame (a plan that reads both scans the source once for each)."""
     inp = t.where(F.col("is_out") == 0).select(*INPUT_COLUMNS)
     out = t.where(F.col("is_out") == 1).select(*OUTPUT_COLUMNS)
     return inp, out
