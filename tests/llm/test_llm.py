@@ -119,6 +119,15 @@ def test_simhash_links_of_crowded_buckets(spark):
         assert all((mine[a] == mine[b]) == (want[a] == want[b]) for a, b in itertools.combinations(fps, 2))
 
 
+def test_simhash_radius_zero_links_equal_fingerprints_only(odd):
+    got = simhash.near_dedup(odd, radius=0).select("id", "fp", "component_id").collect()
+    least = {}
+    for r in got:
+        if r["id"] is not None:
+            least[r["fp"]] = min(least.get(r["fp"], r["id"]), r["id"])
+    assert len(got) == odd.count() and all(r["component_id"] == least.get(r["fp"]) for r in got)
+
+
 def test_bit_planes_and_counters():
     rng = np.random.default_rng(5)
     fp = rng.integers(0, 2 ** 64, 200, dtype=np.uint64)

@@ -76,7 +76,7 @@ def masks(bits: list[int], blocks: int, agree: int) -> list[int]:
 
 def first_masks(n: int, radius: int) -> list[int]:
     """The fewest blocks whose keys leave about 64 of ``n`` even fingerprints in a bucket."""
-    for blocks in range(radius + 1, 2 * radius + 1):
+    for blocks in range(radius + 1, max(1, radius) + radius + 1):
         if n <= 64 * 2 ** (64 * (blocks - radius) / blocks):
             break
     return masks(list(range(64)), blocks, blocks - radius)
