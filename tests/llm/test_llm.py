@@ -257,6 +257,17 @@ def test_html_main_text():
             "<br>goes on.</p><form><input><label>Mail</label></form><div id=comments><p>I liked this very much, thank you for the article.</p></div></article><aside>More things to read elsewhere.</aside><footer>&copy; 2020 us</footer>")
     assert html_text.extract(page) == "A&B\nFirst paragraph with a link in it.\nSecond été one goes on."
     assert html_text.extract(None) == html_text.extract("") == ""
+    main = "<p>Main text of the article goes on for some words.</p><p>Short.</p>"
+    text = "Main text of the article goes on for some words.\nShort."
+    other = "Some other words that stand on the page and go on for a while."
+    for page in (f"<main><article>{main}</article><section id=comments><article class=comment><div class=content><p>{other}</div></article></section></main>",
+                 f"<article>{main}<aside><article><h2>More</h2><p>{other}</article></aside></article>",
+                 f"<div class='layout with-sidebar'><div class=content>{main}</div><div class=sidebar><div class=content>{other}</div></div></div>",
+                 f"<div class=content-sidebar-wrap><div class=content>{main}</div></div>",
+                 f"<article class='post comments-open'>{main}<div style='display: none'><article><p>{other}</article></div></article>",
+                 f"<form id=aspnetForm><div id=main>{main}</div></form>",
+                 f"<article>{main}</article><div class=cookie-notice><p class=content>{other}</div>"):
+        assert html_text.extract(f"<body class='single-post has-sidebar'>{page}</body>") == text, page
 
 
 def test_minimum_cut_is_brute_force():

@@ -1,7 +1,8 @@
 """HTML extraction by minimum-cut labelling of a page's text blocks.
 
-A page is cut into blocks of text at block-level tags.  A fixed linear classifier scores each block from the nearest
-telling element around it (its tag, role, class and id), its words, its share of link text and its punctuation.  The
+A page is cut into blocks of text at block-level tags.  A fixed linear classifier scores each block from the telling
+elements around it (by tag, role, class and id: the nearest counts, but reader comments, asides, hidden parts and the
+like make boilerplate of all within), its words, its share of link text and its punctuation.  The
 logistic costs of calling it boilerplate or content are its terminal capacities.  Neighbouring blocks and consecutive
 blocks of one parent are joined by edges whose capacity falls with their distance in the tree, and a maximum flow
 gives the cut: the blocks on the source's side are the content, joined in page order.
@@ -38,6 +39,9 @@ gdpr notice notices notification alert popup modal overlay sidebar side aside wi
 toolbar footer foot header masthead topbar share sharing social related recommended recommendations newsletter subscribe subscription
 signup login comment comments commentlist disqus respond reply replies discussion search searchform form pagination pager legal copyright
 disclaimer skip hidden paywall teaser trending""".split())
+REMARKS = set("comment comments commentlist disqus respond reply replies".split())
+STATE = set("has no with without open closed".split())  # a class of such a word tells what a page has, not what its element is
+WRAP = set("wrap wrapper wrapping layout container page site outer inner grid row columns".split())
 FOR = set("article content main post entry story articlebody maincontent".split())
 NEAR = 0.8
 
@@ -53,29 +57,34 @@ def words_of(value: str) -> set[str]:
     return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
 
 
-def hint(tag: str, attrs: dict[str, str | None]) -> float | None:
-    """What an element tells of its text: negative (boilerplate), positive (content), zero (unseen), or None."""
+def hint(tag: str, attrs: dict[str, str | None]) -> tuple[float, int] | None:
+    """What an element tells of its text, positive (content) or negative (boilerplate), and how firmly (1 to 3)."""
+    if tag in ("html", "body"):
+        return None
     style = (attrs.get("style") or "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-        return -12.0
+        return -12.0, 3
     role = (attrs.get("role") or "").lower()
-    names = words_of(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
-    bad, good = names & AGAINST, names & FOR
-    if tag in ("html", "body"):
-        bad = set()
+    each = [words_of(x) for x in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()]
+    names = set().union(*each)
+    bad, good = set().union(*(x for x in each if not x & STATE)) & AGAINST, names & FOR
     if bad == {"header"} and (good or tag != "div"):
         bad = set()
-    if role in AGAINST_ROLE or tag in AGAINST_TAG or bad:
-        return -8.0
-    if role in FOR_ROLE or tag in FOR_TAG or good or attrs.get("itemprop") == "articleBody":
-        return 4.0
-    return None
+    if role in AGAINST_ROLE - {"form"} or tag in AGAINST_TAG - {"form"} or bad & REMARKS:
+        return -8.0, 3
+    if bad:
+        return -8.0, 1 if names & WRAP or bad == {"form"} else 2
+    if role in FOR_ROLE or tag in FOR_TAG or attrs.get("itemprop") == "articleBody":
+        return 4.0, 3
+    if good:
+        return 4.0, 2
+    return (-8.0, 1) if "form" in (tag, role) else None
 
 
 class Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, float | None]] = []
+        self.stack: list[tuple[str, int, tuple[float, int] | None]] = []
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked, self.serial, self.links, self.unseen = 0, 0, 0, 0
@@ -87,12 +96,16 @@ class Reader(HTMLParser):
         self.parts, self.linked = [], 0
 
     def rate(self, text: str) -> float:
-        told, heading = None, False
+        told, heading, shield = None, False, 1
         tags = [s[0] for s in self.stack]
         for tag, _, said in reversed(self.stack):
             heading = heading or tag in ("h1", "h2", "h3", "h4")
-            if told is None and said is not None:
-                told = said
+            if said is None or (told or 0) < 0:
+                continue
+            if said[0] > 0:
+                told, shield = told or said[0], max(shield, said[1])
+            elif said[1] >= shield:  # an outer element overrules an inner one that is no firmer
+                told = said[0]
         if "header" in tags and "article" not in tags and "main" not in tags:
             told = -8.0
         n = len(text.split())
