@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 from helpers import rows_of
+from trackframe.operators import predict as pred_ops
 from trackframe.plans import scoring, training
 from trackframe.plans.queries import REGISTRY
 from trackframe.sources import files
@@ -87,10 +88,27 @@ def test_train_job_and_bundle_roundtrip(spark, tmp_dir):
     assert rep["n"] > 0 and rep["rmse"] >= 0
     assert res.importance.count() == len(res.features)
     from trackframe.operators import modeling
-    models, feats, _ = modeling.load_bundle(spark, f"{tmp_dir}/bundle")
+    models, feats, scaler = modeling.load_bundle(spark, f"{tmp_dir}/bundle")
+    assert scaler.first().asDict() == pytest.approx(res.scaler.first().asDict())
     assert feats == res.features
-    p = scoring.predict(out.select(*trk.PLAYER, "frame_id"), inp, models=models, features=feats)
+    p = scoring.predict(out.select(*trk.PLAYER, "frame_id"), inp, models=models, features=feats, scaler=scaler)
     assert p.where(F.col("x").isNull()).count() == 0
+    # a validation row is scored from the bundle as the training job scored it
+    own = res.validation.select("id", "pred_x", "pred_y")
+    both = pred_ops.clip_to_field(own, "pred_x", "pred_y").join(p, "id").toPandas()
+    assert len(both) == rep["n"] and both["pred_x"].values == pytest.approx(both["x"].values) and both["pred_y"].values == pytest.approx(both["y"].values)
+
+
+def test_jobs_from_files_to_submission(spark, tmp_dir):
+    inp, out = trk.tracking_tables(spark, SF_MID)
+    _write_weekly(spark, str(tmp_dir))
+    files.write_request_csv(out.select(trk.row_id().alias("id"), "frame_id", *trk.PLAYER), inp.drop("week"), f"{tmp_dir}/request")
+    res = training.train_from_files(spark, str(tmp_dir), f"{tmp_dir}/bundle", max_iter=1, max_depth=2)
+    assert res.report.first()["n"] > 0
+    scoring.score_files(spark, f"{tmp_dir}/request", f"{tmp_dir}/bundle", f"{tmp_dir}/submission")
+    got = spark.read.parquet(f"{tmp_dir}/submission").toPandas()
+    assert sorted(got["id"]) == sorted(r["id"] for r in out.select(trk.row_id().alias("id")).collect())
+    assert got[["x", "y"]].notna().all().all()
 
 
 def test_an_empty_training_side_is_an_error(spark):

@@ -78,8 +78,3 @@ def numeric_or_zero(c: ColumnOrName) -> Column:
     """Coerce to double; anything unparsable or null becomes 0.0 (pr8)."""
     return F.coalesce(F.expr(f"try_cast({c} AS DOUBLE)") if isinstance(c, str)
                       else col(c).try_cast("double"), F.lit(0.0))
-
-
-def safe_div(num: Column, den: Column) -> Column:
-    """Division that yields null for a zero divisor in any ANSI mode."""
-    return F.try_divide(num, den)

@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from trackframe.operators.scaling import finite_features
 from trackframe.session import cut_lineage
-from trackframe.sources.tracking import PLAY
+from trackframe.sources.tracking import PLAY, play_key
 
 MEMBER_ROWS = 100_000  # rows of (frame, offsets) that may be broadcast, about 4 MB
 
 
 def play_hash(seed: int | str, salt: str = "") -> F.Column:
     """An integer in [0, 2**32) from md5(game_play_seed[salt])."""
-    parts = [F.col("game_id").cast("string"), F.col("play_id").cast("string"), F.lit(str(seed))]
+    parts = [play_key(), F.lit(str(seed))]
     if salt:
         parts.append(F.lit(salt))
     return F.conv(F.substring(F.md5(F.concat_ws("_", *parts)), 1, 8), 16, 10).cast("bigint")

@@ -20,11 +20,9 @@ EXPECTED_COLUMNS = ["x", "y"]
 
 
 class InvalidSubmission(ValueError):
-    """The prediction table breaks a check (error class INVALID_SUBMISSION)."""
+    """The prediction table breaks a check."""
 
-
-class GatewayRaisedException(RuntimeError):
-    """The request rows themselves are unusable (error class GATEWAY_RAISED_EXCEPTION)."""
+    error_type = "INVALID_SUBMISSION"
 
 
 def schema_problems(pred: DataFrame, id_col: str = "id") -> list[str]:

@@ -1,18 +1,20 @@
 """End-to-end training job (E1: m8, m9).
 
 read -> last state + samples -> family-A features -> numeric coercion ->
-split by play -> boosted trees for x and y (early stopping on the held-out
-plays) -> validation RMSE and feature importance -> model bundle.  Lazy up to
-the fits; the samples are persisted across the two fits inside ``train_xy``.
+split by play -> scaling -> boosted trees for x and y (early stopping on the held-out
+plays) -> validation RMSE and feature importance -> model bundle.  The features
+are scaled with the training side's statistics, which go into the bundle.  Lazy
+up to the fits; the samples are persisted across the two fits inside ``train_xy``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from trackframe.operators import features_a, modeling, scaling, state
+from trackframe.sources import files
 
 
 @dataclass
@@ -21,7 +23,8 @@ class TrainResult:
     features: list[str]
     report: DataFrame
     importance: DataFrame
-    validation: DataFrame
+    validation: DataFrame  # with id and predictions; its feature columns (frame_id too) are scaled
+    scaler: DataFrame
 
 
 def training_frame(inp: DataFrame, out: DataFrame, include_all_players: bool = False) -> DataFrame:
@@ -36,10 +39,21 @@ def train_gbdt(inp: DataFrame, out: DataFrame, val_ratio: float = 0.2, seed: int
     df = training_frame(inp, out)
     feats = features_a.present(df, features_a.FEATURES_A)
     train, val, some = modeling.split_frames(df, val_ratio, seed)
+    train, val = scaling.finite_features(train, feats), scaling.finite_features(val, feats)
+    fitted = scaling.fit_scaler(train, feats)
+    scaler = df.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # one row: two numbers a feature
+    train, val = scaling.apply_scaler(train, scaler, feats), scaling.apply_scaler(val, scaler, feats)
     models = modeling.train_xy(train, feats, val if some else None, seed=seed, **gbt_params)
     scored = modeling.predict_xy(models, val, feats)
     report = modeling.validation_report(scored)
     importance = modeling.feature_importance(models, feats, df.sparkSession)
     if bundle_path:
-        modeling.save_bundle(models, None, bundle_path)
-    return TrainResult(models, feats, report, importance, scored)
+        modeling.save_bundle(models, scaler, bundle_path)
+    return TrainResult(models, feats, report, importance, scored, scaler)
+
+
+def train_from_files(spark: SparkSession, folder: str, bundle_path: str, weeks: list[int] | None = None,
+                     **params) -> TrainResult:
+    """The weekly CSV files of ``folder`` to a model bundle (m9)."""
+    inp, out = files.load_training_data(spark, folder, weeks)
+    return train_gbdt(inp, out, bundle_path=bundle_path, **params)

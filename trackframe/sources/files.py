@@ -50,6 +50,12 @@ class NoTrackingFiles(FileNotFoundError):
     """No file matched the pattern (io3)."""
 
 
+class UnusableRequest(ValueError):
+    """The request rows themselves cannot be scored (v11)."""
+
+    error_type = "GATEWAY_RAISED_EXCEPTION"
+
+
 def read_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV columns bound by the header's names, in any order (io1, io4, io6).
 
@@ -104,7 +110,7 @@ def load_test_data(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     """(test rows, test inputs) (io4, io6); the request rows must carry ``id``."""
     folder = folder.rstrip("/")
     if "id" not in spark.read.option("header", True).csv(f"{folder}/test.csv").columns:
-        raise ValueError(f"{folder}/test.csv carries no request ids (column id)")
+        raise UnusableRequest(f"{folder}/test.csv carries no request ids (column id)")
     return (read_by_name(spark, f"{folder}/test.csv", TEST_SCHEMA).drop("_file"),
             read_by_name(spark, f"{folder}/test_input.csv", INPUT_SCHEMA).drop("_file"))
 
@@ -151,8 +157,7 @@ def write_result(spark: SparkSession, path: str, error: BaseException | None = N
     if error is None:
         row = (True, None, None, None)
     else:
-        kind = getattr(error, "error_type", None) or (
-            "INVALID_SUBMISSION" if type(error).__name__ == "InvalidSubmission" else "GATEWAY_RAISED_EXCEPTION")
+        kind = getattr(error, "error_type", UnusableRequest.error_type)
         row = (False, kind, type(error).__name__, str(error))
     df = spark.createDataFrame([row], "succeeded boolean, error_type string, error_name string, error_details string")
     df.select("succeeded", "error_type", "error_name", F.substring("error_details", 1, 8000).alias("error_details")) \
