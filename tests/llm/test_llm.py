@@ -150,6 +150,25 @@ def test_pfair_lag_stays_below_one_block():
                 assert abs(got[:t].count(s) - t * w / 100) < 1
 
 
+def test_mix_keeps_to_the_given_weights():
+    few = {f"s{i}": (85_470 if i == 0 else 8_997) ** 0.5 for i in range(20)}  # one holds a third of the rows
+    many = {f"s{i}": 0.5 if i == 0 else 0.5 / 499 for i in range(500)}
+    for weights, blocks in ((few, {s: 5342 if s == "s0" else 563 for s in few}), (many, {s: 20_000 if s == "s0" else 41 for s in many}), ({"a": 0.7, "b": 0.2, "c": 0.1}, dict.fromkeys("abc", 3000))):
+        got = mixing.schedule(weights, blocks)
+        assert sorted(t for slots, _ in got.values() for t in slots.tolist()) == list(range(sum(blocks.values())))
+        last = max(int(phase[-1]) for _, phase in got.values())
+        ends = [1 + max(int(slots[phase == p][-1]) for slots, phase in got.values() if (phase == p).any()) for p in range(last + 1)]
+        for p in range(last + 1):
+            begin = ends[p - 1] if p else 0
+            total = sum(weights[s] for s, (_, phase) in got.items() if phase[-1] >= p)
+            for s, (slots, phase) in got.items():
+                if phase[-1] < p:
+                    continue
+                t, w = slots[phase == p] - begin, weights[s] / total
+                k = np.arange(len(t))
+                assert (w * t - k < 1 + 1e-6).all() and (k + 1 - w * (t + 1) < 1 + 1e-6).all() and w * (ends[p] - begin) - len(t) < 1 + 1e-6
+
+
 def test_mix_places_every_row_once(odd, none, docs):
     for df, w in ((odd, {"a": 1.0, "b": 2.0}), (docs, mixing.tempered(docs)), (none, {"a": 1.0})):
         out = mixing.mix(df, w, block_rows=4, period=50)

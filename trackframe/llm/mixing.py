@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pfair windows and earliest deadline first.
 
-A source's rows, in the order of a hash of their ids, form blocks of ``block_rows``; one block goes into one slot.  With
-integer weights a of a period of Q slots, the source's block k (from 0) is released at slot floor(k Q / a) and due at
-ceil((k + 1) Q / a).  In each slot the released block with the earliest deadline runs.  The weights fill the period, so
-no deadline is missed and after any number t of slots each source has had a t / Q blocks, give or take less than one.
+A source's rows, in the order of a hash of their ids, form blocks of ``block_rows``; one block goes into one slot.  For a
+target share w, taken as the exact fraction of the given weights, the source's block k (from 0) is released at slot
+floor(k / w) and due at ceil((k + 1) / w).  In each slot the released block with the earliest deadline runs.  The shares sum
+to 1, so no deadline is missed and after any number t of slots each source has had w t blocks, give or take less than one,
+however large t is.
 
-The order repeats after Q slots, so it is worked out for one period and a block's slot is arithmetic: nothing runs over
-the blocks one by one.  When the slot of a source comes and it has no block left, a phase ends: the other sources go on
-with their weights made up to 1 again, from fresh windows.  There are at most as many phases as sources.  All rows stay.
+The driver works the order out with one step a block (a number a block in memory); the rows get their places by a join,
+broadcast while the blocks are few.  When the slot of a source comes and it has no block left, a phase ends: the other
+sources go on with their weights made up to 1 again, from fresh windows.  There are at most as many phases as sources.
+All rows stay.
 
 Defined cases: an empty table gives an empty result; a null source or one without a target weight belongs to the source
 ``other``, whose weight is its share of the rows; rows with one id are told apart by a hash of all columns, full copies
@@ -18,11 +20,18 @@ and ``position`` (gapless from 0 over all rows); of further columns only those o
 from __future__ import annotations
 
 import heapq
-
+import itertools
+import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import ranked, row_hash
+from trackframe.llm.common import ranked, small
 
 OTHER = "other"
 PERIOD = 1000
@@ -32,7 +41,7 @@ ADDED = ["mix_source", "phase", "slot", "position"]
 
 
 def parts(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Positive integers in proportion to ``weights`` with the sum ``period``, by largest remainders."""
+    """Positive integers near to proportion to ``weights`` with the sum ``period``; ``mix`` goes by ``exact``."""
     total = sum(weights.values())
     exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
     out = {s: 1 + int(x) for s, x in exact.items()}
@@ -41,45 +50,57 @@ def parts(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def one_period(a: dict[str, int]) -> list[str]:
-    """The source of each slot of a period, by earliest deadline among the released blocks; ties go to the name."""
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportions of ``weights``."""
+    whole = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in whole.values()))
+    out = {s: int(w * scale) for s, w in whole.items()}
+    common = math.gcd(*out.values())
+    return {s: x // common for s, x in out.items()}
+
+
+def turns(a: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot without end, by earliest deadline among the released blocks; ties go to the name."""
     q = sum(a.values())
-    waiting, ready, out = [(0, -(-q // w), s, 0) for s, w in a.items()], [], []
+    waiting, ready = [(0, -(-q // w), s, 0) for s, w in a.items()], []
     heapq.heapify(waiting)
-    for slot in range(q):
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
             _, due, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, k))
-        due, s, k = heapq.heappop(ready)
-        out.append(s)
-        if k + 1 < a[s]:
-            heapq.heappush(waiting, ((k + 1) * q // a[s], -(-(k + 2) * q // a[s]), s, k + 1))
-    return out
+        _, s, k = heapq.heappop(ready)
+        yield s, k
+        k += 1
+        heapq.heappush(waiting, (k * q // a[s], -(-(k + 1) * q // a[s]), s, k))
 
 
-def schedule(weights: dict[str, float], blocks: dict[str, int], period: int) -> tuple[list[tuple], list[tuple]]:
-    """Phases (source, phase, first block, blocks, first slot, a, Q) and period places (phase, source, k, slot)."""
-    phases, places = [], []
-    done, at, phase = dict.fromkeys(blocks, 0), 0, 0
-    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
-        a = parts({s: weights[s] for s in left}, period)
-        turns: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(one_period(a)):
-            turns[s].append(slot)
-        slots = min(left[s] // a[s] * period + turns[s][left[s] % a[s]] for s in left)  # of the first block that lacks
-        for s in left:
-            took = slots // period * a[s] + sum(t < slots % period for t in turns[s])
-            phases.append((s, phase, done[s], took, at, a[s], period))
-            places += [(phase, s, k, t) for k, t in enumerate(turns[s])]
-            done[s] += took
-        at, phase = at + slots, phase + 1
-    return phases, places
+def one_period(a: dict[str, int]) -> list[str]:
+    """The source of each slot of a period."""
+    return [s for s, _ in itertools.islice(turns(a), sum(a.values()))]
+
+
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The slots and the phases of each source's blocks in order."""
+    slots, phases, at, phase = {s: array("q") for s in blocks}, {s: [] for s in blocks}, 0, 0
+    while left := {s: n - len(slots[s]) for s, n in blocks.items() if n > len(slots[s])}:
+        for s, k in turns(exact({s: weights[s] for s in left})):
+            if k == left[s]:
+                break
+            slots[s].append(at)
+            at += 1
+        for s, n in left.items():
+            phases[s].append((phase, len(slots[s]) - (blocks[s] - n)))
+        phase += 1
+    return {s: (np.array(slots[s], np.int64), np.repeat(*np.array(phases[s], np.int64).reshape(-1, 2).T)) for s in blocks}
 
 
 def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source",
         block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``df`` with the place of every row in the mix.  ``weights``: at most ``MAX_SOURCES`` positive target weights."""
-    if len(weights) > MAX_SOURCES or len(weights) + 1 > period or any(not w > 0 for w in weights.values()):
+    """``df`` with the place of every row in the mix.  ``weights``: at most ``MAX_SOURCES`` positive target weights.
+
+    ``period`` must pass the number of weights, as ever; the order has no period any more and does not depend on it.
+    """
+    if len(weights) > MAX_SOURCES or len(weights) + 1 > period or any(not 0 < w < math.inf for w in weights.values()):
         raise ValueError(f"give at most {MAX_SOURCES} positive weights and a longer period")
     spark, known = df.sparkSession, list(weights)
     df = df.drop(*ADDED)
@@ -90,23 +111,14 @@ def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source
     if OTHER not in full:
         n = sum(rows.values())
         full[OTHER] = sum(weights.values()) * rows.get(OTHER, 0) / max(1, n - rows.get(OTHER, 0)) or 1.0
-    phases, places = schedule(full, {s: -(-n // block_rows) for s, n in rows.items()}, period)
+    order = schedule(full, {s: -(-n // block_rows) for s, n in rows.items()})
     # a short last block of a source moves everything behind it up: rows before a slot = slots x size - what these lack
-    short = []
-    turn = {(p, s, k): t for p, s, k, t in places}
-    for s, n in rows.items():
-        last = -(-n // block_rows) - 1
-        p, first, at, a, q = next((p, f, at, a, q) for s2, p, f, took, at, a, q in phases if s2 == s and f <= last < f + took)
-        if lack := (last + 1) * block_rows - n:
-            short.append((at + (last - first) // a * q + turn[p, s, (last - first) % a], lack))
-    phase_t = spark.createDataFrame(phases, "mix_source string, phase int, _first long, _took long, _at long, _a long, _q long")
-    place_t = spark.createDataFrame(places, "phase int, mix_source string, _k long, _turn long")
+    short = [(int(order[s][0][-1]), -n % block_rows) for s, n in rows.items() if n % block_rows]
+    places = [pa.table({"mix_source": pa.array([s] * len(at), pa.string()), "_block": np.arange(len(at)), "phase": phase.astype(np.int32), "slot": at}) for s, (at, phase) in order.items()]
+    empty = pa.table({"mix_source": pa.array([], pa.string()), "_block": pa.array([], pa.int64()), "phase": pa.array([], pa.int32()), "slot": pa.array([], pa.int64())})
+    place_t = spark.createDataFrame(pa.concat_tables([empty, *places]))
     out = ranked(named, "mix_source", [F.col(f"`{id_col}`")], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    on = (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_first") + F.col("_took"))
-    out = out.join(F.broadcast(phase_t.withColumnRenamed("mix_source", "_ms")), on & (F.col("mix_source") == F.col("_ms"))).drop("_ms")
-    out = out.withColumn("_k", (F.col("_block") - F.col("_first")) % F.col("_a"))
-    out = out.join(F.broadcast(place_t), ["phase", "mix_source", "_k"])
-    out = out.withColumn("slot", F.col("_at") + F.floor((F.col("_block") - F.col("_first")) / F.col("_a")) * F.col("_q") + F.col("_turn"))
+    out = out.join(small(place_t, 40), ["mix_source", "_block"])
     lack = sum((F.when(F.col("slot") > s, n).otherwise(0) for s, n in short), F.lit(0))
     out = out.withColumn("position", F.col("slot") * block_rows + F.col("_rank") % block_rows - lack)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *ADDED)
