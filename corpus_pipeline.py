@@ -24,13 +24,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; they are written in the order of the mix, which the last stage keeps."""
+    """Every document stays; they are written in the order of the mix."""
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their pieces."""
-    return pieces.encode(docs)
+    """The documents with their pieces, in the order of the mix and with their ``position`` in it: files are read in any
+    order, so the places are worked out again from the rows."""
+    return pieces.encode(mixing.placed(docs))
 
 
 STAGES = [(name, shipped(stage)) for name, stage in (

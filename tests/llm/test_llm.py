@@ -416,6 +416,17 @@ def test_pipeline(spark, docs):
     assert sorted(r["doc_id"] for r in at.collect()) == sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF_SMALL).collect())
 
 
+def test_pipeline_keeps_the_mix(spark, docs):
+    import corpus_pipeline
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = common.written(stage(spark, at, SF_SMALL), "stage")
+    want = [(r["doc_id"], r["position"]) for r in mixing.mix(at, mixing.tempered(at)).orderBy("position").collect()]
+    assert [(r["doc_id"], r["position"]) for r in corpus_pipeline.run(spark, SF_SMALL).collect()] == want
+    scattered = corpus_pipeline.STAGES[4][1](spark, common.written(at.repartition(7, "text"), "scattered"), SF_SMALL)
+    assert [(r["doc_id"], r["position"]) for r in scattered.collect()] == want
+
+
 def test_every_query_has_its_columns(spark):
     assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == set(map(str, range(1, 11)))
     for name in ("op1_mixing", "op2_sharding", "op7_html_text"):

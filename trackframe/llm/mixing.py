@@ -130,10 +130,16 @@ def tempered(df: DataFrame, source_col: str = "source", power: float = 0.5, most
     return {r["s"]: r["n"] ** power for r in counts.orderBy(F.desc("n"), "s").limit(most).collect()}
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, written out in the order of the mix (the files' order is the training order)."""
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` in the order of the mix, with each row's ``position``; rows in one set get the same places each time."""
     out = mix(docs, tempered(docs))
-    return out.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], "position")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, written out in the order of the mix.  A reader may deal the files anew, so whoever needs
+    the order takes it from ``placed``."""
+    return placed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
