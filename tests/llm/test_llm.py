@@ -331,6 +331,40 @@ def test_n_best_is_brute_force(lattice):
         assert score == pytest.approx(want[0][0]) and [b["score"] for b in best] == pytest.approx([w[0] for w in want])
 
 
+def test_runs_of_spaces_over_the_whole_vocabulary(lattice):
+    import math
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    plain.sort(key=lambda i: (-sp.get_score(i), i))
+    mass = math.log(sum(1 / (r + 1) for r in range(len(plain) + 1)))
+    score = {sp.id_to_piece(i): (i, -math.log(r + 1) - mass) for r, i in enumerate(plain)}
+    longest = max(len(x) for x in score)
+
+    def merged(whole, n):
+        """Forward n-best lists over every piece; characters without one by bytes."""
+        best = [[(0.0, ())]]
+        for j in range(1, len(whole) + 1):
+            ways = []
+            for i in range(max(0, j - longest), j):
+                hit = score.get(whole[i:j])
+                if hit is not None:
+                    ways += [(s + hit[1], ids + (hit[0],)) for s, ids in best[i]]
+                elif j == i + 1:
+                    raw = whole[i].encode()
+                    ways += [(s + (-math.log(len(plain) + 1) - mass) * len(raw), ids + tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in raw)) for s, ids in best[i]]
+            best.append(sorted(ways, key=lambda x: (-x[0], x[1]))[:n])
+        return best[-1]
+    for text in ("a   b", "a b", "    x", "if x:\n        y = 1\n  z", "a" + " " * 40 + "b", "a  ", "   ", "a | b    | c", "☃  é   x"):
+        ids, got, best = lattice.encode(text, 5)
+        want = merged(pieces.SPACE + text.replace(" ", pieces.SPACE), 5)
+        assert got == pytest.approx(want[0][0]) and [b["score"] for b in best] == pytest.approx([w[0] for w in want]), text
+        assert lattice.decode(ids) == text
+    assert len(lattice.encode("a    b")[0]) == len(lattice.encode("a b")[0]) + 1
+    for text in ("a ▁  ▁b", "▁▁x", "  ▁", " " * 20_000 + "x"):
+        assert lattice.decode(lattice.encode(text)[0]) == text
+
+
 def test_round_trip(lattice, odd, none, docs):
     for text in ("", " ", "a▁b ▁", "tab\tand\r\nline", "☃ 漢字 \x00 🙂", "x" * 500):
         assert lattice.decode(lattice.encode(text)[0]) == text

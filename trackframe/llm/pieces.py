@@ -6,13 +6,15 @@ piece spells goes by its UTF-8 bytes, a byte piece each (at the last rank), so d
 spaces are written U+2581, one stands before the text, and a U+2581 of the text itself goes by bytes.
 
 N-best: a forward Viterbi pass scores every prefix of a unit, and these scores are exact heuristics of a backward A-star
-search, which yields its segmentations from the best downwards.  No piece crosses a space or a pair of characters that
-no piece joins, so a text's lattice is a chain of small units.  Each unit's gap between its best two segmentations comes
+search, which yields its segmentations from the best downwards.  Pieces may hold runs of spaces; a run belongs to the word
+behind it, so words begin at each space that follows another character (a vocabulary with pieces across such a place
+makes a text one word).  No piece crosses a pair of characters that no piece joins, so a text's lattice is a chain of units.  Each unit's gap between its best two segmentations comes
 from forward and backward scores; a text's ``nbest`` segmentations can deviate from its best only in the ``nbest - 1``
 units of least gap, so the search runs on these and the lists merge to the text's.  Units are kept in a bounded cache.
 
 Defined cases: an empty table gives an empty result; null text has null ids and no segmentation, empty text no pieces
-and one segmentation; fewer segmentations than asked for give a shorter list; equal scores go in order of their ids.
+and one segmentation; fewer segmentations than asked for give a shorter list; equal scores go in order of their
+ids (which of those that tie at the list's end are given is up to the search, alike each time).
 Added columns (replacing those of these names): ``ids``, ``n_pieces``, ``score``, ``nbest`` (score and the words that
 differ from ``ids``, each with its number and its pieces), ``round_trip`` (decoding gave the text back).
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -38,12 +41,18 @@ OTHER = re.compile(r"[\W\d_]")
 NO_PREFIX = (-1, -math.inf)
 CHUNK = 1 << 20
 SPACE = "▁"
+MARK = "\ud800"  # within this module a U+2581 of the text, which UTF-8 text cannot hold
+RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 ADDED = ["ids", "n_pieces", "score", "nbest", "round_trip"]
 CHANGE = pa.list_(pa.struct([("word", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 NBEST_TYPE = pa.list_(pa.struct([("score", pa.float64()), ("changes", CHANGE)]))
 SCHEMA = "ids array<int>, n_pieces int, score double, nbest array<struct<score:double,changes:array<struct<word:int,ids:array<int>>>>>, round_trip boolean"
 
 
+def spelled(c: str) -> bytes:
+    return SPACE.encode() if c == MARK else c.encode("utf-8", "replace")
+
+
 class Pieces:
     """The lattice of a vocabulary: pieces with their scores, and the units that no piece crosses."""
 
@@ -55,7 +64,7 @@ class Pieces:
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 byte[int(piece[3:5], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and SPACE not in piece[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 ranked.append((-sp.get_score(i), i, piece))
         ranked.sort()
         mass = math.log(sum(1 / (r + 1) for r in range(len(ranked) + 1)))
@@ -75,23 +84,22 @@ class Pieces:
             for c in piece[:-1]:
                 below = below.setdefault(c, ({}, None, 0.0))[0]
             below[piece[-1]] = (below.get(piece[-1], ({},))[0], i, self.node[piece][1])
+        self.joins = any(g[1] == SPACE != g[0] for g in self.glue)  # a piece holds a space behind another character
         self.words: dict[str, tuple] = {}  # by word, or by the unit that begins one
         self.later: dict[str, tuple] = {}  # by further unit
         self.mixed: dict[str, tuple] = {}  # by word of several units
         self.lists: dict[tuple[str, int], list] = {}  # n-best by word
 
     def arcs(self, unit: str) -> list[tuple[int, int, tuple[int, ...], float]]:
-        """(start, end, ids, score) in order of start.  The unit's first U+2581 is a space, any other is text."""
+        """(start, end, ids, score) in order of start."""
         out, node, n = [], self.node, len(unit)
         for i in range(n):
-            one = node.get(unit[i]) if unit[i] != SPACE or i == 0 else None
+            one = node.get(unit[i])
             if one is None:
-                raw = unit[i].encode("utf-8", "replace")
+                raw = spelled(unit[i])
                 out.append((i, i + 1, tuple(self.byte[b] for b in raw), self.byte_score * len(raw)))
             else:
                 out.append((i, i + 1, (one[0],), one[1]))
-            if unit[i] == SPACE and i:
-                continue
             for j in range(i + 2, n + 1):
                 hit = node.get(unit[i:j], NO_PREFIX)
                 if hit is NO_PREFIX:
@@ -106,9 +114,9 @@ class Pieces:
         f, via = [0.0] + [-math.inf] * n, [None] * (n + 1)
         for i in range(n):
             at, c = f[i], unit[i]
-            node = root.get(c) if c != SPACE or i == 0 else None
+            node = root.get(c)
             if node is None or node[1] is None:
-                raw = c.encode("utf-8", "replace")
+                raw = spelled(c)
                 ids, s = tuple([self.byte[b] for b in raw]), self.byte_score * len(raw)
             else:
                 ids, s = node[1:2], node[2]
@@ -150,15 +158,32 @@ class Pieces:
         for a in arcs:
             f[a[1]] = max(f[a[1]], f[a[0]] + a[3])
             into[a[1]].append(a)
-        heap, out = [(-f[size], (), size, 0.0)], []
+        # a way is (ids, the way behind it); the n best pass a place by its n best ways at most
+        heap, out, passed, made = [(-f[size], size, 0, 0.0, None)], [], [0] * (size + 1), itertools.count(1)
         while heap and len(out) < n:
-            cost, ids, at, g = heapq.heappop(heap)
+            cost, at, _, g, way = heapq.heappop(heap)
             if at == 0:
-                out.append((-cost, ids))
+                ids = []
+                while way:
+                    ids += way[0]
+                    way = way[1]
+                out.append((-cost, tuple(ids)))
                 continue
-            for i, _, own, s in into[at]:
-                heapq.heappush(heap, (-(f[i] + g + s), own + ids, i, g + s))
-        return out
+            passed[at] += 1
+            if passed[at] <= n:
+                for i, _, own, s in into[at]:
+                    heapq.heappush(heap, (-(f[i] + g + s), i, next(made), g + s, (own, way)))
+        return sorted(out, key=lambda x: (-x[0], x[1]))
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text, each without its first space; further spaces are written U+2581."""
+        if SPACE in text:
+            text = text.replace(SPACE, MARK)
+        if self.joins:
+            return [text.replace(" ", SPACE)]
+        if "  " in text or text[0] == " ":
+            return [w[1:] for w in RUN.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
 
     def units(self, word: str) -> list[str]:
         """``word`` behind a space, cut beside its other characters than letters where no piece joins the two (within
@@ -170,7 +195,7 @@ class Pieces:
         for m in OTHER.finditer(text, 1):
             i = m.start()
             for at in (i, i + 1) if i > last else (i + 1,):
-                if at < len(text) and (text[at - 1:at + 1] not in glue or text[at] == SPACE):
+                if at < len(text) and text[at - 1:at + 1] not in glue:
                     out.append(text[begin:at])
                     begin = at
             last = i + 1
@@ -184,7 +209,7 @@ class Pieces:
         if out is None:
             ids, score, gap = self.kept(self.words, units[0][1:], units[0])
             for u in units[1:]:
-                hit = self.later.get(u) or (self.text_mark(u) if u[0] == SPACE else self.kept(self.later, u, u))
+                hit = self.later.get(u) or self.kept(self.later, u, u)
                 ids, score, gap = ids + hit[0], score + hit[1], hit[2] if hit[2] < gap else gap
             out = (ids, score, gap)
             if len(word) <= 200:
@@ -203,29 +228,18 @@ class Pieces:
                 cache[key] = hit
         return hit
 
-    def text_mark(self, unit: str) -> tuple[tuple[int, ...], float, float]:
-        """A unit that begins with a U+2581 of the text: that by bytes, then the rest."""
-        raw = tuple(self.byte[b] for b in SPACE.encode())
-        rest = self.best(unit[1:]) if len(unit) > 1 else ((), 0.0, math.inf)
-        return raw + rest[0], self.byte_score * len(raw) + rest[1], rest[2]
-
     def word_n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a word from those of its units."""
         out = [(0.0, ())]
-        for k, unit in enumerate(self.units(word)):
-            if k and unit[0] == SPACE:
-                raw = tuple(self.byte[b] for b in SPACE.encode())
-                out = [(s + self.byte_score * len(raw), ids + raw) for s, ids in out]
-                unit = unit[1:]
-            if unit:
-                out = sorted(((s + t, a + b) for s, a in out for t, b in self.n_best(unit, n)), key=lambda x: (-x[0], x[1]))[:n]
+        for unit in self.units(word):
+            out = sorted(((s + t, a + b) for s, a in out for t, b in self.n_best(unit, n)), key=lambda x: (-x[0], x[1]))[:n]
         return out
 
     def encode(self, text: str, n: int = NBEST) -> tuple[list[int], float, list[dict]]:
         """(ids, score, n best: score and changed words) of a text."""
         if not text:
             return [], 0.0, [{"score": 0.0, "changes": []}]
-        words, one, many = text.split(" "), self.words, self.mixed
+        words, one, many = self.split(text), self.words, self.mixed
         got = [one.get(w) or many.get(w) or self.word(w) for w in words]
         ids = list(chain.from_iterable([g[0] for g in got]))
         score = math.fsum([g[1] for g in got])
