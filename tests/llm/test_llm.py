@@ -265,6 +265,24 @@ def test_pseudonyms():
         assert sorted(image) == list(range(size)) and [pii.permute(y, size, b"k", "t", back=True) for y in image] == list(range(size))
 
 
+def test_dates_in_either_order_and_cards_among_other_digits():
+    for text in ("25/12/2020", "12/25/2020", "5/3/2020", "25/3/2020", "1.2.2020", "31.1.1999", "2020-1-5", "2020/01/05", "12-25-2020", "05/3/2020"):
+        clean, finds = pii.pseudonymise(f"on {text} or")
+        assert [(f["kind"], f["start"], f["length"]) for f in finds] == [("date", 3, len(text))] and pii.pseudonymise(clean, back=True)[0] == f"on {text} or"
+        assert re.sub(r"\d", "0", clean) == re.sub(r"\d", "0", f"on {text} or")
+    for text in ("31/31/2020", "32/1/2020", "30/2/2020", "13.13.2020", "2020-13-1", "1/2/1899", "1/2-2020"):
+        assert pii.pseudonymise(text) == (text, [])
+    number = "4111 1111 1111 1111"
+    alone = pii.pseudonymise(number)[0]
+    for before, after in (("", " 12/25"), ("", " 123"), ("order 12 ", ""), ("123 456 ", ""), ("", " " + number), ("25-12-2020 ", " 7")):
+        clean, finds = pii.pseudonymise(before + number + after)
+        assert [f["pseudonym"] for f in finds if f["kind"] == "card"] == [alone] * (before + number + after).count(number)
+        assert number not in clean and alone in clean
+    for wide in (False, True):
+        for form in ((wide, False, True), (True, wide, False)):
+            assert len(set(pii.days(*form))) == len(pii.days(*form)) < pii.DAYS
+
+
 def test_pseudonyms_leave_clean_rows(odd, none):
     got = {(r["doc_id"], r["text"], r["clean_text"]) for r in pii.pseudonyms(odd).collect()}
     assert all(t == c for _, t, c in got) and pii.pseudonyms(none).count() == 0

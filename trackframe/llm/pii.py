@@ -1,20 +1,27 @@
 """PII: format-preserving Feistel pseudonyms, so that equal values stay linked across documents.
 
 Found: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers, phone numbers, IPv4 addresses,
-dates (calendar days of 1900 to 2099 in four formats), e-mail addresses and hex secrets of 32 digits or more.  Each is
+dates (calendar days of 1900 to 2099: year first, month/day/year, day.month.year and day-month-year, with the other order of
+day and month where that one is no date, days and months of one or two digits), e-mail addresses and hex secrets of 32 digits or more.  Each is
 a number below the size of its format's domain, and a keyed Feistel network with cycle walking permutes that domain:
 digits stay digits, letters letters of their kind, separators stay, check digits are made valid again, a date becomes
 another date of its format.  The permutation depends on the key and the kind alone, so a value's pseudonym is the same
-wherever it stands (a card number with and without separators too), and the key's holder can undo it.
+wherever it stands (a card number with and without separators too), and the key's holder can undo it.  Dates with a part of one digit and
+dates in the other order are formats of their own, each permuted within itself.  A card number may stand among other
+groups of digits: where the whole is none, runs of whole groups that pass the check are taken, first those grouped like
+cards with an issuer's first digits, then the longest; these are undone by the places that ``finds`` gives.
 
 Defined cases: an empty table gives an empty result; null text stays null with no finds; text without finds stays as it
-is; of overlapping finds the first, then the first kind in the order above counts.  Added columns (replacing those of
+is; of overlapping finds the first, then the first kind in the order above counts, but a
+phone number does not run into a card number.  Added columns (replacing those of
 these names): ``clean_text`` and ``finds`` (kind, start, length in code points of the text, pseudonym).
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -29,6 +36,8 @@ CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWX
            "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]))]
 CLASS = {c: k for k in CLASSES for c in k}
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
+CARD_SHAPES = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 4, 1), (6, 13)}
+ISSUER = re.compile(r"2[2-7]|3|4|5|6")
 ADDED = ["clean_text", "finds"]
 FINDS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("pseudonym", pa.string())]))
 SCHEMA = "clean_text string, finds array<struct<kind:string,start:int,length:int,pseudonym:string>>"
@@ -99,6 +108,27 @@ def card(m: str, key: bytes, back: bool = False) -> str | None:
     return fill(m, body + luhn_digit(body))
 
 
+def cards_within(m: str, key: bytes, back: bool = False) -> list[tuple[int, int, str]]:
+    """(start, end, pseudonym) of runs of whole digit groups in ``m`` that are card numbers and do not overlap."""
+    groups, found = [g.span() for g in re.finditer(r"\d+", m)], []
+    for i in range(len(groups)):
+        digits = ""
+        for j in range(i, len(groups)):
+            digits += m[slice(*groups[j])]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and luhn_digit(digits[:-1]) == digits[-1]:
+                shape = tuple(b - a for a, b in groups[i:j + 1])
+                found.append((not (shape in CARD_SHAPES or i == j) or not ISSUER.match(digits), -len(digits), groups[i][0], groups[j][1]))
+    out: list[tuple[int, int, str]] = []
+    taken = [False] * len(m)
+    for _, _, start, end in sorted(found):
+        if not any(taken[start:end]) and (other := card(m[start:end], key, back)) is not None:
+            taken[start:end] = [True] * (end - start)
+            out.append((start, end, other))
+    return out
+
+
 def iban_digits(country: str, body: str) -> str:
     n = int("".join(str(int(c, 36)) for c in body + country + "00"))
     return f"{98 - n % 97:02d}"
@@ -140,17 +170,33 @@ def ip(m: str, key: bytes, back: bool = False) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+@functools.cache
+def days(one_month: bool, one_day: bool, other: bool) -> list[int]:
+    """The calendar days that a format can write: parts of one digit; ``other``: days that the usual order cannot mean."""
+    each = (datetime.date.fromordinal(DAY0 + i) for i in range(DAYS))
+    return [d.toordinal() for d in each if (d.month < 10 or not one_month) and (d.day < 10 or not one_day) and (d.day > 12 or not other)]
+
+
 def date(m: str, key: bytes, back: bool = False) -> str | None:
     parts = re.split(r"([-/.])", m)
-    order = ["%Y", "%m", "%d"] if len(parts[0]) == 4 else ["%m", "%d", "%Y"] if parts[1] == "/" else ["%d", "%m", "%Y"]
-    shape = parts[1].join(order)
-    try:
-        day = datetime.datetime.strptime(m, shape).date().toordinal() - DAY0
-    except ValueError:
+    if parts[1] != parts[3]:
         return None
-    if parts[1] != parts[3] or not 0 <= day < DAYS:
-        return None
-    return datetime.date.fromordinal(DAY0 + permute(day, DAYS, key, "date", back)).strftime(shape)
+    first = "Ymd" if len(parts[0]) == 4 else "mdY" if parts[1] == "/" else "dmY"
+    for other, order in enumerate([first] if first[0] == "Y" else [first, first[1::-1] + "Y"]):
+        at = dict(zip(order, parts[::2]))
+        try:
+            day = datetime.date(int(at["Y"]), int(at["m"]), int(at["d"])).toordinal()
+        except ValueError:
+            continue
+        form = (len(at["m"]) == 1, len(at["d"]) == 1, bool(other))
+        among = days(*form)
+        x = bisect.bisect_left(among, day)
+        if x == len(among) or among[x] != day:
+            return None
+        new = datetime.date.fromordinal(among[permute(x, len(among), key, "date" if not any(form) else "date|" + "".join("01"[f] for f in form), back)])
+        text = {"Y": f"{new.year}", "m": f"{new.month:0{len(at['m'])}d}", "d": f"{new.day:0{len(at['d'])}d}"}
+        return parts[1].join(text[c] for c in order)
+    return None
 
 
 def email(m: str, key: bytes, back: bool = False) -> str | None:
@@ -168,10 +214,10 @@ def secret(m: str, key: bytes, back: bool = False) -> str | None:
 
 
 KINDS: list[tuple[str, str, Callable[..., str | None]]] = [
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)", card),
+    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,}(?!\w)", card),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
-    ("date", r"(?<![\w./-])(?:\d{4}[-/.]\d{2}[-/.]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})(?![\w/-])", date),
+    ("date", r"(?<![\w./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w/-])", date),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]\d{3,4}(?!\w)", phone),
     ("email", r"[^\W_](?:[\w.+%-]*[\w])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", email),
@@ -185,25 +231,41 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     """The text with pseudonyms in place of the finds, and the finds."""
     if not LIKELY.search(text):
         return text, []
-    found = []
+    found, left = [], text
     for rank, (kind, pattern, make) in enumerate(PATTERNS):
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(left if kind == "phone" else text):
             other = make(m[0], key, back)
             if other is not None:
                 found.append((m.start(), rank, m.end(), kind, other))
-            elif kind == "card":  # two card numbers side by side
-                found += [(m.start() + p.start(), rank, m.start() + p.end(), kind, o) for p in re.finditer(r"\d{13,19}", m[0]) if (o := make(p[0], key, back))]
+            elif kind == "card":  # among other digits
+                found += [(m.start() + a, rank, m.start() + b, kind, o) for a, b, o in cards_within(m[0], key, back)]
+        if kind == "ip" and any(f[3] == "card" for f in found):  # no phone number begins before a card number and ends in it
+            bare, at = [], 0
+            for start, _, end, found_kind, _ in apart(found):
+                if found_kind == "card":
+                    bare += [text[at:start], "\0" * (end - start)]
+                    at = end
+            left = "".join([*bare, text[at:]])
     out, finds, at = [], [], 0
-    for start, _, end, kind, other in sorted(found):
-        if start >= at:
-            out += [text[at:start], other]
-            finds.append({"kind": kind, "start": start, "length": end - start, "pseudonym": other})
-            at = end
+    for start, _, end, kind, other in apart(found):
+        out += [text[at:start], other]
+        finds.append({"kind": kind, "start": start, "length": end - start, "pseudonym": other})
+        at = end
     return "".join([*out, text[at:]]), finds
 
 
+def apart(found: list[tuple]) -> list[tuple]:
+    """The finds that stay where they overlap: the first, then the first kind."""
+    out, at = [], 0
+    for f in sorted(found):
+        if f[0] >= at:
+            out.append(f)
+            at = f[2]
+    return out
+
+
 def pseudonyms(df: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """``df`` with ``clean_text`` and ``finds``."""
     df = df.drop(*ADDED)
