@@ -448,6 +448,19 @@ def test_lm_scoring(odd, none, docs):
     assert all(r["train_tokens"] == 0 and r["score"] == r["base_score"] for r in nothing)
 
 
+def test_the_language_model_learns_from_every_row(docs, monkeypatch):
+    from collections import Counter
+    counts = Counter(t for r in docs.collect() for t in lm_scoring.tokens(r["text"]))
+    top = sorted(counts, key=lambda x: (-counts[x], x))[:lm_scoring.HEAD]
+    n = sum(counts.values())
+    monkeypatch.setattr(lm_scoring, "TRAIN_TOKENS", 100)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", n // 60)  # some 20 shards a round, so averaged in a tree
+    for df, m in ((docs, n), (docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 10 ** 9)), 2 * n)):
+        rows = df.select("text", F.xxhash64("doc_id", "text").alias("h"))
+        w, seen = lm_scoring.fit(rows, {x: i for i, x in enumerate(top)}, np.array([counts[x] * m // n for x in top]), m)
+        assert sum(seen) == m and all(np.isfinite(x).all() for x in w.values())
+
+
 def test_empty_tables(none):
     assert exact_dedup.dedup(none).count() == simhash.near_dedup(none).count() == sharding.shard(none).count() == 0
 
