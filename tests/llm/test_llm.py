@@ -218,6 +218,18 @@ def test_language_id(odd, none, docs):
     assert langid.predict(strange, model).first()["rejected"]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(k, "ab" * 3 + f" {k} " + "xyz"[k % 3] * 5, f"l{k}", k) for k in range(600)] + [(1000 + k, "lorem ipsum " * 2000, "long", k) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, h long")
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 20_000)
+    langs = langid.languages(df)
+    fit, own = (langid.sampled(df, langs, f, 20_000, 1).toPandas() for f in (True, False))
+    assert set(fit["lang"]) == {f"l{k}" for k in range(600)} | {"long"} and fit["text"].str.len().max() <= langid.PIECE
+    assert fit["text"].str.len().sum() < 20_000 / 0.75 + 603 * 20 + langid.PIECE
+    whole = [langid.sampled(df, langs, f, 10 ** 9, 1).toPandas()["text"].str.len().sum() for f in (True, False)]
+    assert sum(whole) == sum(len(r[1]) for r in rows) and len(own) <= 603 * 6
+
+
 def test_kneser_ney_sums_to_one(docs):
     model = langid.learned(docs)
     alphabet = np.array(sorted({c for r in docs.limit(50).collect() for c in langid.symbols(r["text"]).tolist()} | set(range(97, 123))), np.uint32)

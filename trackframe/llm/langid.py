@@ -5,9 +5,10 @@ Text is lower-cased; letters are symbols and every run of other characters is on
 gives the mass that its discounts free to the next lower order, down to the uniform distribution.  N-grams are 64-bit
 hashes in sorted arrays, found by binary search.  The language with the lowest cross-entropy per symbol wins.
 
-Fitting reads a bounded sample of the labelled rows: rows whose id hash falls below a share that brings each language
-to ``SAMPLE_CHARS`` / languages characters, so the model (broadcast) is bounded.  Rejection is calibrated on other
-labelled rows (``CALIBRATE_CHARS``): a text's excess over its language's mean cross-entropy, in units of the deviation
+Fitting reads a bounded sample of the labelled texts, cut into pieces of ``PIECE`` characters: pieces whose hash falls
+below a share that brings each language to ``SAMPLE_CHARS`` / languages characters, and of every language its piece of
+least hash, so each label is learned and the model (broadcast) is bounded by these and a piece a language.  Rejection is
+calibrated on other pieces (``CALIBRATE_CHARS``): a text's excess over its language's mean cross-entropy, in units of the deviation
 expected at its length (``LEAST_SPREAD`` between texts at least), must not pass ``SLACK`` times what 99.9 percent of
 these rows show, and ``LEAST_LIMIT`` at least.
 
@@ -28,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import without, written
+from trackframe.llm.common import small, without, written
 
 ORDER = 5
 SAMPLE_CHARS = 2_000_000
 CALIBRATE_CHARS = 1_000_000
+PIECE = 4_000
 CHUNK = 1 << 20
 SLACK = 2.0
 LEAST_SPREAD = 0.15  # nats: texts that mix languages or repeat a word differ by as much and are no reason to reject
@@ -167,18 +169,37 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return got.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"), F.first("suffix").alias("suffix"), F.first("context").alias("context"))
 
 
-def sampled(labelled: DataFrame, chars: int, seed: int) -> DataFrame:
-    """Rows of ``labelled`` (lang, text, h) by hash, about ``chars`` / languages characters of each language."""
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    each = chars / max(1, len(sizes))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / max(1, n)))) for k, n in sizes.items()], F.lit(0.0))
-    return labelled.filter(F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
+def numbers(n: Column) -> Column:
+    """The numbers of the pieces of a text of ``n`` characters."""
+    return F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(n - 1, F.lit(0)) / PIECE))
+
+
+def languages(labelled: DataFrame) -> DataFrame:
+    """(lang, size, least): characters and the least hash of a piece of each language of ``labelled`` (lang, text, h)."""
+    sized = labelled.select("lang", "h", F.length("text").alias("n"))
+    own = sized.withColumn("low", F.array_min(F.transform(numbers(F.col("n")), lambda i: F.xxhash64("h", i))))
+    return written(own.groupBy("lang").agg(F.sum("n").alias("size"), F.min("low").alias("least")), "languages")
+
+
+def sampled(labelled: DataFrame, langs: DataFrame, fitting: bool, chars: int, seed: int) -> DataFrame:
+    """(lang, text) pieces of ``labelled`` by hash, about ``chars`` / languages characters of each language; a quarter of
+    the pieces is for calibrating, all others and each language's piece of least hash (always drawn) are for fitting."""
+    each = chars / max(1, langs.count()) / (0.75 if fitting else 0.25)
+    share = F.least(F.lit(1.0), F.lit(each) / F.greatest(F.col("size"), F.lit(1)))
+
+    def drawn(i: Column) -> Column:
+        h = F.xxhash64("h", i)
+        some = F.pmod(F.xxhash64("h", i, F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000
+        return (h == F.col("least")) | (F.pmod(h, F.lit(4)) > 0) & some if fitting else (h != F.col("least")) & (F.pmod(h, F.lit(4)) == 0) & some
+    rows = labelled.select("lang", "text", "h").join(small(langs, 80), "lang")
+    part = rows.select("lang", "text", F.explode(F.filter(numbers(F.length("text")), drawn)).alias("i"))
+    return part.select("lang", F.col("text").substr((F.col("i") * PIECE + 1).cast("int"), F.lit(PIECE)).alias("text"))
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """A model from ``labelled`` (lang, text, h: a hash that deals rows to the fitting or the calibrating part)."""
-    fitting = F.pmod("h", F.lit(4)) > 0
-    counts = written(count_grams(sampled(labelled.filter(fitting), SAMPLE_CHARS, 1)), "grams")
+    """A model from ``labelled`` (lang, text, h: a hash that deals pieces to the fitting or the calibrating part)."""
+    langs_t = languages(labelled)
+    counts = written(count_grams(sampled(labelled, langs_t, True, SAMPLE_CHARS, 1)), "grams")
     left = counts.filter("k > 0").groupBy("lang", (F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(F.count("*").alias("left"))
     table = counts.join(left, ["lang", "k", "gram"], "left")
     used = F.when(F.col("k") == ORDER - 1, F.col("n")).otherwise(F.coalesce("left", F.lit(1)))
@@ -203,7 +224,7 @@ def fit(labelled: DataFrame) -> Model | None:
             context[-1].append((ctx_key, np.bincount(place, np.minimum(c, less)) / total))
     n = len(langs)
     model = Model(langs, gram, context, floor, np.zeros(n), np.ones(n), np.ones(n), math.inf)
-    own = sampled(labelled.filter(~fitting), CALIBRATE_CHARS, 2)
+    own = sampled(labelled, langs_t, False, CALIBRATE_CHARS, 2)
     rated = _rated(own.select("lang", "text"), model, ["lang"]).filter("n > 0").toPandas()
     worst = [1.0]
     for j, lang in enumerate(langs):
