@@ -206,6 +206,14 @@ def test_blend_of_columns_is_blend_of_frames(spark):
     assert rows_of(rows.select("id", x.alias("x"), y.alias("y")).toPandas()) == rows_of(predict.blend(frames, weights).toPandas())
 
 
+def test_value_counts_bound_per_column(spark):
+    from trackframe.operators import profile
+    rows = spark.createDataFrame([(f"v{i % 15}", i % 15) for i in range(40)], "s string, n int")
+    for k, want in (({"n": 10}, {"s": 15, "n": 10}), (None, {"s": 15, "n": 15}), (4, {"s": 4, "n": 4})):
+        got = [r["column"] for r in profile.value_counts(rows, ["s", "n"], k).collect()]
+        assert {c: got.count(c) for c in want} == want
+
+
 def test_value_counts_ties_nulls_and_bound(spark):
     from trackframe.operators import profile
     rows = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), ("b", 3), (None, 3), ("c", 3)], "s string, n int")

@@ -27,16 +27,24 @@ def distinct_plays(df: DataFrame) -> DataFrame:
     return df.select(*PLAY).distinct()
 
 
-def value_counts(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values of each column, ties by the value's text (a6, s2).
+def value_counts(df: DataFrame, columns: list[str], k: int | None | dict[str, int | None] = 10) -> DataFrame:
+    """The ``k`` most frequent values of each column (None: all; a dict gives each column's own, None where it has none),
+    ties by the value's text (a6, s2).
 
-    All columns are counted in one pass.  The bound on the rank is applied per partition before the shuffle by column,
+    All columns are counted in one pass.  A bound for all columns is applied per partition before the shuffle by column,
     so a task gets at most ``k`` rows of a column from each partition, however many values there are.
     """
     pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
     counts = df.select(pair.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    top = counts.withColumn("rank", F.row_number().over(order))
+    limits = k if isinstance(k, dict) else dict.fromkeys(columns, k)
+    if isinstance(k, int):  # one bound for all can be applied per partition
+        top = top.where(F.col("rank") <= k)
+    else:
+        for c in columns:
+            if limits.get(c) is not None:
+                top = top.where((F.col("column") != c) | (F.col("rank") <= limits[c]))
     return top.select("column", "value", "n", F.col("rank").cast("int").alias("rank"))
 
 

@@ -471,7 +471,7 @@ def q_profile_per_play(spark, sf_dir):
 
 @register("value_counts_topk")
 def q_value_counts_topk(spark, sf_dir):
-    return profile.value_counts(_plain(spark, sf_dir)[0], ["player_position", "player_side", "player_role"], 10)
+    return profile.value_counts(_plain(spark, sf_dir)[0], ["player_position", "player_side", "player_role"], {"player_position": 10})
 
 
 def _errors(spark, sf_dir):
