@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackframe.llm import exact_dedup, html_text, langid, lm_scoring, mixing, order_minhash, pieces, pii, sharding, simhash
+from trackframe.llm import exact_dedup, html_text, langid, lm_scoring, merkle, mixing, order_minhash, pieces, pii, sharding, simhash, token_counts, whitening
 from trackframe.llm.common import shipped
 
 QUERIES = {name: shipped(fn) for name, fn in {
@@ -16,7 +16,11 @@ QUERIES = {name: shipped(fn) for name, fn in {
     "op10_lm_scoring": lm_scoring.query,
     "op9_sentencepiece": pieces.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op11_token_counts": token_counts.query,
+    "op12_whitening": whitening.query,
+    "op13_merkle": merkle.query,
 }.items()}
 ORACLE = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op13_merkle": merkle.SQL,
 }
