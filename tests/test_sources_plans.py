@@ -83,15 +83,16 @@ def test_sequence_predict_with_numpy_model(spark):
 
 def test_train_job_and_bundle_roundtrip(spark, tmp_dir):
     inp, out = trk.tracking_tables(spark, SF_MID)
-    res = training.train_gbdt(inp, out, bundle_path=f"{tmp_dir}/bundle", max_iter=2, max_depth=3)
+    res = training.train_gbdt(inp, out, bundle_path=f"{tmp_dir}/bundle", rounds=3, leaves=7)
     rep = res.report.first()
     assert rep["n"] > 0 and rep["rmse"] >= 0
-    assert res.importance.count() == len(res.features)
+    assert res.importance.count() == len(res.model.features)
+    assert rep["rounds_x"] == len(res.model.trees["x"]) <= 3
     from trackframe.operators import modeling
-    models, feats, scaler = modeling.load_bundle(spark, f"{tmp_dir}/bundle")
+    model, scaler = modeling.load_bundle(spark, f"{tmp_dir}/bundle")
     assert scaler.first().asDict() == pytest.approx(res.scaler.first().asDict())
-    assert feats == res.features
-    p = scoring.predict(out.select(*trk.PLAYER, "frame_id"), inp, models=models, features=feats, scaler=scaler)
+    assert model == res.model
+    p = scoring.predict(out.select(*trk.PLAYER, "frame_id"), inp, model=model, scaler=scaler)
     assert p.where(F.col("x").isNull()).count() == 0
     # a validation row is scored from the bundle as the training job scored it
     own = res.validation.select("id", "pred_x", "pred_y")
@@ -103,7 +104,7 @@ def test_jobs_from_files_to_submission(spark, tmp_dir):
     inp, out = trk.tracking_tables(spark, SF_MID)
     _write_weekly(spark, str(tmp_dir))
     files.write_request_csv(out.select(trk.row_id().alias("id"), "frame_id", *trk.PLAYER), inp.drop("week"), f"{tmp_dir}/request")
-    res = training.train_from_files(spark, str(tmp_dir), f"{tmp_dir}/bundle", max_iter=1, max_depth=2)
+    res = training.train_from_files(spark, str(tmp_dir), f"{tmp_dir}/bundle", rounds=2, leaves=4)
     assert res.report.first()["n"] > 0
     scoring.score_files(spark, f"{tmp_dir}/request", f"{tmp_dir}/bundle", f"{tmp_dir}/submission")
     got = spark.read.parquet(f"{tmp_dir}/submission").toPandas()

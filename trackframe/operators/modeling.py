@@ -1,11 +1,10 @@
-"""Model training and scoring on Spark ML (m1-m5, m8, io10).
+"""Model training and scoring (m1-m5, m8, io10).
 
 * Train/validation split and fold ids are deterministic functions of the play
   key (an md5 of ``game_play_seed``), so they need no shuffle, no driver-side
   list of plays, and give the same answer in any engine.
-* Boosted trees are ``pyspark.ml`` ``GBTRegressor`` over a ``VectorAssembler``,
-  one model per target, trained distributed; early stopping uses the
-  validation indicator column.
+* Boosted trees are grown by ``operators.boosting``: best leaf first over
+  histograms summed on the executors, with patience on the validation plays.
 * The fold ensemble fits one small model per fold on the other folds' plays
   and averages the members per frame.
 """
@@ -14,17 +13,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.operators.scaling import finite_features
+from trackframe.operators import boosting
+from trackframe.operators.boosting import Booster
 from trackframe.session import cut_lineage
-from trackframe.sources.tracking import PLAY, play_key
+from trackframe.sources.tracking import FRAME, PLAY, play_key
 
 MEMBER_ROWS = 100_000  # rows of (frame, offsets) that may be broadcast, about 4 MB
 
@@ -61,54 +57,26 @@ def fold_of_play(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(play_hash(seed, "fold"), F.lit(k)).cast("int"))
 
 
-def gbt_pipeline(features: list[str], target: str, max_iter: int = 1000, max_depth: int = 8,
-                 step_size: float = 0.05, subsampling: float = 0.8, feature_subset: str = "0.8",
-                 seed: int = 42, validation_col: str | None = None) -> Pipeline:
-    """Assembler + boosted trees for one target (m1); defaults mirror the
-    reference configuration (rate 0.05, 0.8 row and feature sampling)."""
-    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    extra = {"validationIndicatorCol": validation_col} if validation_col else {}
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, predictionCol=f"pred_{target}",
-                       maxIter=max_iter, maxDepth=max_depth, stepSize=step_size,
-                       subsamplingRate=subsampling, featureSubsetStrategy=feature_subset, seed=seed, **extra)
-    return Pipeline(stages=[asm, gbt])
-
-
-def train_xy(train: DataFrame, features: list[str], val: DataFrame | None = None,
-             **params) -> tuple[PipelineModel, PipelineModel]:
-    """One model for x and one for y on finite-or-zero features (m1).  With a
-    validation frame, its rows are flagged and used for early stopping."""
-    data = finite_features(train, features)
-    vcol = None
+def train_xy(train: DataFrame, features: list[str], val: DataFrame | None = None, seed: int = 42, **settings) -> Booster:
+    """A model for x and one for y on finite-or-zero features (m1), fitted side by side.  With a validation frame, each
+    stops when its error there has not improved for the patience's rounds, and ends with its best round."""
+    cols = [*features, *[c for c in ("id", *FRAME, "nfl_id") if c in train.columns and c not in features], *[c for c in ("x", "y") if c not in features]]
+    data = train.select(*cols, F.lit(False).alias("_held"))
     if val is not None:
-        data = data.withColumn("_is_val", F.lit(False)).unionByName(
-            finite_features(val, features).withColumn("_is_val", F.lit(True)))
-        vcol = "_is_val"
-    # both fits read the same rows: compute them once (recomputed from the
-    # source if an executor holding a block is lost), release after
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        mx = gbt_pipeline(features, "x", validation_col=vcol, **params).fit(data)
-        my = gbt_pipeline(features, "y", validation_col=vcol, **params).fit(data)
-    finally:
-        data.unpersist()
-    return mx, my
+        data = data.unionByName(val.select(*cols, F.lit(True).alias("_held")))
+    keys = ["id"] if "id" in train.columns else [c for c in cols if c not in ("x", "y")]
+    return boosting.fit(data, features, ["x", "y"], "_held" if val is not None else None, keys, boosting.Settings(seed=seed, **settings))
 
 
-def predict_xy(models: tuple[PipelineModel, PipelineModel], df: DataFrame, features: list[str]) -> DataFrame:
+def predict_xy(model: Booster, df: DataFrame) -> DataFrame:
     """Both models' predictions as columns ``pred_x``, ``pred_y`` (m3)."""
-    mx, my = models
-    data = finite_features(df, features)
-    px = mx.transform(data).drop("features")
-    return my.transform(px).drop("features")
-
-
-def feature_importance(models: tuple[PipelineModel, PipelineModel], features: list[str], spark) -> DataFrame:
-    """Per-feature importance of each model and their mean, most important
-    first (m4, s2).  The vectors have one entry per feature (driver-side)."""
-    ix = models[0].stages[-1].featureImportances.toArray().tolist()
-    iy = models[1].stages[-1].featureImportances.toArray().tolist()
-    rows = [(f, float(a), float(b), float((a + b) / 2)) for f, a, b in zip(features, ix, iy)]
+    return boosting.predict(model, df)
+
+
+def feature_importance(model: Booster, spark) -> DataFrame:
+    """Total gain of each feature in each model and their mean, most important first (m4, s2); one row per feature."""
+    gain = boosting.importance(model)
+    rows = [(f, a, b, (a + b) / 2) for f, a, b in zip(model.features, gain["x"], gain["y"])]
     df = spark.createDataFrame(rows, "feature string, importance_x double, importance_y double, importance_avg double")
     return df.orderBy(F.col("importance_avg").desc(), F.col("feature"))
 
@@ -148,21 +116,17 @@ def fold_mean_model(train: DataFrame, requests: DataFrame, k: int = 5, seed: int
                     F.coalesce("members", F.lit(0).cast("bigint")).alias("members"))
 
 
-def save_bundle(models: tuple[PipelineModel, PipelineModel], scaler: DataFrame | None, path: str) -> None:
-    """Both models and the scaler statistics under one folder (io10); the
-    feature list travels inside each model's assembler stage."""
-    models[0].write().overwrite().save(os.path.join(path, "model_x"))
-    models[1].write().overwrite().save(os.path.join(path, "model_y"))
+def save_bundle(model: Booster, scaler: DataFrame | None, path: str, spark) -> None:
+    """The model as JSON and the scaler statistics under one folder (io10); features and settings travel with the model."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "model"))
     if scaler is not None:
         scaler.write.mode("overwrite").parquet(os.path.join(path, "scaler"))
 
 
-def load_bundle(spark, path: str) -> tuple[tuple[PipelineModel, PipelineModel], list[str], DataFrame | None]:
-    mx = PipelineModel.load(os.path.join(path, "model_x"))
-    my = PipelineModel.load(os.path.join(path, "model_y"))
-    features = list(mx.stages[0].getInputCols())
+def load_bundle(spark, path: str) -> tuple[Booster, DataFrame | None]:
+    model = Booster.from_json(spark.read.text(os.path.join(path, "model"), wholetext=True).first()["value"])
     try:
         scaler = spark.read.parquet(os.path.join(path, "scaler"))
     except AnalysisException:  # saved without a scaler
         scaler = None
-    return (mx, my), features, scaler
+    return model, scaler

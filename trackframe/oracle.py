@@ -693,6 +693,40 @@ def _quality(q: dict[str, str]) -> None:
         "SELECT rq.id, rq.game_id, rq.play_id, round(avg(rq.x_input + mem.mdx), 6) AS x, "
         "round(avg(rq.y_input + mem.mdy), 6) AS y, count(mem.mdx) AS members "
         "FROM rq LEFT JOIN mem USING (member, frame_id) GROUP BY rq.id, rq.game_id, rq.play_id")
+    ffin = ("ffin", f"SELECT {fold} AS fold, " + ", ".join(f"{_finite(c)} AS {c}" for c in FEATA_ALL) + " FROM fa")
+    member = "(SELECT unnest(range(0, 5)) AS member) m"
+    q["fold_scalers"] = build(st + [fa, ffin], " UNION ALL ".join(
+        f"SELECT CAST(member AS INTEGER) AS fold, '{c}' AS feature, round(avg({c}), 6) AS mean, "
+        f"round(CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END, 6) AS scale, count(*) AS rows "
+        f"FROM ffin JOIN {member} ON member <> fold GROUP BY member" for c in FEATA_ALL))
+    reach = "coalesce(s_input * {f}(radians(dir_input)) * (0.1 * frame_id), 0.0) AS {c}"
+    reach = ", ".join(reach.format(f=f, c=c) for f, c in (("cos", "u"), ("sin", "v")))
+    solve = []
+    for t in ("x", "y"):  # two scaled features: the normal equations' inverse by its determinant
+        solve.append(f"((n + 1.0) * n * cu{t} / su - n * ruv * n * cv{t} / sv) / det AS wu{t}, ((n + 1.0) * n * cv{t} / sv - n * ruv * n * cu{t} / su) / det AS wv{t}")
+    ridge = [("rt", f"SELECT {fold} AS fold, x - x_input AS dx, y - y_input AS dy, {reach} FROM samples WHERE x - x_input IS NOT NULL AND y - y_input IS NOT NULL"),
+             ("rs", f"""SELECT member, count(*) AS n, avg(u) AS mu, avg(v) AS mv, avg(dx) AS mx, avg(dy) AS my, stddev_pop(u) AS su, stddev_pop(v) AS sv, corr(u, v) AS ruv,
+                 covar_pop(u, dx) AS cux, covar_pop(u, dy) AS cuy, covar_pop(v, dx) AS cvx, covar_pop(v, dy) AS cvy FROM rt JOIN {member} ON member <> fold GROUP BY member"""),
+             ("rd", "SELECT *, (n + 1.0) * (n + 1.0) - (n * ruv) * (n * ruv) AS det FROM rs"),
+             ("rw", f"SELECT *, {', '.join(solve)} FROM rd")]
+    fitted = {t: f"m{t} + wu{t} * (u - mu) / su + wv{t} * (v - mv) / sv" for t in ("x", "y")}
+    q["fold_ridge"] = build(st + ridge + [("rq", f"SELECT id, game_id, play_id, x_input, y_input, {reach} FROM scoring")],
+                            f"SELECT id, game_id, play_id, round(any_value(x_input) + avg({fitted['x']}), 6) AS x, round(any_value(y_input) + avg({fitted['y']}), 6) AS y "
+                            "FROM rq LEFT JOIN rw ON true GROUP BY id, game_id, play_id")
+    q["fold_errors"] = build(st + ridge, f"SELECT CAST(fold AS INTEGER) AS fold, round(sqrt(avg((dx - ({fitted['x']})) ** 2)), 6) AS rmse_x, "
+                                         f"round(sqrt(avg((dy - ({fitted['y']})) ** 2)), 6) AS rmse_y, count(mx) AS n FROM rt LEFT JOIN rw ON member = fold GROUP BY fold")
+    cuts = {"x_input": (10.0, 11), "y_input": (5.0, 10), "s_input": (1.0, 9), "a_input": (0.5, 11)}
+    tried = " UNION ALL ".join(
+        f"SELECT '{t}' AS target, {k} AS k, '{c}' AS feature, e AS threshold, count(*) FILTER (WHERE {c} <= e) AS nl, count(*) FILTER (WHERE {c} > e) AS nr, "
+        f"sum({t} - m{t}) FILTER (WHERE {c} <= e) AS gl, sum({t} - m{t}) FILTER (WHERE {c} > e) AS gr, any_value(m{t}) AS base "
+        f"FROM sr, (SELECT unnest(range(1, {n + 1})) * {w} AS e) GROUP BY e" for t in ("x", "y") for k, (c, (w, n)) in enumerate(cuts.items()))
+    q["boosted_stump"] = build(st + [
+        ("sr", "SELECT x, y, " + ", ".join(f"{_finite(c)} AS {c}" for c in cuts) + ", avg(x) OVER () AS mx, avg(y) OVER () AS my FROM samples"),
+        ("tried", tried),
+        ("gains", "SELECT *, gl * gl / nl + gr * gr / nr - (gl + gr) * (gl + gr) / (nl + nr) AS gain FROM tried WHERE nl >= 20 AND nr >= 20"),
+        ("best", "SELECT *, row_number() OVER (PARTITION BY target ORDER BY gain DESC, k, threshold) AS place FROM gains")],
+        "SELECT target, feature, CAST(threshold AS DOUBLE) AS threshold, round(gain / (nl + nr), 6) AS gain_per_row, round(base + 0.05 * gl / nl, 6) AS pred_left, "
+        "round(base + 0.05 * gr / nr, 6) AS pred_right FROM best WHERE place = 1 AND gain > 0")
     ruled = "SELECT *, CAST('0x' || substr(md5(id), 1, 4) AS INTEGER) % 40 AS k FROM phys"
     planted = """SELECT CASE WHEN k = 5 AND n = 2 THEN id || '_x' ELSE id END AS id, game_id, play_id,
         CASE WHEN k = 3 THEN 'inf'::DOUBLE WHEN k <> 2 THEN x END AS x, CASE WHEN k = 4 THEN 'nan'::DOUBLE ELSE y END AS y

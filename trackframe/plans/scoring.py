@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackframe.operators import features_a, modeling, predict as pred_ops, scaling, sequences, state
+from trackframe.operators.boosting import Booster
 from trackframe.sources import files
 from trackframe.sources.tracking import PLAY, PLAYER, row_id
 
@@ -27,23 +28,22 @@ BLEND_WEIGHTS = {"gbdt": 0.3, "transformer": 0.4, "gnn": 0.3}
 Predictor = Callable[[DataFrame], DataFrame]
 
 
-def predict(test: DataFrame, test_input: DataFrame, models=None, features: list[str] | None = None,
+def predict(test: DataFrame, test_input: DataFrame, model: Booster | None = None,
             members: dict[str, Predictor] | None = None, weights: dict[str, float] | None = None,
             scaler: DataFrame | None = None) -> DataFrame:
     """Scores every request row (m10): last input state joined to the
-    requests, family-A features (scaled when the models' ``scaler`` is given), the boosted trees when given (else the
+    requests, family-A features (scaled when the model's ``scaler`` is given), the boosted trees when given (else the
     physics baseline), blended with any extra member predictors over the
     members present, clipped to the field.  A row without any prediction
     falls back to the field centre and is flagged (f29)."""
     if "id" not in test.columns:
         test = test.withColumn("id", row_id())
     samples = features_a.engineer(state.scoring_samples(test, test_input), is_training=False)
-    if models is not None:
-        feats = features or features_a.present(samples, features_a.FEATURES_A)
+    if model is not None:
         ready = samples
         if scaler is not None:
-            ready = scaling.apply_scaler(scaling.finite_features(samples, feats), scaler, feats)
-        scored = modeling.predict_xy(models, ready, feats)
+            ready = scaling.apply_scaler(scaling.finite_features(samples, model.features), scaler, model.features)
+        scored = modeling.predict_xy(model, ready)
         base = scored.select("id", *PLAY, F.col("pred_x").alias("x"), F.col("pred_y").alias("y"))
     else:
         base = pred_ops.physics_baseline(samples).select("id", *PLAY, "x", "y")
@@ -66,8 +66,8 @@ def predict(test: DataFrame, test_input: DataFrame, models=None, features: list[
 def score_files(spark: SparkSession, folder: str, bundle_path: str, submission_path: str) -> DataFrame:
     """The test pair of ``folder`` and a model bundle to a submission (m10)."""
     test, inputs = files.load_test_data(spark, folder)
-    models, features, scaler = modeling.load_bundle(spark, bundle_path)
-    pred = predict(test, inputs, models=models, features=features, scaler=scaler)
+    model, scaler = modeling.load_bundle(spark, bundle_path)
+    pred = predict(test, inputs, model=model, scaler=scaler)
     return files.write_submission(pred.select("id", "x", "y"), test.select("id"), submission_path)
 
 

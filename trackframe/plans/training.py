@@ -1,10 +1,9 @@
 """End-to-end training job (E1: m8, m9).
 
 read -> last state + samples -> family-A features -> numeric coercion ->
-split by play -> scaling -> boosted trees for x and y (early stopping on the held-out
+split by play -> scaling -> boosted trees for x and y (patience on the held-out
 plays) -> validation RMSE and feature importance -> model bundle.  The features
-are scaled with the training side's statistics, which go into the bundle.  Lazy
-up to the fits; the samples are persisted across the two fits inside ``train_xy``.
+are scaled with the training side's statistics, which go into the bundle.
 """
 
 from __future__ import annotations
@@ -12,16 +11,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackframe.operators import features_a, modeling, scaling, state
+from trackframe.operators.boosting import Booster
 from trackframe.sources import files
 
 
 @dataclass
 class TrainResult:
-    models: tuple
-    features: list[str]
-    report: DataFrame
+    model: Booster
+    report: DataFrame  # held-out error, and the round that each model ends with
     importance: DataFrame
     validation: DataFrame  # with id and predictions; its feature columns (frame_id too) are scaled
     scaler: DataFrame
@@ -34,7 +34,7 @@ def training_frame(inp: DataFrame, out: DataFrame, include_all_players: bool = F
 
 
 def train_gbdt(inp: DataFrame, out: DataFrame, val_ratio: float = 0.2, seed: int = 42,
-               bundle_path: str | None = None, **gbt_params) -> TrainResult:
+               bundle_path: str | None = None, **settings) -> TrainResult:
     """Train, evaluate and report (m8); save the bundle when a path is given (io10)."""
     df = training_frame(inp, out)
     feats = features_a.present(df, features_a.FEATURES_A)
@@ -43,13 +43,13 @@ def train_gbdt(inp: DataFrame, out: DataFrame, val_ratio: float = 0.2, seed: int
     fitted = scaling.fit_scaler(train, feats)
     scaler = df.sparkSession.createDataFrame(fitted.collect(), fitted.schema)  # one row: two numbers a feature
     train, val = scaling.apply_scaler(train, scaler, feats), scaling.apply_scaler(val, scaler, feats)
-    models = modeling.train_xy(train, feats, val if some else None, seed=seed, **gbt_params)
-    scored = modeling.predict_xy(models, val, feats)
-    report = modeling.validation_report(scored)
-    importance = modeling.feature_importance(models, feats, df.sparkSession)
+    model = modeling.train_xy(train, feats, val if some else None, seed=seed, **settings)
+    scored = modeling.predict_xy(model, val)
+    report = modeling.validation_report(scored).withColumns({f"rounds_{t}": F.lit(len(trees)) for t, trees in model.trees.items()})
+    importance = modeling.feature_importance(model, df.sparkSession)
     if bundle_path:
-        modeling.save_bundle(models, scaler, bundle_path)
-    return TrainResult(models, feats, report, importance, scored, scaler)
+        modeling.save_bundle(model, scaler, bundle_path, df.sparkSession)
+    return TrainResult(model, report, importance, scored, scaler)
 
 
 def train_from_files(spark: SparkSession, folder: str, bundle_path: str, weeks: list[int] | None = None,
