@@ -1,6 +1,7 @@
 """Token counts by overlap resynchronisation: a huge document is encoded in overlapping chunks, spliced where both agree.
 
-Texts of up to ``CHUNK`` code points are encoded whole.  A longer one is cut into chunks that overlap, and each chunk is
+Texts of up to ``CHUNK`` code points are counted by units, cut where the pattern alone proves a boundary (``Counter``),
+so that a stretch that many texts share is encoded once.  A longer one is cut into chunks that overlap, and each chunk is
 encoded by itself with the byte offsets at which its words (the pre-tokenizer's pieces, within which alone merges
 happen) start.  Two neighbours are spliced at an offset in their overlap at which both start a word.  That is enough:
 
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,9 @@ OVERLAP = 1 << 10
 MARGIN = 16
 LIMIT = 512
 BATCH_CHARS = 1 << 20
+KEPT_CHARS = 1 << 24
+GAP = re.compile(r"(?<=\S) (?=\S)")
+ODD = re.compile(r"\A | \Z| \s|\s ")
 
 
 @functools.lru_cache(maxsize=4)
@@ -62,18 +67,48 @@ def load(path: str):
     return tok, size, MARGIN + max((len(s) for s in special), default=0)
 
 
-def encoded(tok, texts: list[str]) -> Iterator:
-    """The encodings of ``texts``, in calls of about ``BATCH_CHARS``; of equal texts in one call, one is encoded."""
+class Counter:
+    """Token counts of texts as the sums over their units, the library being asked once for each distinct unit.
+
+    Every alternative of the pattern keeps a space before a letter, digit or sign with what follows and takes in none
+    after them, so a single space with no other white space beside it starts a word, whatever stands around.  Texts are
+    cut there.  The counts of a worker's units are kept while their letters number ``KEPT_CHARS`` at most, then dropped.
+    """
+
+    def __init__(self, tok, size: np.ndarray):
+        self.tok, self.size, self.first, self.after, self.chars = tok, size, {}, {}, 0
+
+    def learn(self, known: dict[str, int], units: set[str], lead: str) -> None:
+        """Units that follow such a space and end in no white space stand in one text, whose tokens' ends tell them apart;
+        the others are encoded one by one."""
+        fresh = list(units - known.keys())
+        alone = [u for u in fresh if not lead or u[-1:].isspace()]
+        for part in groups(alone):
+            known.update(zip(part, map(len, self.tok.encode_batch([lead + u for u in part], add_special_tokens=False))))
+        for part in groups([u for u in fresh if lead and not u[-1:].isspace()]):
+            ends = np.cumsum([len(u.encode()) + len(lead) for u in part])
+            tokens = np.cumsum(self.size[self.tok.encode(lead + lead.join(part), add_special_tokens=False).ids])
+            known.update(zip(part, np.diff(np.searchsorted(tokens, ends, side="right"), prepend=0).tolist()))
+        self.chars += sum(map(len, fresh))
+
+    def count(self, texts: list[str]) -> list[int]:
+        if self.chars > KEPT_CHARS:
+            self.first, self.after, self.chars = {}, {}, 0
+        cut = [(GAP.split(t) if ODD.search(t) else t.split(" ")) for t in texts]
+        self.learn(self.first, {u[0] for u in cut}, "")
+        self.learn(self.after, {x for u in cut for x in u[1:]}, " ")
+        return [self.first[u[0]] + sum(map(self.after.__getitem__, u[1:])) for u in cut]
+
+
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in runs of about ``BATCH_CHARS``."""
     at = 0
     while at < len(texts):
-        end, chars, place = at, 0, {}
+        end, chars = at, 0
         while end < len(texts) and (end == at or chars < BATCH_CHARS):
-            if texts[end] not in place:
-                place[texts[end]] = len(place)
-                chars += len(texts[end])
+            chars += len(texts[end])
             end += 1
-        got = tok.encode_batch(list(place), add_special_tokens=False)
-        yield from (got[place[t]] for t in texts[at:end])
+        yield texts[at:end]
         at = end
 
 
@@ -125,13 +160,13 @@ def counted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, size, margin = load(path)
+        counter = Counter(tok, size)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out = np.ones((4, len(texts)), np.int64)
             out[0], out[3] = [len(t.encode()) for t in texts], 0
             short = [k for k, t in enumerate(texts) if len(t) <= chunk]
-            for k, got in zip(short, encoded(tok, [texts[k] for k in short])):
-                out[1, k] = len(got)
+            out[1, short] = [n for part in groups([texts[k] for k in short]) for n in counter.count(part)]
             for k in set(range(len(texts))).difference(short):
                 out[1:, k] = count_long(tok, size, margin, texts[k], chunk, overlap)
             cols = [pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(out[3].astype(np.int32))]
