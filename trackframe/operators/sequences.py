@@ -24,15 +24,12 @@ MAX_HORIZON = 94
 
 
 def feature_pipeline_b(inp: DataFrame, window_size: int = WINDOW_SIZE) -> DataFrame:
-    """Direction unify -> base -> lags/EMA/rolling -> opponents (joined back) ->
-    advanced features, in that order (q1)."""
-    u = direction.unify_left(inp)
-    b = features_b.base_features(u)
-    lagged = temporal.lag_block(b, window_size)
-    # opponents need only positions, speed, direction and roles: take them
-    # from the base frame, so the lag/EMA windows are not part of that plan
-    with_opp = lagged.join(interactions.opponent_features(b), PLAYER, "left")
-    return features_b.advanced_features(with_opp)
+    """Direction unify -> base -> opponents -> lags/EMA/rolling -> advanced
+    features (q1): windows over the same play-partitioned rows throughout, so
+    one scan and one exchange."""
+    base = features_b.base_features(direction.unify_left(inp))
+    lagged = temporal.lag_block(interactions.with_opponent_features(base), window_size)
+    return features_b.advanced_features(lagged)
 
 
 def feature_columns_b(df: DataFrame) -> list[str]:

@@ -1,8 +1,8 @@
 """Per-player time-series features over ``Window.partitionBy(player).orderBy(frame)``
 (w1-w11).
 
-Every frame here is bounded (lags, rolling rows, the EMA fold), so work per
-row is constant whatever the length of a player's series.  There is no global
+Frames here are bounded (lags, rolling rows) or running sums (the EMA), so work
+per row is constant whatever the length of a player's series.  There is no global
 sort (s1): order exists only inside each player's window.  Spark groups all
 window expressions with the same specification into one Window operator over
 one sort; on input partitioned by the play key there is no exchange.
@@ -15,7 +15,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackframe.functions.nulls import diff_filled, floor_mod
+from trackframe.functions.geometry import seen_from, turn_to
+from trackframe.functions.nulls import diff_filled
+from trackframe.operators.direction import wrap_angle_deg
 from trackframe.sources.tracking import PLAYER
 
 
@@ -36,37 +38,44 @@ def lag_features(df: DataFrame, lags=(1, 2, 3, 4, 5),
     return df.withColumns(out)
 
 
-def ema_horizon(alpha: float, eps: float = 1e-17) -> int:
-    """Observations after which older ones weigh less than ``eps`` relative to the newest."""
-    return int(math.ceil(math.log(eps) / math.log(1.0 - alpha)))
+SPAN = 40.0  # exp(-SPAN) is below double precision
 
 
 def ema(df: DataFrame, spec: dict[str, str], alpha: float = 0.3, order: str = "frame_id") -> DataFrame:
     """Non-adjusted exponential moving averages ``{out: column}`` with the tabular null rule (w2, n7).
 
     A null row keeps the value and decays its weight, so an observation ``g`` rows after the last one gets
-    ``alpha / ((1-alpha)**g + alpha)``; rows before the first observation are null.  The non-null values of a player
-    are numbered, a null row having the number of the value it carries on, and the fold runs over the last
-    ``ema_horizon(alpha)`` observations.  An observation weighs at most ``1-alpha`` of the next one whatever the gap,
-    so older ones are below double precision, and a gap of any length loses nothing.
+    ``alpha / ((1-alpha)**g + alpha)``; rows before the first observation are null.
+
+    The recurrence is linear, ``y = p * y_before + q * x``, hence a running sum of ``q * x / P`` times ``P``, with ``P``
+    the product of the ``p`` so far.  ``P`` leaves the range of doubles within some hundred rows, so its logarithm is cut
+    into blocks of ``SPAN``: terms are scaled by where they lie in their block, summed within it, and the block before
+    adds its whole sum.  Blocks further back weigh less than double precision.  A row costs a constant number of running
+    sums, whatever its series' length.
     """
-    keep, back = 1.0 - alpha, ema_horizon(alpha)
+    keep = 1.0 - alpha
     w = player_window(order)
-    seen = {f"_obs_{o}": F.count(F.col(c)).over(w) for o, c in spec.items()}
-    df = df.withColumns(seen | {"_row": F.row_number().over(w)})
-
-    def fold(o: str, c: str) -> F.Column:
-        frame = player_window(f"_obs_{o}").rangeBetween(-back, 0)
-        value = F.struct(F.col(c).cast("double").alias("v"), F.col("_row").alias("at"))
-        seq = F.collect_list(F.when(F.col(c).isNotNull(), value)).over(frame)
-
-        def step(acc, e):
-            old = F.pow(F.lit(keep), e["at"] - acc["at"])
-            mixed = F.when(acc["v"] == e["v"], acc["v"]).otherwise((old * acc["v"] + alpha * e["v"]) / (old + alpha))
-            return F.struct(F.when(acc["v"].isNull(), e["v"]).otherwise(mixed).alias("v"), e["at"].alias("at"))
-        init = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("at"))
-        return F.aggregate(seq, init, step, lambda acc: acc["v"])
-    return df.withColumns({o: fold(o, c) for o, c in spec.items()}).drop("_row", *seen)
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_row", F.row_number().over(w))
+    out = out.withColumns({f"_at_{o}": F.last(F.when(F.col(c).isNotNull(), F.col("_row")), ignorenulls=True).over(before) for o, c in spec.items()})
+    steps, shares = {}, {}
+    for o, c in spec.items():
+        gap = F.col("_row") - F.col(f"_at_{o}")
+        total = F.pow(F.lit(keep), gap) + alpha
+        follows = F.col(c).isNotNull() & F.col(f"_at_{o}").isNotNull()
+        steps[f"_log_{o}"] = F.sum(F.when(follows, gap * -math.log(keep) + F.log(total)).otherwise(F.lit(0.0))).over(so_far)
+        shares[f"_share_{o}"] = F.when(follows, alpha / total).when(F.col(c).isNotNull(), F.lit(1.0))
+    out = out.withColumns(steps | shares)
+    for o, c in spec.items():
+        out = out.withColumn("_block", F.floor(F.col(f"_log_{o}") / SPAN))
+        out = out.withColumn("_away", F.col(f"_log_{o}") - SPAN * F.col("_block"))
+        out = out.withColumn("_term", F.col(f"_share_{o}") * F.col(c).cast("double") * F.exp("_away"))
+        own = F.sum("_term").over(Window.partitionBy(*PLAYER, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("_own", own)
+        last = F.sum("_term").over(Window.partitionBy(*PLAYER).orderBy("_block").rangeBetween(-1, -1))
+        out = out.withColumn("_last", F.coalesce(last, F.lit(0.0)) * math.exp(-SPAN))
+        out = out.withColumn(o, (F.col("_own") + F.col("_last")) * F.exp(-F.col("_away")))
+    return out.drop("_row", "_block", "_away", "_term", "_own", "_last", *[f"{n}{o}" for o in spec for n in ("_at_", "_log_", "_share_")])
 
 
 def ema_features(df: DataFrame, alpha: float = 0.3) -> DataFrame:
@@ -141,13 +150,9 @@ def curvature(df: DataFrame) -> DataFrame:
     if {"ball_land_x", "ball_land_y"} <= set(df.columns):
         dx = F.col("ball_land_x") - F.col("x")
         dy = F.col("ball_land_y") - F.col("y")
-        bearing = F.atan2(dy, dx)
-        a_dir = F.radians(F.coalesce(F.col("dir"), F.lit(0.0)))
-        out = out.withColumns({
-            "bearing_to_land_signed": F.degrees(F.atan2(F.sin(bearing - a_dir), F.cos(bearing - a_dir))),
-            "land_lateral_offset": dy * F.cos(a_dir) - dx * F.sin(a_dir),
-        })
-    ddir = floor_mod(diff_filled("dir", w) + 180.0, 360.0) - 180.0
+        heading = F.radians(F.coalesce(F.col("dir"), F.lit(0.0)))
+        out = out.withColumns({"bearing_to_land_signed": turn_to(heading, dx, dy, at_rest=0.0), "land_lateral_offset": seen_from(heading, dx, dy)[1]})
+    ddir = wrap_angle_deg(diff_filled("dir", w))
     denom = F.when(F.col("s") != 0, F.col("s")) * 0.1 + 1e-6
     out = out.withColumn("curvature_signed", F.coalesce(F.radians(ddir) / denom, F.lit(0.0)))
     out = out.withColumn("curvature_abs", F.abs(F.col("curvature_signed")))

@@ -114,7 +114,8 @@ def flag(pred: str) -> str:
 
 
 def r6(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {name}"
+    """Six places; moving averages are settled to nine first, as ties of the sixth are common among them."""
+    return f"round(round({expr}, 9), 6) AS {name}" if name.endswith("_ema") else f"round({expr}, 6) AS {name}"
 
 
 def build(ctes: list[tuple[str, str]], final: str) -> str:
@@ -284,8 +285,8 @@ def _family_b(q: dict[str, str]) -> None:
             for c in ("x", "y", "velocity_x", "velocity_y")]
     q["lag_features"] = build(base, f"SELECT {FK}, {', '.join(lags)} FROM base")
 
-    q["ema_features"] = build(base + EMA_CTES, f"SELECT {FK}, round(w1, 6) AS velocity_x_ema, "
-                              "round(w2, 6) AS velocity_y_ema, round(w3, 6) AS speed_ema FROM r")
+    q["ema_features"] = build(base + EMA_CTES, f"SELECT {FK}, {r6('w1', 'velocity_x_ema')}, "
+                              f"{r6('w2', 'velocity_y_ema')}, {r6('w3', 'speed_ema')} FROM r")
     q["rolling_mean"] = build(
         base, f"SELECT {FK}, round(avg(velocity_x) {rows_back(12)}, 6) AS velocity_x_roll, "
               f"round(avg(velocity_y) {rows_back(12)}, 6) AS velocity_y_roll FROM base")

@@ -43,8 +43,15 @@ def round6(c) -> F.Column:
     return F.signum(c) * F.floor(F.abs(c) * 1e6 + 0.5) / 1e6
 
 
+def round9(c: str) -> F.Column:
+    return F.signum(c) * F.floor(F.abs(c) * 1e9 + 0.5) / 1e9
+
+
 def r6(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: round6(c) for c in cols})
+    """Moving averages are settled to 9 places first: those of short decimals hit ties of the sixth place, which the
+    running sums here and the oracle's recursion may approach from either side."""
+    settled = {c: round9(c) for c in cols if c.endswith("_ema")}
+    return df.withColumns(settled).withColumns({c: round6(c) for c in cols})
 
 
 def _tables(spark: SparkSession, sf_dir: str):
@@ -302,19 +309,20 @@ def q_tail_window(spark, sf_dir):
 
 @register("sequence_train")
 def q_sequence_train(spark, sf_dir):
-    inp, out = _tables(spark, sf_dir)
+    inp, _ = _tables(spark, sf_dir)
     feat = sequences.feature_pipeline_b(inp)
     cols = sequences.feature_columns_b(feat)
-    w = sequences.training_windows(feat, out, cols)
+    # the input rows carry their player's number of output frames: no join finds out which players have any
+    w = sequences.training_windows(feat.where("num_frames_output > 0"), None, cols)
     return r6(w, cols)
 
 
 @register("sequence_score")
 def q_sequence_score(spark, sf_dir):
-    inp, out = _tables(spark, sf_dir)
+    inp, _ = _tables(spark, sf_dir)
     feat = sequences.feature_pipeline_b(inp)
     cols = sequences.feature_columns_b(feat)
-    w = sequences.scoring_windows(feat, out, cols)
+    w = sequences.scoring_windows(feat.where("num_frames_output > 0"), None, cols)
     return r6(w, cols)
 
 
