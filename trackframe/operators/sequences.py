@@ -159,6 +159,25 @@ def history_sequences(history: DataFrame, samples: DataFrame, cols: list[str],
     return query.unionByName(hist).unionByName(zero_rows).withColumn("pos", F.col("pos").cast("int"))
 
 
+def history_arrays(rows: DataFrame, cols: list[str], max_len: int = 100, target: str = "is_out") -> DataFrame:
+    """Histories in array form (q5): each target row's ``id`` and ``query`` (its own values), with ``history``, the values
+    of its player's last ``max_len - 1`` input rows, oldest first, and their number ``hist_len``.
+
+    ``rows`` has input and target rows of the same players, told apart by ``target``.  A player's array is collected
+    once, from rows ranked by frame, within the play's partition: one scan and one exchange, no join.  Nothing is padded
+    here; ``functions.batches.pad_histories`` does that where a model takes its batch.
+    """
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
+    whole = Window.partitionBy(*PLAYER)
+    is_target = F.col(target) == 1
+    ranked = rows.select("id", *PLAYER, "frame_id", is_target.alias("_t"), values.alias("_v")).withColumn(
+        "_rd", F.row_number().over(Window.partitionBy(*PLAYER, "_t").orderBy(F.col("frame_id").desc())))
+    step = F.when(~F.col("_t") & (F.col("_rd") <= max_len - 1), F.struct("frame_id", "_v"))
+    got = ranked.withColumn("_h", F.collect_list(step).over(whole)).where("_t")
+    history = F.transform(F.array_sort("_h"), lambda s: s["_v"])
+    return got.select("id", *PLAYER, F.size("_h").alias("hist_len"), history.alias("history"), F.col("_v").alias("query"))
+
+
 def graph_nodes(samples: DataFrame, cols: list[str]) -> DataFrame:
     """Per-frame player sets as a keyed node table (q6): (play, frame, player,
     features, position, target).  Frames are groups by key, not collected lists."""

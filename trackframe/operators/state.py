@@ -64,14 +64,15 @@ def scoring_samples(test: DataFrame, inp: DataFrame) -> DataFrame:
     return test.join(input_state(inp), PLAYER, "left")
 
 
-def attach_input_state(t: DataFrame, is_out: str = "is_out") -> DataFrame:
+def attach_input_state(t: DataFrame, is_out: str = "is_out", keep_input: bool = False) -> DataFrame:
     """Window form of last state + join for a table holding both input and
     output frames (rows with ``is_out = 0`` are pre-pass input).
 
     Each output row gets the last non-null pre-pass value of every attribute,
     the same values ``scoring_samples`` joins in, but computed by one window
     over the player key: no aggregate, no join, no second scan.  On a table
-    partitioned by the play key the window adds no exchange.
+    partitioned by the play key the window adds no exchange.  With ``keep_input`` the
+    input rows stay too, with their own values and ``is_out``.
     """
     w = Window.partitionBy(*PLAYER)
     pre = F.col(is_out) == 0
@@ -85,6 +86,10 @@ def attach_input_state(t: DataFrame, is_out: str = "is_out") -> DataFrame:
         cols[f"{c}_input"] = F.max_by(F.col(c), F.when(pre & F.col(c).isNotNull(), F.col("frame_id"))).over(w)
     cols["last_input_frame_id"] = F.max(F.when(pre, F.col("frame_id"))).over(w)
     keep = [c for c in ("game_id", "play_id", "nfl_id", "frame_id", "x", "y", "week") if c in t.columns]
+    if keep_input:
+        own = {f"{c}_input": c for c in STATE_COLUMNS}
+        cols = {n: c if n == "last_input_frame_id" else F.when(pre, F.col(own.get(n, n))).otherwise(c) for n, c in cols.items()}
+        return t.withColumns(cols).select(*keep, is_out, *cols)
     return t.withColumns(cols).where(~pre).select(*keep, *cols)
 
 

