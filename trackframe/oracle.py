@@ -697,6 +697,10 @@ def _quality(q: dict[str, str]) -> None:
         ("per", "SELECT game_id, play_id, nfl_id, count(*) AS input_rows, max(frame_id) AS last_frame, max(x) AS max_x FROM inp GROUP BY ALL")],
         "SELECT id, t.game_id, t.play_id, t.nfl_id, t.frame_id, input_rows, last_frame, max_x FROM test_rows t LEFT JOIN per USING (game_id, play_id, nfl_id)")
     q["submission_files"] = build(st + [("phys", PHYS_SQL)], "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(x, 6) AS csv_x, round(y, 6) AS csv_y FROM phys")
+    q["published_submission"] = build(st + [("phys", PHYS_SQL)], "SELECT id, round(x, 6) AS x, round(y, 6) AS y, count(*) OVER () AS recorded_rows, "
+                                      "1::BIGINT AS good_runs, 1::BIGINT AS failed_runs FROM phys")
+    odd = "(game_id * 10 + play_id + nfl_id + frame_id) % 50 = 0"
+    q["quarantined_lines"] = build(BASE_CTES, f"SELECT week, count(*) FILTER (WHERE NOT ({odd})) AS rows_read, count(*) FILTER (WHERE {odd}) AS lines_aside FROM inp GROUP BY week")
     fold = "CAST(('0x' || substr(md5(concat_ws('_', game_id, play_id, '42', 'fold')), 1, 8)) AS BIGINT) % 5"
     q["fold_mean"] = build(st + [
         ("tf", f"SELECT {fold} AS fold, frame_id, x - x_input AS dx, y - y_input AS dy FROM samples"),

@@ -664,6 +664,37 @@ def q_submission_files(spark, sf_dir):
     return spark.read.parquet(f"{folder}/parquet").join(text, "id")
 
 
+@register("published_submission")
+def q_published_submission(spark, sf_dir):
+    """Two submissions of one folder, the second with an id predicted twice: the first stays published, with its record,
+    and the second leaves a failed one (io8, io9)."""
+    s = _scoring(spark, sf_dir)
+    pred = r6(predict.physics_baseline(s).select("id", "x", "y"), ["x", "y"])
+    folder = _folder(spark, "published")
+    version = files.publish_submission(spark, pred, s.select("id"), folder)
+    try:
+        files.publish_submission(spark, pred.unionByName(pred.where("x >= 0")), s.select("id"), folder)
+    except Exception as error:
+        if "predicted twice" not in str(error):
+            raise
+    rows, record = files.read_published(spark, folder)
+    runs = files.read_result(spark, f"{folder}/version=*/result").agg(F.count_if("succeeded").alias("good_runs"), F.count_if(~F.col("succeeded")).alias("failed_runs")).first()
+    return rows.select("id", "x", "y", F.lit(record.first()["rows"]).alias("recorded_rows"), F.lit(runs["good_runs"]).alias("good_runs"), F.lit(runs["failed_runs"]).alias("failed_runs"))
+
+
+@register("quarantined_lines")
+def q_quarantined_lines(spark, sf_dir):
+    """Weekly files with planted lines that do not parse: rows read and lines set aside, by week (io1)."""
+    inp, _ = _tables(spark, sf_dir)
+    odd = F.expr("(game_id * 10 + play_id + nfl_id + frame_id) % 50 = 0")
+    folder, aside = _folder(spark, "weeks"), _folder(spark, "aside")
+    files.write_weekly_csv(inp.withColumn("x", F.when(odd, F.lit("12.3 yards")).otherwise(F.col("x").cast("string"))), folder, files.INPUT_PATTERN)
+    good = files.read_weekly(spark, folder, files.INPUT_PATTERN, files.INPUT_SCHEMA, quarantine=aside, most=inp.count())
+    bad = spark.read.parquet(aside).select(files.week_of("file").alias("week"), F.lit(0).alias("ok"))
+    both = good.select("week", F.lit(1).alias("ok")).unionByName(bad)
+    return both.groupBy("week").agg(F.sum("ok").alias("rows_read"), F.count_if(F.col("ok") == 0).alias("lines_aside"))
+
+
 # ------------------------------------------------------------ streaming
 @register("stream_last_state")
 def q_stream_last_state(spark, sf_dir):

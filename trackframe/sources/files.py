@@ -9,11 +9,13 @@ never aligned by position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType)
 
-from trackframe.sources.tracking import PLAY, PLAYER
+from trackframe.operators.quality import InvalidSubmission
 
 # Declared schemas of the input (pre-pass), output (targets) and
 # test (request) files; file name patterns of the weekly files.
@@ -56,18 +58,37 @@ class UnusableRequest(ValueError):
     error_type = "GATEWAY_RAISED_EXCEPTION"
 
 
-def read_by_name(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+class TooManyMalformed(ValueError):
+    """More malformed lines than the reader was told to bear (io1)."""
+
+
+CORRUPT = "_malformed_line"
+
+
+def read_by_name(spark: SparkSession, path: str, schema: StructType, quarantine: str | None = None, most: int = 0) -> DataFrame:
     """CSV columns bound by the header's names, in any order (io1, io4, io6).
 
-    A file whose header differs from the first one's, and a line that does not parse, fail the read; a declared column
-    that the header lacks is null, and an undeclared one is left out.
+    A file whose header differs from the first one's fails the read; a declared column that the header lacks is null, and
+    an undeclared one is left out.  So does a line that does not parse, unless ``quarantine`` names a folder: the lines
+    then go there as a table (file, line, parsed_fields), and if there are more than ``most`` of them ``TooManyMalformed`` is raised,
+    with the table left in place.
     """
     header = spark.read.option("header", True).csv(path).columns
     declared = {f.name: f for f in schema.fields}
-    in_file = StructType([declared.get(c, StructField(c, StringType())) for c in header])
-    df = spark.read.schema(in_file).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
+    in_file = [declared.get(c, StructField(c, StringType())) for c in header]
     cols = [F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-    return df.select(*cols, F.col("_metadata.file_path").alias("_file"))
+    file = F.col("_metadata.file_path").alias("_file")
+    if quarantine is None:
+        return spark.read.schema(StructType(in_file)).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path).select(*cols, file)
+    lines = spark.read.schema(StructType([*in_file, StructField(CORRUPT, StringType())])).options(
+        header=True, enforceSchema=False, columnPruning=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).csv(path).select("*", file)
+    parsed = sum((F.col(c).isNotNull().cast("int") for c in header), F.lit(0))
+    lines.where(F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("line"), parsed.alias("parsed_fields")).write.mode(
+        "append").parquet(quarantine)
+    found = spark.read.parquet(quarantine).count()
+    if found > most:
+        raise TooManyMalformed(f"{found} malformed lines, {most} allowed; see {quarantine}")
+    return lines.where(F.col(CORRUPT).isNull() & (parsed >= 0)).select(*cols, "_file")  # Spark refuses a query that reads the corrupt record alone
 
 
 def _glob_exists(spark: SparkSession, pattern: str) -> bool:
@@ -78,17 +99,21 @@ def _glob_exists(spark: SparkSession, pattern: str) -> bool:
     return statuses is not None and len(statuses) > 0
 
 
-def read_weekly(spark: SparkSession, folder: str, pattern: str, schema: StructType,
-                weeks: list[int] | None = None) -> DataFrame:
-    """All weekly CSVs under ``folder`` in one scan, tagged with ``week`` (io1, u1).
+def week_of(file: str) -> Column:
+    """The week in a weekly file's name."""
+    return F.regexp_extract(file, WEEK_FROM_NAME, 1).cast("int")
+
+
+def read_weekly(spark: SparkSession, folder: str, pattern: str, schema: StructType, weeks: list[int] | None = None,
+                quarantine: str | None = None, most: int = 0) -> DataFrame:
+    """All weekly CSVs under ``folder`` in one scan, tagged with ``week`` (io1, u1); ``quarantine`` as in ``read_by_name``.
 
     A week is a file or, as ``write_weekly_csv`` leaves it, a folder of parts that bears the file's name.
     """
     glob = f"{folder.rstrip('/')}/{{,{WEEK_DIR}=}}{pattern}"
     if not _glob_exists(spark, glob):
         raise NoTrackingFiles(glob)
-    df = read_by_name(spark, glob, schema)
-    df = df.withColumn("week", F.regexp_extract("_file", WEEK_FROM_NAME, 1).cast("int")).drop("_file")
+    df = read_by_name(spark, glob, schema, quarantine, most).withColumn("week", week_of("_file")).drop("_file")
     if weeks:
         df = df.where(F.col("week").isin(list(weeks)))
     return df
@@ -127,38 +152,89 @@ def write_request_csv(requests: DataFrame, inputs: DataFrame, folder: str) -> No
         df.write.mode("overwrite").option("header", True).csv(f"{folder.rstrip('/')}/{name}")
 
 
-def write_tracking_parquet(df: DataFrame, path: str) -> None:
-    """Tracking rows as Parquet partitioned by week (partition pruning for
-    week filters) and clustered by play inside each file set."""
-    part = ["week"] if "week" in df.columns else []
-    df.repartition(*part, *PLAY).sortWithinPartitions(*PLAYER, "frame_id").write.mode("overwrite") \
-        .partitionBy(*part).parquet(path)
-
-
 def write_predictions_csv(pred: DataFrame, path: str) -> None:
     """``id, x, y`` with a header (io7)."""
     pred.select("id", "x", "y").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_submission(pred: DataFrame, row_ids: DataFrame, path: str, id_col: str = "id") -> DataFrame:
-    """Submission Parquet: the request ids first, then the predicted columns,
-    joined on the id (io8, j16).  A prediction column named like an id column
-    is replaced by the request's value."""
+def submission(pred: DataFrame, row_ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The request ids first, then the predicted columns, joined on the id (io8, j16).  A prediction column named like an
+    id column is replaced by the request's value; an id predicted twice fails the query instead of doubling its row."""
     ids = row_ids.columns
     rest = [c for c in pred.columns if c not in ids]
-    out = row_ids.join(pred.select(id_col, *rest), id_col, "left").select(*ids, *rest)
+    twice = F.raise_error(F.concat(F.lit("predicted twice: "), F.col(id_col).cast("string")))
+    one = pred.groupBy(id_col).agg(F.first(F.struct(*rest)).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    one = one.where(F.when(F.col("_n") > 1, twice.cast("boolean")).otherwise(F.lit(True)))
+    return row_ids.join(one, id_col, "left").select(*ids, *[F.col(f"_p.{c}").alias(c) for c in rest])
+
+
+def write_submission(pred: DataFrame, row_ids: DataFrame, path: str, id_col: str = "id") -> DataFrame:
+    """``submission`` as Parquet (io8)."""
+    out = submission(pred, row_ids, id_col)
     out.write.mode("overwrite").parquet(path)
     return out
 
 
-def write_result(spark: SparkSession, path: str, error: BaseException | None = None) -> None:
+POINTER = "CURRENT"
+
+
+def _publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Let ``CURRENT`` name ``version``: written beside it and moved over it in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    beside, final = place(f"{folder}/_{POINTER}-{version}"), place(f"{folder}/{POINTER}")
+    fs = final.getFileSystem(conf)
+    with_text = fs.create(beside, True)
+    with_text.write(bytearray(version.encode()))
+    with_text.close()
+    options = jvm.org.apache.hadoop.fs.Options
+    over = spark.sparkContext._gateway.new_array(options.Rename, 1)
+    over[0] = options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(beside, final, over)
+
+
+def publish_submission(spark: SparkSession, pred: DataFrame, row_ids: DataFrame, folder: str, id_col: str = "id") -> str:
+    """Submission and run record as one commit (io8, io9); the version's name.
+
+    Both are written to a folder of their own, the record last, with the number of rows that the written submission
+    has.  Only then does the pointer move, in one step, so a reader sees the version before or this one, and what a lost
+    driver leaves behind is never read.  A failing submission leaves its record, and the pointer where it was.
+    """
+    folder, version = folder.rstrip("/"), uuid.uuid4().hex
+    stage = f"{folder}/version={version}"
+    try:
+        submission(pred, row_ids, id_col).write.parquet(f"{stage}/submission")
+    except Exception as error:
+        write_result(spark, f"{stage}/result", InvalidSubmission(str(error)))
+        raise
+    write_result(spark, f"{stage}/result", rows=spark.read.parquet(f"{stage}/submission").count())
+    _publish(spark, folder, version)
+    return version
+
+
+def read_published(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(submission, run record) of the published version; the record's rows are checked against the submission's."""
+    folder = folder.rstrip("/")
+    version = spark.read.text(f"{folder}/{POINTER}").first()["value"]
+    rows, result = spark.read.parquet(f"{folder}/version={version}/submission"), read_result(spark, f"{folder}/version={version}/result")
+    if (want := result.first()["rows"]) != (got := rows.count()):
+        raise InvalidSubmission(f"{folder} has {got} rows, its record {want}")
+    return rows, result
+
+
+RESULT = "succeeded boolean, error_type string, error_name string, error_details string, rows bigint"
+
+
+def write_result(spark: SparkSession, path: str, error: BaseException | None = None, rows: int | None = None) -> None:
     """One-row run record: success flag, error class and name, detail cut to
-    8000 characters (io9, v11)."""
+    8000 characters, rows written (io9, v11)."""
     if error is None:
-        row = (True, None, None, None)
+        row = (True, None, None, None, rows)
     else:
         kind = getattr(error, "error_type", UnusableRequest.error_type)
-        row = (False, kind, type(error).__name__, str(error))
-    df = spark.createDataFrame([row], "succeeded boolean, error_type string, error_name string, error_details string")
-    df.select("succeeded", "error_type", "error_name", F.substring("error_details", 1, 8000).alias("error_details")) \
-        .coalesce(1).write.mode("overwrite").json(path)
+        row = (False, kind, type(error).__name__, str(error)[:8000], rows)
+    spark.createDataFrame([row], RESULT).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RESULT).json(path)
