@@ -51,22 +51,24 @@ def validate(pred: DataFrame, requested: DataFrame, id_col: str = "id") -> DataF
     if problems:
         return spark.createDataFrame([(p, 1) for p in problems], "check string, violations bigint")
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    keys = [k for k in PLAY if k in pred.columns and k in requested.columns]
+    keys = [k for k in PLAY if k in requested.columns]
+    told = [k for k in keys if k in pred.columns]  # a prediction without its play takes the play of the request with its id
     # per (play, id): predicted rows, with null and non-finite counts; requested rows
-    p_ids = pred.groupBy(*keys, id_col).agg(
+    p_ids = pred.groupBy(*told, id_col).agg(
         F.count(F.lit(1)).alias("np"),
         F.count_if(x.isNull() | y.isNull()).alias("nnull"),
         F.count_if(F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")) | (F.abs(y) == float("inf")))
         .alias("nbad"))
     r_ids = requested.groupBy(*keys, id_col).agg(F.count(F.lit(1)).alias("nr"))
-    ids = p_ids.join(r_ids, [*keys, id_col], "full_outer")
+    ids = p_ids.join(r_ids, [*told, id_col], "full_outer")
     np_, nr_ = F.coalesce(F.col("np"), F.lit(0)), F.coalesce(F.col("nr"), F.lit(0))
     if keys:
-        # per-play totals by a window on the play key (the join output is
-        # already partitioned by it), flagged once per play
+        # per-play totals by a window on the play key (where the join was by it too, its output is
+        # already partitioned by it), flagged once per play; an extra id without a play is in none
         play = Window.partitionBy(*keys)
         first = F.row_number().over(play.orderBy(id_col)) == 1
-        wrong_play = first & (F.sum(np_).over(play) != F.sum(nr_).over(play))
+        placed = F.lit(True) if told == keys else F.col(keys[0]).isNotNull()
+        wrong_play = placed & first & (F.sum(np_).over(play) != F.sum(nr_).over(play))
     else:
         wrong_play = F.lit(False)
     checks = ids.select("*", wrong_play.alias("_wrong")).agg(

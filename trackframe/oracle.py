@@ -766,6 +766,24 @@ def _quality(q: dict[str, str]) -> None:
                               ("null_values", "non_finite_values", "missing_ids", "extra_ids", "duplicate_ids", "plays_with_wrong_row_count", "empty_request"))
     q["stream_repeated_ids"] = build(BASE_CTES, f"SELECT \"check\", CAST(violations AS BIGINT) AS violations FROM ({zero} UNION ALL SELECT 'ids_of_earlier_batches', "
                                                 "count(*) FROM test_rows WHERE (game_id * 10 + play_id + nfl_id + frame_id) % 7 = 0)")
+    k40 = "CAST('0x' || substr(md5(id), 1, 4) AS INTEGER) % 40"
+    plays, short = "count(DISTINCT (game_id, play_id))", f"FROM phys WHERE {k40} = 0"
+    faults = [("missing_id", "missing id column ''id''", "1", ""), ("missing_y", "value columns must be [''x'', ''y''], got [''x'']", "1", ""),
+              ("extra_column", "value columns must be [''x'', ''y''], got [''x'', ''y'', ''z'']", "1", ""), ("text_x", "column ''x'' must be numeric", "1", ""),
+              ("empty_prediction", "missing_ids", "count(*)", "FROM phys"), ("empty_prediction", "plays_with_wrong_row_count", plays, "FROM phys"),
+              ("empty_request", "extra_ids", "count(*)", "FROM phys"), ("empty_request", "plays_with_wrong_row_count", plays, "FROM phys"),
+              ("empty_request", "empty_request", "1", ""), ("no_play_key", "missing_ids", "count(*)", short), ("no_play_key", "plays_with_wrong_row_count", plays, short)]
+    q["schema_faults"] = build(st + [("phys", PHYS_SQL), ("faults", " UNION ALL ".join(
+        f"SELECT '{c}' AS \"case\", '{k}' AS \"check\", CAST({n} AS BIGINT) AS violations {src}" for c, k, n, src in faults))], "SELECT * FROM faults WHERE violations > 0")
+    q["direction_faults"] = build(BASE_CTES, """SELECT 'direction_not_unique' AS "check", count(DISTINCT (game_id, play_id)) AS violations FROM inp WHERE (game_id * 10 + play_id) % 3 = 0
+        UNION ALL SELECT 'direction_missing', count(*) FROM outp WHERE (game_id * 10 + play_id) % 4 = 0 OR (game_id, play_id) NOT IN (SELECT (game_id, play_id) FROM inp)""")
+    held = f"CAST(('0x' || substr(md5(concat_ws('_', game_id, play_id, '42')), 1, 8)) AS BIGINT) < {int(0.2 * 2 ** 32)}"
+    q["batches_of_plays"] = build(st + [("phys", PHYS_SQL)], f"SELECT id, game_id, play_id, CASE WHEN {held} THEN round(x, 6) ELSE 0.0 END AS x, "
+                                                             f"CASE WHEN {held} THEN round(y, 6) ELSE 0.0 END AS y FROM phys WHERE (game_id, play_id) IN (SELECT (game_id, play_id) FROM inp)")
+    groups = {"use_velocity": ["vx", "vy"], "use_distance": ["dist_to_ball_landing", "dist_from_los", "dist_to_near_sideline", "dist_from_center"],
+              "use_angle": ["angle_to_ball", "pursuit_angle", "facing_ball", "body_alignment"]}
+    q["feature_groups"] = build(st + [fa], " UNION ALL ".join(
+        f"SELECT '{off}' AS off, '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 6) AS mean FROM fa" for off, gone in groups.items() for c in FEATA_ALL if c not in gone))
     q["profile_counts"] = build(BASE_CTES, "SELECT count(DISTINCT game_id) AS games, "
                                            "count(DISTINCT (game_id, play_id)) AS plays, count(DISTINCT nfl_id) AS players, "
                                            "count(*) AS rows FROM inp")

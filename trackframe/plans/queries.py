@@ -557,6 +557,54 @@ def q_validate_predictions(spark, sf_dir):
     return quality.validate(pred.select("id", *trk.PLAY, "x", "y"), s.select("id", *trk.PLAY))
 
 
+@register("schema_faults")
+def q_schema_faults(spark, sf_dir):
+    """What validation reports for predictions with a planted fault of the table as a whole (v1, v3-v6, u3), and for ones
+    without play keys of which some rows lack (v2)."""
+    s = _scoring(spark, sf_dir)
+    good, asked = predict.physics_baseline(s).select("id", *trk.PLAY, "x", "y"), s.select("id", *trk.PLAY)
+    kept = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 4), 16, 10).cast("int") % 40 != 0
+    cases = {"missing_id": (good.drop("id"), asked), "missing_y": (good.drop("y"), asked), "extra_column": (good.withColumn("z", F.lit(1.0)), asked),
+             "text_x": (good.withColumn("x", F.col("x").cast("string")), asked), "empty_prediction": (good.where("false"), asked),
+             "empty_request": (good, asked.where("false")), "no_play_key": (good.where(kept).select("id", "x", "y"), asked)}
+    reports = [quality.validate(p, r).where("violations > 0").select(F.lit(name).alias("case"), "check", "violations") for name, (p, r) in cases.items()]
+    return quality.union_batches(reports)
+
+
+@register("direction_faults")
+def q_direction_faults(spark, sf_dir):
+    """Planted direction faults (v9, j5): every third play's direction both ways, every fourth play's unknown."""
+    inp, out = _tables(spark, sf_dir)
+    play = F.col("game_id") * 10 + F.col("play_id")
+    plain = direction.direction_map(inp)
+    other = plain.where(play % 3 == 0).withColumn("play_direction", F.when(F.col("play_direction") == "left", "right").otherwise("left"))
+    rows = out.drop("week").join(plain.where(play % 4 != 0), trk.PLAY, "left")
+    return direction.direction_violations(plain.unionByName(other), rows)
+
+
+@register("batches_of_plays")
+def q_batches_of_plays(spark, sf_dir):
+    """Predictions in two batches by play, put together: physics for the held-out plays, zeros for the others (u2, j6, f30)."""
+    s = _scoring(spark, sf_dir)
+    split = modeling.split_by_play(profile.distinct_plays(_plain(spark, sf_dir)[0]))
+    physics = predict.physics_baseline(profile.restrict_to_plays(s, split.where("is_val"))).select("id", *trk.PLAY, "x", "y")
+    zeros = predict.zero_baseline(profile.restrict_to_plays(s, split.where("not is_val")))
+    return r6(quality.union_batches([physics, zeros]), ["x", "y"])
+
+
+@register("feature_groups")
+def q_feature_groups(spark, sf_dir):
+    """The feature columns that are there with each group switched off, with their means (pr13)."""
+    samples = _samples(spark, sf_dir)
+    parts = []
+    for off in ("use_velocity", "use_distance", "use_angle"):
+        df = features_a.engineer(samples, is_training=False, **{off: False})
+        cols = features_a.present(df, features_a.FEATURES_A)
+        row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
+        parts.append(row.select(F.lit(off).alias("off"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean")) for c in cols]))))
+    return r6(quality.union_batches(parts), ["mean"])
+
+
 def _plain(spark, sf_dir):
     """(input, output) rows without frame numbers: no exchange."""
     t = trk.plain_frames(spark, sf_dir)
