@@ -10,7 +10,8 @@ search, which yields its segmentations from the best downwards.  Pieces may hold
 behind it, so words begin at each space that follows another character (a vocabulary with pieces across such a place
 makes a text one word).  No piece crosses a pair of characters that no piece joins, so a text's lattice is a chain of units.  Each unit's gap between its best two segmentations comes
 from forward and backward scores; a text's ``nbest`` segmentations can deviate from its best only in the ``nbest - 1``
-units of least gap, so the search runs on these and the lists merge to the text's.  Units are kept in a bounded cache.
+units of least gap, so the search runs on these and the lists merge to the text's.  Units are kept in a bounded cache;
+the new ones of about a megabyte of text go through Viterbi together, by length.
 
 Defined cases: an empty table gives an empty result; null text has null ids and no segmentation, empty text no pieces
 and one segmentation; fewer segmentations than asked for give a shorter list; equal scores go in order of their
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 CACHE = 400_000
+BATCHED = 64  # longest unit that is looked at together with others
 OTHER = re.compile(r"[\W\d_]")
 NO_PREFIX = (-1, -math.inf)
 CHUNK = 1 << 20
@@ -84,12 +86,119 @@ class Pieces:
             for c in piece[:-1]:
                 below = below.setdefault(c, ({}, None, 0.0))[0]
             below[piece[-1]] = (below.get(piece[-1], ({},))[0], i, self.node[piece][1])
+        self.table()
         self.joins = any(g[1] == SPACE != g[0] for g in self.glue)  # a piece holds a space behind another character
         self.words: dict[str, tuple] = {}  # by word, or by the unit that begins one
         self.later: dict[str, tuple] = {}  # by further unit
-        self.mixed: dict[str, tuple] = {}  # by word of several units
         self.lists: dict[tuple[str, int], list] = {}  # n-best by word
 
+    def table(self) -> None:
+        """The trie in arrays: characters by number, the children of a place in one sorted list of keys."""
+        letters = sorted({c for piece in self.node for c in piece})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        ids, scores, keys, below, queue = [-1], [0.0], [], [], [(0, self.trie)]
+        for at, children in queue:  # grows while it is walked
+            for c, (under, one, s) in children.items():
+                keys.append(at * self.base + int(self.number[ord(c)]))
+                below.append(len(ids))
+                queue.append((len(ids), under))
+                ids.append(-1 if one is None else one)
+                scores.append(s)
+        order = np.argsort(np.array(keys))
+        self.keys, self.below = np.r_[np.array(keys, np.int64)[order], np.iinfo(np.int64).max], np.r_[np.array(below)[order], 0]
+        self.place_id, self.place_score = np.array(ids), np.array(scores)
+        self.first = np.zeros(self.base, np.int64)
+        top = self.keys < self.base
+        self.first[self.keys[top]] = self.below[top]
+
+    def best_many(self, units: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
+        """``best`` of many units at once: those of one length walk the trie and pass their scores on together."""
+        out: list = [None] * len(units)
+        sizes = np.array([len(u) for u in units])
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n).tolist()
+            points = np.frombuffer("".join([units[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            for k, got in zip(rows, self.best_of_length(points)):
+                out[k] = got
+        return out
+
+    def best_of_length(self, points: np.ndarray) -> Iterator[tuple[tuple[int, ...], float, float]]:
+        count, n = points.shape
+        letters = self.number[points].astype(np.int64)
+        place = self.first[letters]
+        one_id = np.where(place > 0, self.place_id[place], -1)
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        one_score = np.where(one_id >= 0, self.place_score[place], self.byte_score * width)
+        f = np.full((count, n + 1), -np.inf)
+        f[:, 0] = 0.0
+        via, own = np.zeros((count, n + 1), np.int32), np.full((count, n + 1), -1, np.int32)
+        arcs, everyone = [], np.arange(count)
+        for i in range(n):
+            at = f[:, i]
+            arcs.append((i, i + 1, everyone, one_score[:, i]))
+            score = at + one_score[:, i]
+            up = np.flatnonzero(score > f[:, i + 1])
+            f[up, i + 1], via[up, i + 1], own[up, i + 1] = score[up], i, one_id[up, i]
+            live = np.flatnonzero(place[:, i])
+            node, j = place[live, i], i + 1
+            while len(live) and j < n:
+                key = node * self.base + letters[live, j]
+                spot = np.searchsorted(self.keys, key)
+                hit = self.keys[spot] == key
+                live, node, j = live[hit], self.below[spot[hit]], j + 1
+                ends = self.place_id[node] >= 0
+                rows, last = live[ends], node[ends]
+                if len(rows):
+                    s = self.place_score[last]
+                    arcs.append((i, j, rows, s))
+                    score = at[rows] + s
+                    up = score > f[rows, j]
+                    r = rows[up]
+                    f[r, j], via[r, j], own[r, j] = score[up], i, self.place_id[last[up]]
+        onward, piece = np.full((count, n + 1), -1, np.int32), np.full((count, n + 1), -1, np.int32)
+        rows, end = everyone, np.full(count, n)
+        while len(rows):
+            begin = via[rows, end]
+            onward[rows, begin], piece[rows, begin] = end, own[rows, end]
+            more = begin > 0
+            rows, end = rows[more], begin[more]
+        b, top = np.full((count, n + 1), -np.inf), np.full(count, -np.inf)
+        b[:, n] = 0.0
+        for i, j, rows, s in reversed(arcs):
+            t = s + b[rows, j]
+            b[rows, i] = np.maximum(b[rows, i], t)
+            away = onward[rows, i] != j
+            r = rows[away]
+            top[r] = np.maximum(top[r], f[r, i] + t[away])
+        used = onward[:, :n] >= 0
+        flat, ends = piece[:, :n][used].tolist(), np.cumsum(used.sum(axis=1)).tolist()
+        plain = ~(used & (piece[:, :n] < 0)).any(axis=1)
+        begin = 0
+        for k, (end, score, gap, whole) in enumerate(zip(ends, f[:, n].tolist(), np.maximum(f[:, n] - top, 0.0).tolist(), plain.tolist())):
+            if whole:
+                yield tuple(flat[begin:end]), score, gap
+            else:  # a character that goes by its bytes
+                ids = []
+                for at, one in zip(np.flatnonzero(used[k]).tolist(), flat[begin:end]):
+                    ids += [one] if one >= 0 else [self.byte[x] for x in spelled(chr(points[k, at]))]
+                yield tuple(ids), score, gap
+            begin = end
+
+    def look_ahead(self, words: set[str]) -> None:
+        """Fill the caches with those ``words`` that are new."""
+        cut = {w: self.units(w) for w in words - self.words.keys()}
+        first = {u[0] for u in cut.values()}
+        for cache, units, lead in ((self.words, first, 1), (self.later, {x for u in cut.values() for x in u[1:]}, 0)):
+            new = [u for u in units if len(u) <= BATCHED and u[lead:] not in cache]
+            if len(cache) + len(new) > CACHE:
+                cache.clear()
+            cache.update(zip([u[lead:] for u in new], self.best_many(new)))
+        for w, units in cut.items():
+            if len(units) > 1:
+                self.joined(w, units)
+
     def arcs(self, unit: str) -> list[tuple[int, int, tuple[int, ...], float]]:
         """(start, end, ids, score) in order of start."""
         out, node, n = [], self.node, len(unit)
@@ -191,6 +300,8 @@ class Pieces:
         text, out, begin = SPACE + word, [], 0
         if word.isalpha():
             return [text]
+        if word[:-1].isalpha():  # a sign behind a word, by far the most frequent
+            return [text] if text[-2:] in self.glue or not OTHER.match(word[-1]) else [text[:-1], text[-1]]
         glue, last = self.glue, 0
         for m in OTHER.finditer(text, 1):
             i = m.start()
@@ -205,17 +316,17 @@ class Pieces:
     def word(self, word: str) -> tuple[tuple[int, ...], float, float]:
         """(ids, score, least gap) of a word, kept for the next time; a cache starts anew when full."""
         units = self.units(word)
-        out = self.kept(self.words, word, SPACE + word) if len(units) == 1 else None
-        if out is None:
-            ids, score, gap = self.kept(self.words, units[0][1:], units[0])
-            for u in units[1:]:
-                hit = self.later.get(u) or self.kept(self.later, u, u)
-                ids, score, gap = ids + hit[0], score + hit[1], hit[2] if hit[2] < gap else gap
-            out = (ids, score, gap)
-            if len(word) <= 200:
-                if len(self.mixed) >= CACHE // 4:
-                    self.mixed.clear()
-                self.mixed[word] = out
+        return self.kept(self.words, word, units[0]) if len(units) == 1 else self.joined(word, units)
+
+    def joined(self, word: str, units: list[str]) -> tuple[tuple[int, ...], float, float]:
+        """A word from its units (a unit that begins a word is a word of its own, so no key stands for two things)."""
+        ids, score, gap = self.words.get(units[0][1:]) or self.kept(self.words, units[0][1:], units[0])
+        for u in units[1:]:
+            hit = self.later.get(u) or self.kept(self.later, u, u)
+            ids, score, gap = ids + hit[0], score + hit[1], hit[2] if hit[2] < gap else gap
+        out = (ids, score, gap)
+        if len(word) <= 200:
+            self.words[word] = out
         return out
 
     def kept(self, cache: dict[str, tuple], key: str, unit: str) -> tuple[tuple[int, ...], float, float]:
@@ -235,12 +346,12 @@ class Pieces:
             out = sorted(((s + t, a + b) for s, a in out for t, b in self.n_best(unit, n)), key=lambda x: (-x[0], x[1]))[:n]
         return out
 
-    def encode(self, text: str, n: int = NBEST) -> tuple[list[int], float, list[dict]]:
-        """(ids, score, n best: score and changed words) of a text."""
+    def encode(self, text: str, n: int = NBEST, words: list[str] | None = None) -> tuple[list[int], float, list[dict]]:
+        """(ids, score, n best: score and changed words) of a text; ``words``: its words, if they are known."""
         if not text:
             return [], 0.0, [{"score": 0.0, "changes": []}]
-        words, one, many = self.split(text), self.words, self.mixed
-        got = [one.get(w) or many.get(w) or self.word(w) for w in words]
+        words, known = self.split(text) if words is None else words, self.words
+        got = [known.get(w) or self.word(w) for w in words]
         ids = list(chain.from_iterable([g[0] for g in got]))
         score = math.fsum([g[1] for g in got])
         gaps = np.array([g[2] for g in got])
@@ -276,7 +387,9 @@ def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, nbest: int
                     part.append(batch[text_col][at].as_py())
                     size += len(part[-1] or "")
                     at += 1
-                coded = [(None, None, []) if t is None else pieces.encode(t, nbest) for t in part]
+                words = [pieces.split(t) if t else [] for t in part]
+                pieces.look_ahead(set(chain.from_iterable(words)))
+                coded = [(None, None, []) if t is None else pieces.encode(t, nbest, w) for t, w in zip(part, words)]
                 back = [None if c[0] is None else pieces.decode(c[0]) == t for t, c in zip(part, coded)]
                 n = np.array([len(c[0] or ()) for c in coded], np.int32)
                 flat = np.fromiter(chain.from_iterable(c[0] or () for c in coded), np.int32, int(n.sum()))
