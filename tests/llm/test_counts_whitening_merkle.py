@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from helpers import rows_of
 
-from trackframe.llm import common, merkle, qd_solver, token_counts, whitening
+from trackframe.llm import common, merkle, mixing, qd_solver, token_counts, whitening
 
 PATH = public_tokenizers.path(token_counts.MODEL)
 PARTS = ["'re", "'s", " ", "  ", "\n\n", "\t", "<|endoftext|>", "<|endof", "text|>", "abc", "é", "日本語", "123", " 45", "!!", "...", "'", "r", "e",
@@ -220,3 +220,28 @@ def test_manifest_is_the_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
     assert rows_of(merkle.query(spark, SF_SMALL).toPandas()) == rows_of(con.execute(merkle.SQL).df())
+
+
+# ------------------------------------------------------- mixing, added cases
+def test_mix_keeps_columns_with_the_names_of_its_own(spark):
+    rows = [(k, f"t{k % 5}", "s" if k % 3 else None, k, -k, 7, "r", 1.5, "f", {"a": k}) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int, position int, _rank int, mix_source string, phase double, row string, m map<string,int>")
+    out = mixing.placed(docs)
+    assert out.columns == [*docs.columns, "mix_position"]
+    assert sorted(r["mix_position"] for r in out.collect()) == list(range(50))
+    assert sorted(tuple(map(str, r)) for r in mixing.mixed(docs).collect()) == sorted(tuple(map(str, r)) for r in docs.collect())
+    got = mixing.mix(docs, {"s": 2.0})
+    assert got.columns == [*[c for c in docs.columns if c not in mixing.ADDED], *mixing.ADDED] and got.filter("_rank = 7 and row = 'f'").count() == 50
+
+
+def test_thousands_of_sources_keep_their_own_weights(spark):
+    docs = spark.range(7000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("s"), F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 2000)).alias("source"))
+    out = mixing.mix(docs, mixing.tempered(docs), block_rows=4).select("source", "mix_source", "position").collect()
+    assert sorted(r["position"] for r in out) == list(range(7000)) and all(r["source"] == r["mix_source"] for r in out)
+
+
+def test_blocks_grow_so_that_their_number_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 10)
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    out = mixing.mix(docs, {"s0": 1.0, "s1": 1.0}).collect()
+    assert len({r["slot"] for r in out}) == 10 and sorted(r["position"] for r in out) == list(range(1000))

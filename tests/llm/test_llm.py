@@ -505,6 +505,6 @@ def test_pipeline_keeps_the_mix(spark, docs):
 
 
 def test_every_query_has_its_columns(spark):
-    assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == set(map(str, range(1, 11)))
+    assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == set(map(str, range(1, 14)))
     for name in ("op1_mixing", "op2_sharding", "op7_html_text"):
         assert queries.QUERIES[name](spark, SF_SMALL).count() > 0

@@ -74,11 +74,12 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
 
 
-def ranked(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+def ranked(df: DataFrame, group: str, order: list[Column], out: str, tie: Column | None = None) -> DataFrame:
     """Add ``out``: the 0-based rank of a row within its ``group``, in the order of a hash of ``order``.
 
     The rows of a group are dealt over buckets by the hash's upper bits.  Counts by (group, bucket) give each bucket
-    its first rank, and a row number within (group, bucket) the rest, so no task holds a whole group.  The count table
+    its first rank, and a row number within (group, bucket) the rest, so no task holds a whole group.  Rows of one order
+    go by ``tie`` (a hash of all columns unless given).  The count table
     has at most groups x buckets rows, and the caller bounds the number of groups.  Nulls form a group of their own.
     """
     spark = df.sparkSession
@@ -90,7 +91,7 @@ def ranked(df: DataFrame, group: str, order: list[Column], out: str) -> DataFram
     before = Window.partitionBy("_rk_g").orderBy("_rk_b").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_rk_g", "_rk_b", F.coalesce(F.sum("_rk_n").over(before), F.lit(0)).alias("_rk_0"))
     within = Window.partitionBy("_rk_g", "_rk_b").orderBy("_rk_h", "_rk_t")
-    rows = keyed.withColumn("_rk_t", row_hash(df)).withColumn("_rk_i", F.row_number().over(within) - 1)
+    rows = keyed.withColumn("_rk_t", row_hash(df) if tie is None else tie).withColumn("_rk_i", F.row_number().over(within) - 1)
     joined = rows.join(small(first, 24), ["_rk_g", "_rk_b"])
     return joined.withColumn(out, (F.col("_rk_0") + F.col("_rk_i")).cast("long")).drop(
         "_rk_g", "_rk_b", "_rk_h", "_rk_t", "_rk_i", "_rk_0")

@@ -6,15 +6,17 @@ floor(k / w) and due at ceil((k + 1) / w).  In each slot the released block with
 to 1, so no deadline is missed and after any number t of slots each source has had w t blocks, give or take less than one,
 however large t is.
 
-The driver works the order out with one step a block (a number a block in memory); the rows get their places by a join,
-broadcast while the blocks are few.  When the slot of a source comes and it has no block left, a phase ends: the other
+The driver works the order out with one step a block (a number a block in memory); a block has ``BLOCK_ROWS`` rows, or,
+once there would be more than ``BLOCKS`` of them, as many as that takes, so its work stays bounded.  The rows get their
+places by a join, broadcast while the blocks are few.  When the slot of a source comes and it has no block left, a phase ends: the other
 sources go on with their weights made up to 1 again, from fresh windows.  There are at most as many phases as sources.
 All rows stay.
 
 Defined cases: an empty table gives an empty result; a null source or one without a target weight belongs to the source
 ``other``, whose weight is its share of the rows; rows with one id are told apart by a hash of all columns, full copies
 share their places in any order; a null id is an id like any other.  Added columns: ``mix_source``, ``phase``, ``slot``
-and ``position`` (gapless from 0 over all rows); of further columns only those of these names are replaced.
+and ``position`` (gapless from 0 over all rows); of further columns only those of these names are replaced by ``mix``,
+none by ``placed`` and ``mixed``.
 """
 
 from __future__ import annotations
@@ -31,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.llm.common import ranked, small
+from trackframe.llm.common import ranked, row_hash, small
 
 OTHER = "other"
 PERIOD = 1000
 BLOCK_ROWS = 16
-MAX_SOURCES = 500
+BLOCKS = 1 << 20
 ADDED = ["mix_source", "phase", "slot", "position"]
 
 
@@ -82,8 +84,9 @@ def one_period(a: dict[str, int]) -> list[str]:
 def schedule(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """The slots and the phases of each source's blocks in order."""
     slots, phases, at, phase = {s: array("q") for s in blocks}, {s: [] for s in blocks}, 0, 0
+    whole = exact({s: weights[s] for s in blocks}) if blocks else {}
     while left := {s: n - len(slots[s]) for s, n in blocks.items() if n > len(slots[s])}:
-        for s, k in turns(exact({s: weights[s] for s in left})):
+        for s, k in turns({s: whole[s] for s in left}):
             if k == left[s]:
                 break
             slots[s].append(at)
@@ -94,46 +97,72 @@ def schedule(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, tup
     return {s: (np.array(slots[s], np.int64), np.repeat(*np.array(phases[s], np.int64).reshape(-1, 2).T)) for s in blocks}
 
 
-def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source",
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """``df`` with the place of every row in the mix.  ``weights``: at most ``MAX_SOURCES`` positive target weights.
+def place_table(order: dict[str, tuple[np.ndarray, np.ndarray]], rows: dict[str, int], block_rows: int) -> pa.Table:
+    """(source, block, phase, slot, position of its first row) of every block.
 
-    ``period`` must pass the number of weights, as ever; the order has no period any more and does not depend on it.
+    A short last block of a source moves everything behind it up: the rows before a slot are the slots before it times
+    the block's rows, less what the short blocks among them lack.
     """
-    if len(weights) > MAX_SOURCES or len(weights) + 1 > period or any(not 0 < w < math.inf for w in weights.values()):
-        raise ValueError(f"give at most {MAX_SOURCES} positive weights and a longer period")
-    spark, known = df.sparkSession, list(weights)
-    df = df.drop(*ADDED)
-    source = F.when(F.col(f"`{source_col}`").isin(known), F.col(f"`{source_col}`")).otherwise(F.lit(OTHER))
-    named = df.withColumn("mix_source", source)
-    rows = {r["mix_source"]: r["n"] for r in named.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+    short = sorted((int(order[s][0][-1]), -n % block_rows) for s, n in rows.items() if n % block_rows)
+    at, lack = np.array([t for t, _ in short], np.int64), np.r_[0, np.cumsum([n for _, n in short], dtype=np.int64)]
+    schema = pa.schema([("source", pa.string()), ("block", pa.int64()), ("phase", pa.int32()), ("slot", pa.int64()), ("begin", pa.int64())])
+    tables = [pa.table([pa.array([s] * len(t), pa.string()), np.arange(len(t)), phase.astype(np.int32), t, t * block_rows - lack[np.searchsorted(at, t)]], schema=schema)
+               for s, (t, phase) in order.items()]
+    return pa.concat_tables([schema.empty_table(), *tables])
+
+
+def places(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None) -> DataFrame:
+    """Every row of ``df`` as one column ``row``, so that no names clash, with ``source``, ``phase``, ``slot``, ``position``."""
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("give positive weights")
+    spark = df.sparkSession
+    known = spark.createDataFrame(pa.table({"name": pa.array(list(weights), pa.string())}))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{source_col}`").alias("given"),
+                       F.col(f"`{id_col}`").alias("id"), row_hash(df).alias("tie"))
+    named = packed.join(small(known, 64), F.col("given") == F.col("name"), "left").select("row", "id", "tie", F.coalesce("name", F.lit(OTHER)).alias("source"))
+    rows = {r["source"]: r["n"] for r in named.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    n = sum(rows.values())
+    block_rows = block_rows or max(BLOCK_ROWS, -(-n // BLOCKS))
     full = dict(weights)
     if OTHER not in full:
-        n = sum(rows.values())
         full[OTHER] = sum(weights.values()) * rows.get(OTHER, 0) / max(1, n - rows.get(OTHER, 0)) or 1.0
     order = schedule(full, {s: -(-n // block_rows) for s, n in rows.items()})
-    # a short last block of a source moves everything behind it up: rows before a slot = slots x size - what these lack
-    short = [(int(order[s][0][-1]), -n % block_rows) for s, n in rows.items() if n % block_rows]
-    places = [pa.table({"mix_source": pa.array([s] * len(at), pa.string()), "_block": np.arange(len(at)), "phase": phase.astype(np.int32), "slot": at}) for s, (at, phase) in order.items()]
-    empty = pa.table({"mix_source": pa.array([], pa.string()), "_block": pa.array([], pa.int64()), "phase": pa.array([], pa.int32()), "slot": pa.array([], pa.int64())})
-    place_t = spark.createDataFrame(pa.concat_tables([empty, *places]))
-    out = ranked(named, "mix_source", [F.col(f"`{id_col}`")], "_rank").withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    out = out.join(small(place_t, 40), ["mix_source", "_block"])
-    lack = sum((F.when(F.col("slot") > s, n).otherwise(0) for s, n in short), F.lit(0))
-    out = out.withColumn("position", F.col("slot") * block_rows + F.col("_rank") % block_rows - lack)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *ADDED)
-
-
-def tempered(df: DataFrame, source_col: str = "source", power: float = 0.5, most: int = MAX_SOURCES) -> dict[str, float]:
-    """Target weights: each of the ``most`` largest sources' rows to ``power``, so that small sources gain."""
+    place_t = spark.createDataFrame(place_table(order, rows, block_rows))
+    out = ranked(named, "source", [F.col("id")], "rank", F.col("tie")).withColumn("block", F.floor(F.col("rank") / block_rows))
+    out = out.join(small(place_t, 48), ["source", "block"])
+    return out.select("row", "source", "phase", "slot", (F.col("begin") + F.col("rank") % block_rows).alias("position"))
+
+
+def mix(df: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source",
+        block_rows: int | None = None, period: int = PERIOD) -> DataFrame:
+    """``df`` with the place of every row in the mix, by positive target weights.
+
+    ``block_rows``: ``BLOCK_ROWS``, or as many as keep the blocks to about ``BLOCKS`` unless given.  ``period`` is taken
+    for old callers' sake; the order has no period.
+    """
+    out = places(df, weights, id_col, source_col, block_rows)
+    added = [F.col(c).alias(name) for c, name in zip(("source", "phase", "slot", "position"), ADDED)]
+    return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ADDED], *added)
+
+
+def tempered(df: DataFrame, source_col: str = "source", power: float = 0.5) -> dict[str, float]:
+    """Target weights: each source's rows to ``power``, so that small sources gain."""
     counts = df.filter(F.col(f"`{source_col}`").isNotNull()).groupBy(F.col(f"`{source_col}`").alias("s")).agg(F.count("*").alias("n"))
-    return {r["s"]: r["n"] ** power for r in counts.orderBy(F.desc("n"), "s").limit(most).collect()}
+    return {r["s"]: r["n"] ** power for r in counts.orderBy(F.desc("n"), "s").collect()}
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with ``mix_`` in front as often as it takes for ``df`` to have no such column."""
+    while name in df.columns:
+        name = f"mix_{name}"
+    return name
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` in the order of the mix, with each row's ``position``; rows in one set get the same places each time."""
-    out = mix(docs, tempered(docs))
-    return out.repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED], "position")
+    """``docs`` in the order of the mix, with each row's place as ``position`` (``mix_position`` where ``docs`` has such a
+    column); rows in one set get the same places each time."""
+    out = places(docs, tempered(docs)).repartitionByRange("position").sortWithinPartitions("position")
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns], F.col("position").alias(free_name(docs, "position")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
