@@ -10,8 +10,8 @@ search, which yields its segmentations from the best downwards.  Pieces may hold
 behind it, so words begin at each space that follows another character (a vocabulary with pieces across such a place
 makes a text one word).  No piece crosses a pair of characters that no piece joins, so a text's lattice is a chain of units.  Each unit's gap between its best two segmentations comes
 from forward and backward scores; a text's ``nbest`` segmentations can deviate from its best only in the ``nbest - 1``
-units of least gap, so the search runs on these and the lists merge to the text's.  Units are kept in a bounded cache;
-the new ones of about a megabyte of text go through Viterbi together, by length.
+units of least gap, so the search runs on these and the lists merge to the text's.  Rows of known words and units are kept in bounded
+tables; the new units of about a megabyte of text go through Viterbi together, by length.
 
 Defined cases: an empty table gives an empty result; null text has null ids and no segmentation, empty text no pieces
 and one segmentation; fewer segmentations than asked for give a shorter list; equal scores go in order of their
@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
-CACHE = 400_000
+CACHE = 1_200_000
+CACHE_LETTERS = 1 << 25
+LISTS = 40_000
 BATCHED = 64  # longest unit that is looked at together with others
 OTHER = re.compile(r"[\W\d_]")
 NO_PREFIX = (-1, -math.inf)
@@ -88,8 +90,7 @@ class Pieces:
             below[piece[-1]] = (below.get(piece[-1], ({},))[0], i, self.node[piece][1])
         self.table()
         self.joins = any(g[1] == SPACE != g[0] for g in self.glue)  # a piece holds a space behind another character
-        self.words: dict[str, tuple] = {}  # by word, or by the unit that begins one
-        self.later: dict[str, tuple] = {}  # by further unit
+        self.forget()
         self.lists: dict[tuple[str, int], list] = {}  # n-best by word
 
     def table(self) -> None:
@@ -113,18 +114,50 @@ class Pieces:
         top = self.keys < self.base
         self.first[self.keys[top]] = self.below[top]
 
-    def best_many(self, units: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
-        """``best`` of many units at once: those of one length walk the trie and pass their scores on together."""
-        out: list = [None] * len(units)
-        sizes = np.array([len(u) for u in units])
+    def forget(self) -> None:
+        """Empty tables of what is known: a row has a score, a gap and a stretch of ``flat``, its ids."""
+        self.words: dict[str, int] = {}  # row of a word, or of the unit that begins one
+        self.later: dict[str, int] = {}  # row of a further unit
+        self.scores, self.gaps, self.begins, self.sizes = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.flat, self.rows, self.used, self.letters = np.zeros(4096, np.int32), 0, 0, 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray, scores: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """New rows; their numbers."""
+        n = len(sizes)
+        while self.rows + n > len(self.scores):
+            self.scores, self.gaps, self.begins, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.scores, self.gaps, self.begins, self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        at = slice(self.rows, self.rows + n)
+        self.scores[at], self.gaps[at], self.sizes[at], self.begins[at] = scores, gaps, sizes, self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.rows, self.used = self.rows + n, self.used + len(ids)
+        return np.arange(at.start, at.stop)
+
+    def ids_of(self, rows: np.ndarray) -> np.ndarray:
+        """The rows' ids, one row's after the other's."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begins[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def learn(self, units: list[str]) -> list[int]:
+        """New rows of ``units``: those of one length walk the trie and pass their scores on together."""
+        out = np.zeros(len(units), np.int64)
+        sizes = np.array([len(u) for u in units], np.int64)
         for n in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == n).tolist()
-            points = np.frombuffer("".join([units[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-            for k, got in zip(rows, self.best_of_length(points)):
-                out[k] = got
-        return out
+            at = np.flatnonzero(sizes == n)
+            own = [units[k] for k in at.tolist()]
+            if n <= BATCHED:
+                points = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+                out[at] = self.add(*self.best_of_length(points))
+            else:
+                got = [self.best(u) for u in own]
+                out[at] = self.add(np.array([len(g[0]) for g in got]), np.array(list(chain.from_iterable(g[0] for g in got))), np.array([g[1] for g in got]), np.array([g[2] for g in got]))
+        self.letters += int(sizes.sum())
+        return out.tolist()
 
-    def best_of_length(self, points: np.ndarray) -> Iterator[tuple[tuple[int, ...], float, float]]:
+    def best_of_length(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of units of one length, given by their code points: (numbers of ids, ids, scores, gaps)."""
         count, n = points.shape
         letters = self.number[points].astype(np.int64)
         place = self.first[letters]
@@ -173,31 +206,31 @@ class Pieces:
             r = rows[away]
             top[r] = np.maximum(top[r], f[r, i] + t[away])
         used = onward[:, :n] >= 0
-        flat, ends = piece[:, :n][used].tolist(), np.cumsum(used.sum(axis=1)).tolist()
-        plain = ~(used & (piece[:, :n] < 0)).any(axis=1)
-        begin = 0
-        for k, (end, score, gap, whole) in enumerate(zip(ends, f[:, n].tolist(), np.maximum(f[:, n] - top, 0.0).tolist(), plain.tolist())):
-            if whole:
-                yield tuple(flat[begin:end]), score, gap
-            else:  # a character that goes by its bytes
-                ids = []
-                for at, one in zip(np.flatnonzero(used[k]).tolist(), flat[begin:end]):
-                    ids += [one] if one >= 0 else [self.byte[x] for x in spelled(chr(points[k, at]))]
-                yield tuple(ids), score, gap
-            begin = end
+        ids, sizes = piece[:, :n][used], used.sum(axis=1)
+        if (ids < 0).any():  # characters that go by their bytes
+            own = [[i] if i >= 0 else [self.byte[x] for x in spelled(chr(c))] for i, c in zip(ids.tolist(), points[used].tolist())]
+            place = np.zeros((count, n), np.int64)
+            place[used] = [len(o) for o in own]
+            ids, sizes = np.array(list(chain.from_iterable(own))), place.sum(axis=1)
+        return sizes, ids, f[:, n], np.maximum(f[:, n] - top, 0.0)
 
     def look_ahead(self, words: set[str]) -> None:
-        """Fill the caches with those ``words`` that are new."""
-        cut = {w: self.units(w) for w in words - self.words.keys()}
-        first = {u[0] for u in cut.values()}
-        for cache, units, lead in ((self.words, first, 1), (self.later, {x for u in cut.values() for x in u[1:]}, 0)):
-            new = [u for u in units if len(u) <= BATCHED and u[lead:] not in cache]
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-            cache.update(zip([u[lead:] for u in new], self.best_many(new)))
-        for w, units in cut.items():
-            if len(units) > 1:
-                self.joined(w, units)
+        """Rows for those ``words`` that have none; the tables start anew once they hold ``CACHE`` rows."""
+        if self.rows > CACHE or self.letters > CACHE_LETTERS:
+            self.forget()
+        cut = {w: self.units(w) for w in words if w not in self.words}
+        for known, units, lead in ((self.words, {u[0] for u in cut.values()}, 1), (self.later, {x for u in cut.values() for x in u[1:]}, 0)):
+            new = [u for u in units if u[lead:] not in known]
+            known.update(zip([u[lead:] for u in new], self.learn(new)))
+        # a unit that begins a word is a word of its own, so no key stands for two things
+        several = [(w, u) for w, u in cut.items() if len(u) > 1]
+        if several:
+            words_, later = self.words, self.later
+            parts = np.array(list(chain.from_iterable([words_[u[0][1:]], *[later[x] for x in u[1:]]] for _, u in several)))
+            begin = np.cumsum([0, *[len(u) for _, u in several[:-1]]])
+            rows = self.add(np.add.reduceat(self.sizes[parts], begin), self.ids_of(parts), np.add.reduceat(self.scores[parts], begin), np.minimum.reduceat(self.gaps[parts], begin))
+            words_.update(zip([w for w, _ in several], rows.tolist()))
+            self.letters += sum(len(w) for w, _ in several)
 
     def arcs(self, unit: str) -> list[tuple[int, int, tuple[int, ...], float]]:
         """(start, end, ids, score) in order of start."""
@@ -313,32 +346,6 @@ class Pieces:
         out.append(text[begin:])
         return out
 
-    def word(self, word: str) -> tuple[tuple[int, ...], float, float]:
-        """(ids, score, least gap) of a word, kept for the next time; a cache starts anew when full."""
-        units = self.units(word)
-        return self.kept(self.words, word, units[0]) if len(units) == 1 else self.joined(word, units)
-
-    def joined(self, word: str, units: list[str]) -> tuple[tuple[int, ...], float, float]:
-        """A word from its units (a unit that begins a word is a word of its own, so no key stands for two things)."""
-        ids, score, gap = self.words.get(units[0][1:]) or self.kept(self.words, units[0][1:], units[0])
-        for u in units[1:]:
-            hit = self.later.get(u) or self.kept(self.later, u, u)
-            ids, score, gap = ids + hit[0], score + hit[1], hit[2] if hit[2] < gap else gap
-        out = (ids, score, gap)
-        if len(word) <= 200:
-            self.words[word] = out
-        return out
-
-    def kept(self, cache: dict[str, tuple], key: str, unit: str) -> tuple[tuple[int, ...], float, float]:
-        hit = cache.get(key)
-        if hit is None:
-            hit = self.best(unit)
-            if len(key) <= 200:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[key] = hit
-        return hit
-
     def word_n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best segmentations of a word from those of its units."""
         out = [(0.0, ())]
@@ -346,21 +353,26 @@ class Pieces:
             out = sorted(((s + t, a + b) for s, a in out for t, b in self.n_best(unit, n)), key=lambda x: (-x[0], x[1]))[:n]
         return out
 
-    def encode(self, text: str, n: int = NBEST, words: list[str] | None = None) -> tuple[list[int], float, list[dict]]:
-        """(ids, score, n best: score and changed words) of a text; ``words``: its words, if they are known."""
-        if not text:
-            return [], 0.0, [{"score": 0.0, "changes": []}]
-        words, known = self.split(text) if words is None else words, self.words
-        got = [known.get(w) or self.word(w) for w in words]
-        ids = list(chain.from_iterable([g[0] for g in got]))
-        score = math.fsum([g[1] for g in got])
-        gaps = np.array([g[2] for g in got])
+    def encode(self, text: str, n: int = NBEST) -> tuple[list[int], float, list[dict]]:
+        """(ids, score, n best: score and changed words) of a text."""
+        words = self.split(text) if text else []
+        self.look_ahead(set(words))
+        ids, score, best = self.encoded(words, n)
+        return ids.tolist(), score, best
+
+    def encoded(self, words: list[str], n: int) -> tuple[np.ndarray, float, list[dict]]:
+        """``encode`` of a text by its words, which have rows."""
+        if not words:
+            return np.zeros(0, np.int32), 0.0, [{"score": 0.0, "changes": []}]
+        rows = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        ids, gaps = self.ids_of(rows), self.gaps[rows]
+        score = math.fsum(self.scores[rows].tolist())
         least = np.argsort(gaps, kind="stable")[:n - 1] if len(gaps) <= 4 * n else np.sort(np.argpartition(gaps, n - 1)[:n - 1])
         paths = [(score, [])]
         for at in sorted(least.tolist()):
             own = self.lists.get((words[at], n))
             if own is None:
-                if len(self.lists) >= CACHE // 10:
+                if len(self.lists) >= LISTS:
                     self.lists.clear()
                 own = self.lists[words[at], n] = self.word_n_best(words[at], n)
             paths = sorted(((s + t - own[0][0], c + ([{"word": at, "ids": list(w)}] if k else [])) for s, c in paths for k, (t, w) in enumerate(own)), key=lambda x: -x[0])[:n]
@@ -389,10 +401,10 @@ def encode(df: DataFrame, text_col: str = "text", model: str = MODEL, nbest: int
                     at += 1
                 words = [pieces.split(t) if t else [] for t in part]
                 pieces.look_ahead(set(chain.from_iterable(words)))
-                coded = [(None, None, []) if t is None else pieces.encode(t, nbest, w) for t, w in zip(part, words)]
-                back = [None if c[0] is None else pieces.decode(c[0]) == t for t, c in zip(part, coded)]
-                n = np.array([len(c[0] or ()) for c in coded], np.int32)
-                flat = np.fromiter(chain.from_iterable(c[0] or () for c in coded), np.int32, int(n.sum()))
+                coded = [(None, None, []) if t is None else pieces.encoded(w, nbest) for t, w in zip(part, words)]
+                back = [None if c[0] is None else pieces.decode(c[0].tolist()) == t for t, c in zip(part, coded)]
+                n = np.array([0 if c[0] is None else len(c[0]) for c in coded], np.int32)
+                flat = np.concatenate([np.zeros(0, np.int32), *[c[0] for c in coded if c[0] is not None]])
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat), mask=pa.array([c[0] is None for c in coded]))
                 new = [ids, pa.array(n), pa.array([c[1] for c in coded], pa.float64()), pa.array([c[2] for c in coded], NBEST_TYPE), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, at - begin).columns, *new], [*batch.schema.names, *ADDED])
