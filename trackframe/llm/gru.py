@@ -6,6 +6,8 @@ other words, which form the last class.  The output is factored: a softmax over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 WINDOW = 32
@@ -23,35 +25,42 @@ def fresh(mass: np.ndarray, rare: float, hidden: int, seed: int = 7) -> dict[str
             "cw": np.zeros((hidden, k + 1), f), "cb": group.astype(f), "ow": np.zeros((k, hidden, m), f), "ob": word.astype(f)}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) + np.float32(0.5) * np.tanh(np.float32(0.5) * x)
-
-
 def step(w: dict, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
     d = h.shape[1]
     g, a = w["x"][ids], h @ w["u"]
-    zr = sigmoid(g[:, :2 * d] + a[:, :2 * d])
+    zr, n = g[:, :2 * d], g[:, 2 * d:]
+    zr += a[:, :2 * d]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
     z, r = zr[:, :d], zr[:, d:]
-    n = np.tanh(g[:, 2 * d:] + r * a[:, 2 * d:])
+    n += r * a[:, 2 * d:]
+    np.tanh(n, out=n)
     return n + z * (h - n), (h, z, r, n, a[:, 2 * d:])
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return x - log_sum(x)[:, None]
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp along the last axis."""
+    top = x.max(axis=-1)
+    e = np.subtract(x, top[:, None])
+    np.exp(e, out=e)
+    return top + np.log(e.sum(axis=-1))
 
 
 def output(w: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log of P(class) and, for head words, of P(word within the class), for states h and next tokens ids."""
     k, m = w["ob"].shape
     group = ids // m
-    out = log_softmax(h @ w["cw"] + w["cb"])[np.arange(len(ids)), group]
-    order = np.argsort(group, kind="stable")
-    cut = np.searchsorted(group[order], np.arange(k + 1))
-    for c in range(k):
-        rows = order[cut[c]:cut[c + 1]]
-        if len(rows):
-            out[rows] += log_softmax(h[rows] @ w["ow"][c] + w["ob"][c])[np.arange(len(rows)), ids[rows] - c * m]
+    logits = h @ w["cw"] + w["cb"]
+    out = logits[np.arange(len(ids)), group] - log_sum(logits)
+    for c, rows in by_class(ids, k, m):
+        logits = h[rows] @ w["ow"][c] + w["ob"][c]
+        out[rows] += logits[np.arange(len(rows)), ids[rows] - c * m] - log_sum(logits)
     return out
 
 
@@ -82,49 +91,82 @@ def document_logs(w: dict, docs: list[np.ndarray], start: int) -> np.ndarray:
     return out
 
 
+def by_class(goal: np.ndarray, k: int, m: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, places of its words) for the classes of head words, from one sort."""
+    group = goal // m
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(k + 1))
+    for c in range(k):
+        if cut[c + 1] > cut[c]:
+            yield c, order[cut[c]:cut[c + 1]]
+
+
 def gradient(w: dict, h: np.ndarray, ids: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Loss gradient over one window [steps, streams], the state after it, and the mean loss; a text begins at zero."""
+    """Loss gradient over one window [steps, streams], the state after it, and the mean loss; a text begins at zero.
+
+    The gates of all steps live in one array that the step fills in place; products over all steps are one matrix
+    product, and rows of one word meet by a sort.
+    """
     steps, streams = ids.shape
-    d, (k, m) = h.shape[1], w["ob"].shape
-    kept, states = [], []
+    d, (k, m), kind = h.shape[1], w["ob"].shape, w["u"].dtype
+    going = (~begins).astype(kind)[:, :, None]
+    gates = w["x"][ids]  # then z, r and n of every step
+    before, flat, held = (np.empty((steps, streams, d), kind) for _ in range(3))
     for t in range(steps):
-        h = h * ~begins[t][:, None]
-        h, saved = step(w, h, ids[t])
-        kept.append(saved)
-        states.append(h)
-    flat, goal = np.concatenate(states), targets.ravel()
+        np.multiply(h, going[t], out=before[t])
+        h, a, zr, n = before[t], before[t] @ w["u"], gates[t, :, :2 * d], gates[t, :, 2 * d:]
+        zr += a[:, :2 * d]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        held[t] = a[:, 2 * d:]
+        n += zr[:, d:] * held[t]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=flat[t])
+        flat[t] *= zr[:, :d]
+        flat[t] += n
+        h = flat[t]
+    flat, goal = flat.reshape(-1, d), targets.ravel()
     n, row = len(goal), np.arange(len(goal))
     group = goal // m
-    logs = log_softmax(flat @ w["cw"] + w["cb"])
-    loss = -logs[row, group].sum()
-    dc = np.exp(logs)
+    dc = log_softmax(flat @ w["cw"] + w["cb"])
+    loss = -dc[row, group].sum()
+    np.exp(dc, out=dc)
     dc[row, group] -= 1
     dc /= n
-    grad = {"cw": flat.T @ dc, "cb": dc.sum(axis=0), "ow": np.zeros_like(w["ow"]), "ob": np.zeros_like(w["ob"]), "u": np.zeros_like(w["u"]), "x": np.zeros_like(w["x"])}
+    grad = {"cw": flat.T @ dc, "cb": dc.sum(axis=0), "ow": np.zeros_like(w["ow"]), "ob": np.zeros_like(w["ob"])}
     dh = dc @ w["cw"].T
-    for c in range(k):
-        at = np.flatnonzero(group == c)
-        if len(at):
-            logs = log_softmax(flat[at] @ w["ow"][c] + w["ob"][c])
-            word = goal[at] - c * m
-            loss -= logs[np.arange(len(at)), word].sum()
-            do = np.exp(logs)
-            do[np.arange(len(at)), word] -= 1
-            do /= n
-            grad["ow"][c], grad["ob"][c] = flat[at].T @ do, do.sum(axis=0)
-            dh[at] += do @ w["ow"][c].T
+    for c, at in by_class(goal, k, m):
+        own, place, word = flat[at], np.arange(len(at)), goal[at] - c * m
+        do = log_softmax(own @ w["ow"][c] + w["ob"][c])
+        loss -= do[place, word].sum()
+        np.exp(do, out=do)
+        do[place, word] -= 1
+        do /= n
+        grad["ow"][c], grad["ob"][c] = own.T @ do, do.sum(axis=0)
+        dh[at] += do @ w["ow"][c].T
     dh = dh.reshape(steps, streams, d)
-    back, dx = np.zeros((streams, d), np.float32), []
+    z, r, new = gates[:, :, :d], gates[:, :, d:2 * d], gates[:, :, 2 * d:]
+    # what the gates' derivatives hold besides the incoming gradient
+    to_n, to_z = (1 - z) * (1 - new * new), (before - new) * z * (1 - z)
+    to_r = held * r * (1 - r)
+    dx, da = np.empty_like(gates), np.empty_like(gates)
+    back = np.zeros((streams, d), kind)
     for t in reversed(range(steps)):
-        before, z, r, new, a = kept[t]
         g = dh[t] + back
-        dn = g * (1 - z) * (1 - new * new)
-        dz, dr = g * (before - new) * z * (1 - z), dn * a * r * (1 - r)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        grad["u"] += before.T @ da
-        back = (g * z + da @ w["u"].T) * ~begins[t][:, None]
-        dx.append(np.concatenate([dz, dr, dn], axis=1))
-    np.add.at(grad["x"], ids[::-1].ravel(), np.concatenate(dx))
+        dn = np.multiply(g, to_n[t], out=dx[t, :, 2 * d:])
+        np.multiply(g, to_z[t], out=dx[t, :, :d])
+        np.multiply(dn, to_r[t], out=dx[t, :, d:2 * d])
+        da[t, :, :2 * d] = dx[t, :, :2 * d]
+        np.multiply(dn, r[t], out=da[t, :, 2 * d:])
+        back = (g * z[t] + da[t] @ w["u"].T) * going[t]
+    grad["u"] = before.reshape(-1, d).T @ da.reshape(-1, 3 * d)
+    words, dx = ids.ravel(), dx.reshape(-1, 3 * d)
+    order = np.argsort(words, kind="stable")
+    first = np.flatnonzero(np.diff(words[order], prepend=-1))
+    grad["x"] = np.zeros_like(w["x"])
+    grad["x"][words[order[first]]] = np.add.reduceat(dx[order], first, axis=0)
     return grad, h, float(loss) / n
 
 
@@ -142,9 +184,19 @@ def train(w: dict, stream: np.ndarray, start: int, streams: int = 32, rate: floa
         grad, h, loss = gradient(w, h, x, y, x == start)
         losses.append(loss)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        fall, rise = np.float32(rate / (1 - 0.9 ** i)), np.float32(1 / (1 - 0.99 ** i))
         for k, g in grad.items():
-            g = g * np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            one[k] = 0.9 * one[k] + 0.1 * g
-            two[k] = 0.99 * two[k] + 0.01 * g * g
-            w[k] -= (rate * (one[k] / (1 - 0.9 ** i)) / (np.sqrt(two[k] / (1 - 0.99 ** i)) + 1e-8)).astype(np.float32)
+            g *= np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            one[k] *= np.float32(0.9)
+            one[k] += np.float32(0.1) * g
+            two[k] *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            two[k] += g
+            np.multiply(two[k], rise, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(one[k], g, out=g)
+            g *= fall
+            w[k] -= g
     return w, float(np.mean(losses)) if losses else 0.0

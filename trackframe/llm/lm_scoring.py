@@ -37,10 +37,11 @@ HIDDEN = 16
 TRAIN_TOKENS = 800_000  # of a round, at least
 SHARD_TOKENS = 800_000
 SHARDS = 8
+STREAMS = 128
 ROUNDS = 3
 TURNS = 333_333 * ROUNDS
 TREE = 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 END = b""
 ADD = 0.1
 
@@ -101,7 +102,7 @@ def fit(rows: DataFrame, head: dict[bytes, int], counts: np.ndarray, n: int) ->
         def one(table: pa.Table) -> pa.Table:
             table = table.sort_by("h")
             stream = np.frombuffer(b"".join(table["ids"].to_pylist()), np.uint16).astype(np.int64)
-            new, _ = gru.train(now.value, stream, head_end, max(32, min(128, len(stream) // 3125)))
+            new, _ = gru.train(now.value, stream, head_end, max(32, min(STREAMS, len(stream) // 3125)))
             return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "w": pa.array([pickle.dumps(new)], pa.binary()), "n": pa.array([len(stream)])})
         turn = F.pmod(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(TURNS)) + F.lit(TURNS - k * TURNS // ROUNDS), F.lit(TURNS))
         picked = rows.filter(turn < share).select(part, "h", "text")
@@ -135,9 +136,9 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     model = sc.broadcast((weights, head, often))
 
     def words(table: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for t in table["text"]:
-            seen.update(tokens(t.as_py()))
+        seen: set[bytes] = {END}
+        for k in range(0, table.num_rows, 256):  # one split for many texts: only the distinct words count here
+            seen.update(" ".join(t or "" for t in table["text"][k:k + 256].to_pylist()).encode("utf-8", "replace").lower().split())
         seen.difference_update(model.value[1])
         out = sorted(seen)
         return pa.table({"block": pa.array([table["block"][0].as_py()] * len(out), pa.int32()), "word": pa.array(out, pa.binary())})
