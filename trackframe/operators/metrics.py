@@ -1,9 +1,8 @@
 """Scoring metric and error statistics (a9-a12, j7, v10).
 
-The metric is one equi-join and one global aggregate.  When both sides carry
-the play key the join also keys on it: the id already determines the play,
-so the result is the same, but the join then reuses the play partitioning
-instead of shuffling both sides by the id string.
+The metric is one equi-join on the id and one global aggregate, for submissions
+that come from elsewhere.  Where truth and prediction are columns of the same
+rows, ``compare_models`` and ``errors_of`` need no join.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackframe.sources.tracking import PLAY
+from trackframe.session import cut_lineage
 
 # The target columns (pr7).
 TARGET = ["x", "y"]
@@ -36,14 +35,6 @@ def paired(solution: DataFrame, submission: DataFrame, id_col: str = "id") -> Da
     return sol.join(sub, id_col, "inner")
 
 
-def key_disagreements(solution: DataFrame, submission: DataFrame, keys: list[str] = PLAY, id_col: str = "id") -> DataFrame:
-    """One row: pairs of one id whose other ``keys`` differ (null equals null)."""
-    sub = submission.select(id_col, *[F.col(k).alias(f"_{k}") for k in keys])
-    pairs = solution.select(id_col, *keys).join(sub, id_col)
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return pairs.agg(F.count_if(~F.greatest(F.lit(False), F.array_min(F.array(*same)))).alias("disagreeing"))
-
-
 def rmse_report(solution: DataFrame, submission: DataFrame, id_col: str = "id") -> DataFrame:
     """One row: rmse = sqrt(0.5 * (mse_x + mse_y)), per-axis RMSE and pair count (a9, a10)."""
     p = paired(solution, submission, id_col)
@@ -84,6 +75,12 @@ def errors(pred: DataFrame, truth: DataFrame, id_col: str = "id") -> DataFrame:
                     F.sqrt(ex ** 2 + ey ** 2).alias("error_dist"))
 
 
+def errors_of(rows: DataFrame, px: F.Column, py: F.Column, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """``errors`` of predictions that are columns of the truth's rows: a projection, no join."""
+    ex, ey = px - F.col(x), py - F.col(y)
+    return rows.select(id_col, ex.alias("error_x"), ey.alias("error_y"), F.sqrt(ex ** 2 + ey ** 2).alias("error_dist"))
+
+
 def error_stats(err: DataFrame) -> DataFrame:
     """Mean and population std of each error column (a11), one row per error
     kind: one aggregate pass, then the single result row is unpivoted."""
@@ -100,11 +97,12 @@ def error_stats(err: DataFrame) -> DataFrame:
 def error_histogram(err: DataFrame, column: str = "error_dist", bins: int = 50) -> DataFrame:
     """Counts over ``bins`` equal-width bins between min and max, top edge closed (a12).
 
-    The range is one global aggregate (exactly one row); its two numbers
-    are read and used as literal bin edges, as a bucketizer would, so the
+    The column alone is written to the checkpoint folder, so that what made it runs once.  The range is one global
+    aggregate (exactly one row); its two numbers are read and used as literal bin edges, as a bucketizer would, so the
     binning is a map-side projection followed by a partial aggregate, no join.  A zero-width
     range widens to +-0.5 around the value, as a histogram routine would.
     """
+    err = cut_lineage(err.select(column))
     rng = err.agg(F.min(column).alias("lo0"), F.max(column).alias("hi0")).select(
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),

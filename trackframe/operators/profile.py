@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from trackframe.sources.tracking import PLAY, PLAYER
 
 
+BUCKETS = 64
+
+
 def counts(inp: DataFrame) -> DataFrame:
     """Distinct games, plays (a play id is unique only inside its game) and players (a5)."""
     return inp.agg(
@@ -27,24 +30,34 @@ def distinct_plays(df: DataFrame) -> DataFrame:
     return df.select(*PLAY).distinct()
 
 
+def plays_with_targets(t: DataFrame) -> DataFrame:
+    """Distinct plays with training samples, from input and output rows in one table (a2): those with a player to predict
+    that has rows of both kinds.  Rows shrink to players and plays before they are shuffled."""
+    keyed = t.where(" AND ".join(f"{k} IS NOT NULL" for k in PLAYER))
+    players = keyed.groupBy(*PLAYER).agg(F.bool_or(F.col("is_out") == 1).alias("out"), F.bool_or((F.col("is_out") == 0) & F.col("player_to_predict")).alias("wanted"))
+    return players.where("out and wanted").select(*PLAY).distinct()
+
+
 def value_counts(df: DataFrame, columns: list[str], k: int | None | dict[str, int | None] = 10) -> DataFrame:
     """The ``k`` most frequent values of each column (None: all; a dict gives each column's own, None where it has none),
     ties by the value's text (a6, s2).
 
-    All columns are counted in one pass.  A bound for all columns is applied per partition before the shuffle by column,
-    so a task gets at most ``k`` rows of a column from each partition, however many values there are.
+    All columns are counted in one pass.  Where a column has a bound, its values are first ranked within buckets by hash,
+    so that its task gets at most ``k`` values of each bucket, however many there are.
     """
     pair = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
     counts = df.select(pair.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
-    top = counts.withColumn("rank", F.row_number().over(order))
-    limits = k if isinstance(k, dict) else dict.fromkeys(columns, k)
-    if isinstance(k, int):  # one bound for all can be applied per partition
-        top = top.where(F.col("rank") <= k)
+    limits = {c: v for c, v in (k if isinstance(k, dict) else dict.fromkeys(columns, k)).items() if v is not None}
+    order = [F.col("n").desc(), F.col("value").asc_nulls_last()]
+    top = counts
+    if limits:
+        bound = F.coalesce(*[F.when(F.col("column") == c, F.lit(v)) for c, v in limits.items()])
+        bucket = F.when(bound.isNotNull(), F.pmod(F.xxhash64("value"), F.lit(BUCKETS))).otherwise(0)
+        for extra in (["_bucket"], []):
+            rank = F.row_number().over(Window.partitionBy("column", *extra).orderBy(*order))
+            top = top.withColumns({"_bucket": bucket}).withColumn("rank", rank).where(bound.isNull() | (F.col("rank") <= bound))
     else:
-        for c in columns:
-            if limits.get(c) is not None:
-                top = top.where((F.col("column") != c) | (F.col("rank") <= limits[c]))
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
     return top.select("column", "value", "n", F.col("rank").cast("int").alias("rank"))
 
 

@@ -2,10 +2,10 @@
 frame) without pairing every member with every other.
 
 Positions are bucketed into square cells; a probe only meets candidates in
-nearby cells, so the number of pairs follows local density, not group size: a
-play holding a large share of all rows is still spread over many cells and
-many tasks.  Every join keys on the group plus a cell, a superset of the play
-key, so on play-partitioned input no exchange is added.
+nearby cells, so the number of pairs follows local density, not group size.
+Every join keys on the group plus a cell, a superset of the play key: on
+play-partitioned input no exchange is added, and a play stays in one task;
+on other input the join spreads a large play over its cells.
 
 Nearest partner, exact in three steps (levels have cell size ``base * 2**L``,
 and a last level puts the whole group in one cell):

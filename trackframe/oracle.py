@@ -571,6 +571,8 @@ def _sequences(q: dict[str, str]) -> None:
     ]
     sel = "game_id, play_id, nfl_id, step, play_direction, " + ", ".join(r6(c, c) for c in cols)
     q["sequence_train"] = build(base + train, f"SELECT {sel} FROM t_ok")
+    q["sequence_arrays"] = build(base + train, "SELECT game_id, play_id, nfl_id, count(*) AS steps, " + ", ".join(
+        f"round(sum((step + 1) * {c}), 6) AS dot_{c}" for c in ("x", "y", "s", "distance_to_ball", "nearest_opp_dist")) + " FROM t_ok GROUP BY game_id, play_id, nfl_id")
     score = [("req", "SELECT DISTINCT game_id, play_id, nfl_id FROM test_rows")] + _window_ctes("req", "s_") + [
         ("s_w", "SELECT game_id, play_id, nfl_id, CAST(12 - rd AS INTEGER) AS step, play_direction, "
                 + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}, 0.0) AS {c}" for c in cols)

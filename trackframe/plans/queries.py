@@ -18,7 +18,7 @@ from trackframe.functions.batches import pad_histories
 from trackframe.functions.nulls import clip
 from trackframe.operators import (boosting, direction, features_a, features_b, folds, interactions, metrics, predict,
                                   modeling, profile, quality, scaling, sequences, state, temporal)
-from trackframe.session import ensure_checkpoint_dir
+from trackframe.session import cut_lineage, ensure_checkpoint_dir
 from trackframe.sources import files
 from trackframe.sources import tracking as trk
 from trackframe.streaming import plays, scoring
@@ -330,6 +330,21 @@ def q_sequence_train(spark, sf_dir):
     return r6(w, cols)
 
 
+@register("sequence_arrays")
+def q_sequence_arrays(spark, sf_dir):
+    """Training windows in array form (q2): by player the number of steps, and some features' dot product with the steps."""
+    inp, _ = _tables(spark, sf_dir)
+    feat = sequences.feature_pipeline_b(inp)
+    cols = sequences.feature_columns_b(feat)
+    arrays = sequences.to_arrays(sequences.training_windows(feat.where("num_frames_output > 0"), None, cols), cols)
+
+    def dot(c: str) -> F.Column:
+        return F.aggregate("sequence", F.lit(0.0), lambda acc, s: acc + (s["step"] + 1) * s["features"][cols.index(c)])
+    names = ["x", "y", "s", "distance_to_ball", "nearest_opp_dist"]
+    out = arrays.select(*trk.PLAYER, F.size("sequence").cast("bigint").alias("steps"), *[dot(c).alias(f"dot_{c}") for c in names])
+    return r6(out, [f"dot_{c}" for c in names])
+
+
 @register("sequence_score")
 def q_sequence_score(spark, sf_dir):
     inp, _ = _tables(spark, sf_dir)
@@ -432,15 +447,14 @@ def q_numeric_coerce(spark, sf_dir):
 def q_standard_scale(spark, sf_dir):
     df = features_a.engineer(_samples(spark, sf_dir), is_training=False)
     cols = features_a.present(df, features_a.FEATURES_A)
-    df = scaling.finite_features(df.select("id", *cols), cols)
+    df = cut_lineage(scaling.finite_features(df.select("id", *cols), cols))  # read for the statistics and for the result
     scaled = scaling.apply_scaler(df, scaling.fit_scaler(df, cols), cols)
     return r6(scaled, cols)
 
 
 @register("play_split")
 def q_play_split(spark, sf_dir):
-    plays = profile.distinct_plays(_samples(spark, sf_dir))
-    return modeling.split_by_play(plays)
+    return modeling.split_by_play(profile.plays_with_targets(trk.plain_frames(spark, sf_dir)))
 
 
 def _members():
@@ -627,7 +641,10 @@ def q_value_counts_topk(spark, sf_dir):
 
 
 def _errors(spark, sf_dir):
-    return metrics.errors(predict.physics_baseline(_scoring(spark, sf_dir)), _truth(spark, sf_dir))
+    """Errors of the physics baseline, whose predictions are columns of the target rows."""
+    rows = state.attach_input_state(trk.tracking_from_events(spark, sf_dir)).withColumn("id", trk.row_id())
+    px, py = predict.physics_columns(rows)
+    return metrics.errors_of(rows, clip(px, 0.0, predict.FIELD_LENGTH), clip(py, 0.0, predict.FIELD_WIDTH))
 
 
 @register("error_stats")
