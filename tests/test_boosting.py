@@ -119,7 +119,7 @@ def test_fold_members_are_direct_fits(spark, table):
     df = df.withColumn("fold", (F.col("id") % 3).cast("int"))
     fold = np.arange(420) % 3
     y = np.stack(list(targets.values()), axis=1)
-    fitted = folds.members(folds.fold_moments(df, ["a", "b", "c", "d"], ["y1", "y2"]), 4, penalty=2.0)
+    fitted = folds.members(folds.fold_moments(df, ["a", "b", "c", "d"], ["y1", "y2"]), 4, 3, penalty=2.0)
     assert [m.fold for m in fitted] == [0, 1, 2] and [m.rows for m in fitted] == [280, 280, 280]
     all_preds = []
     for m in fitted:

@@ -99,12 +99,12 @@ class Member:
     intercept: np.ndarray
 
 
-def members(per: dict[int, Moments], n_features: int, penalty: float = 1.0) -> list[Member]:
-    """One member per fold: standard scaling (the scale of a constant counts as 1) and ridge regression with an unpenalised
+def members(per: dict[int, Moments], n_features: int, folds: int, penalty: float = 1.0) -> list[Member]:
+    """One member for each of ``folds`` (0 and up) that leaves rows to learn from: standard scaling (the scale of a constant counts as 1) and ridge regression with an unpenalised
     intercept, the squared error being a sum over rows, from the moments of all other folds."""
     out = []
     width = len(next(iter(per.values())).mean) if per else 0
-    for fold in sorted(per):
+    for fold in range(folds):
         m = merged([per[k] for k in sorted(per) if k != fold], width)
         if m.n == 0:
             continue

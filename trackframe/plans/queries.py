@@ -502,7 +502,7 @@ def q_fold_scalers(spark, sf_dir):
     """The scaler of each fold's member, all from one pass (m5, a13, a14)."""
     df = modeling.fold_of_play(features_a.engineer(_samples(spark, sf_dir), is_training=False), FOLDS)
     cols = features_a.present(df, features_a.FEATURES_A)
-    fitted = folds.members(folds.fold_moments(df, cols, ["x", "y"]), len(cols))
+    fitted = folds.members(folds.fold_moments(df, cols, ["x", "y"]), len(cols), FOLDS)
     return r6(folds.scalers(spark, fitted, cols), ["mean", "scale"])
 
 
@@ -518,7 +518,7 @@ def _reach(df):
 def _ridge(spark, sf_dir):
     s = modeling.fold_of_play(_reach(_samples(spark, sf_dir)), FOLDS)
     s = s.withColumns({"dx": F.col("x") - F.col("x_input"), "dy": F.col("y") - F.col("y_input")})
-    return s, folds.members(folds.fold_moments(s, RIDGE, ["dx", "dy"]), len(RIDGE))
+    return s, folds.members(folds.fold_moments(s, RIDGE, ["dx", "dy"]), len(RIDGE), FOLDS)
 
 
 @register("fold_ridge")
