@@ -744,7 +744,8 @@ def q_published_submission(spark, sf_dir):
             raise
     rows, record = files.read_published(spark, folder)
     runs = files.read_result(spark, f"{folder}/version=*/result").agg(F.count_if("succeeded").alias("good_runs"), F.count_if(~F.col("succeeded")).alias("failed_runs")).first()
-    return rows.select("id", "x", "y", F.lit(record.first()["rows"]).alias("recorded_rows"), F.lit(runs["good_runs"]).alias("good_runs"), F.lit(runs["failed_runs"]).alias("failed_runs"))
+    told = {"recorded_rows": record.first()["rows"], "good_runs": runs["good_runs"], "failed_runs": runs["failed_runs"]}
+    return rows.select("id", "x", "y", *[F.lit(n).cast("bigint").alias(c) for c, n in told.items()])
 
 
 @register("quarantined_lines")
