@@ -129,6 +129,15 @@ def test_repeated_ids_are_found_and_replays_are_not(spark, tmp_dir):
     assert batch([("b", 1), ("c", 0), ("d", 0), ("d", 0)], 2) == 2
 
 
+def test_plays_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    whole = rows_of(trk.tracking_from_events(spark, SF_SMALL).toPandas())
+    monkeypatch.setattr(trk, "TASK_ROWS", 100)
+    t = trk.tracking_from_events(spark, SF_SMALL)
+    n = -(-trk.read_table(spark, SF_SMALL, "events").count() // 100)
+    assert n > 4 and t.rdd.getNumPartitions() == n
+    assert rows_of(t.toPandas()) == whole
+
+
 # ------------------------------------------------------------------ files
 def test_a_lost_driver_leaves_the_submission_before(spark, tmp_dir, monkeypatch):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")

@@ -29,6 +29,8 @@ PLAYERS_PER_PLAY = 22
 PLAYS_PER_GAME = 10
 WEEKS = 18
 
+TASK_ROWS = 250_000  # rows of the plays that one task holds, about
+
 INPUT_COLUMNS = [
     "game_id", "play_id", "player_to_predict", "nfl_id", "frame_id", "play_direction",
     "absolute_yardline_number", "player_height", "player_weight", "player_position",
@@ -42,9 +44,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cluster_by_play(df: DataFrame) -> DataFrame:
-    """Hash-partition by the play key once; everything downstream keys on a superset."""
-    return df.repartition(*PLAY)
+def cluster_by_play(df: DataFrame, rows: int) -> DataFrame:
+    """Hash-partition by the play key once; everything downstream keys on a superset.
+
+    ``rows``: how many ``df`` has.  The sorts and windows downstream widen a row many times over, so partitions of
+    so many shuffled bytes would be too large for a task: their number follows the rows, about ``TASK_ROWS`` in each
+    (not far fewer: a task of the long feature chains spends seconds on generated code, however few rows it has).
+    """
+    if rows <= TASK_ROWS:
+        return df.repartition(*PLAY)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *PLAY)
 
 
 def plain_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +104,7 @@ def plain_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracking_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full fixture table: input and output frames, ``is_out`` tells them apart."""
-    q = cluster_by_play(plain_frames(spark, sf_dir))
+    q = cluster_by_play(plain_frames(spark, sf_dir), read_table(spark, sf_dir, "events").count())
     by_side = Window.partitionBy(*PLAYER, "is_out").orderBy("event_id")
     by_player = Window.partitionBy(*PLAYER)
     return q.select(
