@@ -138,6 +138,19 @@ def test_plays_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     assert rows_of(t.toPandas()) == whole
 
 
+def test_histories_are_padded_a_few_at_a_time(spark, monkeypatch):
+    from trackframe.plans import queries
+    want = rows_of(queries.q_history_arrays(spark, SF_SMALL).toPandas())
+    pad = queries.pad_histories
+
+    def few(history, query):
+        assert len(query) <= 7
+        return pad(history, query)
+    monkeypatch.setattr(queries, "PADDED_ROWS", 7, raising=False)
+    monkeypatch.setattr(queries, "pad_histories", few)
+    assert rows_of(queries.q_history_arrays(spark, SF_SMALL).toPandas()) == want
+
+
 # ------------------------------------------------------------------ files
 def test_a_lost_driver_leaves_the_submission_before(spark, tmp_dir, monkeypatch):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")

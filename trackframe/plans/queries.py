@@ -367,6 +367,7 @@ def q_target_deltas(spark, sf_dir):
 
 HIST_FEATURES = ["x_input", "y_input", "s_input", "a_input", "dir_input", "o_input", "vx", "vy",
                  "dist_from_los", "frame_progress"]
+PADDED_ROWS = 512  # histories that a Python worker pads at once
 
 
 @register("history_sequence")
@@ -387,16 +388,20 @@ def q_history_arrays(spark, sf_dir):
     rows = features_a.engineer(t.withColumn("id", trk.row_id()), is_training=False).where("is_out = 0 or player_to_predict")
     arrays = sequences.history_arrays(rows, HIST_FEATURES)
     names = [f"dot_{c}" for c in HIST_FEATURES]
+    at_once = PADDED_ROWS
 
     def dots(batches):
         import numpy as np
+        import pyarrow as pa
         for b in batches:
-            padded = pad_histories(b["history"].tolist(), b["query"].tolist())
-            got = np.einsum("rsf,s->rf", padded, np.arange(1.0, padded.shape[1] + 1)) if len(b) else np.zeros((0, len(names)))
-            for k, n in enumerate(names):
-                b[n] = got[:, k]
-            yield b[["id", "hist_len", *names]]
-    return r6(arrays.mapInPandas(dots, "id string, hist_len bigint, " + ", ".join(f"{n} double" for n in names)), names)
+            got = [np.zeros((0, len(names)))]
+            for k in range(0, b.num_rows, at_once):
+                some = b.slice(k, at_once).to_pandas()
+                padded = pad_histories(some["history"].tolist(), some["query"].tolist())
+                got.append(np.einsum("rsf,s->rf", padded, np.arange(1.0, padded.shape[1] + 1)))
+            sums = np.concatenate(got)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hist_len").cast(pa.int64()), *[pa.array(sums[:, k]) for k in range(len(names))]], ["id", "hist_len", *names])
+    return r6(arrays.mapInArrow(dots, "id string, hist_len bigint, " + ", ".join(f"{n} double" for n in names)), names)
 
 
 @register("trajectory_cumsum")
