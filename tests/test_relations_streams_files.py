@@ -151,6 +151,16 @@ def test_histories_are_padded_a_few_at_a_time(spark, monkeypatch):
     assert rows_of(queries.q_history_arrays(spark, SF_SMALL).toPandas()) == want
 
 
+def test_request_files_follow_the_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (20, 600):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert [scoring.file_count(spark, n) for n in (0, 1_000_000, 24_000_000)] == [8, 8, 96]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # ------------------------------------------------------------------ files
 def test_a_lost_driver_leaves_the_submission_before(spark, tmp_dir, monkeypatch):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")

@@ -32,6 +32,9 @@ from trackframe.sources.tracking import PLAY, PLAYER, row_id
 
 
 BUCKET = "play_bucket"
+FILE_ROWS = 250_000  # input rows of the plays of a request file, about
+PIECE_ROWS = 50_000  # rows of a file of a table that is read by bucket, about
+FEW_FILES = 8  # request files of a smaller input, if there are as many shuffle partitions
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -45,12 +48,20 @@ def with_bucket(df: DataFrame, files: int) -> DataFrame:
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(*PLAY), F.lit(files)).cast("int"))
 
 
-def write_play_files(df: DataFrame, path: str, files: int | None = None) -> str:
-    """Request files for the stream (st1): every play lies whole in the folder of its bucket.  The number of buckets is
-    ``files`` (default: the shuffle partition count), not the number of plays, and holds whatever partitions are
-    coalesced, as the bucket is a partition column."""
-    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    with_bucket(df, n).repartition(n, BUCKET).sortWithinPartitions(BUCKET, *PLAY).write.mode("overwrite") \
+def file_count(spark: SparkSession, rows: int) -> int:
+    """Request files for plays of ``rows`` input rows: a micro-batch's size is bounded, and how many there are follows
+    the rows, not the shuffle partitions (a batch's jobs cost seconds, however few rows it has)."""
+    return max(min(FEW_FILES, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // FILE_ROWS))
+
+
+def write_play_files(df: DataFrame, path: str, files: int, rows: int = 0, mode: str = "overwrite") -> str:
+    """Request files for the stream (st1): every play lies whole in the folder of its bucket, in one file.  The number of
+    buckets is ``files``, not the number of plays, and holds whatever partitions are coalesced, as the bucket is a
+    partition column.  With ``rows`` (how many ``df`` has) a bucket is dealt by play to as many files as keep about
+    ``PIECE_ROWS`` rows in each, for tables that are read by bucket: neither a writing nor a reading task holds a whole one."""
+    pieces = max(1, -(-rows // (files * PIECE_ROWS)))
+    piece = [F.pmod(F.xxhash64(F.lit(1), *PLAY), F.lit(pieces))] if pieces > 1 else []
+    with_bucket(df, files).repartition(files * pieces, BUCKET, *piece).sortWithinPartitions(BUCKET, *PLAY).write.mode(mode) \
         .partitionBy(BUCKET).parquet(path)
     return path
 
@@ -70,7 +81,7 @@ def stream_last_state(spark: SparkSession, inp: DataFrame, files_per_trigger: in
     batches, so no state grows with the plays and no row can be late: any file order, any cut of a play into files and
     a replayed batch give the batch result.  ``batches``, if given, collects the batch numbers.
     """
-    src = write_play_files(inp, scratch(spark, "stream-src"), files)
+    src = write_play_files(inp, scratch(spark, "stream-src"), files or file_count(spark, inp.count()))
     stream = read_play_stream(spark, src, inp.schema, files_per_trigger).drop(BUCKET)
     cols = [c for c in inp.columns if c not in PLAYER and c != "frame_id"]
     out = scratch(spark, "stream-last-state")
@@ -115,9 +126,11 @@ def repeated_ids(spark: SparkSession, batch: DataFrame, store: str, batch_id: in
     The batch's ids are kept in ``store`` by batch number and bucket, so of all ids seen only those of the batch's own
     buckets are read, and a replayed batch neither meets itself nor writes twice.
     """
-    batch.select("id", BUCKET).distinct().write.mode("overwrite").partitionBy(BUCKET).parquet(f"{store}/batch_id={batch_id}")
+    batch.select("id", BUCKET).repartition("id", BUCKET).distinct().write.mode("overwrite").partitionBy(BUCKET).parquet(f"{store}/batch_id={batch_id}")
     own = F.col(BUCKET).isin(buckets)
-    seen = spark.read.option("basePath", store).schema(f"id string, batch_id long, {BUCKET} int").parquet(store).where(own)
+    # the folders of other buckets are not even listed
+    folders = [f"{store}/batch_id=*/{BUCKET}={b}" for b in buckets] or [store]
+    seen = spark.read.option("basePath", store).schema(f"id string, batch_id long, {BUCKET} int").parquet(*folders).where(own)
     twice = seen.groupBy("id").agg(F.max((F.col("batch_id") == batch_id).cast("int")).alias("here"), F.min("batch_id").alias("first"))
     return twice.agg(F.count_if((F.col("here") == 1) & (F.col("first") < batch_id)).alias("violations")).select(F.lit(REPEATED).alias("check"), "violations")
 
@@ -127,8 +140,9 @@ def stream_score(spark: SparkSession, test: DataFrame, inp: DataFrame, files_per
     """Score requests play batch by play batch with ``foreachBatch`` (st1, st2, st4)
     and return every batch's predictions read back from the sink."""
     root = root or scratch(spark, "stream-score")
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inputs_path = write_play_files(inp, f"{root}/inputs", n)
+    rows = inp.count()
+    n = files or file_count(spark, rows)
+    inputs_path = write_play_files(inp, f"{root}/inputs", n, rows)
     requests = test.select(*PLAYER, "frame_id", row_id().alias("id")) if "id" not in test.columns else test
     src = write_play_files(requests, f"{root}/requests", n)
     score_stream(spark, src, requests.schema, inputs_path, root, files_per_trigger)
@@ -144,10 +158,11 @@ def score_stream(spark: SparkSession, src: str, schema, inputs_path: str, root:
     def sink(batch: DataFrame, batch_id: int) -> None:
         # the batch's buckets (as many as it has files) are the only folders that are read
         own = [r[BUCKET] for r in batch.select(BUCKET).distinct().collect()]
-        rows = batch.drop(BUCKET)
+        rows = batch.drop(BUCKET).repartition(*PLAY)
         # the written predictions feed the report: they are computed once
-        score_batch(rows, inputs.where(F.col(BUCKET).isin(own)).drop(BUCKET)).write.mode("overwrite").parquet(f"{root}/predictions/batch_id={batch_id}")
-        pred = spark.read.parquet(f"{root}/predictions/batch_id={batch_id}")
+        scored = score_batch(rows, inputs.where(F.col(BUCKET).isin(own)).drop(BUCKET))
+        scored.write.mode("overwrite").parquet(f"{root}/predictions/batch_id={batch_id}")
+        pred = spark.read.schema(scored.schema).parquet(f"{root}/predictions/batch_id={batch_id}")
         report = quality.validate(pred, rows.select("id", *PLAY))
         report.unionByName(repeated_ids(spark, batch, f"{root}/ids", batch_id, own)).write.mode("overwrite").parquet(f"{root}/reports/batch_id={batch_id}")
 
