@@ -161,6 +161,17 @@ def test_request_files_follow_the_rows(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_buckets_are_written_in_pieces_of_whole_plays(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(scoring, "PIECE_ROWS", 20, raising=False)
+    rows = spark.range(400).select((F.col("id") % 50).alias("game_id"), (F.col("id") % 2).alias("play_id"), F.col("id").alias("frame_id"))
+    for folder, k in (("pieces", 400), ("whole", 0)):
+        back = spark.read.parquet(scoring.write_play_files(rows, f"{tmp_dir}/{folder}", 2, k)).withColumn("file", F.input_file_name())
+        files_of = {r["play_bucket"]: r["n"] for r in back.groupBy("play_bucket").agg(F.count_distinct("file").alias("n")).collect()}
+        assert set(files_of) == {0, 1} and all(n > 2 if k else n == 1 for n in files_of.values())
+        assert back.groupBy(*trk.PLAY).agg(F.count_distinct("file").alias("n")).where("n > 1").isEmpty()
+        assert rows_of(back.select(*rows.columns).toPandas()) == rows_of(rows.toPandas())
+
+
 # ------------------------------------------------------------------ files
 def test_a_lost_driver_leaves_the_submission_before(spark, tmp_dir, monkeypatch):
     ids = spark.createDataFrame([("a",), ("b",)], "id string")

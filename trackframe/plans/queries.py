@@ -800,11 +800,11 @@ def q_stream_repeated_ids(spark, sf_dir):
     requests = out.select(*trk.PLAYER, "frame_id", trk.row_id().alias("id"))
     root = _folder(spark, "repeated")
     n = 4
-    inputs = scoring.write_play_files(inp, f"{root}/inputs", n)
+    inputs = scoring.write_play_files(inp, f"{root}/inputs", n, rows=inp.count())
     scoring.write_play_files(requests, f"{root}/requests", n)
     scoring.score_stream(spark, f"{root}/requests", requests.schema, inputs, root, n)
-    again = scoring.with_bucket(requests.where("(game_id * 10 + play_id + nfl_id + frame_id) % 7 = 0"), n)
-    again.write.mode("append").partitionBy(scoring.BUCKET).parquet(f"{root}/requests")
+    again = requests.where("(game_id * 10 + play_id + nfl_id + frame_id) % 7 = 0")
+    scoring.write_play_files(again, f"{root}/requests", n, mode="append")
     scoring.score_stream(spark, f"{root}/requests", requests.schema, inputs, root, 1000)
     reports = spark.read.parquet(f"{root}/reports")
     return reports.groupBy("check").agg(F.sum("violations").alias("violations"))
