@@ -436,6 +436,12 @@ def test_state_is_carried_over_windows():
         assert have == pytest.approx(total, rel=1e-4)
 
 
+def test_lm_scoring_shuffles_the_texts_once(docs):
+    out = lm_scoring.score(docs, ~lm_scoring.held_out(F.col("doc_id")))
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_lm_scoring(odd, none, docs):
     from collections import Counter
     import math

@@ -167,7 +167,8 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         known = sums((c > 0).astype(np.int64))
         return pa.table({"id": docs["id"], "n_tokens": size, "n_known": known.astype(np.int64), "train_tokens": np.full(len(size), n, np.int64),
                          "base_score": base_score.astype(float), "score": total.astype(float)})
-    found = dealt.select("block", "text").groupBy("block").applyInArrow(words, "block int, word binary")
+    # grouped with the columns that the blocks need below, so that both read one shuffle of the texts
+    found = dealt.groupBy("block").applyInArrow(words, "block int, word binary")
     vocab = found.join(counts, "word").select("block", "word", "c")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(vocab.groupBy("block")).applyInArrow(block, schema)
