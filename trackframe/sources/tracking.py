@@ -29,7 +29,7 @@ PLAYERS_PER_PLAY = 22
 PLAYS_PER_GAME = 10
 WEEKS = 18
 
-TASK_ROWS = 250_000  # rows of the plays that one task holds, about
+TASK_ROWS = 150_000  # rows of the plays that one task holds, about
 
 INPUT_COLUMNS = [
     "game_id", "play_id", "player_to_predict", "nfl_id", "frame_id", "play_direction",
