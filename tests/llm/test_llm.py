@@ -514,3 +514,53 @@ def test_every_query_has_its_columns(spark):
     assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES} == set(map(str, range(1, 14)))
     for name in ("op1_mixing", "op2_sharding", "op7_html_text"):
         assert queries.QUERIES[name](spark, SF_SMALL).count() > 0
+
+
+def test_many_texts_are_split_as_one(monkeypatch):
+    import pyarrow as pa
+    texts = [None, "", " ", "a", " A\x0bb\x0c\x1cC\r\n", "Ä É x y", "b" * 50, "\t", "İ ſ K  z", "a\x85b a\x00b"] * 3
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 20)
+    head = {b"a": 0, lm_scoring.END: 1}
+    size, words, codes = [], [], []
+    for column in (pa.chunked_array([texts[:4], texts[4:4], texts[4:]], pa.string()), pa.array(texts[3:], pa.string())[2:]):
+        for piece in lm_scoring.pieces(column):
+            n, found = lm_scoring.split(piece)
+            size += n.tolist()
+            words += found.to_pylist()
+            codes += lm_scoring.with_ends(n, lm_scoring.head_codes(found, head).fill_null(9).to_numpy(), 1).tolist()
+    each = [lm_scoring.tokens(t) for t in texts + texts[5:]]
+    assert size == [len(e) - 1 for e in each] and words == [x for e in each for x in e[:-1]]
+    assert codes == [head.get(x, 9) for e in each for x in e]
+
+
+def test_outputs_of_many_steps_are_worked_out_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    w, calls, output = gru.fresh(rng.random((3, 4)) + 0.1, 1.0, 6), [], gru.output
+    monkeypatch.setattr(gru, "output", lambda w, h, ids: calls.append(len(ids)) or output(w, h, ids))
+    texts = [rng.integers(0, 13, n) for n in (20_000, 3, 700)]
+    assert np.isfinite(gru.document_logs(w, texts, 0)).all()
+    assert sum(calls) == 20_703 and len(calls) <= 4  # a window at a time made 625
+    h, _ = gru.step(w, np.zeros((40, 6), np.float32), rng.integers(0, 13, 40))
+    assert h.shape == (40, 6) and h.T.flags.c_contiguous
+
+
+def test_training_follows_adam():
+    rng = np.random.default_rng(6)
+    w = {k: v.astype(float) for k, v in gru.fresh(rng.random((3, 4)) + 0.1, 1.0, 6).items()}
+    stream = rng.integers(0, 13, 4 * 3 * gru.WINDOW)
+    got, loss = gru.train(w, stream, 2, streams=4)
+    goal = stream.reshape(4, -1).T
+    ids = np.concatenate([np.full((1, 4), 2), goal[:-1]])
+    one, two, h, losses = {k: 0.0 for k in w}, {k: 0.0 for k in w}, np.zeros((4, 6)), []
+    for i in range(3):
+        at = slice(i * gru.WINDOW, (i + 1) * gru.WINDOW)
+        grad, h, each = gru.gradient(w, h, ids[at], goal[at], ids[at] == 2)
+        losses.append(each)
+        norm = np.sqrt(sum((g ** 2).sum() for g in grad.values()))
+        for k, g in grad.items():
+            g = g * min(1, 1 / norm)
+            one[k], two[k] = 0.9 * one[k] + 0.1 * g, 0.99 * two[k] + 0.01 * g * g
+            w[k] = w[k] - 0.01 * one[k] / (1 - 0.9 ** (i + 1)) / (np.sqrt(two[k] / (1 - 0.99 ** (i + 1))) + 1e-8)
+    assert loss == pytest.approx(np.mean(losses), rel=1e-5)
+    for k in w:
+        assert got[k] == pytest.approx(w[k], rel=1e-3, abs=1e-5), k

@@ -19,11 +19,11 @@ only the id and the text are read.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +42,13 @@ ROUNDS = 3
 TURNS = 333_333 * ROUNDS
 TREE = 16
 BLOCK_BYTES = 24 << 20
+PIECE_BYTES = 4 << 20  # of text split at a time
 END = b""
 ADD = 0.1
 
 
 def tokens(text: str | None) -> list[bytes]:
+    """The tokens of one text; ``split`` cuts many at once."""
     out = (text or "").encode("utf-8", "replace").lower().split()
     out.append(END)
     return out
@@ -56,14 +58,46 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and the words of all in order: what ``tokens`` gives, without the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at the six characters of the pattern; may give empty words
+    size, words = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64), lists.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0)
+    if not pc.all(full).as_py():
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[full.to_numpy(zero_copy_only=False)], minlength=len(size))
+        words = words.filter(full)
+    return size, words
+
+
+def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[pa.Array]:
+    """Runs of texts of about ``PIECE_BYTES`` (a longer text is one of its own)."""
+    for texts in getattr(column, "chunks", [column]):
+        run = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // PIECE_BYTES
+        at = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        yield from (texts.slice(i, j - i) for i, j in zip(at, at[1:]) if j > i)
+
+
+def with_ends(size: np.ndarray, codes: np.ndarray, end: int) -> np.ndarray:
+    """The words' ``codes`` with ``end`` after each text of ``size`` words."""
+    out = np.full(len(codes) + len(size), end, codes.dtype)
+    word = np.ones(len(out), bool)
+    word[np.cumsum(size + 1) - 1] = False
+    out[word] = codes
+    return out
+
+
+def head_codes(words: pa.Array, head: dict[bytes, int]) -> pa.Array:
+    """Each word's number in ``head`` (words in the order of their numbers), null for others."""
+    return pc.index_in(words, value_set=pa.array(list(head), pa.binary()))
+
+
 def count_tokens(rows: DataFrame) -> DataFrame:
     """(word, c) over ``rows`` (text): counted in each batch, then summed by word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for t in batch["text"]:
-                seen.update(tokens(t.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+            found = pa.chunked_array([split(t)[1] for t in pieces(batch["text"])], pa.binary()).value_counts()
+            words, c = found.field("values"), found.field("counts")
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END], pa.binary())]), pa.concat_arrays([c, pa.array([len(batch)])])], ["word", "c"])
     return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -84,17 +118,21 @@ def fit(rows: DataFrame, head: dict[bytes, int], counts: np.ndarray, n: int) ->
     sc = rows.sparkSession.sparkContext
     share = max(TURNS // ROUNDS, min(TURNS, TURNS * TRAIN_TOKENS // max(1, n)))
     shards = max(SHARDS, -(-n * share // (TURNS * SHARD_TOKENS)))
-    known = sc.broadcast(head)
+    known, head_end = sc.broadcast(head), head.get(END, HEAD)
     part = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(shards)).cast("int").alias("shard")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.array([known.value.get(x, HEAD) for x in tokens(t.as_py())], np.uint16).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["shard"], batch["h"], pa.array(ids, pa.binary())], ["shard", "h", "ids"])
+            ids = []
+            for texts in pieces(batch["text"]):
+                size, words = split(texts)
+                codes = pc.fill_null(head_codes(words, known.value), HEAD).to_numpy().astype(np.uint16)
+                at = np.append(0, 2 * np.cumsum(size + 1)).astype(np.int32)
+                ids.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(with_ends(size, codes, head_end))]))
+            yield pa.RecordBatch.from_arrays([batch["shard"], batch["h"], pa.concat_arrays(ids) if ids else pa.array([], pa.binary())], ["shard", "h", "ids"])
     mass = np.zeros(HEAD)
     mass[:len(counts)] = counts
     w = gru.fresh(mass.reshape(CLASSES, PER_CLASS), max(0.0, n - counts.sum()), HIDDEN)
-    head_end = head.get(END, HEAD)
     schema, seen = "shard int, w binary, n long", []
     for k in range(ROUNDS):
         now = sc.broadcast(w)
@@ -136,33 +174,38 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     model = sc.broadcast((weights, head, often))
 
     def words(table: pa.Table) -> pa.Table:
-        seen: set[bytes] = {END}
-        for k in range(0, table.num_rows, 256):  # one split for many texts: only the distinct words count here
-            seen.update(" ".join(t or "" for t in table["text"][k:k + 256].to_pylist()).encode("utf-8", "replace").lower().split())
-        seen.difference_update(model.value[1])
-        out = sorted(seen)
-        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(out), pa.int32()), "word": pa.array(out, pa.binary())})
+        found = [pa.array([END], pa.binary())]
+        for texts in pieces(table["text"]):
+            each = split(texts)[1]
+            found.append(each.filter(pc.is_null(head_codes(each, model.value[1]))).unique())
+        out = pa.chunked_array(found).unique()
+        out = out.filter(pc.is_null(head_codes(out, model.value[1])))  # the end, if it is a head word
+        return pa.table({"block": pa.array([table["block"][0].as_py()] * len(out), pa.int32()), "word": out})
 
     def block(docs: pa.Table, vocab: pa.Table) -> pa.Table:
         w, head, often = model.value
-        code = dict(head)
-        for i, x in enumerate(vocab["word"].to_pylist(), len(head)):
-            code[x] = i
         c = np.concatenate([often, vocab["c"].to_numpy().astype(np.int64), [0]])  # the last: not in the counts
         base = np.log10((c + ADD) / (n + ADD * (v + 1)))
         rare = np.log10((c + ADD) / (n_rare + ADD * (v_rare + 1)))
         rare[:len(head)] = 0.0
-        each = []
-        for t in docs["text"]:
-            each.append(np.array([code.get(x, -1) for x in tokens(t.as_py())], np.int64))
-        size = np.array([len(e) for e in each], np.int64)
-        flat = np.concatenate(each) if each else np.zeros(0, np.int64)
+        size, codes, others = [], [], [pa.array([END], pa.binary())]
+        for texts in pieces(docs["text"]):
+            count, words = split(texts)
+            near = head_codes(words, head)
+            size.append(count)
+            codes.append(pc.fill_null(near, -1).to_numpy().astype(np.int64))
+            others.append(words.filter(pc.is_null(near)))
+        far = pc.index_in(pa.chunked_array(others), value_set=vocab["word"].combine_chunks().cast(pa.binary()))
+        far = pc.fill_null(far, -1 - len(head)).to_numpy().astype(np.int64) + len(head)
+        flat, size = np.concatenate(codes), np.concatenate(size)
+        flat[flat < 0] = far[1:]
+        flat, size = with_ends(size, flat, head.get(END, int(far[0]))), size + 1
         begin = np.cumsum(size) - size
-        sums = lambda x: np.add.reduceat(x[flat], begin) if len(begin) else np.zeros(0)
+        sums = lambda x: np.add.reduceat(x[flat], begin)
         base_score = sums(base)
         total = base_score
         if w is not None:
-            ids = [np.where((e >= len(head)) | (e < 0), HEAD, e) for e in each]
+            ids = np.split(np.where((flat >= len(head)) | (flat < 0), HEAD, flat), begin[1:])
             total = gru.document_logs(w, ids, head.get(END, HEAD)) / np.log(10) + sums(rare)
         known = sums((c > 0).astype(np.int64))
         return pa.table({"id": docs["id"], "n_tokens": size, "n_known": known.astype(np.int64), "train_tokens": np.full(len(size), n, np.int64),
