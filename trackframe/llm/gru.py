@@ -1,4 +1,4 @@
-"""The numbers of the gated recurrent language model: a step, windows with carried state, and truncated backpropagation.
+"""The numbers of the gated recurrent language model: a step, whole sequences, and truncated backpropagation over windows.
 
 Tokens are numbers: head words below ``classes * per_class`` (class = number // per_class), then one number for all
 other words, which form the last class.  The output is factored: a softmax over the classes, then one within the class.

@@ -9,7 +9,7 @@ backpropagation over each, and averages the weights in a tree.  Together the rou
 
 Scoring deals the documents into blocks of about ``BLOCK_BYTES`` by the hash of their id and text.  Each block's
 distinct words are joined with the counts, so the counts, which grow with the corpus, are never broadcast; then each
-block's documents run in step with the state carried over windows, whole texts from a zero state.
+block's documents run in step, whole texts from a zero state.
 
 Defined cases: an empty table gives an empty result; null text is empty (its only token is the end); without learning
 rows N = V = 0 and both scores are the base's; repeated rows get equal results; a null id counts as a learning row;
